@@ -30,7 +30,7 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small_batches(df: DataFrame, rows: int = 1000) -> DataFrame:
+def small_batches(df: DataFrame, rows: int = 250) -> DataFrame:
     """``df``, with Arrow batches of at most ``rows`` rows from here on: whole texts are large."""
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
     return df
