@@ -73,7 +73,7 @@ def text_bytes(text) -> bytes:
     return text.encode("utf-8", "surrogatepass") if isinstance(text, str) else b""
 
 
-def pieces(texts: list[bytes], limit: int = 1 << 20):
+def pieces(texts: list[bytes], limit: int = 1 << 18):
     """Consecutive texts whose bytes together pass ``limit`` at most by the last one: (first, after)."""
     first = size = 0
     for i, t in enumerate(texts):

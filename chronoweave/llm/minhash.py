@@ -2,9 +2,9 @@
 
 1. Each document's set of word shingles is hashed to 64 bits and sketched by SuperMinHash.
 2. Documents with one and the same set collapse to the smallest doc_id.
-3. The others meet in band buckets. Every member of a bucket is checked against the bucket's smallest
-   doc_id first (a star, not all pairs). What then still lies in different groups of one bucket is checked
-   exactly: members outside the bucket's largest group against all members of other groups.
+3. The others meet in band buckets. Every member of a bucket is checked against the bucket's smallest set
+   (a star, not all pairs); where a bucket is then not yet one group, further stars and at last the pairs of
+   different groups are checked (see ``_bucket_links``), exactly and without a cap.
 4. Checks compare full shingle sets; verified links and collapsed copies go to connected components.
 
 Scale: signatures, not texts, meet in buckets; a group of any number of copies is one aggregate row each.
@@ -25,11 +25,13 @@ from pyspark.sql import functions as F
 
 from chronoweave.llm.hashing import byte_values, mix, pieces, prefix_sums, shingle_hashes, slice_hashes, text_bytes, words
 from chronoweave.operators.components import connected_components
-from chronoweave.session import stored
+from chronoweave.session import small_batches, stored
 
 SLOTS, ROWS = 128, 4
 #: Up to so many ids (16 MB) the documents to verify are picked by a broadcast, beyond by a shuffled join.
 MAX_BROADCAST_IDS = 1_000_000
+#: Open buckets of so many members at most are checked from their sets; larger ones after further stars.
+SMALL, STARS = 16, 2
 _U = np.uint64
 
 
@@ -126,7 +128,7 @@ def sketches(docs: DataFrame, width: int, text: str = "text", key: str = "doc_id
                 bands = band_hashes(superminhash(elements, pointers))
                 yield pd.DataFrame({"doc_id": batch["doc_id"].iloc[a:b].array, "n_shingles": n, "set1": prints[0], "set2": prints[1], "bands": [x if c else None for x, c in zip(bands, n)]})
 
-    source = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    source = small_batches(docs).select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
     return source.mapInPandas(sketch, "doc_id long, n_shingles long, set1 long, set2 long, bands array<long>")
 
 
@@ -141,54 +143,110 @@ def _sets(docs: DataFrame, width: int, text: str, key: str) -> DataFrame:
     return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInPandas(build, "id long, elements binary")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) with 100 * intersection >= percent * union of their full sets."""
+def _compared(pairs: DataFrame, sets: DataFrame, percent: int, differences: bool = False) -> DataFrame:
+    """(a, b, linked, d) of pairs (a, b): 100 * intersection >= percent * union of the full sets; their symmetric difference."""
 
     def check(batches):
         for batch in batches:
-            keep = []
+            linked, apart = [], []
             for x, y in zip(batch["x"], batch["y"]):
                 p, q = np.frombuffer(x, dtype=_U), np.frombuffer(y, dtype=_U)
-                if 100 * min(len(p), len(q)) < percent * max(len(p), len(q)):
-                    keep.append(False)
+                if not differences and 100 * min(len(p), len(q)) < percent * max(len(p), len(q)):
+                    linked.append(False)
                     continue
                 at = np.searchsorted(q, p)
                 at[at == len(q)] = 0
-                both = int((q[at] == p).sum()) if len(q) else 0
-                keep.append(both > 0 and 100 * both >= percent * (len(p) + len(q) - both))
-            yield batch.loc[keep, ["a", "b"]]
+                same = q[at] == p
+                both = int(same.sum())
+                linked.append(100 * both >= percent * (len(p) + len(q) - both))
+                if differences:
+                    apart.append(np.concatenate((p[~same], np.setdiff1d(q, p, assume_unique=True))).view(np.int64))
+            yield pd.DataFrame({"a": batch["a"], "b": batch["b"], "linked": linked, "d": apart or None})
 
     left = sets.select(F.col("id").alias("a"), F.col("elements").alias("x"))
     right = sets.select(F.col("id").alias("b"), F.col("elements").alias("y"))
-    return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInPandas(check, "a long, b long")
+    return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInPandas(check, "a long, b long, linked boolean, d array<long>")
+
+
+def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    return stored(_compared(pairs, sets, percent).where("linked").select("a", "b"))
+
+
+def _group(members: DataFrame, links: DataFrame) -> DataFrame:
+    groups = connected_components(links, "a", "b").withColumnRenamed("component", "_g")
+    return members.join(groups, members["id"] == groups["node"], "left").select(*members.columns, F.coalesce("_g", "id").alias("g"))
+
+
+def _open_pairs(placed: DataFrame, able) -> DataFrame:
+    """Pairs of different groups in one bucket for which ``able(x, y)`` holds: members outside the bucket's largest group with all others."""
+    largest = placed.groupBy("bucket", "g").count().groupBy("bucket").agg(F.max_by("g", F.struct("count", -F.col("g"))).alias("main"))
+    rest = placed.join(largest, "bucket").where("g <> main").select("bucket", "main", F.struct("id", "g", "n", "d").alias("x"))
+    other = placed.select("bucket", F.struct("id", "g", "n", "d").alias("y"))
+    x, y = F.col("x"), F.col("y")
+    different = (x["g"] != y["g"]) & ((y["g"] == F.col("main")) | (x["id"] < y["id"]))
+    pairs = rest.join(other, "bucket").where(different & able(x, y))
+    return pairs.select(F.greatest(x["id"], y["id"]).alias("a"), F.least(x["id"], y["id"]).alias("b")).distinct()
+
+
+def _bucket_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links whose components are those of all links between members (bucket, id, n) of one bucket.
+
+    The members of a bucket are checked against its smallest set. In buckets that then still have several
+    groups, pairs of different groups are checked: from their sets in a bucket of ``SMALL`` members at most.
+    In a larger one, members are first described by their difference d from one set, the smallest of the group
+    of the bucket's smallest. Stars round the members with the least differences, ``STARS`` times, join most
+    of what that set leaves apart; the pairs of different groups that remain are checked inside the join by
+    |x ^ y| = |d_x| + |d_y| - 2 |d_x & d_y|, so that only links come out of it.
+    """
+    centers = members.groupBy("bucket").agg(F.min_by("id", F.struct("n", "id")).alias("center"))
+    members = members.join(centers, "bucket")
+    star = members.where("id <> center").select(F.col("id").alias("a"), F.col("center").alias("b")).distinct()
+    links = _linked(star, sets, percent)
+    placed = _group(members, links)
+    size = placed.groupBy("bucket").agg(F.count("*").alias("size"), F.min("g").alias("_g0"), F.max("g").alias("_g1")).where("_g0 < _g1").select("bucket", "size")
+    placed = stored(placed.join(size, "bucket"))
+    small = placed.where(F.col("size") <= SMALL).withColumn("d", F.lit(None).cast("array<bigint>"))
+    links = links.union(_linked(_open_pairs(small, lambda x, y: F.lit(True)), sets, percent))
+    large = placed.where(F.col("size") > SMALL)
+    smallest = placed.groupBy("g").agg(F.min_by("id", F.struct("n", "id")).alias("least"))
+    where = large.where("id = center").select("bucket", "g").join(smallest, "g").select("bucket", F.col("g").alias("main"), "least")
+    large = large.join(where, "bucket")
+    compared = stored(_compared(large.select(F.col("id").alias("a"), F.col("least").alias("b")).distinct(), sets, percent, differences=True))
+    links = links.union(compared.where("linked and a <> b").select("a", "b"))
+    large = stored(large.join(compared.select(F.col("a").alias("id"), F.col("b").alias("least"), "linked", "d"), ["id", "least"]).select("bucket", "id", "n", "g", "main", "linked", "d"))
+    rest = large.where("not linked and g <> main").select("bucket", "id", F.size("d").alias("far"))
+    for _ in range(STARS):
+        centers = rest.groupBy("bucket").agg(F.min_by("id", F.struct("far", "id")).alias("center"))
+        rest = rest.join(centers, "bucket").where("id <> center")
+        more = _linked(rest.select(F.col("id").alias("a"), F.col("center").alias("b")).distinct(), sets, percent)
+        links = links.union(more)
+        rest = rest.join(more.select(F.col("a").alias("id"), F.col("b").alias("center")), ["id", "center"], "left_anti").select("bucket", "id", "far")
+    links = stored(links)
+    k = (100 + percent) / (100 - percent)
+
+    def able(x, y):
+        apart = F.size(x["d"]) + F.size(y["d"])
+        near = k * F.abs(F.size(x["d"]) - F.size(y["d"])) <= x["n"] + y["n"] + F.lit(1e-6)
+        return near & (k * (apart - 2 * F.size(F.array_intersect(x["d"], y["d"]))) <= x["n"] + y["n"] + F.lit(1e-6))
+
+    return links.union(_open_pairs(stored(_group(large.select("bucket", "id", "n", "d"), links)), able))
 
 
 def near_duplicate_links(docs: DataFrame, width: int = 5, percent: int = 80, text: str = "text", key: str = "doc_id") -> tuple[DataFrame, DataFrame]:
     """(sketches, links): links (a, b) whose connected components are the near-duplicate groups."""
     sketch = stored(sketches(docs, width, text, key))
     some = sketch.where("doc_id is not null and n_shingles > 0")
-    classes = stored(some.groupBy("set1", "set2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.min("bands").alias("bands"), F.count("*").alias("n")))
-    copies = some.join(classes.where("n > 1").select("set1", "set2", "n_shingles", "rep"), ["set1", "set2", "n_shingles"]).where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    exploded = classes.select(F.col("rep").alias("id"), F.explode("bands").alias("bucket"))
-    shared = exploded.groupBy("bucket").agg(F.min("id").alias("center"), F.max("id").alias("last")).where("center < last").select("bucket", "center")
-    members = stored(exploded.join(shared, "bucket").select("bucket", "id", "center"))
-    star = stored(members.where("id <> center").select(F.col("id").alias("a"), F.col("center").alias("b")).distinct())
-    ids = stored(star.select(F.col("a").alias("id")).union(star.select(F.col("b").alias("id"))).distinct())
+    classes = stored(some.groupBy("set1", "set2", F.col("n_shingles").alias("n")).agg(F.min("doc_id").alias("rep"), F.min("bands").alias("bands"), F.count("*").alias("rows")))
+    several = classes.where("rows > 1").select("set1", "set2", "rep")
+    copies = some.join(several, ["set1", "set2"]).where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
+    exploded = classes.select(F.col("rep").alias("id"), "n", F.explode("bands").alias("bucket"))
+    shared = exploded.groupBy("bucket").agg(F.min("id").alias("_low"), F.max("id").alias("_high")).where("_low < _high").select("bucket")
+    members = stored(exploded.join(shared, "bucket").select("bucket", "id", "n"))
+    ids = stored(members.select("id").distinct())
     wanted = F.broadcast(ids) if ids.count() <= MAX_BROADCAST_IDS else ids
     chosen = docs.join(wanted, F.col(key) == wanted["id"], "left_semi")
     sets = stored(_sets(chosen, width, text, key).distinct())
-    links = stored(_verified(star, sets, percent))
-    groups = stored(connected_components(links, "a", "b"))
-    placed = members.join(groups, members["id"] == groups["node"], "left").select("bucket", "id", F.coalesce("component", "id").alias("g"))
-    open_ = placed.groupBy("bucket").agg(F.min("g").alias("g0"), F.max("g").alias("g1")).where("g0 <> g1").select("bucket")
-    placed = stored(placed.join(open_, "bucket"))
-    largest = placed.groupBy("bucket", "g").count().groupBy("bucket").agg(F.max_by("g", F.struct("count", -F.col("g"))).alias("main"))
-    rest = placed.join(largest, "bucket").where("g <> main").select("bucket", F.col("id").alias("a"), F.col("g").alias("ga"), "main")
-    other = placed.select("bucket", F.col("id").alias("b"), F.col("g").alias("gb"))
-    pairs = rest.join(other, "bucket").where("ga <> gb and (gb = main or a < b)")
-    pairs = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct().join(star, ["a", "b"], "left_anti")
-    more = _verified(stored(pairs), sets, percent)
-    return sketch, stored(links.union(more).union(copies))
+    return sketch, stored(_bucket_links(members, sets, percent).union(copies))
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, text: str = "text", key: str = "doc_id") -> DataFrame:

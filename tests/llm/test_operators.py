@@ -319,6 +319,24 @@ def test_near_duplicates(spark):
     assert sorted((r.doc_id if r.doc_id is not None else -1, r.component_id) for r in minhash.near_duplicates(odd).collect()) == [(-1, None), (0, 0), (1, 0), (1, 0)]
 
 
+def test_near_duplicates_in_large_buckets(spark, monkeypatch):
+    """Buckets past the pair-by-pair size: families of edited copies, with links that only surplus shingles find."""
+    monkeypatch.setattr(minhash, "SMALL", 2)
+    rnd = random.Random(11)
+    texts = []
+    base = prose(rnd, 150).split()
+    for k in range(90):
+        copy = list(base if k % 3 else texts[rnd.randrange(len(texts))].split() if texts else base)
+        for _ in range(rnd.randrange(0, 8)):
+            copy[rnd.randrange(len(copy))] = f"n{rnd.randrange(40)}"
+        if k % 7 == 0:
+            copy = copy[rnd.randrange(10) :]
+        texts.append(" ".join(copy))
+    got = minhash.near_duplicates(frame(spark, texts), width=4).orderBy("doc_id").collect()
+    want = brute_groups(texts)
+    assert [tuple(r)[1:] for r in got] == want and len({w[1] for w in want}) > 5
+
+
 def test_superminhash_estimates_similarity_and_equals_the_sequential_form():
     rnd = np.random.default_rng(10)
     both = rnd.integers(0, 2**63, 400, dtype=np.uint64)
