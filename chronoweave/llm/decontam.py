@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from chronoweave.llm.hashing import text_bytes
+from chronoweave.session import small_batches
 
 #: One shard's automaton has at most twice as many states as words: about 200 MB in a worker.
 MAX_SHARD_WORDS = 400_000
@@ -181,48 +182,40 @@ def automata(benchmark: DataFrame, window: int, item: str = "item_id", text: str
     return [a.finish() for a in out]
 
 
-_HITS = T.StructType([T.StructField("n_words", T.LongType()), T.StructField("longest", T.LongType()), T.StructField("items", T.ArrayType(T.StringType())), T.StructField("spans", T.ArrayType(T.ArrayType(T.LongType())))])
+_HITS = T.StructType([T.StructField("n_words", T.LongType()), T.StructField("longest", T.LongType()), T.StructField("items", T.ArrayType(T.StringType())), T.StructField("spans", T.ArrayType(T.ArrayType(T.LongType()))), T.StructField("text", T.StringType())])
 
 
-def find_hits(docs: DataFrame, benchmark: DataFrame, window: int = 10, text: str = "text", into: str = "contamination") -> DataFrame:
-    """``docs`` with a struct ``into``: n_words, longest match, sorted items, merged hit spans in words."""
-    spark = docs.sparkSession
+def find_hits(docs: DataFrame, benchmark: DataFrame, window: int = 10, text: str = "text", into: str = "contamination", cut: bool = False) -> DataFrame:
+    """``docs`` with a struct ``into``: n_words, longest match, sorted items, merged hit spans in words, text without them if ``cut``."""
+    spark = small_batches(docs).sparkSession
     shards = automata(benchmark, window) or [SuffixAutomaton(window).finish()]
-    for k, shard in enumerate(shards):
-        found = F.pandas_udf(_finder(spark.sparkContext.broadcast(pickle.dumps(shard, 5))), _HITS)(F.col(text))
-        name = into if len(shards) == 1 else f"{into}_{k}"
-        docs = docs.withColumn(name, found)
-    if len(shards) > 1:
-        parts = [f"{into}_{k}" for k in range(len(shards))]
-        docs = docs.withColumn(into, _joined([F.col(p) for p in parts])).drop(*parts)
+    docs = docs.withColumn(into, F.lit(None).cast(_HITS))
+    for k, shard in enumerate(shards, 1):
+        find = F.pandas_udf(_finder(spark.sparkContext.broadcast(pickle.dumps(shard, 5)), cut and k == len(shards)), _HITS).asNondeterministic()
+        before = F.struct(F.col(into)["longest"].alias("longest"), F.col(into)["items"].alias("items"), F.col(into)["spans"].alias("spans"))
+        docs = docs.withColumn(into, find(F.col(text), before))
     return docs
 
 
-def _finder(shared):
-    def find(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+def _finder(shared, cut: bool):
+    """Adds one automaton's hits to those found before; asked to be evaluated once by being non-deterministic."""
+
+    def find(batches: Iterator[tuple[pd.Series, pd.DataFrame]]) -> Iterator[pd.DataFrame]:
         automaton = pickle.loads(shared.value)
-        for batch in batches:
+        for texts, before in batches:
             rows = []
-            for t in batch:
+            for t, most, own, old in zip(texts, before["longest"], before["items"], before["spans"]):
                 words = words_of(t)
                 spans, items, longest = automaton.hits(words)
-                rows.append((len(words), longest, sorted(items), [list(s) for s in spans]))
+                if old is not None:
+                    spans = merge([*spans, *(tuple(x) for x in old)])
+                    items, longest = items | set(own), max(longest, int(most))
+                rows.append((len(words), longest, sorted(items), [list(s) for s in spans], without(t, spans) if cut else None))
             yield pd.DataFrame(rows, columns=_HITS.names)
 
     return find
 
 
-def _joined(parts: list):
-    """One struct of hits from those of several shards."""
-    spans = F.array_sort(F.concat(*[p["spans"] for p in parts]))
-    merged = F.aggregate(
-        spans,
-        F.expr("cast(array() as array<array<bigint>>)"),
-        lambda acc, s: F.when((F.size(acc) > 0) & (s[0] <= F.element_at(acc, -1)[1]), F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.array(F.element_at(acc, -1)[0], F.greatest(F.element_at(acc, -1)[1], s[1]))))).otherwise(F.concat(acc, F.array(s))),
-    )
-    return F.struct(parts[0]["n_words"].alias("n_words"), F.greatest(*[p["longest"] for p in parts]).alias("longest"), F.array_sort(F.array_distinct(F.concat(*[p["items"] for p in parts]))).alias("items"), merged.alias("spans"))
-
-
 def contamination_report(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
     """Per row of ``docs`` (doc_id, text): words, hit words, items with occurring windows and their digest."""
     c = F.col("contamination")
@@ -237,23 +230,19 @@ def contamination_report(docs: DataFrame, benchmark: DataFrame, window: int = 10
     )
 
 
-def _cut(texts: pd.Series, spans: pd.Series) -> pd.Series:
-    """Texts without the words of the spans; what stands between two cut words goes with them."""
-    out = []
-    for t, cut in zip(texts, spans):
-        if t is None or cut is None or not len(cut):
-            out.append(t)
-            continue
-        raw = text_bytes(t)
-        flags = np.frombuffer(bytes(b > 0x20 for b in raw.translate(_SPACED)), dtype=np.int8)
-        edge = np.flatnonzero(np.diff(np.concatenate(([0], flags, [0]))))
-        starts, ends = edge[::2], edge[1::2]
-        at, kept = 0, []
-        for a, b in cut:
-            kept.append(raw[at : starts[a]])
-            at = ends[b - 1]
-        out.append(b"".join([*kept, raw[at:]]).decode("utf-8", "surrogatepass"))
-    return pd.Series(out)
+def without(text, spans: list):
+    """The text without the words of the spans; what stands between two cut words goes with them."""
+    if text is None or not spans:
+        return text
+    raw = text_bytes(text)
+    flags = np.frombuffer(bytes(b > 0x20 for b in raw.translate(_SPACED)), dtype=np.int8)
+    edge = np.flatnonzero(np.diff(np.concatenate(([0], flags, [0]))))
+    starts, ends = edge[::2], edge[1::2]
+    at, kept = 0, []
+    for a, b in spans:
+        kept.append(raw[at : starts[a]])
+        at = ends[b - 1]
+    return b"".join([*kept, raw[at:]]).decode("utf-8", "surrogatepass")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, max_coverage: float = 0.5, text: str = "text") -> DataFrame:
@@ -263,6 +252,5 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, max_c
     """
     c = F.col("_contamination")
     hit = F.aggregate(c["spans"], F.lit(0).cast("long"), lambda n, s: n + s[1] - s[0])
-    found = find_hits(docs, benchmark, window, text, "_contamination").where(hit <= F.lit(max_coverage) * c["n_words"])
-    cut = F.pandas_udf(_cut, "string")
-    return found.withColumn(text, F.when(F.size(c["spans"]) > 0, cut(F.col(text), c["spans"])).otherwise(F.col(text))).select(*docs.columns)
+    found = find_hits(docs, benchmark, window, text, "_contamination", cut=True).where(hit <= F.lit(max_coverage) * c["n_words"])
+    return found.withColumn(text, c["text"]).select(*docs.columns)

@@ -24,6 +24,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from chronoweave.session import small_batches
+
 RANGE_PAGES = 1000
 # Elements and names that are not main text.
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
@@ -170,7 +172,7 @@ def _range_of(bounds: list[str]):
 
 def extract(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars) of every row of ``pages`` (page_id, url, html)."""
-    spark = pages.sparkSession
+    spark = small_batches(pages).sparkSession
     bare = F.regexp_replace(F.coalesce("url", F.lit("")), "^[a-zA-Z][a-zA-Z0-9+.-]*://", "")
     host = F.lower(F.regexp_extract(bare, "^([^/?#]*)", 1))
     path = F.regexp_extract(bare, "^[^/?#]*([^?#]*)", 1)

@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from chronoweave.llm.hashing import text_bytes
+from chronoweave.session import small_batches
 
 BINS = 1 << 15
 #: The bound of the labelled sample, by language, and of the landmarks in all.
@@ -130,5 +131,5 @@ def identify(docs: DataFrame, model: KernelClassifier) -> DataFrame:
                 scores += s
             yield pd.DataFrame({"doc_id": batch["doc_id"], "held_out": batch["held_out"], "lang_pred": names, "score": scores})
 
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(held_out(), F.lit(False)).alias("held_out"), "text")
+    source = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(held_out(), F.lit(False)).alias("held_out"), "text")
     return source.mapInPandas(score, "doc_id long, held_out boolean, lang_pred string, score double")

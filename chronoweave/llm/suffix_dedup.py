@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chronoweave.llm.hashing import byte_values, mix, pieces, prefix_sums, slice_hashes, text_bytes
-from chronoweave.session import stored
+from chronoweave.session import small_batches, stored
 
 GRAM = 32
 #: In place of an anchor's offset: a span that its own batch has found to be repeated.
@@ -100,7 +100,7 @@ def repeated_spans(docs: DataFrame, length: int = 100, buckets: int | None = Non
     """(documents, requests): per doc the contexts to remove whole (at -1) and those to compare by window."""
     spark = docs.sparkSession
     n = buckets or max(64, int(spark.conf.get("spark.sql.shuffle.partitions")) * 4)
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text")).where("doc_id is not null")
+    source = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text")).where("doc_id is not null")
 
     def local(batches):
         """Anchors of a batch by bucket, and contexts that the batch itself repeats, by document."""

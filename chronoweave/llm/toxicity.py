@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chronoweave.llm.langid import held_out, sample_by_class
+from chronoweave.session import small_batches
 
 #: The bound of the labelled sample, by class.
 SAMPLE = {1: 1500, 0: 4500}
@@ -215,7 +216,7 @@ def score(docs: DataFrame, grammar: Grammar) -> DataFrame:
             s = [grammar.score(t) for t in batch["text"]]
             yield pd.DataFrame({"doc_id": batch["doc_id"], "held_out": batch["held_out"], "score": s, "predicted": [int(x >= 0.5) for x in s]})
 
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(held_out(), F.lit(False)).alias("held_out"), "text")
+    source = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(held_out(), F.lit(False)).alias("held_out"), "text")
     return source.mapInPandas(run, "doc_id long, held_out boolean, score double, predicted int")
 
 
@@ -225,4 +226,4 @@ def drop_toxic(docs: DataFrame, grammar: Grammar, threshold: float = 0.5, text:
     def scores(s: pd.Series) -> pd.Series:
         return pd.Series([grammar.score(t) for t in s], dtype="float64")
 
-    return docs.where(F.pandas_udf(scores, "double")(F.col(text)) < threshold)
+    return small_batches(docs).where(F.pandas_udf(scores, "double")(F.col(text)) < threshold)
