@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
-FLAGSHIP = ""
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from chronoweave.plans.queries import ORACLE_SQL, QUERIES
+
+FLAGSHIP = "a29_retrieval_metrics"
+
+__all__ = ["FLAGSHIP", "ORACLE_SQL", "QUERIES"]
