@@ -18,6 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -191,7 +192,7 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, window: int = 10, text: str
     shards = automata(benchmark, window) or [SuffixAutomaton(window).finish()]
     docs = docs.withColumn(into, F.lit(None).cast(_HITS))
     for k, shard in enumerate(shards, 1):
-        find = F.pandas_udf(_finder(spark.sparkContext.broadcast(pickle.dumps(shard, 5)), cut and k == len(shards)), _HITS).asNondeterministic()
+        find = F.pandas_udf(_finder(spark.sparkContext.broadcast(cloudpickle.dumps(shard)), cut and k == len(shards)), _HITS).asNondeterministic()
         before = F.struct(F.col(into)["longest"].alias("longest"), F.col(into)["items"].alias("items"), F.col(into)["spans"].alias("spans"))
         docs = docs.withColumn(into, find(F.col(text), before))
     return docs

@@ -16,8 +16,11 @@ out of the result.
 
 from __future__ import annotations
 
+import pickle
+
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -120,13 +123,14 @@ def fit(docs: DataFrame) -> KernelClassifier:
 
 def identify(docs: DataFrame, model: KernelClassifier) -> DataFrame:
     """(doc_id, held_out, lang_pred, score) of every row's whole text."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast(cloudpickle.dumps(model))  # by value: executors need no installed package
 
     def score(batches):
+        learned = pickle.loads(shared.value)
         for batch in batches:
             names, scores = [], []
             for a in range(0, len(batch), 256):
-                n, s = shared.value.predict(batch["text"].iloc[a : a + 256])
+                n, s = learned.predict(batch["text"].iloc[a : a + 256])
                 names += n
                 scores += s
             yield pd.DataFrame({"doc_id": batch["doc_id"], "held_out": batch["held_out"], "lang_pred": names, "score": scores})
