@@ -1,7 +1,7 @@
 """Exact substring dedup over bytes: every byte covered by a ``length``-byte string that starts earlier goes.
 
 "Earlier" is a smaller doc_id, or the same document and a smaller start. The result is that of a suffix
-array with common prefixes of at least ``length`` bytes; the README says why suffixes are not sorted here.
+array with common prefixes of at least ``length`` bytes, but no suffixes are sorted; the README lists this as open.
 
 1. Windows of ``length`` bytes pick the anchor of the least hash among their ``GRAM``-byte strings
    (leftmost on ties), so equal windows pick equal anchors at equal places. The windows that pick one
