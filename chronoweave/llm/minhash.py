@@ -30,6 +30,8 @@ from chronoweave.session import small_batches, stored
 SLOTS, ROWS = 128, 4
 #: Up to so many ids (16 MB) the documents to verify are picked by a broadcast, beyond by a shuffled join.
 MAX_BROADCAST_IDS = 1_000_000
+#: Up to so many pairs, and sets of so many hashes on their right (32 MB), go to the sets by a broadcast, beyond by shuffled joins.
+MAX_BROADCAST_PAIRS, MAX_BROADCAST_HASHES = 500_000, 4_000_000
 #: Open buckets of so many members at most are checked from their sets; larger ones after further stars.
 SMALL, STARS = 16, 2
 _U = np.uint64
@@ -138,9 +140,9 @@ def _sets(docs: DataFrame, width: int, text: str, key: str) -> DataFrame:
             texts = [text_bytes(t) for t in batch["text"]]
             for a, b in pieces(texts):
                 elements, pointers = shingle_sets(texts[a:b], width)
-                yield pd.DataFrame({"id": batch["doc_id"].iloc[a:b].array, "elements": [elements[x:y].tobytes() for x, y in zip(pointers[:-1], pointers[1:])]})
+                yield pd.DataFrame({"id": batch["doc_id"].iloc[a:b].array, "n": np.diff(pointers), "elements": [elements[x:y].tobytes() for x, y in zip(pointers[:-1], pointers[1:])]})
 
-    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInPandas(build, "id long, elements binary")
+    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInPandas(build, "id long, n long, elements binary")
 
 
 def _compared(pairs: DataFrame, sets: DataFrame, percent: int, differences: bool = False) -> DataFrame:
@@ -163,18 +165,26 @@ def _compared(pairs: DataFrame, sets: DataFrame, percent: int, differences: bool
                     apart.append(np.concatenate((p[~same], np.setdiff1d(q, p, assume_unique=True))).view(np.int64))
             yield pd.DataFrame({"a": batch["a"], "b": batch["b"], "linked": linked, "d": apart or None})
 
+    pairs = stored(pairs.select("a", "b"))
     left = sets.select(F.col("id").alias("a"), F.col("elements").alias("x"))
-    right = sets.select(F.col("id").alias("b"), F.col("elements").alias("y"))
-    return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInPandas(check, "a long, b long, linked boolean, d array<long>")
+    right = sets.select(F.col("id").alias("b"), F.col("n"), F.col("elements").alias("y"))
+    if pairs.count() <= MAX_BROADCAST_PAIRS:
+        pairs = F.broadcast(pairs)
+        right = right.join(F.broadcast(pairs.select("b").distinct()), "b", "left_semi")
+        if (right.agg(F.sum("n")).first()[0] or 0) <= MAX_BROADCAST_HASHES:
+            right = F.broadcast(right)
+    return left.join(pairs, "a").join(right.drop("n"), "b").select("a", "b", "x", "y").mapInPandas(check, "a long, b long, linked boolean, d array<long>")
 
 
 def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return stored(_compared(pairs, sets, percent).where("linked").select("a", "b"))
 
 
-def _group(members: DataFrame, links: DataFrame) -> DataFrame:
-    groups = connected_components(links, "a", "b").withColumnRenamed("component", "_g")
-    return members.join(groups, members["id"] == groups["node"], "left").select(*members.columns, F.coalesce("_g", "id").alias("g"))
+def _group(members: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(members with their group g so far, links of the same components: one to the least node of each other node)."""
+    groups = stored(connected_components(links, "a", "b").withColumnRenamed("component", "_g"))
+    placed = members.join(groups, members["id"] == groups["node"], "left").select(*members.columns, F.coalesce("_g", "id").alias("g"))
+    return placed, groups.where("node <> _g").select(F.col("node").alias("a"), F.col("_g").alias("b"))
 
 
 def _open_pairs(placed: DataFrame, able) -> DataFrame:
@@ -201,13 +211,16 @@ def _bucket_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFram
     centers = members.groupBy("bucket").agg(F.min_by("id", F.struct("n", "id")).alias("center"))
     members = members.join(centers, "bucket")
     star = members.where("id <> center").select(F.col("id").alias("a"), F.col("center").alias("b")).distinct()
-    links = _linked(star, sets, percent)
-    placed = _group(members, links)
+    placed, links = _group(members, _linked(star, sets, percent))
     size = placed.groupBy("bucket").agg(F.count("*").alias("size"), F.min("g").alias("_g0"), F.max("g").alias("_g1")).where("_g0 < _g1").select("bucket", "size")
     placed = stored(placed.join(size, "bucket"))
+    if placed.isEmpty():
+        return links
     small = placed.where(F.col("size") <= SMALL).withColumn("d", F.lit(None).cast("array<bigint>"))
     links = links.union(_linked(_open_pairs(small, lambda x, y: F.lit(True)), sets, percent))
     large = placed.where(F.col("size") > SMALL)
+    if large.isEmpty():
+        return links
     smallest = placed.groupBy("g").agg(F.min_by("id", F.struct("n", "id")).alias("least"))
     where = large.where("id = center").select("bucket", "g").join(smallest, "g").select("bucket", F.col("g").alias("main"), "least")
     large = large.join(where, "bucket")
@@ -221,7 +234,7 @@ def _bucket_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFram
         more = _linked(rest.select(F.col("id").alias("a"), F.col("center").alias("b")).distinct(), sets, percent)
         links = links.union(more)
         rest = rest.join(more.select(F.col("a").alias("id"), F.col("b").alias("center")), ["id", "center"], "left_anti").select("bucket", "id", "far")
-    links = stored(links)
+    placed, links = _group(large.select("bucket", "id", "n", "d"), links)
     k = (100 + percent) / (100 - percent)
 
     def able(x, y):
@@ -229,7 +242,7 @@ def _bucket_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFram
         near = k * F.abs(F.size(x["d"]) - F.size(y["d"])) <= x["n"] + y["n"] + F.lit(1e-6)
         return near & (k * (apart - 2 * F.size(F.array_intersect(x["d"], y["d"]))) <= x["n"] + y["n"] + F.lit(1e-6))
 
-    return links.union(_open_pairs(stored(_group(large.select("bucket", "id", "n", "d"), links)), able))
+    return links.union(_open_pairs(stored(placed), able))
 
 
 def near_duplicate_links(docs: DataFrame, width: int = 5, percent: int = 80, text: str = "text", key: str = "doc_id") -> tuple[DataFrame, DataFrame]:
