@@ -77,6 +77,13 @@ def triangles(edges: DataFrame) -> DataFrame:
     return wedge.join(e.select(F.col("u").alias("y"), F.col("v").alias("z")), ["y", "z"]).select(F.col("u").alias("x"), "y", "z")
 
 
+def four_cliques(edges: DataFrame) -> DataFrame:
+    """(x, y, z, v): every clique of four once: two triangles on one edge whose far corners are linked."""
+    t, e = triangles(edges), oriented(edges)
+    pairs = t.select("x", "y", "z").join(t.select("x", "y", F.col("z").alias("v")), ["x", "y"])
+    return pairs.join(e.select(F.col("u").alias("z"), "v"), ["z", "v"]).select("x", "y", "z", "v")
+
+
 def local_clustering(edges: DataFrame) -> DataFrame:
     p = simple_pairs(edges)
     deg = p.select(F.col("a").alias("node")).union(p.select("b")).groupBy("node").agg(F.count("*").alias("k"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import chronoweave.plans.graph_queries  # noqa: F401
 from chronoweave.plans.queries import ORACLE_SQL, QUERIES
 
 FLAGSHIP = "a29_retrieval_metrics"
