@@ -36,7 +36,8 @@ def think_answer_format(text: Column) -> Column:
 
 
 def score(text: Column, key: str) -> Column:
-    return F.coalesce(F.regexp_extract(text, rf"(?i)\b{key}\b\W*([0-9]+)", 1).try_cast("double"), F.lit(0.0))
+    """The number after the last ``key``, in any case and with or without brackets; 0 without one."""
+    return F.coalesce(F.regexp_extract(text, rf"(?is).*\b{key}\b\W*([0-9]+)", 1).try_cast("double"), F.lit(0.0))
 
 
 # Instruction-following predicates
@@ -88,10 +89,6 @@ def highlights(text: Column) -> Column:
     return F.regexp_count(text, F.lit(r"\*(.*?)\*"))
 
 
-def capital_words(text: Column) -> Column:
-    return F.regexp_count(text, F.lit(r"\b[A-Z]+\b"))
-
-
 def has_title(text: Column) -> Column:
     return text.rlike(r"<<(.*?)>>")
 

@@ -17,7 +17,8 @@ def running_sums(df: DataFrame, key: str, *values: str) -> DataFrame:
     by itself and the totals of the ranges, few whatever the data, are added by a broadcast join.
     """
     span = df.agg(F.min(key).cast("double").alias("_lo"), (F.max(key) - F.min(key)).cast("double").alias("_span"))
-    part = F.coalesce(F.least(F.floor((F.col(key) - F.col("_lo")) / F.nullif("_span", F.lit(0.0)) * RANGES), F.lit(RANGES - 1)), F.lit(0))
+    place = F.floor((F.col(key) - F.col("_lo")) / F.nullif("_span", F.lit(0.0)) * RANGES)
+    part = F.least(F.coalesce(place, F.lit(0)), F.lit(RANGES - 1))
     cut = df.join(F.broadcast(span)).withColumn("_part", part.cast("int")).drop("_lo", "_span")
     totals = cut.groupBy("_part").agg(*[F.sum(v).alias(f"_t{i}") for i, v in enumerate(values)])
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
@@ -59,7 +60,7 @@ def histogram(df: DataFrame, value: str, bins: int, by: list[str] | None = None)
     """(by..., bin, n): equal-width bins over the value's own range, the last one closed on the right."""
     span = df.agg(F.min(value).cast("double").alias("_lo"), F.max(value).cast("double").alias("_hi"))
     place = F.floor((F.col(value) - F.col("_lo")) / F.nullif(F.col("_hi") - F.col("_lo"), F.lit(0.0)) * bins)
-    at = F.coalesce(F.least(place, F.lit(bins - 1)), F.lit(0)).cast("long")
+    at = F.least(F.coalesce(place, F.lit(0)), F.lit(bins - 1)).cast("long")
     return df.join(F.broadcast(span)).where(F.col(value).isNotNull()).groupBy(*(by or []), at.alias("bin")).agg(F.count("*").alias("n"))
 
 

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import chronoweave.plans.graph_queries  # noqa: F401
+import chronoweave.plans.report_queries  # noqa: F401
+import chronoweave.plans.text_queries  # noqa: F401
 from chronoweave.plans.queries import ORACLE_SQL, QUERIES
 
 FLAGSHIP = "a29_retrieval_metrics"
