@@ -201,23 +201,24 @@ def _open_pairs(placed: DataFrame, able) -> DataFrame:
 def _bucket_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links whose components are those of all links between members (bucket, id, n) of one bucket.
 
-    The members of a bucket are checked against its smallest set. In buckets that then still have several
+    The members of a bucket are checked against its smallest set; sets too large to link with it are left out unread. In buckets that then still have several
     groups, pairs of different groups are checked: from their sets in a bucket of ``SMALL`` members at most.
     In a larger one, members are first described by their difference d from one set, the smallest of the group
     of the bucket's smallest. Stars round the members with the least differences, ``STARS`` times, join most
     of what that set leaves apart; the pairs of different groups that remain are checked inside the join by
     |x ^ y| = |d_x| + |d_y| - 2 |d_x & d_y|, so that only links come out of it.
     """
-    centers = members.groupBy("bucket").agg(F.min_by("id", F.struct("n", "id")).alias("center"))
+    centers = members.groupBy("bucket").agg(F.min_by("id", F.struct("n", "id")).alias("center"), F.min("n").alias("least_n"))
     members = members.join(centers, "bucket")
-    star = members.where("id <> center").select(F.col("id").alias("a"), F.col("center").alias("b")).distinct()
+    star = members.where((F.col("id") != F.col("center")) & (100 * F.col("least_n") >= percent * F.col("n"))).select(F.col("id").alias("a"), F.col("center").alias("b")).distinct()
+    members = members.drop("least_n")
     placed, links = _group(members, _linked(star, sets, percent))
     size = placed.groupBy("bucket").agg(F.count("*").alias("size"), F.min("g").alias("_g0"), F.max("g").alias("_g1")).where("_g0 < _g1").select("bucket", "size")
     placed = stored(placed.join(size, "bucket"))
     if placed.isEmpty():
         return links
     small = placed.where(F.col("size") <= SMALL).withColumn("d", F.lit(None).cast("array<bigint>"))
-    links = links.union(_linked(_open_pairs(small, lambda x, y: F.lit(True)), sets, percent))
+    links = links.union(_linked(_open_pairs(small, lambda x, y: 100 * F.least(x["n"], y["n"]) >= percent * F.greatest(x["n"], y["n"])), sets, percent))
     large = placed.where(F.col("size") > SMALL)
     if large.isEmpty():
         return links
