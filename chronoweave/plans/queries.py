@@ -119,10 +119,10 @@ def _(spark, d):
     return social_edges(spark, d).groupBy("src").agg(F.array_join(F.transform(F.array_sort(F.collect_list("edge_id")), lambda x: x.cast("string")), ",").alias("edges"))
 
 
-@query("a47_time_shifts", f"WITH {_SOCIAL} SELECT avg(s) AS mean_shift, stddev_pop(s) AS std_shift FROM (SELECT t - lag(t, 1, 0) OVER (PARTITION BY src ORDER BY t, edge_id) AS s FROM social)")
+@query("a47_time_shifts", f"WITH {_SOCIAL} SELECT round(avg(s), 4) AS mean_shift, round(stddev_pop(s), 4) AS std_shift FROM (SELECT t - lag(t, 1, 0) OVER (PARTITION BY src ORDER BY t, edge_id) AS s FROM social)")
 def _(spark, d):
     s = social_edges(spark, d).select((F.col("t") - F.lag("t", 1, 0).over(Window.partitionBy("src").orderBy("t", "edge_id"))).alias("s"))
-    return s.agg(F.avg("s").alias("mean_shift"), F.stddev_pop("s").alias("std_shift"))
+    return s.agg(F.round(F.avg("s"), 4).alias("mean_shift"), F.round(F.stddev_pop("s"), 4).alias("std_shift"))
 
 
 @query("a48_last_message", f"WITH {_BOTH} SELECT node, arg_max(nbr, (t, edge_id)) AS nbr, max(t) AS t FROM both_ways GROUP BY node")
