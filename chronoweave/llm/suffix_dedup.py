@@ -1,19 +1,21 @@
 """Exact substring dedup over bytes: every byte covered by a ``length``-byte string that starts earlier goes.
 
-"Earlier" is a smaller doc_id, or the same document and a smaller start. The result is that of a suffix
-array with common prefixes of at least ``length`` bytes, but no suffixes are sorted; the README lists this as open.
+"Earlier" is a smaller doc_id, or the same document and a smaller start.
 
 1. Windows of ``length`` bytes pick the anchor of the least hash among their ``GRAM``-byte strings
    (leftmost on ties), so equal windows pick equal anchors at equal places. The windows that pick one
    anchor lie side by side; the bytes they cover are its context.
 2. Anchors with their context's 64-bit fingerprint meet by anchor hash. All but the first occurrence of a
-   context are repeated as a whole. Only first occurrences of different contexts round one anchor, which
-   stand at the ends of repeated passages, are compared window by window, from the bytes of the texts.
-3. The spans found go back to the documents by doc_id.
+   context are repeated as a whole, so that no text is sorted twice.
+3. First occurrences of different contexts round one anchor go to the shard of that anchor. Each shard sorts
+   the suffixes of its contexts by induction (``induced_sort``); neighbours with a common prefix of ``length``
+   bytes are equal windows, and all but the earliest of them go.
+4. The spans found go back to the documents by doc_id.
 
 Scale: about 1 anchor in 35 bytes is shuffled, packed with others of its partition; of several occurrences
 of a context in one batch only the first, so a passage that a third of all documents share does not heat one
-task. Groups are compared by sorting, never pair by pair. Nothing reaches the driver.
+task. A shard streams its contexts to a scratch file of the task; the queues of the sort spill beyond a bound.
+Nothing reaches the driver.
 
 Defined cases: null and empty texts have 0 bytes; rows that share a doc_id must have equal texts (they then
 get equal results; other ones are cut at the union of their spans); null doc_ids are left alone;
@@ -22,12 +24,16 @@ empty tables give no rows; other columns are ignored.
 
 from __future__ import annotations
 
+import tempfile
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chronoweave.llm.hashing import byte_values, mix, pieces, prefix_sums, slice_hashes, text_bytes
+from chronoweave.llm.induced_sort import equal_prefixes
 from chronoweave.session import small_batches, stored
 
 GRAM = 32
@@ -147,25 +153,32 @@ def repeated_spans(docs: DataFrame, length: int = 100, buckets: int | None = Non
     return source, stored(met)
 
 
-def window_ranks(contexts: list[bytes], h: np.ndarray, at: np.ndarray, doc: np.ndarray, lo: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """(context, start) of windows of which an equal one, round an equal anchor, starts earlier."""
-    sizes = np.array([len(x) for x in contexts])
-    buf = np.frombuffer(b"".join(contexts), dtype=np.uint8)
-    base = np.concatenate(([0], np.cumsum(sizes)))[:-1]
-    per = sizes - length + 1
-    owner = np.repeat(np.arange(len(contexts)), per)
-    offset = np.arange(len(owner)) - np.repeat(np.concatenate(([0], np.cumsum(per)))[:-1], per)
-    start = base[owner] + offset
-    w = slice_hashes(prefix_sums(buf, byte_values(37)), start, start + length)
-    rel = at[owner] - offset
-    order = np.lexsort((lo[owner] + offset, doc[owner], w, rel, h[owner]))
-    o, w, rel, g = owner[order], w[order], rel[order], h[owner][order]
-    new = np.ones(len(o), dtype=bool)
-    new[1:] = (w[1:] != w[:-1]) | (rel[1:] != rel[:-1]) | (g[1:] != g[:-1])
-    lead = np.flatnonzero(new)[np.cumsum(new) - 1]
-    place = (lo[owner] + offset)[order]
-    later = (doc[o] != doc[o[lead]]) | (place != place[lead])
-    return o[later], offset[order][later]
+def repeated_windows(text: np.ndarray, sizes: np.ndarray, doc: np.ndarray, lo: np.ndarray, length: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(doc, start) of windows of which an equal one starts earlier, by one induced sort of the contexts.
+
+    ``text`` holds the contexts as characters (byte plus 1, then 0); context k has ``sizes[k]`` bytes and starts at ``lo[k]`` of ``doc[k]``.
+    """
+    base = np.cumsum(sizes + 1) - sizes - 1
+    for pos, group in equal_prefixes(text, length):
+        owner = np.searchsorted(base, pos, side="right") - 1
+        d, at = doc[owner], lo[owner] + pos - base[owner]
+        order = np.lexsort((at, d, group))
+        d, at, group = d[order], at[order], group[order]
+        lead = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1])))
+        lead = np.repeat(lead, np.diff(np.append(lead, len(group))))
+        later = (d != d[lead]) | (at != at[lead])
+        yield d[later], at[later]
+
+
+def joined_runs(d: np.ndarray, at: np.ndarray, length: int) -> pd.DataFrame:
+    """(doc, lo, hi) of runs of neighbouring windows."""
+    order = np.lexsort((at, d))
+    d, at = d[order], at[order]
+    new = np.ones(len(d), dtype=bool)
+    new[1:] = (d[1:] != d[:-1]) | (at[1:] > at[:-1] + 1)
+    lead = np.flatnonzero(new)
+    last = np.append(lead[1:], len(d)) - 1 if len(d) else lead
+    return pd.DataFrame({"doc": d[lead], "lo": at[lead], "hi": at[last] + length})
 
 
 def cut_spans(size: int, spans: np.ndarray) -> list[tuple[int, int]]:
@@ -187,33 +200,40 @@ def removed_spans(docs: DataFrame, length: int = 100) -> DataFrame:
 
     def contexts(batches):
         for batch in batches:
-            out = {k: [] for k in ("doc", "lo", "at", "h", "context")}
+            out = {k: [] for k in ("doc", "lo", "h", "context")}
             for d, t, r in zip(batch["doc_id"], batch["text"], batch["r"]):
                 raw = text_bytes(t)
                 for x in r:
                     if x["at"] >= 0 and len(raw) >= x["lo"] + x["n"]:
                         out["doc"].append(d)
                         out["lo"].append(x["lo"])
-                        out["at"].append(x["at"])
                         out["h"].append(x["h"])
                         out["context"].append(raw[x["lo"] : x["lo"] + x["n"]])
             yield pd.DataFrame(out)
 
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) * 4
-    context = asked.mapInPandas(contexts, "doc long, lo long, at long, h long, context binary")
-
-    def compare(key, g):
-        o, offset = window_ranks(list(g["context"]), g["h"].to_numpy(), g["at"].to_numpy(), g["doc"].to_numpy(), g["lo"].to_numpy(), length)
-        at = g["lo"].to_numpy()[o] + offset
-        order = np.lexsort((at, g["doc"].to_numpy()[o]))
-        d, at = g["doc"].to_numpy()[o][order], at[order]
-        new = np.ones(len(d), dtype=bool)
-        new[1:] = (d[1:] != d[:-1]) | (at[1:] > at[:-1] + 1)
-        lead = np.flatnonzero(new)
-        last = np.concatenate((lead[1:], [len(d)])) - 1 if len(d) else lead
-        return pd.DataFrame({"doc": d[lead], "lo": at[lead], "hi": at[last] + length})
-
-    edges = context.groupBy(F.pmod(F.xxhash64("h"), F.lit(n)).alias("b")).applyInPandas(compare, "doc long, lo long, hi long")
+    context = asked.mapInPandas(contexts, "doc long, lo long, h long, context binary")
+
+    def compare(batches):
+        """Repeated windows among the contexts of a shard, joined to spans."""
+        doc, lo, sizes = [], [], []
+        with tempfile.TemporaryFile() as file:
+            for batch in batches:
+                if len(batch):
+                    doc.append(batch["doc"].to_numpy())
+                    lo.append(batch["lo"].to_numpy())
+                    sizes.append(batch["context"].map(len).to_numpy())
+                    for x in batch["context"]:
+                        file.write(np.append(np.frombuffer(x, dtype=np.uint8).astype(np.uint16) + 1, 0).astype(np.uint16).tobytes())
+            if not doc:
+                return
+            file.seek(0)
+            text = np.fromfile(file, dtype=np.uint16)
+        found = list(repeated_windows(text, *map(np.concatenate, (sizes, doc, lo)), length))
+        if found:  # neighbouring windows start with different bytes, so runs show only over all of them
+            yield joined_runs(*map(np.concatenate, zip(*found)), length)
+
+    edges = context.repartition(n, "h").mapInPandas(compare, "doc long, lo long, hi long")
     edges = edges.groupBy("doc").agg(F.collect_list(F.struct("lo", "hi")).alias("edges"))
     whole = met.select("doc", F.transform(F.filter("r", lambda x: x["at"] < 0), lambda x: F.struct(x["lo"].alias("lo"), (x["lo"] + x["n"]).alias("hi"))).alias("whole"))
     spans = whole.join(edges, "doc", "left")

@@ -12,7 +12,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from chronoweave.llm import chat, decontam, html_extract, langid, line_dedup, media, minhash, packing, suffix_dedup, toxicity
+from chronoweave.llm import chat, decontam, html_extract, induced_sort, langid, line_dedup, media, minhash, packing, suffix_dedup, toxicity
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -172,6 +172,27 @@ def test_substring_dedup(spark):
     assert len(got) == len(texts) + 2 and {tuple(r) for r in got if r.doc_id == 3} == {(3, *want[3])}
 
 
+@pytest.mark.parametrize("dense", [0, 400, 10**9])
+def test_induced_sort(monkeypatch, dense):
+    """Groups of suffixes with a common prefix equal brute force, for queues in memory and on disk, at each way of inducing."""
+    monkeypatch.setattr(induced_sort, "_DENSE", dense)
+    for seed in range(60):
+        rnd = random.Random(seed)
+        k, length = rnd.choice([1, 2, 3, 26, 256]), rnd.choice([1, 2, 5, 20])
+        base = bytes(rnd.randrange(k) for _ in range(rnd.randrange(1, 60)))
+        strings = [bytes(rnd.randrange(k) for _ in range(rnd.randrange(1, 40))) + base[rnd.randrange(len(base)) :] * rnd.randrange(2) for _ in range(rnd.randrange(1, 12))]
+        windows, at, text = {}, 0, []
+        for s in strings:
+            for i in range(len(s) - length + 1):
+                windows.setdefault(s[i : i + length], []).append(at + i)
+            at += len(s) + 1
+            text += [b + 1 for b in s] + [0]
+        got = []
+        for pos, group in induced_sort.equal_prefixes(np.array(text, dtype=np.uint16), length, limit=rnd.choice([50, 1 << 20])):
+            got += [sorted(pos[group == g].tolist()) for g in np.unique(group)]
+        assert sorted(got) == sorted(x for x in windows.values() if len(x) > 1)
+
+
 # --- language ----------------------------------------------------------------------------------------------------
 
 
