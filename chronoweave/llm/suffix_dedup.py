@@ -7,7 +7,8 @@
    anchor lie side by side; the bytes they cover are its context.
 2. Anchors with their context's 64-bit fingerprint meet by anchor hash. All but the first occurrence of a
    context are repeated as a whole, so that no text is sorted twice.
-3. First occurrences of different contexts round one anchor go to the shard of that anchor. Each shard sorts
+3. First occurrences of different contexts round one anchor, as far as the bytes before or after it are shared
+   with another of them, go to the shard of that anchor. Each shard sorts
    the suffixes of its contexts by induction (``induced_sort``); neighbours with a common prefix of ``length``
    bytes are equal windows, and all but the earliest of them go.
 4. The spans found go back to the documents by doc_id.
@@ -40,7 +41,7 @@ GRAM = 32
 #: In place of an anchor's offset: a span that its own batch has found to be repeated.
 _DONE = 65535
 _U = np.uint64
-_ENTRY = np.dtype([("h", "<u8"), ("c", "<u8"), ("doc", "<i8"), ("lo", "<i8"), ("at", "<u2"), ("n", "<u2")])
+_ENTRY = np.dtype([("h", "<u8"), ("c", "<u8"), ("doc", "<i8"), ("lo", "<i8"), ("at", "<u2"), ("n", "<u2"), ("left", "<u4"), ("right", "<u4")])
 
 
 def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
@@ -53,12 +54,24 @@ def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     return x
 
 
+def half(length: int) -> int:
+    """A window has its anchor and at least so many bytes before or after it."""
+    return (length - GRAM + 1) // 2
+
+
+def _half_hash(sums: np.ndarray, start: np.ndarray, end: np.ndarray, whole: np.ndarray) -> np.ndarray:
+    return np.where(whole, slice_hashes(sums, start, end) >> _U(32) | _U(1), _U(0))
+
+
 def anchors(texts: list[bytes], length: int) -> tuple[np.ndarray, ...]:
-    """(text, lo, at, n, h, c) of every anchor: context [lo, lo + n) in its text, the anchor ``at`` bytes into it."""
+    """(text, lo, at, n, h, c, left, right) of every anchor: context [lo, lo + n) in its text, the anchor ``at`` bytes into it.
+
+    ``left`` and ``right`` hash the ``half`` bytes before and after the anchor, 0 where the context has fewer.
+    """
     buf = np.frombuffer(b"".join(texts), dtype=np.uint8)
     ends = np.cumsum([len(t) for t in texts])
     if len(buf) < length:
-        return tuple(np.zeros(0, dtype=np.int64) for _ in range(6))
+        return tuple(np.zeros(0, dtype=np.int64) for _ in range(8))
     sums = prefix_sums(buf, byte_values(11))
     start = np.arange(len(buf) - GRAM + 1)
     h = slice_hashes(sums, start, start + GRAM)
@@ -70,14 +83,17 @@ def anchors(texts: list[bytes], length: int) -> tuple[np.ndarray, ...]:
     inside = first + length <= ends[np.minimum(text, len(ends) - 1)]
     first, pick, text = first[inside], pick[inside], text[inside]
     if not len(first):
-        return tuple(np.zeros(0, dtype=np.int64) for _ in range(6))
+        return tuple(np.zeros(0, dtype=np.int64) for _ in range(8))
     new = np.ones(len(first), dtype=bool)
     new[1:] = (pick[1:] != pick[:-1]) | (first[1:] != first[:-1] + 1)
     lead = np.flatnonzero(new)
     last = np.concatenate((lead[1:], [len(first)])) - 1
     lo, hi, at, text = first[lead], first[last] + length, pick[lead], text[lead]
     c = mix(slice_hashes(prefix_sums(buf, byte_values(23)), lo, hi) ^ ((at - lo).astype(_U) << _U(32)))
-    return text, lo - np.concatenate(([0], ends))[text], at - lo, hi - lo, h[at], c
+    end, width = at + GRAM, half(length)
+    left = _half_hash(sums, np.maximum(at - width, 0), at, at - lo >= width)
+    right = _half_hash(sums, end, np.minimum(end + width, len(buf)), hi - end >= width)
+    return text, lo - np.concatenate(([0], ends))[text], at - lo, hi - lo, h[at], c, left, right
 
 
 def _first_of(e: np.ndarray) -> np.ndarray:
@@ -88,10 +104,38 @@ def _first_of(e: np.ndarray) -> np.ndarray:
     return new, e
 
 
+def _shared(e: np.ndarray, side: str) -> np.ndarray:
+    """Of which entries another one with the same anchor has the same bytes on that side of it."""
+    order = np.lexsort((e[side], e["h"]))
+    h, x = e["h"][order], e[side][order]
+    equal = (h[1:] == h[:-1]) & (x[1:] == x[:-1]) & (x[1:] > 0)
+    out = np.zeros(len(e), dtype=bool)
+    out[order[1:][equal]] = True
+    out[order[:-1][equal]] = True
+    return out
+
+
+def _comparable(head: np.ndarray, length: int) -> np.ndarray:
+    """Contexts that can share a window with another one, cut to the windows that can be shared.
+
+    Equal windows have the same bytes in the half before or the half after the anchor, whichever is whole in them.
+    """
+    left, right = _shared(head, "left"), _shared(head, "right")
+    e = head[left | right].copy()
+    left, right = left[left | right], right[left | right]
+    at, n = e["at"].astype(np.int64), e["n"].astype(np.int64)
+    n = np.where(right, n, np.minimum(n, at + length - half(length)))
+    cut = np.where(left, 0, np.maximum(at - (length - GRAM - half(length)), 0))
+    e["lo"] += cut
+    e["at"], e["n"] = at - cut, n - cut
+    return e
+
+
 def _entries(ids, texts: list[bytes], length: int) -> np.ndarray:
-    text, lo, at, n, h, c = anchors(texts, length)
+    text, lo, at, n, h, c, left, right = anchors(texts, length)
     e = np.empty(len(text), dtype=_ENTRY)
     e["h"], e["c"], e["doc"], e["lo"], e["at"], e["n"] = h, c, np.asarray(ids, dtype=np.int64)[text] if len(text) else 0, lo, at, n
+    e["left"], e["right"] = left, right
     return e
 
 
@@ -133,11 +177,7 @@ def repeated_spans(docs: DataFrame, length: int = 100, buckets: int | None = Non
         lead = np.flatnonzero(new)[np.cumsum(new) - 1]
         again = ~new & ((e["doc"] != e["doc"][lead]) | (e["lo"] != e["lo"][lead]))
         head, gone = e[new], np.concatenate((e[again], done))
-        same = np.zeros(len(head), dtype=bool)
-        eq = head["h"][1:] == head["h"][:-1]
-        same[1:] |= eq
-        same[:-1] |= eq
-        ask = head[same]
+        ask = _comparable(head, length)
         return pd.DataFrame(
             {
                 "doc": np.concatenate((gone["doc"], ask["doc"])),
