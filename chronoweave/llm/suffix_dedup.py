@@ -40,6 +40,7 @@ from chronoweave.session import small_batches, stored
 GRAM = 32
 #: In place of an anchor's offset: a span that its own batch has found to be repeated.
 _DONE = 65535
+SPANS = ("whole_lo", "whole_hi", "edge_lo", "edge_hi")
 _U = np.uint64
 _ENTRY = np.dtype([("h", "<u8"), ("c", "<u8"), ("doc", "<i8"), ("lo", "<i8"), ("at", "<u2"), ("n", "<u2"), ("left", "<u4"), ("right", "<u4")])
 
@@ -193,6 +194,18 @@ def repeated_spans(docs: DataFrame, length: int = 100, buckets: int | None = Non
     return source, stored(met)
 
 
+def _characters(contexts, sizes: np.ndarray) -> np.ndarray:
+    """Bytes plus 1, with 0 after each context."""
+    out = np.zeros(int(sizes.sum()) + len(sizes), dtype=np.uint16)
+    out[np.arange(int(sizes.sum())) + np.repeat(np.arange(len(sizes)), sizes)] = np.frombuffer(b"".join(contexts), dtype=np.uint8).astype(np.uint16) + 1
+    return out
+
+
+def _columns(array: str, *fields: str) -> list:
+    """One array per field of an array of structs: plain numbers reach Python as whole arrays."""
+    return [F.col(f"{array}.{f}").alias(f) for f in fields]
+
+
 def repeated_windows(text: np.ndarray, sizes: np.ndarray, doc: np.ndarray, lo: np.ndarray, length: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(doc, start) of windows of which an equal one starts earlier, by one induced sort of the contexts.
 
@@ -234,21 +247,23 @@ def cut_spans(size: int, spans: np.ndarray) -> list[tuple[int, int]]:
 
 
 def removed_spans(docs: DataFrame, length: int = 100) -> DataFrame:
-    """(doc_id, text, whole, edges): each row with the byte spans [lo, hi) to remove, in two unordered lists."""
+    """(doc_id, text, ``SPANS``): each row with the byte spans [lo, hi) to remove, in two unordered lists."""
     source, met = repeated_spans(docs, length)
-    asked = source.join(met.where(F.exists("r", lambda x: x["at"] >= 0)), source["doc_id"] == met["doc"]).select("doc_id", "text", "r")
+    ask = met.select("doc", F.filter("r", lambda x: x["at"] >= 0).alias("r")).where(F.size("r") > 0)
+    ask = ask.select("doc", *_columns("r", "lo", "n", "h"))
+    asked = source.join(ask, source["doc_id"] == ask["doc"]).select("doc_id", "text", "lo", "n", "h")
 
     def contexts(batches):
         for batch in batches:
             out = {k: [] for k in ("doc", "lo", "h", "context")}
-            for d, t, r in zip(batch["doc_id"], batch["text"], batch["r"]):
+            for d, t, *r in zip(*(batch[c] for c in ("doc_id", "text", "lo", "n", "h"))):
                 raw = text_bytes(t)
-                for x in r:
-                    if x["at"] >= 0 and len(raw) >= x["lo"] + x["n"]:
+                for lo, n, h in zip(*(x.tolist() for x in r)):
+                    if len(raw) >= lo + n:
                         out["doc"].append(d)
-                        out["lo"].append(x["lo"])
-                        out["h"].append(x["h"])
-                        out["context"].append(raw[x["lo"] : x["lo"] + x["n"]])
+                        out["lo"].append(lo)
+                        out["h"].append(h)
+                        out["context"].append(raw[lo : lo + n])
             yield pd.DataFrame(out)
 
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) * 4
@@ -263,8 +278,7 @@ def removed_spans(docs: DataFrame, length: int = 100) -> DataFrame:
                     doc.append(batch["doc"].to_numpy())
                     lo.append(batch["lo"].to_numpy())
                     sizes.append(batch["context"].map(len).to_numpy())
-                    for x in batch["context"]:
-                        file.write(np.append(np.frombuffer(x, dtype=np.uint8).astype(np.uint16) + 1, 0).astype(np.uint16).tobytes())
+                    file.write(_characters(batch["context"], sizes[-1]).tobytes())
             if not doc:
                 return
             file.seek(0)
@@ -274,15 +288,16 @@ def removed_spans(docs: DataFrame, length: int = 100) -> DataFrame:
             yield joined_runs(*map(np.concatenate, zip(*found)), length)
 
     edges = context.repartition(n, "h").mapInPandas(compare, "doc long, lo long, hi long")
-    edges = edges.groupBy("doc").agg(F.collect_list(F.struct("lo", "hi")).alias("edges"))
-    whole = met.select("doc", F.transform(F.filter("r", lambda x: x["at"] < 0), lambda x: F.struct(x["lo"].alias("lo"), (x["lo"] + x["n"]).alias("hi"))).alias("whole"))
+    edges = edges.groupBy("doc").agg(F.collect_list(F.struct("lo", "hi")).alias("e")).select("doc", F.col("e.lo").alias("edge_lo"), F.col("e.hi").alias("edge_hi"))
+    whole = met.select("doc", F.filter("r", lambda x: x["at"] < 0).alias("w"))
+    whole = whole.select("doc", F.col("w.lo").alias("whole_lo"), F.transform("w", lambda x: x["lo"] + x["n"]).alias("whole_hi"))
     spans = whole.join(edges, "doc", "left")
-    nothing = docs.where("doc_id is null").select("doc_id", "text", *[F.lit(None).cast("array<struct<lo:bigint,hi:bigint>>").alias(c) for c in ("whole", "edges")])
-    return source.join(spans, source["doc_id"] == spans["doc"], "left").select("doc_id", "text", "whole", "edges").union(nothing)
+    nothing = docs.where("doc_id is null").select("doc_id", "text", *[F.lit(None).cast("array<bigint>").alias(c) for c in SPANS])
+    return source.join(spans, source["doc_id"] == spans["doc"], "left").select("doc_id", "text", *SPANS).union(nothing)
 
 
-def _spans_of(size: int, whole, edges) -> list[tuple[int, int]]:
-    parts = [np.array([(x["lo"], x["hi"]) for x in s], dtype=np.int64).reshape(-1, 2) for s in (whole, edges) if s is not None and len(s)]
+def _spans_of(size: int, whole_lo, whole_hi, edge_lo, edge_hi) -> list[tuple[int, int]]:
+    parts = [np.stack(x, axis=1).astype(np.int64) for x in ((whole_lo, whole_hi), (edge_lo, edge_hi)) if x[0] is not None and len(x[0])]
     return cut_spans(size, np.concatenate(parts)) if parts else []
 
 
@@ -292,9 +307,9 @@ def remove_repeats(docs: DataFrame, length: int = 100) -> DataFrame:
     def cut(batches):
         for batch in batches:
             rows = []
-            for d, t, whole, edges in zip(*(batch[c] for c in ("doc_id", "text", "whole", "edges"))):
+            for d, t, *lists in zip(*(batch[c] for c in ("doc_id", "text", *SPANS))):
                 raw = text_bytes(t)
-                spans = _spans_of(len(raw), whole, edges)
+                spans = _spans_of(len(raw), *lists)
                 at, kept = 0, []
                 for a, b in spans:
                     kept.append(raw[at:a])
