@@ -425,6 +425,17 @@ def test_lines(spark, monkeypatch):
     assert report[2] == (5, 2, sha("body 2\n\nbody 2")) and report[90] == (0, 0, sha("")) and report[91] == (1, 0, sha(""))
 
 
+def test_copies_are_not_boilerplate(spark):
+    rnd = random.Random(6)
+    copy = "\n".join(prose(rnd, 12) for _ in range(4))
+    texts = [f"Top of site\n{prose(rnd, 30, 9000)}" for _ in range(190)] + [f"Top of site\n{copy}"] * 10
+    kept = line_dedup.drop_boilerplate_lines(frame(spark, texts))
+    got = {r.doc_id: r.text for r in kept.collect()}
+    assert all(got[i] == (copy if i >= 190 else texts[i].split("\n")[1]) for i in range(200))
+    left = [r.text for r in minhash.drop_near_duplicates(kept).collect()]
+    assert left.count(copy) == 1 and len(left) == 191
+
+
 # --- media -------------------------------------------------------------------------------------------------------
 
 
