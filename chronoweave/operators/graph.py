@@ -84,6 +84,19 @@ def four_cliques(edges: DataFrame) -> DataFrame:
     return pairs.join(e.select(F.col("u").alias("z"), "v"), ["z", "v"]).select("x", "y", "z", "v")
 
 
+def four_cliques_by_node(edges: DataFrame) -> DataFrame:
+    """(node, cliques): the cliques of four that a node is part of, 0 for nodes of none."""
+    nodes = edges.select(F.col("src").alias("node")).union(edges.select("dst")).where("node is not null").distinct()
+    k = four_cliques(edges).select(F.explode(F.array("x", "y", "z", "v")).alias("node")).groupBy("node").agg(F.count("*").alias("cliques"))
+    return nodes.join(k, "node", "left").select("node", F.coalesce("cliques", F.lit(0)).alias("cliques"))
+
+
+def two_hop(edges: DataFrame) -> DataFrame:
+    """(src, dst): the distinct destinations of edges that start at a neighbour (either way) of src, src itself among them."""
+    near = both_ways(edges).select(F.col("node").alias("src"), F.col("nbr").alias("via")).distinct()
+    return near.join(edges.select(F.col("src").alias("via"), "dst").distinct(), "via").select("src", "dst").distinct()
+
+
 def local_clustering(edges: DataFrame) -> DataFrame:
     p = simple_pairs(edges)
     deg = p.select(F.col("a").alias("node")).union(p.select("b")).groupBy("node").agg(F.count("*").alias("k"))

@@ -224,6 +224,11 @@ def _(spark, d):
     return e.select("src", F.col("dst").alias("via")).join(e.select(F.col("src").alias("via"), "dst"), "via").where("src <> dst").select("src", "dst").distinct()
 
 
+@query("j14_two_hop_all")
+def _(spark, d):
+    return graph.two_hop(social_edges(spark, d))
+
+
 @query("j15_gathered_features", f"WITH {_SOCIAL} SELECT edge_id, round(list_sum(list_transform(list_zip(x.embedding, y.embedding), lambda p: CAST(p[1] AS DOUBLE) * CAST(p[2] AS DOUBLE))), 5) AS dot, len(x.embedding) + len(y.embedding) AS width FROM social JOIN embeddings x ON x.vec_id = src JOIN embeddings y ON y.vec_id = dst")
 def _(spark, d):
     v = table(spark, d, "embeddings")
@@ -324,6 +329,11 @@ def _(spark, d):
     return graph.four_cliques(_win(spark, d).where("w < 3")).agg(F.count("*").alias("cliques"))
 
 
+@query("gr29_four_cliques_by_node")
+def _(spark, d):
+    return graph.four_cliques_by_node(social_edges(spark, d))
+
+
 @query("gr43_edgebank_progressive", f"WITH {_WIN}, f AS (SELECT src, dst, min(w) AS first FROM win GROUP BY ALL) SELECT edge_id, CASE WHEN first < w THEN 1.0 ELSE 0.0 END AS score FROM win JOIN f USING (src, dst) WHERE w >= 22")
 def _(spark, d):
     e = _win(spark, d)

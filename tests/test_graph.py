@@ -1,5 +1,8 @@
 """Hand-computed fixtures of the graph and text operators, and some queries against DuckDB."""
 
+import itertools
+import random
+
 import duckdb
 import pytest
 from pyspark.sql import functions as F
@@ -8,6 +11,7 @@ from chronoweave import registry
 from chronoweave.functions import text as tx
 from chronoweave.operators import graph
 from chronoweave.operators.components import connected_components
+from chronoweave.plans import graph_queries, queries
 
 SF = "/root/testdata/sf0.001"
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
@@ -26,6 +30,31 @@ def test_motifs(spark):
     assert (star.wedges, star.claws, star.max_degree) == (6, 4, 4)
 
 
+def some_edges(spark, monkeypatch, days=30):
+    """Random edges over ``days`` days, and the two plan modules reading them in place of the tables."""
+    rnd = random.Random(3)
+    rows = [(rnd.randrange(14), rnd.randrange(14), rnd.randrange(days) * 86400) for _ in range(90)] + [(20, 21, 29 * 86400)]
+    rows = [r for r in rows if r[0] != r[1]]
+    for module in (queries, graph_queries):
+        monkeypatch.setattr(module, "social_edges", lambda spark, d: edges(spark, rows))
+    return rows
+
+
+def test_two_hop_and_four_cliques_of_all_edges(spark, monkeypatch):
+    rows = some_edges(spark, monkeypatch)
+    pairs, links = {r[:2] for r in rows}, {frozenset(r[:2]) for r in rows}
+    nodes = sorted({x for p in pairs for x in p})
+    near = {a: {b for b in nodes if frozenset((a, b)) in links} for a in nodes}
+    got = [tuple(r) for r in registry.QUERIES["j14_two_hop_all"](spark, "").select("src", "dst").collect()]
+    assert sorted(got) == sorted({(a, d) for a in nodes for b in near[a] for c, d in pairs if b == c})
+    want = dict.fromkeys(nodes, 0)
+    for four in itertools.combinations(nodes, 4):
+        if all(frozenset(p) in links for p in itertools.combinations(four, 2)):
+            want |= {x: want[x] + 1 for x in four}
+    got = registry.QUERIES["gr29_four_cliques_by_node"](spark, "").collect()
+    assert len(got) == len(want) and {r.node: r.cliques for r in got} == want and sum(want.values()) > 0
+
+
 def test_windows_and_degrees(spark):
     e = edges(spark, [(1, 2, 0), (1, 2, 5), (1, 3, 9), (1, 2, 55)])
     got = {r.w: (r.degree, r.unique_degree) for r in graph.window_degrees(e, 10).collect()}
