@@ -40,3 +40,18 @@ def merged(lists: list[DataFrame], k: int) -> DataFrame:
     u = reduce(DataFrame.union, tagged).groupBy("src", "dst").agg(F.min("kind").alias("kind"), F.max("sim").alias("sim"))
     r = F.row_number().over(Window.partitionBy("src").orderBy("kind", F.desc("sim"), "dst"))
     return u.withColumn("rank", r).where(F.col("rank") <= k).select("src", "dst", "rank")
+
+
+def ordered_dedup(events: DataFrame, order: str) -> DataFrame:
+    """(src, candidates): each src's distinct dst by first occurrence in ``order``, all of them."""
+    h = events.groupBy("src", "dst").agg(F.min(order).alias("_e"))
+    return h.groupBy("src").agg(F.transform(F.array_sort(F.collect_list(F.struct("_e", "dst"))), lambda x: x["dst"]).alias("candidates"))
+
+
+def candidate_overlap(past: DataFrame, truth: DataFrame, order: str) -> DataFrame:
+    """(src, candidates, n_truth, overlap): ordered candidates cut at src's number of distinct true dst, and how many of them are true."""
+    t = truth.groupBy("src").agg(F.collect_set("dst").alias("_t"))
+    both = ordered_dedup(past, order).join(t, "src", "full_outer")
+    none = F.slice(F.coalesce("candidates", "_t"), 1, 0)
+    both = both.select("src", F.coalesce("candidates", none).alias("candidates"), F.coalesce("_t", none).alias("_t"))
+    return both.withColumn("candidates", F.slice("candidates", F.lit(1), F.size("_t"))).select("src", "candidates", F.size("_t").cast("long").alias("n_truth"), F.size(F.array_intersect("candidates", "_t")).cast("long").alias("overlap"))

@@ -7,7 +7,7 @@ from pyspark.sql.window import Window
 
 from chronoweave.functions import text as tx
 from chronoweave.functions import vectors as vec
-from chronoweave.operators import graph, reports
+from chronoweave.operators import graph, reports, retrieval
 from chronoweave.operators.components import connected_components
 from chronoweave.session import table
 from chronoweave.sources.tables import DAY, report_rows, social_edges, trade_edges
@@ -352,6 +352,21 @@ def _(spark, d):
     return h.groupBy("src").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r", "dst"))), lambda x: x["dst"].cast("string")), ",").alias("candidates"))
 
 
+def _listed():
+    return F.array_join(F.transform("candidates", lambda x: x.cast("string")), ",").alias("candidates")
+
+
+@query("l6_ordered_dedup_all")
+def _(spark, d):
+    return retrieval.ordered_dedup(social_edges(spark, d), "edge_id").select("src", _listed())
+
+
+@query("s2_candidate_overlap")
+def _(spark, d):
+    e = graph.windowed(social_edges(spark, d), DAY)
+    return retrieval.candidate_overlap(e.where("w < 22"), e.where("w >= 22"), "edge_id").select("src", _listed(), "n_truth", "overlap")
+
+
 @query(
     "a29_retrieval_metrics",
     f"""WITH {_WIN}, h AS (SELECT src, dst, row_number() OVER (PARTITION BY src ORDER BY count(*) DESC, dst) AS r FROM win WHERE w < 22 GROUP BY src, dst), gt AS (SELECT DISTINCT src, dst FROM win WHERE w >= 22),

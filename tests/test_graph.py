@@ -55,6 +55,24 @@ def test_two_hop_and_four_cliques_of_all_edges(spark, monkeypatch):
     assert len(got) == len(want) and {r.node: r.cliques for r in got} == want and sum(want.values()) > 0
 
 
+def test_ordered_dedup_and_overlap(spark, monkeypatch):
+    rows = some_edges(spark, monkeypatch) + [(30, x, x * 1000) for x in range(40, 70)]
+    monkeypatch.setattr(queries, "social_edges", lambda spark, d: edges(spark, rows))
+    first = lambda src, some: list(dict.fromkeys(r[1] for r in some if r[0] == src))
+    listed = lambda x: ",".join(map(str, x))
+    got = {r.src: r.candidates for r in registry.QUERIES["l6_ordered_dedup_all"](spark, "").collect()}
+    assert got == {s: listed(first(s, rows)) for s in {r[0] for r in rows}} and len(got[30].split(",")) == 30
+    days = sorted({r[2] // 86400 for r in rows})
+    past, later = ([r for r in rows if (days.index(r[2] // 86400) >= 22) == late] for late in (False, True))
+    got = {r.src: tuple(r)[1:] for r in registry.QUERIES["s2_candidate_overlap"](spark, "").collect()}
+    want = {}
+    for s in {r[0] for r in rows}:
+        truth = set(first(s, later))
+        cut = first(s, past)[: len(truth)]
+        want[s] = (listed(cut), len(truth), len(truth & set(cut)))
+    assert got == want and any(x[2] for x in want.values()) and want[20] == ("", 1, 0) and want[30] == ("", 0, 0)
+
+
 def test_windows_and_degrees(spark):
     e = edges(spark, [(1, 2, 0), (1, 2, 5), (1, 3, 9), (1, 2, 55)])
     got = {r.w: (r.degree, r.unique_degree) for r in graph.window_degrees(e, 10).collect()}
