@@ -41,7 +41,7 @@ STAGES = [
     ("packing", pack),
 ]
 
-#: SQL can express neither the learned grammar nor the bucket programme; tests hold run() against brute force.
+#: SQL can express neither the learned grammar nor the bucket programme; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 

@@ -106,6 +106,22 @@ def test_pagerank_sums_to_one(spark):
     assert abs(r - 1) < 1e-9
 
 
+def test_pagerank_converges(spark):
+    rows = [(i, i + 1) for i in range(40)] + [(41, 42), (42, 41), (42, 43), (43, 41), (50, 41), (50, 0), (50, 0)]
+    got = {r.node: r.rank for r in graph.pagerank(edges(spark, rows)).collect()}
+    links = set(rows)
+    nodes = sorted({x for r in rows for x in r})
+    out = {x: [b for a, b in links if a == x] for x in nodes}
+    want = dict.fromkeys(nodes, 1 / len(nodes))
+    for _ in range(400):
+        lost = sum(want[x] for x in nodes if not out[x]) / len(nodes)
+        new = {x: 0.15 / len(nodes) + 0.85 * lost for x in nodes}
+        for a, b in links:
+            new[b] += 0.85 * want[a] / len(out[a])
+        want = new
+    assert sum(abs(got[x] - want[x]) for x in nodes) < 1e-5 and len(got) == len(nodes)
+
+
 def test_text(spark):
     one = spark.createDataFrame([("<a>1</a><b>2</><a>3</a>", "x.y.z", "GF: 7 gf: [8]")], "x string, y string, z string")
     r = one.select(tx.tags(F.col("x")).alias("m"), tx.to_last_period(F.col("y"), 4).alias("p"), tx.after_last_think(F.lit("a</think>\n\nb")).alias("t")).first()
