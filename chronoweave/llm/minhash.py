@@ -2,14 +2,17 @@
 
 1. Each document's set of word shingles is hashed to 64 bits and sketched by SuperMinHash.
 2. Documents with one and the same set collapse to the smallest doc_id.
-3. The others meet in band buckets. Every member of a bucket is checked against the bucket's smallest set
-   (a star, not all pairs); where a bucket is then not yet one group, further stars and at last the pairs of
-   different groups are checked (see ``_bucket_links``), exactly and without a cap.
-4. Checks compare full shingle sets; verified links and collapsed copies go to connected components.
-
-Scale: signatures, not texts, meet in buckets; a group of any number of copies is one aggregate row each.
-Texts of documents that have a candidate are read again and their sets stored once. Nothing but counts
-reaches the driver. Pairs at the threshold miss all 32 bands of 4 with probability 5e-8.
+3. The others meet in band buckets. Every member of a bucket meets the bucket's smallest set, its centre, once
+   (a star, not all pairs), and full sets are compared. What differs from the centre is kept: two documents of
+   one centre are compared exactly by |x ^ y| = |dx| + |dy| - 2 |dx & dy|, without their sets.
+4. Where the members of a centre are then not yet one group, further stars and at last the pairs of different
+   groups are compared so (see ``_inner_links``), without a cap.
+5. Verified links and collapsed copies go to connected components.
+
+Scale: signatures, not texts, meet in buckets; a group of any number of copies is one aggregate row each. Texts
+of documents that have a candidate are read again once, and their sets are shuffled once, to their centres, in
+parts of bounded size. Nothing but counts reaches the driver. Pairs at the threshold miss all 32 bands of 4 with
+probability 5e-8.
 
 Defined cases: null, empty and white-space texts have no shingles and no links; a null doc_id links with
 nothing and is its own (null) component; rows that share a doc_id are one document whose links are the
@@ -28,12 +31,12 @@ from chronoweave.operators.components import connected_components
 from chronoweave.session import small_batches, stored
 
 SLOTS, ROWS = 128, 4
-#: Up to so many ids (16 MB) the documents to verify are picked by a broadcast, beyond by a shuffled join.
+#: Up to so many documents with a candidate (some 100 MB), their centres go to the texts by a broadcast, beyond by a shuffled join.
 MAX_BROADCAST_IDS = 1_000_000
-#: Up to so many pairs, and sets of so many hashes on their right (32 MB), go to the sets by a broadcast, beyond by shuffled joins.
-MAX_BROADCAST_PAIRS, MAX_BROADCAST_HASHES = 500_000, 4_000_000
-#: Open buckets of so many members at most are checked from their sets; larger ones after further stars.
-SMALL, STARS = 16, 2
+#: Members of a centre that one task compares with it.
+PART = 1000
+#: Further stars inside a centre's members before pairs.
+STARS = 3
 _U = np.uint64
 
 
@@ -116,6 +119,12 @@ def band_hashes(signatures: np.ndarray, rows: int = ROWS) -> np.ndarray:
     return h.view(np.int64)
 
 
+def prints(elements: np.ndarray, pointers: np.ndarray, seed: int) -> np.ndarray:
+    """A 64-bit fingerprint of each set."""
+    sums = np.concatenate(([_U(0)], np.cumsum(mix(elements ^ _U(seed)), dtype=_U)))
+    return mix(sums[pointers[1:]] - sums[pointers[:-1]] + np.diff(pointers).astype(_U)).view(np.int64)
+
+
 def sketches(docs: DataFrame, width: int, text: str = "text", key: str = "doc_id") -> DataFrame:
     """(doc_id, n_shingles, set1, set2, bands): set1 and set2 fingerprint the whole set."""
 
@@ -125,125 +134,123 @@ def sketches(docs: DataFrame, width: int, text: str = "text", key: str = "doc_id
             for a, b in pieces(texts):
                 elements, pointers = shingle_sets(texts[a:b], width)
                 n = np.diff(pointers)
-                sums = [np.concatenate(([_U(0)], np.cumsum(mix(elements ^ _U(s)), dtype=_U))) for s in (1, 2)]
-                prints = [mix(s[pointers[1:]] - s[pointers[:-1]] + n.astype(_U)).view(np.int64) for s in sums]
                 bands = band_hashes(superminhash(elements, pointers))
-                yield pd.DataFrame({"doc_id": batch["doc_id"].iloc[a:b].array, "n_shingles": n, "set1": prints[0], "set2": prints[1], "bands": [x if c else None for x, c in zip(bands, n)]})
+                yield pd.DataFrame({"doc_id": batch["doc_id"].iloc[a:b].array, "n_shingles": n, "set1": prints(elements, pointers, 1), "set2": prints(elements, pointers, 2), "bands": [x if c else None for x, c in zip(bands, n)]})
 
     source = small_batches(docs).select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
     return source.mapInPandas(sketch, "doc_id long, n_shingles long, set1 long, set2 long, bands array<long>")
 
 
-def _sets(docs: DataFrame, width: int, text: str, key: str) -> DataFrame:
+def _routes(classes: DataFrame) -> DataFrame:
+    """(a, own, to): documents that share a bucket with another, the fingerprint of their set, and whom they meet.
+
+    The smallest set of a bucket is its centre, known by its fingerprint. ``to`` lists (c, part, lead): the centres
+    c of the document's buckets. The members of a centre are dealt to parts of about ``PART``; the centre itself,
+    which leads, goes to each of them, so that no centre makes a long task.
+    """
+    members = classes.select("n", "set1", F.explode("bands").alias("bucket"))
+    of = F.struct("n", "set1")
+    centres = members.groupBy("bucket").agg(F.min(of).alias("_c"), F.max(of).alias("_d")).where("_c < _d").select("bucket", F.col("_c.set1").alias("c"))
+    pairs = stored(members.join(centres, "bucket").where("set1 <> c").select("set1", "c").distinct())
+    parts = pairs.groupBy("c").agg(F.ceil(F.count("*") / PART).alias("parts"))
+    dealt = pairs.join(parts, "c").select("set1", "c", F.pmod(F.xxhash64("set1", "c"), "parts").alias("part"), F.lit(False).alias("lead"))
+    leads = parts.select(F.col("c").alias("set1"), "c", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)).alias("part"), F.lit(True).alias("lead"))
+    to = dealt.unionByName(leads).groupBy("set1").agg(F.collect_list(F.struct("c", "part", "lead")).alias("to"))
+    return to.join(classes.select("set1", "rep"), "set1").select(F.col("rep").alias("a"), F.col("set1").alias("own"), "to")
+
+
+def _compared(docs: DataFrame, routes: DataFrame, width: int, percent: int, text: str, key: str) -> DataFrame:
+    """(c, b, a, linked, n, d) of each document a and each centre b (fingerprint c) that it meets, from full sets.
+
+    ``linked``: 100 * intersection >= percent * union; ``n``: the size of a's set; ``d``: the symmetric difference,
+    from which two documents of one centre can be compared without their sets.
+    """
+
     def build(batches):
         for batch in batches:
             texts = [text_bytes(t) for t in batch["text"]]
-            for a, b in pieces(texts):
-                elements, pointers = shingle_sets(texts[a:b], width)
-                yield pd.DataFrame({"id": batch["doc_id"].iloc[a:b].array, "n": np.diff(pointers), "elements": [elements[x:y].tobytes() for x, y in zip(pointers[:-1], pointers[1:])]})
-
-    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInPandas(build, "id long, n long, elements binary")
-
-
-def _compared(pairs: DataFrame, sets: DataFrame, percent: int, differences: bool = False) -> DataFrame:
-    """(a, b, linked, d) of pairs (a, b): 100 * intersection >= percent * union of the full sets; their symmetric difference."""
+            for i, j in pieces(texts):
+                elements, pointers = shingle_sets(texts[i:j], width)
+                mine = prints(elements, pointers, 1) == batch["own"].to_numpy()[i:j]  # not another text of the same doc_id
+                at = np.flatnonzero(mine)
+                yield pd.DataFrame({"a": batch["a"].to_numpy()[i:j][at], "to": batch["to"].iloc[i:j].array[at], "x": [elements[pointers[k] : pointers[k + 1]].tobytes() for k in at]})
 
     def check(batches):
+        c = b = q = None
         for batch in batches:
-            linked, apart = [], []
-            for x, y in zip(batch["x"], batch["y"]):
-                p, q = np.frombuffer(x, dtype=_U), np.frombuffer(y, dtype=_U)
-                if not differences and 100 * min(len(p), len(q)) < percent * max(len(p), len(q)):
-                    linked.append(False)
-                    continue
-                at = np.searchsorted(q, p)
-                at[at == len(q)] = 0
-                same = q[at] == p
-                both = int(same.sum())
-                linked.append(100 * both >= percent * (len(p) + len(q) - both))
-                if differences:
-                    apart.append(np.concatenate((p[~same], np.setdiff1d(q, p, assume_unique=True))).view(np.int64))
-            yield pd.DataFrame({"a": batch["a"], "b": batch["b"], "linked": linked, "d": apart or None})
-
-    pairs = stored(pairs.select("a", "b"))
-    left = sets.select(F.col("id").alias("a"), F.col("elements").alias("x"))
-    right = sets.select(F.col("id").alias("b"), F.col("n"), F.col("elements").alias("y"))
-    if pairs.count() <= MAX_BROADCAST_PAIRS:
-        pairs = F.broadcast(pairs)
-        right = right.join(F.broadcast(pairs.select("b").distinct()), "b", "left_semi")
-        if (right.agg(F.sum("n")).first()[0] or 0) <= MAX_BROADCAST_HASHES:
-            right = F.broadcast(right)
-    return left.join(pairs, "a").join(right.drop("n"), "b").select("a", "b", "x", "y").mapInPandas(check, "a long, b long, linked boolean, d array<long>")
-
-
-def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    return stored(_compared(pairs, sets, percent).where("linked").select("a", "b"))
-
-
-def _group(members: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(members with their group g so far, links of the same components: one to the least node of each other node)."""
-    groups = stored(connected_components(links, "a", "b").withColumnRenamed("component", "_g"))
-    placed = members.join(groups, members["id"] == groups["node"], "left").select(*members.columns, F.coalesce("_g", "id").alias("g"))
-    return placed, groups.where("node <> _g").select(F.col("node").alias("a"), F.col("_g").alias("b"))
-
-
-def _open_pairs(placed: DataFrame, able) -> DataFrame:
-    """Pairs of different groups in one bucket for which ``able(x, y)`` holds: members outside the bucket's largest group with all others."""
-    largest = placed.groupBy("bucket", "g").count().groupBy("bucket").agg(F.max_by("g", F.struct("count", -F.col("g"))).alias("main"))
-    rest = placed.join(largest, "bucket").where("g <> main").select("bucket", "main", F.struct("id", "g", "n", "d").alias("x"))
-    other = placed.select("bucket", F.struct("id", "g", "n", "d").alias("y"))
-    x, y = F.col("x"), F.col("y")
-    different = (x["g"] != y["g"]) & ((y["g"] == F.col("main")) | (x["id"] < y["id"]))
-    pairs = rest.join(other, "bucket").where(different & able(x, y))
-    return pairs.select(F.greatest(x["id"], y["id"]).alias("a"), F.least(x["id"], y["id"]).alias("b")).distinct()
+            rows = []
+            for centre, lead, a, x in zip(batch["c"], batch["lead"], batch["a"], batch["x"]):
+                p = np.frombuffer(x, dtype=_U)
+                if lead:
+                    c, b, q = centre, a, p
+                elif centre == c:
+                    at = np.searchsorted(q, p)
+                    at[at == len(q)] = 0
+                    same = q[at] == p
+                    both = int(same.sum())
+                    other = np.ones(len(q), dtype=bool)
+                    other[at[same]] = False
+                    d = np.concatenate((p[~same], q[other])).view(np.int64)
+                    rows.append((c, b, a, 100 * both >= percent * (len(p) + len(q) - both), len(p), d))
+            yield pd.DataFrame(rows, columns=["c", "b", "a", "linked", "n", "d"])
+
+    to = F.broadcast(routes) if routes.count() <= MAX_BROADCAST_IDS else routes
+    wanted = docs.select(F.col(key).cast("long").alias("_id"), F.col(text).alias("text")).join(to, F.col("_id") == to["a"]).select("a", "own", "to", "text")
+    sets = wanted.mapInPandas(build, "a long, to array<struct<c:bigint,part:bigint,lead:boolean>>, x binary")
+    dealt = sets.select("a", "x", F.inline("to")).repartition("c", "part").sortWithinPartitions("c", "part", F.desc("lead"))
+    return dealt.select("c", "lead", "a", "x").mapInPandas(check, "c long, b long, a long, linked boolean, n long, d array<long>")
+
+
+def _near(x, y, percent: int):
+    """100 * intersection >= percent * union of two sets, from their sizes n and differences d to a third."""
+    k = (100 + percent) / (100 - percent)
+    apart = F.size(x["d"]) + F.size(y["d"])
+    possible = k * F.abs(F.size(x["d"]) - F.size(y["d"])) <= x["n"] + y["n"] + F.lit(1e-6)
+    return possible & (k * (apart - 2 * F.size(F.array_intersect(x["d"], y["d"]))) <= x["n"] + y["n"] + F.lit(1e-6))
 
 
-def _bucket_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links whose components are those of all links between members (bucket, id, n) of one bucket.
+def _open(members: DataFrame, links: DataFrame) -> DataFrame:
+    """Of (c, a, ...), with g, the group under ``links``: rows of centres with several groups, with the largest as ``main``."""
+    groups = stored(connected_components(links, "a", "b").select(F.col("node").alias("_node"), F.col("component").alias("_g")))
+    placed = members.join(groups, members["a"] == groups["_node"], "left").select(*members.columns, F.coalesce("_g", "a").alias("g"))
+    size = placed.groupBy("c", "g").agg(F.count("*").alias("_k"))
+    main = size.groupBy("c").agg(F.count("*").alias("_groups"), F.max_by("g", F.struct("_k", -F.col("g"))).alias("main"))
+    return stored(placed.join(main.where("_groups > 1").select("c", "main"), "c"))
 
-    The members of a bucket are checked against its smallest set; sets too large to link with it are left out unread. In buckets that then still have several
-    groups, pairs of different groups are checked: from their sets in a bucket of ``SMALL`` members at most.
-    In a larger one, members are first described by their difference d from one set, the smallest of the group
-    of the bucket's smallest. Stars round the members with the least differences, ``STARS`` times, join most
-    of what that set leaves apart; the pairs of different groups that remain are checked inside the join by
-    |x ^ y| = |d_x| + |d_y| - 2 |d_x & d_y|, so that only links come out of it.
-    """
-    centers = members.groupBy("bucket").agg(F.min_by("id", F.struct("n", "id")).alias("center"), F.min("n").alias("least_n"))
-    members = members.join(centers, "bucket")
-    star = members.where((F.col("id") != F.col("center")) & (100 * F.col("least_n") >= percent * F.col("n"))).select(F.col("id").alias("a"), F.col("center").alias("b")).distinct()
-    members = members.drop("least_n")
-    placed, links = _group(members, _linked(star, sets, percent))
-    size = placed.groupBy("bucket").agg(F.count("*").alias("size"), F.min("g").alias("_g0"), F.max("g").alias("_g1")).where("_g0 < _g1").select("bucket", "size")
-    placed = stored(placed.join(size, "bucket"))
-    if placed.isEmpty():
-        return links
-    small = placed.where(F.col("size") <= SMALL).withColumn("d", F.lit(None).cast("array<bigint>"))
-    links = links.union(_linked(_open_pairs(small, lambda x, y: 100 * F.least(x["n"], y["n"]) >= percent * F.greatest(x["n"], y["n"])), sets, percent))
-    large = placed.where(F.col("size") > SMALL)
-    if large.isEmpty():
-        return links
-    smallest = placed.groupBy("g").agg(F.min_by("id", F.struct("n", "id")).alias("least"))
-    where = large.where("id = center").select("bucket", "g").join(smallest, "g").select("bucket", F.col("g").alias("main"), "least")
-    large = large.join(where, "bucket")
-    compared = stored(_compared(large.select(F.col("id").alias("a"), F.col("least").alias("b")).distinct(), sets, percent, differences=True))
-    links = links.union(compared.where("linked and a <> b").select("a", "b"))
-    large = stored(large.join(compared.select(F.col("a").alias("id"), F.col("b").alias("least"), "linked", "d"), ["id", "least"]).select("bucket", "id", "n", "g", "main", "linked", "d"))
-    rest = large.where("not linked and g <> main").select("bucket", "id", F.size("d").alias("far"))
-    for _ in range(STARS):
-        centers = rest.groupBy("bucket").agg(F.min_by("id", F.struct("far", "id")).alias("center"))
-        rest = rest.join(centers, "bucket").where("id <> center")
-        more = _linked(rest.select(F.col("id").alias("a"), F.col("center").alias("b")).distinct(), sets, percent)
-        links = links.union(more)
-        rest = rest.join(more.select(F.col("a").alias("id"), F.col("b").alias("center")), ["id", "center"], "left_anti").select("bucket", "id", "far")
-    placed, links = _group(large.select("bucket", "id", "n", "d"), links)
-    k = (100 + percent) / (100 - percent)
 
-    def able(x, y):
-        apart = F.size(x["d"]) + F.size(y["d"])
-        near = k * F.abs(F.size(x["d"]) - F.size(y["d"])) <= x["n"] + y["n"] + F.lit(1e-6)
-        return near & (k * (apart - 2 * F.size(F.array_intersect(x["d"], y["d"]))) <= x["n"] + y["n"] + F.lit(1e-6))
+def _inner_links(compared: DataFrame, percent: int) -> DataFrame:
+    """Links whose components, with those of the stars, are those of all links between documents of one centre.
 
-    return links.union(_open_pairs(stored(placed), able))
+    Documents that a centre leaves outside its largest group are the rest. Further stars, ``STARS`` times, join most
+    of it: round the member nearest to the centre that no star has reached. Then the rest is compared with all
+    members of other groups, inside the join, so that only links come out of it. All comparisons are exact.
+    """
+    links = compared.where("linked").select("a", "b")
+    centres = compared.select("c", F.col("b").alias("a")).distinct().withColumn("far", F.lit(None).cast("int"))
+    members = compared.select("c", "a", F.size("d").alias("far")).unionByName(centres)
+    apart = compared.select("c", F.struct("a", "n", "d").alias("x"))
+    left = _open(members, links)
+    for _ in range(STARS):
+        if left.isEmpty():
+            return links
+        rest = left.where("g <> main and far is not null")
+        star = rest.groupBy("c").agg(F.min_by("a", F.struct("far", "a")).alias("star"))
+        named = apart.join(star, "c")
+        centre = named.where(F.col("x")["a"] == F.col("star")).select("c", F.col("x").alias("y"))
+        pairs = named.join(centre, "c").where(F.col("x")["a"] != F.col("star"))
+        more = pairs.where(_near(F.col("x"), F.col("y"), percent)).select("c", F.col("x")["a"].alias("a"), F.col("star").alias("b"))
+        more = stored(more)
+        links = links.unionByName(more.select("a", "b"))
+        gone = more.select("c", "a").unionByName(star.select("c", F.col("star").alias("a"))).distinct().withColumn("_gone", F.lit(True))
+        left = left.drop("g", "main").join(gone, ["c", "a"], "left").withColumn("far", F.expr("if(_gone, null, far)")).drop("_gone")
+        left = _open(left, links)
+    x, y = F.col("x"), F.col("y")
+    placed = left.select("c", F.col("a").alias("_a"), "g", "main")
+    placed = stored(apart.join(placed, (apart["c"] == placed["c"]) & (F.col("x")["a"] == F.col("_a"))).select(apart["c"], "g", "main", "x"))
+    rest = placed.where("g <> main")
+    other = placed.select("c", F.col("g").alias("h"), F.col("x").alias("y"))
+    pairs = rest.join(other, "c").where((F.col("g") != F.col("h")) & ((F.col("h") == F.col("main")) | (x["a"] < y["a"])) & _near(x, y, percent))
+    return links.unionByName(pairs.select(x["a"].alias("a"), y["a"].alias("b")))
 
 
 def near_duplicate_links(docs: DataFrame, width: int = 5, percent: int = 80, text: str = "text", key: str = "doc_id") -> tuple[DataFrame, DataFrame]:
@@ -253,14 +260,8 @@ def near_duplicate_links(docs: DataFrame, width: int = 5, percent: int = 80, tex
     classes = stored(some.groupBy("set1", "set2", F.col("n_shingles").alias("n")).agg(F.min("doc_id").alias("rep"), F.min("bands").alias("bands"), F.count("*").alias("rows")))
     several = classes.where("rows > 1").select("set1", "set2", "rep")
     copies = some.join(several, ["set1", "set2"]).where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    exploded = classes.select(F.col("rep").alias("id"), "n", F.explode("bands").alias("bucket"))
-    shared = exploded.groupBy("bucket").agg(F.min("id").alias("_low"), F.max("id").alias("_high")).where("_low < _high").select("bucket")
-    members = stored(exploded.join(shared, "bucket").select("bucket", "id", "n"))
-    ids = stored(members.select("id").distinct())
-    wanted = F.broadcast(ids) if ids.count() <= MAX_BROADCAST_IDS else ids
-    chosen = docs.join(wanted, F.col(key) == wanted["id"], "left_semi")
-    sets = stored(_sets(chosen, width, text, key).distinct())
-    return sketch, stored(_bucket_links(members, sets, percent).union(copies))
+    compared = stored(_compared(docs, stored(_routes(classes)), width, percent, text, key))
+    return sketch, stored(_inner_links(compared, percent).unionByName(copies))
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, text: str = "text", key: str = "doc_id") -> DataFrame:

@@ -342,7 +342,7 @@ def test_near_duplicates(spark):
 
 def test_near_duplicates_in_large_buckets(spark, monkeypatch):
     """Buckets past the pair-by-pair size: families of edited copies, with links that only surplus shingles find."""
-    monkeypatch.setattr(minhash, "SMALL", 2)
+    monkeypatch.setattr(minhash, "PART", 7)
     rnd = random.Random(11)
     texts = []
     base = prose(rnd, 150).split()
