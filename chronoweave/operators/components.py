@@ -69,10 +69,10 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
         if not _unsettled(edges):
             return edges.union(edges.select("b", "b")).distinct().toDF("node", "component")
         near = _both_ways(edges)
-        low = near.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+        low = stored(near.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")))  # stored: AQE splits a hub only where both sides are plain shuffles
         large = near.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = large.where("a <> b")
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
+        large = stored(large.where("a <> b"))
+        low = stored(large.groupBy("a").agg(F.min("b").alias("m")))
         small = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.select("a", F.col("m").alias("b")))
         edges = _contracted(stored(small.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()))
     raise RuntimeError(f"no fixed point after {max_rounds} rounds")
