@@ -31,8 +31,8 @@ from chronoweave.operators.components import connected_components
 from chronoweave.session import small_batches, stored
 
 SLOTS, ROWS = 128, 4
-#: Up to so many documents with a candidate (some 100 MB), their centres go to the texts by a broadcast, beyond by a shuffled join.
-MAX_BROADCAST_IDS = 1_000_000
+#: Up to so many documents with a candidate (some 50 MB), their centres go to the texts by a broadcast, beyond by a shuffled join.
+MAX_BROADCAST_IDS = 200_000
 #: Members of a centre that one task compares with it.
 PART = 1000
 #: Further stars inside a centre's members before pairs.
@@ -141,7 +141,7 @@ def sketches(docs: DataFrame, width: int, text: str = "text", key: str = "doc_id
     return source.mapInPandas(sketch, "doc_id long, n_shingles long, set1 long, set2 long, bands array<long>")
 
 
-def _routes(classes: DataFrame) -> DataFrame:
+def _routes(classes: DataFrame, percent: int) -> DataFrame:
     """(a, own, to): documents that share a bucket with another, the fingerprint of their set, and whom they meet.
 
     The smallest set of a bucket is its centre, known by its fingerprint. ``to`` lists (c, part, lead): the centres
@@ -150,8 +150,12 @@ def _routes(classes: DataFrame) -> DataFrame:
     """
     members = classes.select("n", "set1", F.explode("bands").alias("bucket"))
     of = F.struct("n", "set1")
-    centres = members.groupBy("bucket").agg(F.min(of).alias("_c"), F.max(of).alias("_d")).where("_c < _d").select("bucket", F.col("_c.set1").alias("c"))
-    pairs = stored(members.join(centres, "bucket").where("set1 <> c").select("set1", "c").distinct())
+    centres = members.groupBy("bucket").agg(F.min(of).alias("_c"), F.max(of).alias("_d")).where("_c < _d").select("bucket", F.col("_c.set1").alias("c"), F.col("_c.n").alias("least"))
+    pairs = members.join(centres, "bucket").where("set1 <> c")
+    pairs = stored(pairs.groupBy("set1", "c").agg(F.first("n").alias("n"), F.first("least").alias("least")))
+    several = pairs.groupBy("c").agg((F.count("*") > 1).alias("several"))
+    # a lone member too unlike its centre in size has nothing to be compared with
+    pairs = pairs.join(several, "c").where((100 * F.col("least") >= percent * F.col("n")) | F.col("several")).select("set1", "c")
     parts = pairs.groupBy("c").agg(F.ceil(F.count("*") / PART).alias("parts"))
     dealt = pairs.join(parts, "c").select("set1", "c", F.pmod(F.xxhash64("set1", "c"), "parts").alias("part"), F.lit(False).alias("lead"))
     leads = parts.select(F.col("c").alias("set1"), "c", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)).alias("part"), F.lit(True).alias("lead"))
@@ -209,43 +213,51 @@ def _near(x, y, percent: int):
     return possible & (k * (apart - 2 * F.size(F.array_intersect(x["d"], y["d"]))) <= x["n"] + y["n"] + F.lit(1e-6))
 
 
-def _open(members: DataFrame, links: DataFrame) -> DataFrame:
-    """Of (c, a, ...), with g, the group under ``links``: rows of centres with several groups, with the largest as ``main``."""
-    groups = stored(connected_components(links, "a", "b").select(F.col("node").alias("_node"), F.col("component").alias("_g")))
-    placed = members.join(groups, members["a"] == groups["_node"], "left").select(*members.columns, F.coalesce("_g", "a").alias("g"))
-    size = placed.groupBy("c", "g").agg(F.count("*").alias("_k"))
+def _groups(links: DataFrame) -> DataFrame:
+    return stored(connected_components(links, "a", "b").select(F.col("node").alias("_node"), F.col("component").alias("_g")))
+
+
+def _open(members: DataFrame) -> DataFrame:
+    """Of (c, g, ...): rows of centres whose members form several groups, with the largest as ``main``."""
+    size = members.groupBy("c", "g").agg(F.count("*").alias("_k"))
     main = size.groupBy("c").agg(F.count("*").alias("_groups"), F.max_by("g", F.struct("_k", -F.col("g"))).alias("main"))
-    return stored(placed.join(main.where("_groups > 1").select("c", "main"), "c"))
+    return stored(members.join(main.where("_groups > 1").select("c", "main"), "c"))
 
 
 def _inner_links(compared: DataFrame, percent: int) -> DataFrame:
-    """Links whose components, with those of the stars, are those of all links between documents of one centre.
+    """Links whose components are those of all links between a centre and its members, and between its members.
 
-    Documents that a centre leaves outside its largest group are the rest. Further stars, ``STARS`` times, join most
-    of it: round the member nearest to the centre that no star has reached. Then the rest is compared with all
+    Documents that a centre leaves outside its members' largest group are the rest. Further stars, ``STARS`` times, join
+    most of it: round the member nearest to the centre that no star has reached. Then the rest is compared with all
     members of other groups, inside the join, so that only links come out of it. All comparisons are exact.
     """
     links = compared.where("linked").select("a", "b")
-    centres = compared.select("c", F.col("b").alias("a")).distinct().withColumn("far", F.lit(None).cast("int"))
-    members = compared.select("c", "a", F.size("d").alias("far")).unionByName(centres)
+    groups = _groups(links)
+    members = compared.select("c", "a", F.size("d").alias("far"))
+    left = _open(members.join(groups, members["a"] == groups["_node"], "left").select("c", "a", "far", F.coalesce("_g", "a").alias("g")))
+    if left.isEmpty():
+        return links
     apart = compared.select("c", F.struct("a", "n", "d").alias("x"))
-    left = _open(members, links)
+    apart = stored(apart.join(left.select("c").distinct(), "c", "left_semi"))
     for _ in range(STARS):
-        if left.isEmpty():
-            return links
         rest = left.where("g <> main and far is not null")
         star = rest.groupBy("c").agg(F.min_by("a", F.struct("far", "a")).alias("star"))
         named = apart.join(star, "c")
         centre = named.where(F.col("x")["a"] == F.col("star")).select("c", F.col("x").alias("y"))
-        pairs = named.join(centre, "c").where(F.col("x")["a"] != F.col("star"))
-        more = pairs.where(_near(F.col("x"), F.col("y"), percent)).select("c", F.col("x")["a"].alias("a"), F.col("star").alias("b"))
-        more = stored(more)
+        pairs = named.where(F.col("x")["a"] != F.col("star")).join(centre, "c")
+        more = stored(pairs.where(_near(F.col("x"), F.col("y"), percent)).select("c", F.col("x")["a"].alias("a"), F.col("star").alias("b")))
         links = links.unionByName(more.select("a", "b"))
+        # groups of groups: only what the new links join
+        g = left.select(F.col("a").alias("_n"), "g").distinct()
+        joined = more.select("a", "b").join(g.toDF("a", "ga"), "a").join(g.toDF("b", "gb"), "b").where("ga <> gb").select(F.col("ga").alias("a"), F.col("gb").alias("b")).distinct()
+        groups = _groups(joined)
         gone = more.select("c", "a").unionByName(star.select("c", F.col("star").alias("a"))).distinct().withColumn("_gone", F.lit(True))
-        left = left.drop("g", "main").join(gone, ["c", "a"], "left").withColumn("far", F.expr("if(_gone, null, far)")).drop("_gone")
-        left = _open(left, links)
+        left = left.drop("main").join(groups, F.col("g") == F.col("_node"), "left").join(gone, ["c", "a"], "left")
+        left = _open(left.select("c", "a", F.expr("if(_gone, null, far)").alias("far"), F.coalesce("_g", "g").alias("g")))
+        if left.isEmpty():
+            return links
     x, y = F.col("x"), F.col("y")
-    placed = left.select("c", F.col("a").alias("_a"), "g", "main")
+    placed = left.select("c", F.col("a").alias("_a"), "g", "main").distinct()
     placed = stored(apart.join(placed, (apart["c"] == placed["c"]) & (F.col("x")["a"] == F.col("_a"))).select(apart["c"], "g", "main", "x"))
     rest = placed.where("g <> main")
     other = placed.select("c", F.col("g").alias("h"), F.col("x").alias("y"))
@@ -260,7 +272,7 @@ def near_duplicate_links(docs: DataFrame, width: int = 5, percent: int = 80, tex
     classes = stored(some.groupBy("set1", "set2", F.col("n_shingles").alias("n")).agg(F.min("doc_id").alias("rep"), F.min("bands").alias("bands"), F.count("*").alias("rows")))
     several = classes.where("rows > 1").select("set1", "set2", "rep")
     copies = some.join(several, ["set1", "set2"]).where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    compared = stored(_compared(docs, stored(_routes(classes)), width, percent, text, key))
+    compared = stored(_compared(docs, stored(_routes(classes, percent)), width, percent, text, key))
     return sketch, stored(_inner_links(compared, percent).unionByName(copies))
 
 
