@@ -12,6 +12,8 @@ from chronoweave.session import stored
 
 #: Nodes that one task's union-find holds before it emits its stars and starts anew.
 FOREST = 500_000
+#: Edges that one task unites by itself, in place of further rounds; longer lists shrink by rounds until they are as few.
+FEW = 200_000
 
 
 def _both_ways(edges: DataFrame) -> DataFrame:
@@ -60,12 +62,15 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     Each task first unites its own edges and keeps a forest of stars. Large-star then small-star rounds unite
     what different tasks hold; both end in a grouped minimum, so Spark combines before it shuffles, and a
     node of any degree is a group for an aggregate, never a list in memory. The edge list shrinks to one
-    star per component, in about log2(diameter) rounds. Null end points are ignored; an empty edge list
+    star per component, in about log2(diameter) rounds; once it has at most ``FEW`` edges, one task ends it. Null end points are ignored; an empty edge list
     gives no rows.
     """
     edges = edges.select(F.col(src).alias("a"), F.col(dst).alias("b"))
     edges = _contracted(edges.where("a is not null and b is not null and a <> b"))
     for _ in range(max_rounds):
+        if edges.count() <= FEW:
+            edges = stored(edges.coalesce(1).mapInPandas(_stars, edges.schema))
+            return edges.union(edges.select("b", "b")).distinct().toDF("node", "component")
         if not _unsettled(edges):
             return edges.union(edges.select("b", "b")).distinct().toDF("node", "component")
         near = _both_ways(edges)
