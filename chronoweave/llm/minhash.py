@@ -35,6 +35,8 @@ SLOTS, ROWS = 128, 4
 MAX_BROADCAST_IDS = 200_000
 #: Members of a centre that one task compares with it.
 PART = 1000
+#: Words of 64 bits in the sketch of a difference.
+WIDE = 8
 #: Further stars inside a centre's members before pairs.
 STARS = 3
 _U = np.uint64
@@ -164,10 +166,11 @@ def _routes(classes: DataFrame, percent: int) -> DataFrame:
 
 
 def _compared(docs: DataFrame, routes: DataFrame, width: int, percent: int, text: str, key: str) -> DataFrame:
-    """(c, b, a, linked, n, d) of each document a and each centre b (fingerprint c) that it meets, from full sets.
+    """(c, b, a, linked, n, d, bits) of each document a and each centre b (fingerprint c) that it meets, from full sets.
 
     ``linked``: 100 * intersection >= percent * union; ``n``: the size of a's set; ``d``: the symmetric difference,
-    from which two documents of one centre can be compared without their sets.
+    from which two documents of one centre can be compared without their sets; ``bits``: which of ``64 * WIDE``
+    places the elements of d fall on.
     """
 
     def build(batches):
@@ -195,22 +198,30 @@ def _compared(docs: DataFrame, routes: DataFrame, width: int, percent: int, text
                     other = np.ones(len(q), dtype=bool)
                     other[at[same]] = False
                     d = np.concatenate((p[~same], q[other])).view(np.int64)
-                    rows.append((c, b, a, 100 * both >= percent * (len(p) + len(q) - both), len(p), d))
-            yield pd.DataFrame(rows, columns=["c", "b", "a", "linked", "n", "d"])
+                    places = np.zeros(64 * WIDE, dtype=bool)
+                    places[d & (64 * WIDE - 1)] = True
+                    rows.append((c, b, a, 100 * both >= percent * (len(p) + len(q) - both), len(p), d, np.packbits(places).view(np.int64)))
+            yield pd.DataFrame(rows, columns=["c", "b", "a", "linked", "n", "d", "bits"])
 
     to = F.broadcast(routes) if routes.count() <= MAX_BROADCAST_IDS else routes
     wanted = docs.select(F.col(key).cast("long").alias("_id"), F.col(text).alias("text")).join(to, F.col("_id") == to["a"]).select("a", "own", "to", "text")
     sets = wanted.mapInPandas(build, "a long, to array<struct<c:bigint,part:bigint,lead:boolean>>, x binary")
     dealt = sets.select("a", "x", F.inline("to")).repartition("c", "part").sortWithinPartitions("c", "part", F.desc("lead"))
-    return dealt.select("c", "lead", "a", "x").mapInPandas(check, "c long, b long, a long, linked boolean, n long, d array<long>")
+    return dealt.select("c", "lead", "a", "x").mapInPandas(check, "c long, b long, a long, linked boolean, n long, d array<long>, bits array<long>")
 
 
 def _near(x, y, percent: int):
-    """100 * intersection >= percent * union of two sets, from their sizes n and differences d to a third."""
+    """100 * intersection >= percent * union of two sets, from their sizes n and differences d to a third.
+
+    |d_x & d_y| is at most the places that both hit and the elements that share a place with another, of the side
+    with fewer; pairs for which even that is too few are settled before the elements are looked at.
+    """
     k = (100 + percent) / (100 - percent)
-    apart = F.size(x["d"]) + F.size(y["d"])
-    possible = k * F.abs(F.size(x["d"]) - F.size(y["d"])) <= x["n"] + y["n"] + F.lit(1e-6)
-    return possible & (k * (apart - 2 * F.size(F.array_intersect(x["d"], y["d"]))) <= x["n"] + y["n"] + F.lit(1e-6))
+    apart, room = F.size(x["d"]) + F.size(y["d"]), (x["n"] + y["n"] + F.lit(1e-6)) / k
+    possible = F.abs(F.size(x["d"]) - F.size(y["d"])) <= room
+    shared = sum((F.bit_count(x["bits"][i].bitwiseAND(y["bits"][i])) for i in range(1, WIDE)), F.bit_count(x["bits"][0].bitwiseAND(y["bits"][0])))
+    most = shared + F.least(F.size(x["d"]) - x["places"], F.size(y["d"]) - y["places"])
+    return possible & (apart - 2 * most <= room) & (apart - 2 * F.size(F.array_intersect(x["d"], y["d"])) <= room)
 
 
 def _groups(links: DataFrame) -> DataFrame:
@@ -237,7 +248,8 @@ def _inner_links(compared: DataFrame, percent: int) -> DataFrame:
     left = _open(members.join(groups, members["a"] == groups["_node"], "left").select("c", "a", "far", F.coalesce("_g", "a").alias("g")))
     if left.isEmpty():
         return links
-    apart = compared.select("c", F.struct("a", "n", "d").alias("x"))
+    places = sum((F.bit_count(F.col("bits")[i]) for i in range(1, WIDE)), F.bit_count(F.col("bits")[0]))
+    apart = compared.select("c", F.struct("a", "n", "d", "bits", places.alias("places")).alias("x"))
     apart = stored(apart.join(left.select("c").distinct(), "c", "left_semi"))
     for _ in range(STARS):
         rest = left.where("g <> main and far is not null")
