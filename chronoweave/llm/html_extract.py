@@ -2,18 +2,24 @@
 
 Pages become lines, one for each block. Pages of a host are ordered by URL path; each is aligned, by longest
 common subsequence of lines, with the neighbour whose path shares the longer prefix (the earlier one on
-ties), and shared lines go. Lines inside <article> or <main> are the page's own text by its mark-up and stay
-even if a neighbour shares them; with such an element, lines outside it go as well. Menus, headers, footers,
-sidebars, notices, adverts, forms, scripts, styles and comments go by element, role, class or id.
-
-Scale: URLs alone are read to cut the order (host, path, page_id) into ranges of about ``RANGE_PAGES`` pages,
-so a host with a third of all pages is many ranges. Texts are shuffled once, by range and key; the first and
-last page of each range also visit the neighbouring range, so every page meets its true neighbours. The
-driver keeps two keys per range, and there are at most 8 times spark.sql.shuffle.partitions ranges.
-
-Defined cases: null or empty html gives an empty text; a null url is its own host with an empty path; a
-neighbour that shares all of a page's lines is a copy of it and removes nothing; repeated rows give equal
-rows; an empty table gives no rows; extra columns are left out.
+ties), and shared lines go. Inside <article> or <main> a shared line goes only if all of its text is links:
+prose there is the page's own by its mark-up, even if a neighbour quotes it; with such an element, lines
+outside it go as well. Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and comments
+go by element, role, class or id; the header of an article, with its headline, stays.
+
+End tags may be left out where HTML allows it (p, li, td and so on end where the next one begins or their
+parent ends). An unwanted element that is never closed ends where an article, main, section or h1 begins, a
+menu also at a paragraph or heading. A class or id counts only as a whole: every part of it between hyphens
+must belong to the name of such a block, so ``site-footer`` goes and ``no-sidebar`` and ``article-header`` do not.
+
+Scale: URLs alone are sorted into ranges of the order (host, path, page_id) of about ``RANGE_PAGES`` pages, so a
+host with a third of all pages is many ranges. Texts are shuffled once, by range; the first and last page of
+each range also visit the neighbouring range, so every page meets its true neighbours. The driver keeps two
+keys per range; ranges grow in number with the pages, and in size only beyond ``RANGES`` of them.
+
+Defined cases: null or empty html gives an empty text; a null url is its own host with an empty path; a url
+may hold any byte; a null page_id sorts first; a neighbour that shares all of a page's lines is a copy of it and
+removes nothing; repeated rows give equal rows; an empty table gives no rows; extra columns are left out.
 """
 
 import html
@@ -26,82 +32,164 @@ from pyspark.sql import functions as F
 
 from chronoweave.session import small_batches
 
-RANGE_PAGES = 1000
-# Elements and names that are not main text.
+RANGE_PAGES, RANGES = 1000, 100_000
+# Elements by how HTML reads them.
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 RAW = {"script", "style", "textarea", "title", "noscript", "template", "iframe", "svg", "math", "xmp", "noembed", "noframes"}
 DROPPED = {"head", "nav", "header", "footer", "aside", "form", "button", "select", "dialog", "menu", "object", "canvas", "audio", "video"}
 BLOCKS = {
-    "address", "article", "blockquote", "body", "br", "caption", "center", "dd", "details", "div", "dl", "dt", "fieldset", "figcaption", "figure", "h1", "h2", "h3", "h4", "h5", "h6",
-    "hr", "html", "legend", "li", "main", "ol", "p", "pre", "section", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul",
+    "address", "article", "aside", "blockquote", "body", "br", "caption", "center", "dd", "details", "dialog", "div", "dl", "dt", "fieldset", "figcaption", "figure", "footer", "form",
+    "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "html", "legend", "li", "main", "menu", "nav", "ol", "p", "pre", "section", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul",
 }
+# What a start tag ends, and the elements beyond which it does not look.
+CELL = {"td", "th", "caption", "table", "html", "button", "object"}
+ENDS = {
+    "li": ({"li"}, {"ul", "ol", "menu"}), "dd": ({"dd", "dt"}, {"dl"}), "dt": ({"dd", "dt"}, {"dl"}), "option": ({"option"}, {"select"}), "optgroup": ({"option", "optgroup"}, {"select"}),
+    "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "tr": ({"tr"}, {"table", "tbody", "thead", "tfoot"}),
+    "tbody": ({"tbody", "thead", "tfoot"}, {"table"}), "thead": ({"tbody", "thead", "tfoot"}, {"table"}), "tfoot": ({"tbody", "thead", "tfoot"}, {"table"}), "body": ({"head"}, set()),
+}
+ENDS_P = BLOCKS - {"br", "html", "body", "caption", "tbody", "td", "tfoot", "th", "thead", "tr", "legend"}
+OPTIONAL = {"p", "li", "dd", "dt", "td", "th", "tr", "option", "optgroup", "tbody", "thead", "tfoot"}
+# Roles, parts of names, and the parts that may stand beside them, of what is not main text.
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "menu", "menubar"}
-NAMES = re.compile(r"ads?|adverts?|advertisements?|advertising|banners?|cookies?|notices?|sidebars?|menus?|nav|navbar|navigation|comments?|footer|header|promos?|sponsored|sponsors?|share|social|breadcrumbs?|newsletter|popup|modal|consent|related")
+NAMES = set(
+    "ad ads advert adverts advertisement advertisements advertising banner banners cookie cookies notice notices sidebar sidebars menu menus nav navbar navigation comment comments commentlist disqus respond "
+    "footer header promo promos promotion sponsored sponsor sponsors share sharing social breadcrumb breadcrumbs newsletter subscribe popup modal consent gdpr related recommended".split()
+)
+BESIDE = set(
+    "top bottom left right main site page global primary secondary sub mobile box bar block inner outer container wrapper wrap list section area item items slot unit widget link links button buttons form signup text "
+    "reader user post posts icons media thread message panel overlay layer the by and of to".split()
+)
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<[!?][^>]*>""", re.S)
-_ATTR = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
-_SPLIT = re.compile(r"[\s_-]+")
+_ATTR = re.compile(r"""(?<![^\s"'])(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+_PART = re.compile(r"[^_-]+")
+
 
+def _names(value: str, inside: bool) -> bool:
+    """Whether some name of a class or id attribute is one of an unwanted block; inside an article, a header is none."""
+    unwanted = NAMES - {"header"} if inside else NAMES
+    for name in value.split():
+        parts = [p.rstrip("0123456789") for p in _PART.findall(name)]
+        parts = [p for p in parts if p]
+        if any(p in unwanted for p in parts) and all(p in NAMES or p in BESIDE for p in parts):
+            return True
+    return False
 
-def _unwanted(name: str, attrs: str) -> bool:
+
+def _unwanted(name: str, attrs: str, inside: bool) -> bool:
     if name in DROPPED:
-        return True
+        return not (inside and name == "header")
     if "=" not in attrs or name in ("html", "body", "article", "main"):
         return False
     for m in _ATTR.finditer(attrs):
         value = html.unescape(m[2] or m[3] or m[4] or "").lower()
-        if m[1].lower() == "role":
-            if value.strip() in ROLES:
-                return True
-        elif any(NAMES.fullmatch(part) for part in _SPLIT.split(value) if part):
+        if value.strip() in ROLES if m[1].lower() == "role" else _names(value, inside):
             return True
     return False
 
 
-def page_lines(page) -> list[tuple[str, bool]]:
-    """(line, inside article or main) of each block, without unwanted subtrees."""
-    out: list[tuple[str, bool]] = []
+class _Balance:
+    """Whether an element that starts at some place is closed later on the page."""
+
+    def __init__(self, page: str):
+        self.page, self.at = page, {}
+
+    def closed(self, name: str, at: int) -> bool:
+        if name not in self.at:
+            found = [(m.start(), m[1]) for m in re.finditer(rf"<(/?){re.escape(name)}(?![^\s/>])", self.page, re.I)]
+            self.at[name] = [p for p, end in found if not end], [p for p, end in found if end]
+        starts, ends = self.at[name]
+        return len(ends) - bisect_left(ends, at) > len(starts) - bisect_left(starts, at)
+
+
+def page_lines(page) -> list[tuple[str, bool, bool]]:
+    """(line, inside article or main, only links) of each block, without unwanted subtrees."""
+    out: list[tuple[str, bool, bool]] = []
     if not isinstance(page, str) or not page:
         return out
     parts: list[str] = []
-    depth = 0  # of article and main
-    skip, level = "", 0  # the unwanted element that is open, and how many of its name
-    at = 0
+    stack: list[tuple[str, bool, bool]] = []  # open elements; whether one is the root of an unwanted subtree, and whether it is in ``depth``
+    depth = skipping = links = 0  # open: article and main, unwanted roots, a
+    plain = False  # text outside links in this line
+    balance = _Balance(page)
 
     def flush():
+        nonlocal plain
         if parts:
             line = " ".join(html.unescape("".join(parts)).split())
             if line:
-                out.append((line, depth > 0))
+                out.append((line, depth > 0, not plain))
             parts.clear()
+        plain = False
 
+    def pop(k):
+        """Closes the open elements from the k-th on."""
+        nonlocal depth, skipping, links
+        if not skipping and any(n in BLOCKS for n, _, _ in stack[k:]):
+            flush()
+        for n, root, counted in stack[k:]:
+            skipping -= root
+            depth -= counted
+            links -= n == "a"
+        del stack[k:]
+
+    def last(names, stops):
+        """Place of the innermost open element of ``names``, unless one of ``stops`` is inside of it."""
+        for k in range(len(stack) - 1, -1, -1):
+            if stack[k][0] in names:
+                return k
+            if stack[k][0] in stops:
+                break
+        return None
+
+    def text(t):
+        nonlocal plain
+        if not skipping:
+            parts.append(t)
+            plain = plain or not links and bool(t.strip())
+
+    at = 0
     while m := _TOKEN.search(page, at):
-        if m.start() > at and not skip:
-            parts.append(page[at : m.start()])
+        if m.start() > at:
+            text(page[at : m.start()])
         at = m.end()
         name = m[2]
         if not name:
             continue
         name = name.lower()
-        if skip:
-            if name == skip:
-                level += -1 if m[1] else 0 if m[3].endswith("/") else 1
-                if not level:
-                    skip = ""
+        if m[1]:
+            if name in VOID or name == "p" and last({"p"}, CELL) is None:
+                if not skipping and name in BLOCKS:
+                    flush()
+                continue
+            k = last({name}, CELL if name not in CELL and name not in ENDS else {"table"} if name != "table" else set())
+            if k is not None and (name in BLOCKS or not any(n in BLOCKS or root for n, root, _ in stack[k + 1 :])):
+                pop(k)
             continue
-        if not m[1] and name in RAW:
+        if name in RAW:
             close = re.compile(rf"</{name}[^>]*>", re.I).search(page, at)
             at = close.end() if close else len(page)
             continue
-        if not m[1] and name not in VOID and _unwanted(name, m[3]):
+        if name in ENDS_P and (k := last({"p"}, CELL)) is not None:
+            pop(k)
+        if name in ENDS and (k := last(*ENDS[name])) is not None:
+            pop(k)
+        if skipping and (name in ("article", "main", "section", "h1", "h2", "h3", "p")):
+            k = next(i for i, (_, root, _) in enumerate(stack) if root)
+            root = stack[k][0]
+            if (name in ("article", "main", "section", "h1") or root in ("nav", "menu")) and root not in OPTIONAL and not balance.closed(root, m.start()):
+                pop(k)
+        if not skipping and name in BLOCKS:
             flush()
-            skip, level = name, 1
+        if name in VOID or m[3].endswith("/"):
             continue
-        if name in BLOCKS:
-            flush()
-            if name in ("article", "main"):
-                depth = max(0, depth + (-1 if m[1] else 1))
-    if not skip:
-        parts.append(page[at:])
+        root = not skipping and _unwanted(name, m[3], depth > 0)
+        counted = not root and not skipping and name in ("article", "main")
+        stack.append((name, root, counted))
+        skipping += root
+        depth += counted
+        links += name == "a"
+    text(page[at:])
     flush()
     return out
 
@@ -130,15 +218,15 @@ def common_lines(a: list[str], b: list[str]) -> set[int]:
     return found
 
 
-def main_text(lines: list[tuple[str, bool]], neighbour: list[tuple[str, bool]] | None) -> str:
+def main_text(lines: list[tuple[str, bool, bool]], neighbour: list[tuple[str, bool, bool]] | None) -> str:
     """The page's lines after differencing, joined by newlines."""
-    keep = set(range(len(lines)))
+    shared: set[int] = set()
     if neighbour:
-        shared = common_lines([x for x, _ in lines], [x for x, _ in neighbour])
-        if len(shared) < len(lines):
-            keep = {i for i in keep if i not in shared or lines[i][1]}
-    marked = any(inside for _, inside in lines)
-    return "\n".join(x for i, (x, inside) in enumerate(lines) if i in keep and (inside or not marked))
+        shared = common_lines([x[0] for x in lines], [x[0] for x in neighbour])
+        if len(shared) == len(lines):
+            shared = set()
+    marked = any(inside for _, inside, _ in lines)
+    return "\n".join(x for i, (x, inside, linked) in enumerate(lines) if (inside or not marked) and (i not in shared or inside and not linked))
 
 
 def _prefix(a: str, b: str) -> int:
@@ -146,63 +234,64 @@ def _prefix(a: str, b: str) -> int:
     return next((i for i in range(n) if a[i] != b[i]), n)
 
 
-def _ranges(keys: DataFrame) -> tuple[list[str], dict[str, list[int]]]:
-    """Upper keys of the ranges, and the further ranges that each range's first and last key visit."""
-    spark = keys.sparkSession
-    total = keys.count()
-    n = max(1, min(-(-total // RANGE_PAGES), 8 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    if n == 1:
-        return [], {}
-    some = sorted(r.key for r in keys.sample(False, min(1.0, 40 * n / total), 17).collect())
-    bounds = sorted({some[len(some) * i // n] for i in range(1, n)}) if some else []
-    ends = keys.groupBy(_range_of(bounds)("key").alias("r")).agg(F.min("key").alias("lo"), F.max("key").alias("hi")).orderBy("r").collect()
-    visits: dict[str, list[int]] = {}
-    for a, b in zip(ends, ends[1:]):
-        visits.setdefault(a.hi, []).append(b.r)
-        visits.setdefault(b.lo, []).append(a.r)
-    return bounds, visits
+KEY = ("host", "path", "id")
 
 
-def _range_of(bounds: list[str]):
-    def place(s: pd.Series) -> pd.Series:
-        return pd.Series([bisect_left(bounds, k) for k in s], dtype="int64")
+def _keyed(pages: DataFrame) -> DataFrame:
+    """``pages`` with host, path and id, the order in which pages are neighbours."""
+    bare = F.regexp_replace(F.coalesce("url", F.lit("")), "^[a-zA-Z][a-zA-Z0-9+.-]*://", "")
+    host = F.lower(F.regexp_extract(bare, "^([^/?#]*)", 1))
+    path = F.regexp_extract(bare, "^[^/?#]*([^?#]*)", 1)
+    return pages.select("page_id", "url", "html", host.alias("host"), path.alias("path"), F.coalesce(F.col("page_id").cast("long"), F.lit(-(2**63))).alias("id"))
+
 
-    return F.pandas_udf(place, "long")
+def _ranges(keys: DataFrame) -> tuple[list[tuple], dict[tuple, list[int]]]:
+    """The highest key of each range, in order, and the further ranges that each range's first and last key visit."""
+    n = max(1, min(-(-keys.count() // RANGE_PAGES), RANGES))
+    if n == 1:
+        return [], {}
+    key = F.struct(*KEY)
+    spread = keys.repartitionByRange(n, *KEY).groupBy(F.spark_partition_id().alias("r"))
+    ends = sorted((tuple(r.lo), tuple(r.hi)) for r in spread.agg(F.min(key).alias("lo"), F.max(key).alias("hi")).collect())
+    visits: dict[tuple, list[int]] = {}
+    for r, (a, b) in enumerate(zip(ends, ends[1:])):
+        visits.setdefault(a[1], []).append(r + 1)
+        visits.setdefault(b[0], []).append(r)
+    return [hi for _, hi in ends], visits
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars) of every row of ``pages`` (page_id, url, html)."""
     spark = small_batches(pages).sparkSession
-    bare = F.regexp_replace(F.coalesce("url", F.lit("")), "^[a-zA-Z][a-zA-Z0-9+.-]*://", "")
-    host = F.lower(F.regexp_extract(bare, "^([^/?#]*)", 1))
-    path = F.regexp_extract(bare, "^[^/?#]*([^?#]*)", 1)
-    key = F.concat_ws("\x01", host, path, F.lpad(F.coalesce(F.col("page_id").cast("string"), F.lit("")), 20, "0"))
-    bounds, visits = _ranges(pages.select(key.alias("key")))
+    keyed = _keyed(pages)
+    bounds, visits = _ranges(keyed.select(*KEY))
     shared = spark.sparkContext.broadcast((bounds, visits))
 
-    def places(s: pd.Series) -> pd.Series:
+    def places(host: pd.Series, path: pd.Series, page: pd.Series) -> pd.Series:
         cuts, also = shared.value
-        return pd.Series([[b := bisect_left(cuts, k), *(x for x in also.get(k, ()) if x != b)] for k in s])
+        out = []
+        for k in zip(host, path, page.tolist()):
+            own = min(bisect_left(cuts, k), max(0, len(cuts) - 1))
+            out.append([own, *(r for r in also.get(k, ()) if r != own)])
+        return pd.Series(out)
 
-    placed = pages.select("page_id", "url", "html", key.alias("key")).withColumn("at", F.pandas_udf(places, "array<long>")("key"))
-    placed = placed.select("page_id", "url", "html", "key", F.posexplode("at").alias("guest", "range"))
-    ordered = placed.repartition("range").sortWithinPartitions("range", "key")
+    placed = keyed.withColumn("at", F.pandas_udf(places, "array<long>")(*KEY))
+    placed = placed.select("page_id", "url", "html", *KEY, F.posexplode("at").alias("guest", "range"))
+    tasks = max(len(bounds), int(spark.conf.get("spark.sql.shuffle.partitions")))
+    ordered = placed.repartition(tasks, "range").sortWithinPartitions("range", *KEY)
 
     def run(batches):
         def rows():
             for batch in batches:
-                yield from zip(*(batch[c] for c in ("page_id", "url", "html", "key", "guest", "range")))
+                yield from zip(*(batch[c] for c in ("page_id", "url", "html", "guest", "range", *KEY)))
 
         def result(before, now, after):
-            (page, url, _, key, guest, r), lines = now
-            h, path, _ = key.split("\x01")
+            (page, url, _, _, r, host, path, _), lines = now
             near = None
             best = -1
             for other in (before, after):
-                if other and other[0][5] == r:
-                    h2, path2, _ = other[0][3].split("\x01")
-                    if h2 == h and _prefix(path, path2) > best:
-                        best, near = _prefix(path, path2), other[1]
+                if other and other[0][4:6] == (r, host) and _prefix(path, other[0][6]) > best:
+                    best, near = _prefix(path, other[0][6]), other[1]
             text = main_text(lines, near)
             return page, url, text, len(text)
 
@@ -210,7 +299,7 @@ def extract(pages: DataFrame) -> DataFrame:
         before = now = None
         for row in _and_end(rows()):
             after = row and (row, page_lines(row[2]))
-            if now and not now[0][4]:
+            if now and not now[0][3]:
                 out.append(result(before, now, after))
                 size += out[-1][3]
                 if size > 4_000_000:
