@@ -6,11 +6,12 @@ they span; kernel ridge regression, one class against the rest, is solved there.
 are one sparse-times-dense matrix product: kernel values with landmarks are linear in presence, so landmark
 vectors and regression weights are multiplied into one table [bins, classes] beforehand.
 
-Scale: the model is fitted on a bounded sample, ``PER_CLASS`` documents of each language by hash of their
-id, and is a table of BINS x classes floats, whatever the corpus. Scoring is a narrow map over whole texts.
+Scale: the model is fitted on a bounded sample, about ``PER_CLASS`` documents of each language and ``SAMPLE`` in
+all, by a bound on the hash of their id, and is a table of BINS x classes floats, whatever the corpus. Scoring is
+a narrow map over whole texts.
 
-Defined cases: null text, or text without a letter, gives und with score 0; repeated rows get equal rows;
-without any learnable row every prediction is und; an empty table gives no rows; other columns are kept
+Defined cases: null text, or text without a letter, gives und with score 0; repeated rows get equal rows; of
+several rows of one doc_id the least (text, lang) teaches; without any learnable row every prediction is und; an empty table gives no rows; other columns are kept
 out of the result.
 """
 
@@ -23,14 +24,13 @@ import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from chronoweave.llm.hashing import text_bytes
 from chronoweave.session import small_batches
 
 BINS = 1 << 15
-#: The bound of the labelled sample, by language, and of the landmarks in all.
-PER_CLASS, LANDMARKS = 150, 192
+#: The bound of the labelled sample, by language and in all, and of the landmarks in all (or one for each language).
+PER_CLASS, SAMPLE, LANDMARKS = 150, 6000, 192
 RIDGE = 1e-2
 _PRIMES = (np.uint32(0x9E3779B1), np.uint32(0x85EBCA6B), np.uint32(0xC2B2AE35))
 
@@ -77,7 +77,7 @@ class KernelClassifier:
         for c in langs:  # landmarks take turns between the classes
             rank.append(turn[c])
             turn[c] += 1
-        marks = np.argsort(rank, kind="stable")[:LANDMARKS]
+        marks = np.argsort(rank, kind="stable")[: max(LANDMARKS, len(classes))]
         z = x[marks]
         value, vector = np.linalg.eigh((z @ z.T).astype(np.float64))
         good = value > 1e-6 * value.max()
@@ -105,20 +105,21 @@ class KernelClassifier:
         return names, scores
 
 
-def sample_by_class(labelled: DataFrame, label: str, per_class: int, key: str = "doc_id") -> DataFrame:
-    """(key, label) of at most ``per_class`` rows of each class, the least by hash of the key."""
-    order = Window.partitionBy(label).orderBy(F.xxhash64(key), key)
-    return labelled.select(key, label).withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= per_class).drop("_n")
+def sample_bound(label: str, share: dict, key: str = "doc_id"):
+    """Whether a row is drawn: the hash of its key is within the share of its class. No row is ranked, so no task holds a class."""
+    place = F.pmod(F.xxhash64(key), F.lit(1 << 20)) / float(1 << 20)
+    most = F.coalesce(*[F.when(F.col(label) == c, F.lit(float(x))) for c, x in share.items()], F.lit(0.0)) if share else F.lit(0.0)
+    return place < most
 
 
 def fit(docs: DataFrame) -> KernelClassifier:
     """Learns from text and non-null lang of rows that are not held out."""
-    chosen = sample_by_class(docs.where(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull()), "lang", PER_CLASS)
-    chosen = chosen.select(F.col("doc_id").alias("_id")).distinct()
-    rows = docs.join(F.broadcast(chosen), docs["doc_id"] == chosen["_id"], "left_semi").where("lang is not null and text is not null")
-    rows = rows.select("doc_id", "text", "lang").dropDuplicates(["doc_id"]).collect()
-    rows.sort(key=lambda r: r.doc_id)
-    return KernelClassifier.fit([r.text for r in rows], [r.lang for r in rows])
+    rows = docs.where(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", "lang")
+    count = {r.lang: r["count"] for r in rows.groupBy("lang").count().collect()}
+    per = min(PER_CLASS, SAMPLE // max(1, len(count)))
+    chosen = rows.where(sample_bound("lang", {c: per / n for c, n in count.items()})).groupBy("doc_id").agg(F.min(F.struct("text", "lang")).alias("r"))
+    sample = sorted(chosen.collect(), key=lambda r: r.doc_id)
+    return KernelClassifier.fit([r.r.text for r in sample], [r.r.lang for r in sample])
 
 
 def identify(docs: DataFrame, model: KernelClassifier) -> DataFrame:
