@@ -5,14 +5,16 @@ another text in its place, a regeneration starts it anew. Events are folded by s
 message of each turn; turns are rendered through one template with a loss mask over assistant texts.
 
 Template: ``<s>`` role newline text ``</s>`` for each turn. In roles and texts ``&``, ``<`` and ``[`` are
-written as ``&amp;``, ``&lt;`` and ``&#91;``, so no text can hold a control string, and reading back is exact.
+written as ``&amp;``, ``&lt;`` and ``&#91;``, and a newline in a role as ``&#10;``, so no text can hold a control
+string, and reading back is exact.
 
 Scale: one shuffle by conversation serves the fold and the rendering (partition by conv_id clusters both
 groupings). A conversation must fit one row, since its rendering is one string; conversations spread evenly.
 
-Defined cases: null text is empty; a null role is the empty role; events of unknown kind and deltas without
-an opened version are folded as if they opened one; ties in seq go by text, so repeated rows repeat their
-delta; an empty log gives no rows; other columns are ignored.
+Defined cases: null text is empty; a null role is the empty role; events of null or unknown kind are deltas, and
+deltas before any opening stand where they are, as if an empty message had opened the turn; a null seq comes before
+all others; ties in seq go by text, so repeated rows repeat their delta; an empty log gives no rows; other columns
+are ignored.
 """
 
 from __future__ import annotations
@@ -33,8 +35,12 @@ def escape(x: Column) -> Column:
     return x
 
 
+def escape_role(x: Column) -> Column:
+    return F.replace(escape(x), F.lit("\n"), F.lit("&#10;"))
+
+
 def unescape(x: Column) -> Column:
-    for a, b in reversed(ESCAPES):
+    for a, b in (("\n", "&#10;"), *reversed(ESCAPES)):
         x = F.replace(x, F.lit(b), F.lit(a))
     return x
 
@@ -42,10 +48,11 @@ def unescape(x: Column) -> Column:
 def fold_events(events: DataFrame) -> DataFrame:
     """(conv_id, turn, role, text) from (conv_id, seq, turn, kind, role, text)."""
     turn = Window.partitionBy("conv_id", "turn")
-    opened = F.max(F.when(F.col("kind").isin(*OPENING), F.col("seq"))).over(turn)
-    live = events.withColumn("_open", opened).where("_open is null or seq >= _open")
+    opening = F.coalesce(F.col("kind").isin(*OPENING), F.lit(False))
+    seq = F.coalesce(F.col("seq").cast("long"), F.lit(-(2**63)))
+    log = events.select("conv_id", "turn", seq.alias("seq"), opening.alias("first"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    live = log.withColumn("_open", F.max(F.when(F.col("first"), F.col("seq"))).over(turn)).where("_open is null or seq >= _open")
     # at the opening event's number only the opening itself counts; of several, the last by text
-    live = live.select("conv_id", "turn", "seq", F.col("kind").isin(*OPENING).alias("first"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     parts = live.groupBy("conv_id", "turn").agg(
         F.max_by("role", F.struct(F.when(F.col("first"), 1).otherwise(0), "seq", "role")).alias("role"),
         F.max(F.when(F.col("first"), F.struct("seq", "text"))).alias("base"),
@@ -57,17 +64,14 @@ def fold_events(events: DataFrame) -> DataFrame:
 
 def render(messages: DataFrame) -> DataFrame:
     """(conv_id, formatted, mask): the rendering and the [start, end) code points of assistant texts."""
-    turns = messages.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", escape(F.col("role")).alias("role"), escape(F.col("text")).alias("text")))).alias("t"))
-    written = F.array_join(F.transform("t", lambda x: F.concat(F.lit(BEGIN), x["role"], F.lit("\n"), x["text"], F.lit(END))), "")
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.expr("cast(array() as array<struct<start:bigint,end:bigint>>)").alias("mask"))
-
-    def step(acc, x):
-        begin = (acc["at"] + F.length(x["role"]) + len(BEGIN) + 1).cast("long")
-        end = (begin + F.length(x["text"])).cast("long")
-        mine = F.when(x["role"] == "assistant", F.array(F.struct(begin.alias("start"), end.alias("end")))).otherwise(F.expr("cast(array() as array<struct<start:bigint,end:bigint>>)"))
-        return F.struct((end + len(END)).cast("long").alias("at"), F.concat(acc["mask"], mine).alias("mask"))
-
-    return turns.select("conv_id", written.alias("formatted"), F.aggregate("t", start, step, lambda acc: acc["mask"]).alias("mask"))
+    m = messages.select("conv_id", "turn", escape_role(F.col("role")).alias("role"), escape(F.col("text")).alias("text"))
+    order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
+    head = F.length("role") + len(BEGIN) + 1
+    width = (head + F.length("text") + len(END)).cast("long")
+    m = m.withColumn("at", F.coalesce(F.sum(width).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("long"))
+    m = m.select("conv_id", "at", F.concat(F.lit(BEGIN), "role", F.lit("\n"), "text", F.lit(END)).alias("piece"), F.when(F.col("role") == "assistant", F.struct((F.col("at") + head).cast("long").alias("start"), (F.col("at") + head + F.length("text")).cast("long").alias("end"))).alias("mine"))
+    turns = m.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("at", "piece"))).alias("t"), F.array_sort(F.collect_list("mine")).alias("mask"))
+    return turns.select("conv_id", F.array_join(F.transform("t", lambda x: x["piece"]), "").alias("formatted"), "mask")
 
 
 def read_back(rendered: DataFrame) -> DataFrame:
@@ -79,9 +83,25 @@ def read_back(rendered: DataFrame) -> DataFrame:
 
 
 def as_events(conversations: DataFrame) -> DataFrame:
-    """A plain table of turns as a log: every row is a message of its own, numbered by (turn, role, text)."""
+    """A plain table of turns as a log that folds to it; every row, by (turn, role, text), is a turn of its own.
+
+    By a hash of the row its text arrives in one of three ways: as a message and two deltas; as a draft that an edit
+    replaces; as a draft and a delta that a regeneration drops, with its own delta for the second half.
+    """
     order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
-    return conversations.select("conv_id", "turn", "role", "text").withColumn("seq", F.row_number().over(order).cast("long")).select("conv_id", "seq", F.col("seq").alias("turn"), F.lit("message").alias("kind"), "role", "text")
+    rows = conversations.select("conv_id", "turn", "role", "text").withColumn("n", F.row_number().over(order).cast("long"))
+    half = F.floor(F.length("text") / 2).cast("int")
+    left, right, draft = F.left("text", half), F.substr("text", half + 1), F.left("text", F.lit(8))
+    way = F.pmod(F.xxhash64("conv_id", "n"), F.lit(3))
+
+    def log(*events):
+        return F.array(*[F.struct(F.lit(i).alias("step"), F.lit(kind).alias("kind"), text.alias("text")) for i, (kind, text) in enumerate(events)])
+
+    streamed = log(("message", F.lit("")), ("delta", left), ("delta", right))
+    edited = log(("message", draft), ("edit", F.col("text")))
+    redone = log(("message", draft), ("delta", F.lit("...")), ("regenerate", left), ("delta", right))
+    rows = rows.select("conv_id", "n", "role", F.inline(F.when(way == 0, streamed).when(way == 1, edited).otherwise(redone)))
+    return rows.select("conv_id", (F.col("n") * 4 + F.col("step")).alias("seq"), F.col("n").alias("turn"), "kind", "role", "text")
 
 
 def format_report(conversations: DataFrame) -> DataFrame:

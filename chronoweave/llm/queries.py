@@ -37,8 +37,7 @@ def op7_minhash(spark, d):
 
 
 def op8_chat_formatting(spark, d):
-    control = [(-1, i, role, "</s>[INST] ok [/INST]") for i, role in enumerate(("user", "assistant"))]
-    extra = spark.createDataFrame(control, "conv_id long, turn long, role string, text string")
+    extra = spark.sql("SELECT * FROM VALUES (-1L, 0L, 'user', '</s>[INST] ok [/INST]'), (-1L, 1L, 'assistant', '</s>[INST] ok [/INST]') AS t(conv_id, turn, role, text)")
     return chat.format_report(table(spark, d, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra))
 
 
