@@ -2,12 +2,16 @@
 
 ``write`` stores a payload losslessly as 8-bit samples of a track: nested boxes (ftyp, mdat, moov) with
 sample tables. ``probe`` walks any such file's boxes and decodes the sample tables into codec, duration and
-keyframe byte ranges; payload bytes are addressed, never decoded. ``payload`` follows the sample ranges.
+keyframe byte ranges of every track; payload bytes are addressed, never decoded. ``payload`` follows the sample
+ranges. A file's own columns are those of its first video track, or of its first track if it has none.
 
-Scale: a narrow map, one row at a time in Arrow batches; no shuffle.
+Scale: a narrow map, one row at a time in Arrow batches; no shuffle. Counts that a file states are checked against
+its size before anything of that size is made, so a row takes memory in proportion to its bytes.
 
-Defined cases: null and empty texts are padded to one frame; bytes that are no ISO container, or cut short,
-give null columns from ``media_columns``; equal texts give equal files; an empty table gives no rows.
+Defined cases: null and empty texts are padded to one frame; bytes that are no ISO container, are cut short, state
+more samples than they can hold or nest boxes deeper than ``DEPTH`` give null columns from ``media_columns``; a
+fragmented file, whose samples are not in its tables, has a codec and null samples and keyframes; equal texts give
+equal files; an empty table gives no rows; columns named like the new ones are replaced.
 """
 
 import hashlib
@@ -25,6 +29,7 @@ from chronoweave.session import small_batches
 FRAME = 576
 RATE = 8000  # samples, of one byte each, in a second
 KEY_EVERY = 10
+DEPTH = 32
 # Boxes that hold boxes.
 CONTAINERS = (b"moov", b"trak", b"mdia", b"minf", b"stbl")
 
@@ -86,59 +91,89 @@ def boxes(data: bytes, start: int, end: int):
         start += size
 
 
-def _tracks(data: bytes) -> list[dict]:
-    """Per track, the bodies (start, end) of its boxes by kind."""
+def _tracks(data: bytes) -> tuple[list[dict], bool]:
+    """Per track, the bodies (start, end) of its boxes by kind; whether the file has movie fragments."""
     out: list[dict] = []
-
-    def walk(start, end, into):
+    fragments = False
+    todo = [(0, len(data), None, 0)]
+    while todo:
+        start, end, into, depth = todo.pop()
+        if depth > DEPTH:
+            raise ValueError("boxes nested too deeply")
+        inner = []
         for kind, a, b in boxes(data, start, end):
+            fragments |= kind == b"moof"
             if kind == b"trak":
                 out.append({})
-                walk(a, b, out[-1])
+                inner.append((a, b, out[-1], depth + 1))
             elif kind in CONTAINERS:
-                walk(a, b, into)
+                inner.append((a, b, into, depth + 1))
             elif into is not None:
-                into[kind] = (a, b)
+                into.setdefault(kind, (a, b))
+        todo += reversed(inner)
+    return out, fragments
+
 
-    walk(0, len(data), None)
-    return out
+def _table(data: bytes, track: dict, kind: bytes, form: str, columns: int = 1, skip: int = 8) -> np.ndarray:
+    """The entries of a table box: a count before ``skip`` and so many rows, all inside the box."""
+    a, b = track[kind]
+    n = struct.unpack_from(">I", data, a + skip - 4)[0] * columns
+    if a + skip + n * np.dtype(form).itemsize > b:
+        raise ValueError("table does not fit its box")
+    return np.frombuffer(data, form, n, a + skip).astype(np.int64)
 
 
 def sample_ranges(data: bytes, track: dict) -> tuple[np.ndarray, np.ndarray]:
     """Byte offset and size of every sample, from stsz, stsc and stco or co64."""
     a, _ = track[b"stsz"]
     same, n = struct.unpack_from(">II", data, a + 4)
-    sizes = np.full(n, same, dtype=np.int64) if same else np.frombuffer(data, ">u4", n, a + 12).astype(np.int64)
-    a, _ = track.get(b"co64") or track[b"stco"]
-    chunks = np.frombuffer(data, ">u8" if b"co64" in track else ">u4", struct.unpack_from(">I", data, a + 4)[0], a + 8).astype(np.int64)
-    a, _ = track[b"stsc"]
-    runs = np.frombuffer(data, ">u4", 3 * struct.unpack_from(">I", data, a + 4)[0], a + 8).reshape(-1, 3).astype(np.int64)
+    if same * n > len(data):
+        raise ValueError("more samples than bytes")
+    sizes = np.full(n, same, dtype=np.int64) if same else _table(data, track, b"stsz", ">u4", skip=12)
+    chunks = _table(data, track, b"co64", ">u8") if b"co64" in track else _table(data, track, b"stco", ">u4")
+    runs = _table(data, track, b"stsc", ">u4", 3).reshape(-1, 3)
     until = np.concatenate((runs[1:, 0], [len(chunks) + 1])) if len(runs) else np.zeros(0, dtype=np.int64)
+    if len(runs) and (runs[0, 0] != 1 or (until < runs[:, 0]).any() or until.max() > len(chunks) + 1):
+        raise ValueError("chunk runs out of order")
     per = np.repeat(runs[:, 1], until - runs[:, 0])
-    chunk = np.repeat(np.arange(len(per)), per)[:n]
+    after = np.cumsum(per)
+    if n > (after[-1] if len(after) else 0):
+        raise ValueError("samples without a chunk")
+    chunk = np.searchsorted(after, np.arange(n), side="right")
     before = np.concatenate(([0], np.cumsum(sizes)))[:-1]
-    lead = np.concatenate(([0], np.cumsum(per)))[:-1]
-    return chunks[chunk] + before - before[np.minimum(lead, max(0, n - 1))][chunk], sizes
+    lead = after - per
+    return chunks[chunk] + before - before[lead[chunk]], sizes
 
 
-def probe(data: bytes) -> dict:
-    """codec, duration in seconds, samples, and byte ranges (offset, size) of keyframes of the first track."""
-    track = _tracks(data)[0]
+def _probe_track(data: bytes, track: dict, fragments: bool) -> dict:
     a, _ = track[b"stsd"]
     codec = struct.unpack_from(">4s", data, a + 12)[0].decode("latin-1").strip()
     a, _ = track[b"mdhd"]
     rate, length = struct.unpack_from(">IQ", data, a + 20) if data[a] == 1 else struct.unpack_from(">II", data, a + 12)
+    a, _ = track.get(b"hdlr", (None, None))
+    kind = None if a is None else struct.unpack_from(">4s", data, a + 8)[0].decode("latin-1")
+    out = {"kind": kind, "codec": codec, "duration": length / rate, "samples": None, "keyframes": None}
+    if fragments:
+        return out
     at, size = sample_ranges(data, track)
     keys = np.arange(len(at))
     if b"stss" in track:
-        a, _ = track[b"stss"]
-        keys = np.frombuffer(data, ">u4", struct.unpack_from(">I", data, a + 4)[0], a + 8).astype(np.int64) - 1
-    return {"codec": codec, "duration": length / rate, "samples": len(at), "keyframes": [(int(at[k]), int(size[k])) for k in keys]}
+        keys = _table(data, track, b"stss", ">u4") - 1
+        if len(keys) and not 0 <= keys.min() <= keys.max() < len(at):
+            raise ValueError("keyframe of no sample")
+    return out | {"samples": len(at), "keyframes": list(zip(at[keys].tolist(), size[keys].tolist()))}
+
+
+def probe(data: bytes) -> dict:
+    """kind, codec, duration in seconds, samples, and byte ranges (offset, size) of keyframes; ``tracks`` has those of each track."""
+    found, fragments = _tracks(data)
+    tracks = [_probe_track(data, t, fragments) for t in found]
+    return next((t for t in tracks if t["kind"] == "vide"), tracks[0]) | {"tracks": tracks}
 
 
 def payload(data: bytes) -> bytes:
     """The first track's sample bytes in order."""
-    at, size = sample_ranges(data, _tracks(data)[0])
+    at, size = sample_ranges(data, _tracks(data)[0][0])
     if not len(at):
         return b""
     if (at[1:] == at[:-1] + size[:-1]).all():
@@ -146,21 +181,29 @@ def payload(data: bytes) -> bytes:
     return b"".join(data[a : a + s] for a, s in zip(at.tolist(), size.tolist()))
 
 
+NEW = ("codec", "duration", "samples", "keyframes", "tracks")
+
+
 def media_columns(df: DataFrame, column: str = "media") -> DataFrame:
-    """``df`` with codec, duration, samples and keyframes read from a binary column; null where it is no container."""
+    """``df`` with codec, duration, samples, keyframes and tracks read from a binary column; null where it is no container."""
+
+    def row(p: dict) -> tuple:
+        return p["codec"], p["duration"], p["samples"], p["keyframes"] and [{"offset": a, "size": n} for a, n in p["keyframes"]]
 
     def read(s: pd.Series) -> pd.DataFrame:
         rows = []
         for x in s:
             try:
                 p = probe(bytes(x))
-                rows.append((p["codec"], p["duration"], p["samples"], [{"offset": a, "size": n} for a, n in p["keyframes"]]))
+                rows.append((*row(p), [dict(zip(NEW, row(t))) | {"kind": t["kind"]} for t in p["tracks"]]))
             except (ValueError, KeyError, IndexError, TypeError, struct.error, ZeroDivisionError):
-                rows.append((None, None, None, None))
-        return pd.DataFrame(rows, columns=["codec", "duration", "samples", "keyframes"]).astype({"samples": "Int64"})
+                rows.append((None,) * len(NEW))
+        return pd.DataFrame(rows, columns=NEW).astype({"samples": "Int64"})
 
-    kind = "codec string, duration double, samples long, keyframes array<struct<offset:bigint,size:bigint>>"
-    return df.withColumn("_m", F.pandas_udf(read, kind)(F.col(column))).select(*[c for c in df.columns if c not in ("codec", "duration", "samples", "keyframes")], "_m.*")
+    one = "codec {0} string, duration {0} double, samples {0} bigint, keyframes {0} array<struct<offset:bigint,size:bigint>>"
+    kind = one.format("").replace("  ", " ") + ", tracks array<struct<" + one.format(":").replace(" : ", ":") + ",kind:string>>"
+    clash = [c for c in df.columns if c not in NEW]
+    return df.select(*clash, F.pandas_udf(read, kind)(F.col(column)).alias("_media_columns")).select(*clash, "_media_columns.*")
 
 
 def store_texts(docs: DataFrame) -> DataFrame:
