@@ -4,9 +4,10 @@ The automaton holds every word sequence that occurs in some benchmark item. Each
 through it; after every word the longest suffix read so far that occurs in the benchmark is known, and
 with it whether a whole window ends there and whose items have that window.
 
-Scale: documents never move. An automaton is broadcast only when its shard of the benchmark has at most
-``MAX_SHARD_WORDS`` words; a larger benchmark becomes several shards, and the rows pass through one
-after the other, each pass adding its hits. Memory for a task is one batch of documents and one automaton.
+Scale: documents never move. The benchmark is dealt by a hash of item_id into shards of about ``MAX_SHARD_WORDS``
+words; tasks build one automaton for each and write it to the shared folder, and the driver passes them on one at
+a time to be broadcast. The rows pass through the shards one after the other, each adding its hits; after every
+``TOGETHER`` shards they are written out, so that no worker holds more automata than that.
 
 Defined cases: null, empty and wordless texts have no words and no hits; null or wordless items have no
 windows; repeated items count once by item_id, repeated documents each get their row; an empty benchmark
@@ -24,10 +25,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from chronoweave.llm.hashing import text_bytes
-from chronoweave.session import small_batches
+from chronoweave.session import small_batches, stored
 
 #: One shard's automaton has at most twice as many states as words: about 200 MB in a worker.
 MAX_SHARD_WORDS = 400_000
+#: Automata that one chain of workers holds.
+TOGETHER = 4
 #: Bytes that are part of words, after A-Z became a-z: digits, a-z and everything beyond ASCII.
 WORD_BYTES = bytes(b for b in range(256) if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80)
 _SPACED = bytes(b + 32 if 0x41 <= b <= 0x5A else b if b in WORD_BYTES else 0x20 for b in range(256))
@@ -168,19 +171,22 @@ def merge(spans: list) -> list[tuple[int, int]]:
     return [tuple(x) for x in out]
 
 
-def automata(benchmark: DataFrame, window: int, item: str = "item_id", text: str = "text") -> list[SuffixAutomaton]:
-    """Automata over the benchmark in shards of bounded words. Items stream to the driver one partition at a time."""
-    out: list[SuffixAutomaton] = []
-    size = 0
-    rows = benchmark.select(F.col(item).cast("string").alias("i"), F.col(text).alias("t")).where("i is not null and t is not null")
-    for row in rows.toLocalIterator():
-        words = words_of(row.t)
-        if not out or size + len(words) > MAX_SHARD_WORDS:
-            out.append(SuffixAutomaton(window))
-            size = 0
-        size += len(words)
-        out[-1].add(row.i, words)
-    return [a.finish() for a in out]
+def automata(benchmark: DataFrame, window: int, item: str = "item_id", text: str = "text") -> Iterator[bytes]:
+    """Pickled automata over the benchmark in shards of bounded words, built by tasks, one at a time in the driver."""
+    rows = benchmark.select(F.col(item).cast("string").alias("item"), F.col(text).alias("text")).where("item is not null and text is not null").distinct()
+    total = rows.agg(F.sum(F.regexp_count("text", F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")))).first()[0] or 0
+    shards = max(1, -(-total // MAX_SHARD_WORDS))
+
+    def build(group: pd.DataFrame) -> pd.DataFrame:
+        automaton = SuffixAutomaton(window)
+        for i, t in sorted(zip(group["item"], group["text"])):
+            automaton.add(i, words_of(t))
+        return pd.DataFrame({"automaton": [cloudpickle.dumps(automaton.finish())]})  # by value: executors need no installed package
+
+    dealt = rows.withColumn("shard", F.pmod(F.xxhash64("item"), F.lit(shards)))
+    built = stored(dealt.groupBy("shard").applyInPandas(build, "automaton binary"))
+    for row in built.toLocalIterator():
+        yield bytes(row.automaton)
 
 
 _HITS = T.StructType([T.StructField("n_words", T.LongType()), T.StructField("longest", T.LongType()), T.StructField("items", T.ArrayType(T.StringType())), T.StructField("spans", T.ArrayType(T.ArrayType(T.LongType()))), T.StructField("text", T.StringType())])
@@ -189,12 +195,18 @@ _HITS = T.StructType([T.StructField("n_words", T.LongType()), T.StructField("lon
 def find_hits(docs: DataFrame, benchmark: DataFrame, window: int = 10, text: str = "text", into: str = "contamination", cut: bool = False) -> DataFrame:
     """``docs`` with a struct ``into``: n_words, longest match, sorted items, merged hit spans in words, text without them if ``cut``."""
     spark = small_batches(docs).sparkSession
-    shards = automata(benchmark, window) or [SuffixAutomaton(window).finish()]
+    shards = automata(benchmark, window)
+    shard = next(shards, None) or cloudpickle.dumps(SuffixAutomaton(window).finish())
     docs = docs.withColumn(into, F.lit(None).cast(_HITS))
-    for k, shard in enumerate(shards, 1):
-        find = F.pandas_udf(_finder(spark.sparkContext.broadcast(cloudpickle.dumps(shard)), cut and k == len(shards)), _HITS).asNondeterministic()
+    k = 0
+    while shard is not None:
+        following = next(shards, None)
+        if k and k % TOGETHER == 0:
+            docs = stored(docs)
+        find = F.pandas_udf(_finder(spark.sparkContext.broadcast(shard), cut and following is None), _HITS).asNondeterministic()
         before = F.struct(F.col(into)["longest"].alias("longest"), F.col(into)["items"].alias("items"), F.col(into)["spans"].alias("spans"))
         docs = docs.withColumn(into, find(F.col(text), before))
+        shard, k = following, k + 1
     return docs
 
 
