@@ -39,10 +39,13 @@ from chronoweave.session import small_batches, stored
 
 GRAM = 32
 #: In place of an anchor's offset: a span that its own batch has found to be repeated.
-_DONE = 65535
+_DONE = 255
+#: Anchors that a task reads before it hands them on: repeats among them are settled at once.
+TOGETHER = 200_000
 SPANS = ("whole_lo", "whole_hi", "edge_lo", "edge_hi")
 _U = np.uint64
-_ENTRY = np.dtype([("h", "<u8"), ("c", "<u8"), ("doc", "<i8"), ("lo", "<i8"), ("at", "<u2"), ("n", "<u2"), ("left", "<u4"), ("right", "<u4")])
+#: ``h``, ``left`` and ``right`` only bring together what is then compared by ``c`` or by its bytes, so few bits do.
+_ENTRY = np.dtype([("doc", "<i8"), ("lo", "<u4"), ("n", "<u2"), ("at", "u1"), ("h", "<u4"), ("left", "<u2"), ("right", "<u2"), ("c", "<u8")])
 
 
 def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
@@ -61,7 +64,7 @@ def half(length: int) -> int:
 
 
 def _half_hash(sums: np.ndarray, start: np.ndarray, end: np.ndarray, whole: np.ndarray) -> np.ndarray:
-    return np.where(whole, slice_hashes(sums, start, end) >> _U(32) | _U(1), _U(0))
+    return np.where(whole, slice_hashes(sums, start, end) >> _U(48) | _U(1), _U(0))
 
 
 def anchors(texts: list[bytes], length: int) -> tuple[np.ndarray, ...]:
@@ -127,52 +130,80 @@ def _comparable(head: np.ndarray, length: int) -> np.ndarray:
     at, n = e["at"].astype(np.int64), e["n"].astype(np.int64)
     n = np.where(right, n, np.minimum(n, at + length - half(length)))
     cut = np.where(left, 0, np.maximum(at - (length - GRAM - half(length)), 0))
-    e["lo"] += cut
-    e["at"], e["n"] = at - cut, n - cut
+    e["lo"], e["at"], e["n"] = e["lo"] + cut, at - cut, n - cut
     return e
 
 
 def _entries(ids, texts: list[bytes], length: int) -> np.ndarray:
     text, lo, at, n, h, c, left, right = anchors(texts, length)
     e = np.empty(len(text), dtype=_ENTRY)
-    e["h"], e["c"], e["doc"], e["lo"], e["at"], e["n"] = h, c, np.asarray(ids, dtype=np.int64)[text] if len(text) else 0, lo, at, n
+    e["h"], e["c"], e["doc"], e["lo"], e["at"], e["n"] = h >> _U(32) if len(h) else h, c, np.asarray(ids, dtype=np.int64)[text] if len(text) else 0, lo, at, n
     e["left"], e["right"] = left, right
     return e
 
 
+def _packed(e: np.ndarray) -> bytes:
+    """Entries, sorted by (doc, lo), column by column; doc ids as differences, byte by byte, which compresses well."""
+    doc = np.diff(e["doc"], prepend=np.int64(0)).view(np.uint8).reshape(-1, 8).T
+    lo = np.ascontiguousarray(e["lo"]).view(np.uint8).reshape(-1, 4).T
+    return b"".join([doc.tobytes(), lo.tobytes(), *(np.ascontiguousarray(e[c]).tobytes() for c in _ENTRY.names[2:])])
+
+
+def _unpacked(raw: bytes) -> np.ndarray:
+    e = np.empty(len(raw) // _ENTRY.itemsize, dtype=_ENTRY)
+    at = 0
+    for c in _ENTRY.names:
+        part = np.frombuffer(raw, dtype=_ENTRY[c] if c not in ("doc", "lo") else np.uint8, count=len(e) * (1 if c not in ("doc", "lo") else _ENTRY[c].itemsize), offset=at)
+        at += part.nbytes
+        if c in ("doc", "lo"):
+            part = np.ascontiguousarray(part.reshape(_ENTRY[c].itemsize, -1).T).view(_ENTRY[c]).ravel()
+        e[c] = np.cumsum(part) if c == "doc" else part
+    return e
+
+
 def _blobs(e: np.ndarray, bucket: np.ndarray, name: str) -> pd.DataFrame:
-    order = np.argsort(bucket, kind="stable")
+    order = np.lexsort((e["lo"], e["doc"], bucket))
     e, bucket = e[order], bucket[order]
     cut = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1])))
-    return pd.DataFrame({name: bucket[cut], "e": [x.tobytes() for x in np.split(e, cut[1:])]})
+    return pd.DataFrame({name: bucket[cut], "e": [_packed(x) for x in np.split(e, cut[1:])]})
 
 
 def repeated_spans(docs: DataFrame, length: int = 100, buckets: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(documents, requests): per doc the contexts to remove whole (at -1) and those to compare by window."""
+    if not GRAM <= length <= 250:
+        raise ValueError(f"length must be from {GRAM} to 250")
     spark = docs.sparkSession
     n = buckets or max(64, int(spark.conf.get("spark.sql.shuffle.partitions")) * 4)
     source = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text")).where("doc_id is not null")
 
     def local(batches):
-        """Anchors of a batch by bucket, and contexts that the batch itself repeats, by document."""
+        """Anchors by bucket, and contexts that the texts read together repeat, by document."""
+        parts, held = [], 0
         for batch in batches:
             ids, texts = batch["doc_id"].to_numpy(), [text_bytes(t) for t in batch["text"]]
-            parts = [_entries(ids[a:b], texts[a:b], length) for a, b in pieces(texts)]
-            if not parts or not sum(map(len, parts)):
-                continue
-            new, e = _first_of(np.concatenate(parts))
-            yield _blobs(e[new], (mix(e["h"][new]) % _U(n)).astype(np.int64), "bucket")
-            if not new.all():
-                lead = np.flatnonzero(new)[np.cumsum(new) - 1]
-                done = e[~new & ((e["doc"] != e["doc"][lead]) | (e["lo"] != e["lo"][lead]))]
-                done["h"], done["c"], done["at"] = 0, 0, _DONE
-                yield _blobs(done, done["doc"] % n, "bucket")
+            for a, b in pieces(texts):
+                parts.append(_entries(ids[a:b], texts[a:b], length))
+                held += len(parts[-1])
+                if held >= TOGETHER:
+                    yield from settled(np.concatenate(parts))
+                    parts, held = [], 0
+        if held:
+            yield from settled(np.concatenate(parts))
+
+    def settled(e):
+        new, e = _first_of(e)
+        yield _blobs(e[new], (mix(e["h"][new].astype(_U)) % _U(n)).astype(np.int64), "bucket")
+        if not new.all():
+            lead = np.flatnonzero(new)[np.cumsum(new) - 1]
+            done = e[~new & ((e["doc"] != e["doc"][lead]) | (e["lo"] != e["lo"][lead]))]
+            done["h"], done["c"], done["at"] = 0, 0, _DONE
+            yield _blobs(done, done["doc"] % n, "bucket")
 
     found = source.mapInPandas(local, "bucket long, e binary")
 
     def meet(key, group):
         """Of one bucket: (doc, lo, hi, 0) for repeated contexts, (doc, lo, hi, rel, 1, h) for those to compare."""
-        e = np.concatenate([np.frombuffer(x, dtype=_ENTRY) for x in group["e"]])
+        e = np.concatenate([_unpacked(x) for x in group["e"]])
         done = e[e["at"] == _DONE]
         new, e = _first_of(e[e["at"] != _DONE])
         lead = np.flatnonzero(new)[np.cumsum(new) - 1]
@@ -182,14 +213,14 @@ def repeated_spans(docs: DataFrame, length: int = 100, buckets: int | None = Non
         return pd.DataFrame(
             {
                 "doc": np.concatenate((gone["doc"], ask["doc"])),
-                "lo": np.concatenate((gone["lo"], ask["lo"])),
-                "n": np.concatenate((gone["n"], ask["n"])).astype(np.int64),
-                "at": np.concatenate((np.full(len(gone), -1), ask["at"].astype(np.int64))),
-                "h": np.concatenate((np.zeros(len(gone), dtype=np.int64), ask["h"].view(np.int64))),
+                "lo": np.concatenate((gone["lo"], ask["lo"])).astype(np.int64),
+                "n": np.concatenate((gone["n"], ask["n"])).astype(np.int32),
+                "at": np.concatenate((np.full(len(gone), -1, dtype=np.int32), ask["at"].astype(np.int32))),
+                "h": np.concatenate((np.zeros(len(gone), dtype=np.int32), ask["h"].view(np.int32))),
             }
         )
 
-    met = found.groupBy("bucket").applyInPandas(meet, "doc long, lo long, n long, at long, h long")
+    met = found.groupBy("bucket").applyInPandas(meet, "doc long, lo long, n int, at int, h int")
     met = met.groupBy("doc").agg(F.collect_list(F.struct("lo", "n", "at", "h")).alias("r"))
     return source, stored(met)
 
@@ -267,7 +298,7 @@ def removed_spans(docs: DataFrame, length: int = 100) -> DataFrame:
             yield pd.DataFrame(out)
 
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) * 4
-    context = asked.mapInPandas(contexts, "doc long, lo long, h long, context binary")
+    context = asked.mapInPandas(contexts, "doc long, lo long, h int, context binary")
 
     def compare(batches):
         """Repeated windows among the contexts of a shard, joined to spans."""
