@@ -115,9 +115,17 @@ def test_packing(spark, monkeypatch):
     assert packing.pack(frame(spark, [])).count() == 0
 
 
-def test_rounded_lengths(spark):
-    got = spark.range(1, 3000).select("id", packing.rounded(F.col("id")).alias("r")).collect()
-    assert all(r.id <= r.r <= r.id * (1 + 1 / 128) for r in got) and all(r.r == r.id for r in got if r.id <= 256)
+def test_boundaries_over_many_lengths():
+    """Divide and conquer gives the plain programme's padding, and all lengths of a histogram count as they are."""
+    rnd = np.random.default_rng(4)
+    lengths = np.unique(rnd.integers(1, 20_000, 400))
+    counts = rnd.integers(1, 50, len(lengths))
+    n, tokens = np.concatenate(([0], counts.cumsum())), np.concatenate(([0], (counts * lengths).cumsum()))
+    best = lengths * n[1:] - tokens[1:]
+    for _ in range(7):
+        best = np.array([min([best[j], *(best[i] + lengths[j] * (n[j + 1] - n[i + 1]) - tokens[j + 1] + tokens[i + 1] for i in range(j))]) for j in range(len(lengths))])
+    bounds = np.array(packing.optimal_boundaries(lengths, counts, 8))
+    assert (counts * (bounds[np.searchsorted(bounds, lengths)] - lengths)).sum() == best[-1] and len(bounds) <= 8
 
 
 # --- substring dedup ---------------------------------------------------------------------------------------------
@@ -212,11 +220,38 @@ def test_language(spark):
 
 
 def test_kernel_table_equals_landmark_kernel():
-    """The folded table scores as the kernel with landmarks does, for a text seen in training."""
+    """Scores are those of kernel ridge regression over Nystroem features, with kernels counted on n-gram sets."""
+    from itertools import combinations, product
+
+    flags = np.zeros(langid.BINS, dtype=np.uint8)
+    grams = lambda t: {t[i : i + n] for n in (1, 2, 3) for i in range(len(t) - n + 1)}
+    every = lambda letters: "".join(map("".join, product(letters, repeat=3)))
+    # letters none of whose n-grams share a bin, so that bins can be counted as n-grams
+    letters = next("".join(c) for c in combinations("abcdefghij", 5) if len(langid.presence(every(c).encode(), flags)) == len(grams(every(c))) == 155)
     rnd = random.Random(6)
-    texts = ["".join(rnd.choices("abcde" if i % 2 else "vwxyz", k=50)) for i in range(40)]
-    model = langid.KernelClassifier.fit(texts, ["l" if i % 2 else "r" for i in range(40)])
-    assert model.predict(texts)[0] == ["l" if i % 2 else "r" for i in range(40)]
+    texts = ["".join(rnd.choices(letters[:3] if i % 2 else letters[2:], k=rnd.randrange(5, 50))) for i in range(40)]
+    langs = ["l" if i % 2 else "r" for i in range(40)]
+    model = langid.KernelClassifier.fit(texts, langs)
+    kernel = lambda a, b: len(grams(a) & grams(b)) / (len(grams(a)) * len(grams(b))) ** 0.5
+    k = np.array([[kernel(a, b) for b in texts] for a in texts])  # all are landmarks
+    value, vector = np.linalg.eigh(k)
+    root = vector[:, value > 1e-6 * value.max()] / np.sqrt(value[value > 1e-6 * value.max()])
+    f = k @ root
+    w = np.linalg.solve(f.T @ f + langid.RIDGE * np.eye(f.shape[1]), f.T @ np.array([[x == "l", x == "r"] for x in langs], dtype=float))
+    new = ["".join(rnd.choices(letters, k=30)) for _ in range(20)]
+    want = np.array([[kernel(a, b) for b in texts] for a in new]) @ root @ w
+    names, scores = model.predict(new)
+    assert names == ["lr"[i] for i in want.argmax(axis=1)]
+    odds = np.exp(8 * want)
+    assert scores == pytest.approx((odds.max(axis=1) / odds.sum(axis=1)).tolist(), abs=1e-3)
+
+
+def test_language_of_repeated_ids_and_long_texts(spark):
+    docs = frame(spark, ["der die das und " * 5] * 60, lang="de").union(frame(spark, ["the and of to in " * 5] * 60, lang="en")).union(frame(spark, ["der die das und " * 20_000], lang=None))
+    one, two = (langid.fit(docs.repartition(n)) for n in (2, 7))
+    assert one.classes == two.classes and (one.table == two.table).all()
+    assert {r.lang_pred for r in langid.identify(docs.where("lang is null"), one).collect()} <= {"de", "en"}
+    assert set(langid.fit(docs.where("doc_id < 0")).classes) == set()
 
 
 # --- toxicity ----------------------------------------------------------------------------------------------------
@@ -246,15 +281,68 @@ def test_toxicity(spark):
 
 
 def test_clauses():
-    weights = {"idiot": 4.0}
-    weigh = lambda s: toxicity.Grammar(weights, {}).clauses(s)
+    g = toxicity.Grammar({"idiot": 4.0}, {})
+    weigh = lambda s: [g.machine.total(names, weights, toxicity.HITS) for names, weights in g.clauses(s)]
     assert weigh("fine. what an idiot; fine") == [4.0]
     assert weigh("you idiot") == [5.0] and weigh("not an idiot") == [2.0]
     assert weigh("they wrote idiot") == [pytest.approx(4 * 0.6 * 1.25)]
     assert weigh("not at all well, an idiot") == [4.0] and weigh("idiotic") == [] and weigh("") == []
+    assert weigh("I will kill you") == [5.0] and weigh("I will not kill you") == [2.5] and weigh("kill time") == [0] and weigh("je te tuerai") == [5.0]
+    assert weigh("he said kill you") == [pytest.approx(3.0)] and weigh("kill all the while you") == [0] and weigh("idiot\nidiot you") == [4.0, 5.0]
     assert toxicity.chance(3, 3, 0.5) == pytest.approx(1 / 8) and toxicity.chance(0, 4, 0.3) == pytest.approx(1)
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.sampled_from(toxicity.SYMBOLS), max_size=7))
+def test_composition_is_path_by_path(symbols):
+    """The composed grammar weighs a clause as its transducers do, applied one after the other to every path."""
+    factors = {"target": 1.25, "negation": 0.5, "report": 0.6}
+    parts = [toxicity.insults(), toxicity.threats(), toxicity.negations(0.5), toxicity.reports(0.6), toxicity.targets(1.25)]
+
+    def through(read, machines):
+        if not machines:
+            return 1.0
+        return sum(w * through(out, machines[1:]) for out, w in machines[0].paths(read))
+
+    machine = toxicity.composed(factors)
+    assert machine.total(symbols) == pytest.approx(through(symbols, parts)) == pytest.approx(sum(w for _, w in machine.paths(symbols)))
+    scale = [float(i + 2) for i in range(len(symbols))]
+    marked = sum(w * scale[next(i for i, x in enumerate(out) if x in toxicity.HITS)] for out, w in machine.paths(symbols))
+    assert machine.total(symbols, scale, toxicity.HITS) == pytest.approx(marked)
+
+
+def test_factors_help():
+    """Where negated insults are harmless, held-out rows are read better for the factors than without them."""
+    rnd = random.Random(12)
+    texts, toxic = [], []
+    for _ in range(1200):
+        words, y = prose(rnd, 30).split(), rnd.random() < 0.4
+        if y or rnd.random() < 0.5:
+            words[10:10] = [*([] if y else ["never"]), rnd.choice(["lout", "fiesling", "grobian"])]
+        texts.append(" ".join(words))
+        toxic.append(int(y))
+    # enough plain insults, and rows without one, to learn the words by
+    more = [prose(rnd, 30) + (" " + rnd.choice(["lout", "fiesling", "grobian"])) * (i % 2) for i in range(9000)]
+    g = toxicity.Grammar.fit(texts[:800] + more, toxic[:800] + [i % 2 for i in range(len(more))])
+    plain = toxicity.Grammar(g.words, g.stems, g.verbs, dict.fromkeys(toxicity.FACTORS, 1.0), g.logistic)
+    right = lambda m: sum((m.score(t) >= 0.5) == y for t, y in zip(texts[800:], toxic[800:]))
+    assert g.factors["negation"] <= 0.5 and right(g) == 400 > right(plain)
+
+
+def test_labelled_sample_is_bounded_and_rows_of_one_id_are_settled(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "SAMPLE", {1: 40, 0: 60})
+    drawn = {}
+    fit = toxicity.Grammar.fit.__func__
+    monkeypatch.setattr(toxicity.Grammar, "fit", classmethod(lambda cls, texts, toxic, share: drawn.update(texts=texts, toxic=toxic, share=share) or fit(cls, texts, toxic, share)))
+    docs = frame(spark, [f"text {i}" for i in range(3000)])
+    docs = docs.union(docs.withColumn("text", F.concat(F.lit("b "), "text"))).repartition(7)
+    labels = spark.createDataFrame([(i, 1, i % 3 == 0) for i in range(3000)], "doc_id long, quality int, toxic boolean").withColumn("toxic", F.col("toxic").cast("int"))
+    toxicity.fit(docs, labels)
+    n = Counter(drawn["toxic"])
+    assert 15 < n[1] < 75 and 30 < n[0] < 100 and all(t.startswith("b ") for t in drawn["texts"])
+    assert n[1] * drawn["share"][1] == pytest.approx(sum(1 for i in range(0, 3000, 3) if zlib.crc32(str(i).encode()) % 5))
+
+
 # --- html --------------------------------------------------------------------------------------------------------
 
 
@@ -272,12 +360,63 @@ def test_common_lines(a, b):
     assert len(html_extract.common_lines(a, b)) == lcs(a, b)
 
 
+def lines_of(page):
+    return [(x, inside) for x, inside, _ in html_extract.page_lines(page)]
+
+
 def test_page_lines():
     page = """<!DOCTYPE html><head><title>t</title><style>p{}</style></head><body class='x'><nav><a>menu</a></nav><!-- <p>no</p> --><div class="top ad">ad<div>in</div></div>
     <article><h1>A &amp; B&nbsp;C</h1><p><b>one  two<br>three</b><p>x < y &lt; z<script>var t="</p>";</script> end<form><p>f</form></article><div id="comments">bad</div><footer>f</footer>tail"""
-    assert [x for x, inside in html_extract.page_lines(page) if inside] == ["A & B C", "one two", "three", "x < y < z end"]
-    assert [x for x, inside in html_extract.page_lines(page) if not inside] == ["tail"]
-    assert html_extract.page_lines(None) == [] == html_extract.page_lines("") and html_extract.page_lines("a &am <b") == [("a &am <b", False)]
+    assert lines_of(page) == [("A & B C", True), ("one two", True), ("three", True), ("x < y < z end", True), ("tail", False)]
+    assert lines_of(None) == [] == lines_of("") and lines_of("a &am <b") == [("a &am <b", False)]
+
+
+def test_page_lines_with_end_tags_left_out():
+    plain = lambda page: [x for x, _ in lines_of(page)]
+    assert plain('<p class="notice">x<p>two<p>three') == ["two", "three"] and plain('<ul><li class="ad">x<li>two</ul>') == ["two"]
+    assert plain("<table><tr><td>a<td class=ad>b<tr><td>c</table>d") == ["a", "c", "d"] and plain("<dl><dt class=ad>a<dd>b<dt>c</dl>") == ["b", "c"]
+    assert plain("<nav><ul><li>a<li>b</ul><p>one<p>two") == ["one", "two"] and plain("<nav><ul><li>a</ul><article><p>one</article>tail") == ["one", "tail"]
+    assert plain("<div class=ad><p>x</div><p>y</b></i>z") == ["yz"] and plain("<footer>x") == []
+    assert plain("<ul><li>a<ul><li>b</ul><li class=share>c<li>d</ul>") == ["a", "b", "d"] and plain("<b>a<p>b</b>c") == ["a", "bc"]
+
+
+def test_names_count_as_a_whole():
+    plain = lambda page: [x for x, _ in lines_of(page)]
+    kept = ["content no-sidebar", "has-comments", "article-header", "with-ads", "notice-of-motion", "header-image-post-title", "main", "post"]
+    gone = ["sidebar", "site-footer", "top ad", "ad2", "cookie-banner", "comment-list", "commentlist", "share-buttons", "related_posts"]
+    assert [plain(f'<div class="{k}"><p>x</div>') for k in kept] == [["x"]] * len(kept) and [plain(f'<div class="{k}"><p>x</div>') for k in gone] == [[]] * len(gone)
+    page = '<header>site</header><article><header><h1>Title</h1></header><div class="entry-header">By</div><p>x<ol class="commentlist"><li>c</ol><footer>f</footer></article>'
+    assert lines_of(page) == [("Title", True), ("By", True), ("x", True)]
+
+
+def brute_extract(rows):
+    """The text of each page: neighbour by all pages of the host, shared lines by the table of the longest common subsequence."""
+
+    def place(r):
+        url = re.sub("^[a-zA-Z][a-zA-Z0-9+.-]*://", "", r[1] or "")
+        host = re.match("[^/?#]*", url)[0]
+        return host.lower(), re.match("[^?#]*", url[len(host) :])[0], r[0]
+
+    def common(a, b):
+        return next((i for i in range(min(len(a), len(b))) if a[i] != b[i]), min(len(a), len(b)))
+
+    out, order = {}, sorted(rows, key=place)
+    for i, r in enumerate(order):
+        near = [order[j] for j in (i - 1, i + 1) if 0 <= j < len(order) and place(order[j])[0] == place(r)[0]]
+        lines = html_extract.page_lines(r[2])
+        gone = set()
+        if near:
+            best = max(near, key=lambda x: common(place(r)[1], place(x)[1]))  # the first of equals
+            most = max(common(place(r)[1], place(x)[1]) for x in rows if x is not r and place(x)[0] == place(r)[0])
+            assert common(place(r)[1], place(best)[1]) == most
+            other = [x for x, _, _ in html_extract.page_lines(best[2])]
+            for k, (x, _, _) in enumerate(lines):  # shared lines differ from each other here: a line is in the alignment or no longer one is without it
+                if lcs([y for y, _, _ in lines[:k]] + [y for y, _, _ in lines[k + 1 :]], other) < lcs([y for y, _, _ in lines], other):
+                    gone.add(k)
+            gone = set() if len(gone) == len(lines) else gone
+        marked = any(inside for _, inside, _ in lines)
+        out[r[0]] = "\n".join(x for k, (x, inside, link) in enumerate(lines) if (inside or not marked) and (k not in gone or inside and not link))
+    return out
 
 
 def test_extract(spark, monkeypatch):
@@ -287,15 +426,21 @@ def test_extract(spark, monkeypatch):
     rows = [(i, f"http://h{0 if i % 3 else i % 4}/a/{rnd.randrange(1000):04}", page("Top of site", f"own {i}", f"more {i}", "Bottom of site")) for i in range(60)]
     rows += [(100, None, None), (101, "http://x/", ""), (102, "http://y/1", page("only")), (103, "http://h0/a", "<article>" + page("Top of site", "mine") + "</article>tail")]
     rows += [(200, "http://z/1", page("same", "page")), (201, "http://z/2", page("same", "page"))]
+    rows += [(300 + i, f"http://w\x01/\x01{i}", page("Top", f"w {i}")) for i in range(4)] + [(-5, "http://w\x01/\x01", page("Top", "w"))]
+    article = lambda i: f"<article><p><a href=x>Share this</a><p>Same words.<p>own {i}</article>{page('Outside')}"
+    rows += [(400 + i, f"http://v/{i}", article(i)) for i in range(5)] + [(500, "http://u/1", page("first", "x" * 3_000_000, "last"))]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit("clash"))
+    for c in ("host", "path", "id", "at", "range", "guest", "key"):
+        pages = pages.withColumn(c, F.lit("clash"))
     got = {r.page_id: r for r in html_extract.extract(pages).collect()}
     assert len(got) == len(rows)
     for i in range(60):
         assert got[i].text == f"own {i}\nmore {i}" and got[i].n_chars == len(got[i].text)
     assert got[100].text == got[101].text == "" and got[102].text == "only" and got[103].text == "Top of site\nmine"
-    assert got[200].text == got[201].text == "same\npage"
+    assert got[200].text == got[201].text == "same\npage" and got[301].text == "w 1" and got[402].text == "Same words.\nown 2"
+    assert {k: r.text for k, r in got.items()} == brute_extract(rows)
     assert html_extract.extract(pages.limit(0)).count() == 0
-    assert html_extract.extract(pages.union(pages)).count() == 2 * len(rows)
+    assert html_extract.extract(pages.union(pages).unionByName(pages.limit(1).withColumn("page_id", F.lit(None).cast("long")))).count() == 2 * len(rows) + 1
 
 
 # --- near duplicates ---------------------------------------------------------------------------------------------
@@ -399,6 +544,36 @@ def test_chat_events(spark):
     assert back[2].formatted == "<s>\n</s>" and chat.format_report(events.limit(0)).count() == 0
 
 
+def test_chat_events_without_kind_or_number(spark):
+    log = [
+        (1, None, 1, "message", "user", "first "),
+        (1, 2, 1, None, "user", "then "),
+        (1, 3, 1, "unheard of", "user", "more"),
+        (2, None, 1, "delta", "assistant", "a"),
+        (2, 1, 1, "delta", "assistant", "b"),
+        (3, 1, 1, "message", "a\nrole &#10;", "x"),
+        (4, 5, 1, "message", "user", "kept"),
+        (4, None, 1, None, "user", "before the opening"),
+        (None, None, None, None, None, None),
+    ]
+    events = spark.createDataFrame(log, "conv_id long, seq long, turn long, kind string, role string, text string")
+    back = {r.conv_id: [tuple(t) for t in r.turns] for r in chat.read_back(chat.render(chat.fold_events(events))).collect()}
+    assert back == {1: [("user", "first then more")], 2: [("assistant", "ab")], 3: [("a\nrole &#10;", "x")], 4: [("user", "kept")], None: [("", "")]}
+
+
+def test_chat_log_of_a_table_folds_back(spark):
+    rnd = random.Random(13)
+    rows = [(c, t, rnd.choice(["user", "assistant"]), rnd.choice([None, "", "x", prose(rnd, 30), "é" * 999])) for c in range(40) for t in range(rnd.randrange(1, 9))]
+    rows += [rows[0], (1000, 0, "assistant", "long " * 200_000)]
+    table = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    events = chat.as_events(table)
+    assert {r.kind for r in events.select("kind").distinct().collect()} == {"message", "delta", "edit", "regenerate"}
+    folded = Counter((r.conv_id, r.role, r.text) for r in chat.fold_events(events.repartition(5)).collect())
+    assert folded == Counter((c, role, text or "") for c, _, role, text in rows)
+    got = {r.conv_id: r for r in chat.format_report(table).collect()}
+    assert got[1000].loss_sha256 == sha("long " * 200_000)
+
+
 def test_chat_report(spark):
     rows = [(1, 0, "user", "x\ny"), (1, 1, "assistant", "é</s>😀"), (1, 2, "assistant", None), (1, 2, "assistant", None), (2, 0, None, "a"), (None, 0, "assistant", "b")]
     docs = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("seq", F.lit("clash"))
@@ -467,10 +642,55 @@ def test_sample_tables_with_chunks_and_sizes():
     moov = media.box(b"moov", media.box(b"trak", media.box(b"mdia", mdhd, media.box(b"minf", stbl))))
     file = media.box(b"free", data) + moov
     p = media.probe(file)
-    assert p == {"codec": "avc1", "duration": 2.5, "samples": 4, "keyframes": [(10, 3), (70, 6)]}
+    assert (p["codec"], p["duration"], p["samples"], p["keyframes"]) == ("avc1", 2.5, 4, [(10, 3), (70, 6)])
     assert media.payload(file) == file[10:17] + file[50:55] + file[70:76]
 
 
+def track(handler=b"vide", stsz=None, stss=None, chunks=(10, 50, 70), codec=b"avc1", count=4):
+    import struct
+
+    full = media.full
+    stbl = media.box(
+        b"stbl",
+        full(b"stsd", struct.pack(">I", 1), media.box(codec, bytes(8))),
+        full(b"stss", stss or struct.pack(">III", 2, 1, 4)),
+        full(b"stsc", struct.pack(">I", 2), struct.pack(">IIIIII", 1, 2, 1, 2, 1, 1)),
+        full(b"stsz", stsz or struct.pack(">II", 0, 4) + struct.pack(">IIII", 3, 4, 5, 6)),
+        full(b"stco", struct.pack(">I", len(chunks)), struct.pack(f">{len(chunks)}I", *chunks)),
+    )
+    mdhd = full(b"mdhd", struct.pack(">IIIIHH", 0, 0, 1000, 2500, 0, 0))
+    hdlr = full(b"hdlr", struct.pack(">I4s12x", 0, handler))
+    return media.box(b"trak", media.box(b"mdia", mdhd, hdlr, media.box(b"minf", stbl)))
+
+
+def movie(*tracks, more=b""):
+    return media.box(b"free", bytes(range(100))) + media.box(b"moov", *tracks) + more
+
+
+def test_hostile_and_unusual_containers(spark):
+    import struct
+
+    nested = b""
+    for _ in range(3000):
+        nested = media.box(b"moov", nested)
+    files = [
+        movie(track(stsz=struct.pack(">II", 0, 2**32 - 1))),  # more entries than the box has
+        movie(track(stsz=struct.pack(">II", 1, 2**32 - 1))),  # more samples than bytes
+        movie(track(stss=struct.pack(">II", 1, 99))),  # a keyframe of no sample
+        movie(track(chunks=(10,))),  # samples without a chunk
+        nested,
+        b"",
+        movie(),
+        movie(track(b"soun", codec=b"mp4a"), track()),  # the video track counts
+        movie(track(), more=media.box(b"moof", b"")),  # fragments
+    ]
+    rows = spark.createDataFrame(list(enumerate(files)), "id long, media binary").withColumn("samples", F.lit("clash")).withColumn("_m", F.lit(1))
+    got = {r.id: r for r in media.media_columns(rows).collect()}
+    assert all(got[i].codec is None and got[i].tracks is None for i in range(7))
+    assert got[7].codec == "avc1" and got[7].samples == 4 and [t.codec for t in got[7].tracks] == ["mp4a", "avc1"] and [tuple(k) for k in got[7].keyframes] == [(10, 3), (70, 6)]
+    assert got[8].codec == "avc1" and got[8].samples is None is got[8].keyframes and got[8].duration == 2.5
+
+
 def test_media_columns(spark):
     docs = frame(spark, ["abc", None, "", "é" * 5000])
     stored = media.store_texts(docs).unionByName(spark.createDataFrame([(9, bytearray(b"no container")), (10, None)], "doc_id long, media binary")).withColumn("codec", F.lit(1))
