@@ -322,7 +322,7 @@ def test_factors_help():
         texts.append(" ".join(words))
         toxic.append(int(y))
     # enough plain insults, and rows without one, to learn the words by
-    more = [prose(rnd, 30) + (" " + rnd.choice(["lout", "fiesling", "grobian"])) * (i % 2) for i in range(9000)]
+    more = [prose(rnd, 15) + (" " + rnd.choice(["lout", "fiesling", "grobian"]) + " ") * (i % 2) + prose(rnd, 15) for i in range(9000)]
     g = toxicity.Grammar.fit(texts[:800] + more, toxic[:800] + [i % 2 for i in range(len(more))])
     plain = toxicity.Grammar(g.words, g.stems, g.verbs, dict.fromkeys(toxicity.FACTORS, 1.0), g.logistic)
     right = lambda m: sum((m.score(t) >= 0.5) == y for t, y in zip(texts[800:], toxic[800:]))
