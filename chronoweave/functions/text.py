@@ -23,8 +23,33 @@ def to_last_period(text: Column, n: int) -> Column:
 def repetition(text: Column, n: int = 3, most: float = -1.0) -> Column:
     """(1 - distinct / all n-grams of words) * most; 0 for fewer than n words."""
     words = F.filter(F.split(F.lower(text), r"[ \t-\r]+"), lambda w: w != "")
-    grams = F.transform(F.sequence(F.lit(1), F.size(words) - n + 1), lambda i: F.array_join(F.slice(words, i, n), " "))
-    return F.when(F.size(words) < n, 0.0).otherwise((1 - F.size(F.array_distinct(grams)) / F.size(grams)) * most)
+
+    def penalty(w: Column) -> Column:
+        k = F.greatest(F.size(w) - n + 1, F.lit(0))
+        grams = F.slice(w, F.lit(1), k)
+        for j in range(2, n + 1):
+            grams = F.zip_with(grams, F.slice(w, F.lit(j), k), lambda a, b: F.concat(a, F.lit(" "), b))
+        return F.when(F.size(w) < n, 0.0).otherwise((1 - F.size(F.array_distinct(grams)) / F.size(grams)) * most)
+
+    return F.transform(F.array(words), penalty)[0]  # the words are bound once: an expression would be split again wherever it stands
+
+
+def first_boxed(text: Column) -> Column:
+    """What stands in the first ``\\boxed{...}`` with its braces balanced; null without one."""
+    rest = F.when(F.contains(text, F.lit("\\boxed{")), F.substr(text, F.locate("\\boxed{", text) + 7))
+    start = F.struct(F.lit(0).alias("i"), F.lit(1).alias("depth"), F.lit(0).alias("end"))
+
+    def step(s: Column, c: Column) -> Column:
+        depth = s["depth"] + F.when(c == "{", 1).when(c == "}", -1).otherwise(0)
+        return F.struct((s["i"] + 1).alias("i"), depth.alias("depth"), F.when((s["end"] == 0) & (depth == 0), s["i"] + 1).otherwise(s["end"]).alias("end"))
+
+    end = F.aggregate(F.split(rest, ""), start, step, lambda s: s["end"])
+    return F.when(end > 0, F.left(rest, end - 1))
+
+
+def code_blocks(text: Column, language: str = "python") -> Column:
+    """The contents of fenced blocks of a language, in order."""
+    return F.regexp_extract_all(text, F.lit(rf"(?s)```{language}\n(.*?)```"), F.lit(1))
 
 
 def after_last_think(text: Column) -> Column:

@@ -7,19 +7,20 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 #: Ranges into which a global running sum is cut; only their totals meet in one task.
-RANGES = 256
+RANGES = 64
 
 
 def running_sums(df: DataFrame, key: str, *values: str) -> DataFrame:
     """``df`` with, per value column v, v_before: the sum of v over rows with a smaller ``key``.
 
-    Rows should be one per key (group first). The key's span is cut into ``RANGES`` equal ranges; each is summed
-    by itself and the totals of the ranges, few whatever the data, are added by a broadcast join.
+    Rows should be one per key (group first). Keys are cut into ``RANGES`` ranges of about as many rows each, by
+    approximate quantiles; each is summed by itself and the totals of the ranges, few whatever the data, are added
+    by a broadcast join.
     """
-    span = df.agg(F.min(key).cast("double").alias("_lo"), (F.max(key) - F.min(key)).cast("double").alias("_span"))
-    place = F.floor((F.col(key) - F.col("_lo")) / F.nullif("_span", F.lit(0.0)) * RANGES)
-    part = F.least(F.coalesce(place, F.lit(0)), F.lit(RANGES - 1))
-    cut = df.join(F.broadcast(span)).withColumn("_part", part.cast("int")).drop("_lo", "_span")
+    shares = F.array(*[F.lit(i / RANGES) for i in range(1, RANGES)])
+    bounds = df.agg(F.approx_percentile(F.col(key).cast("double"), shares, F.lit(1000)).alias("_bounds"))
+    part = F.coalesce(F.size(F.filter("_bounds", lambda b: b < F.col(key).cast("double"))), F.lit(0))
+    cut = df.join(F.broadcast(bounds)).withColumn("_part", part).drop("_bounds")
     totals = cut.groupBy("_part").agg(*[F.sum(v).alias(f"_t{i}") for i, v in enumerate(values)])
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     totals = totals.select("_part", *[F.coalesce(F.sum(f"_t{i}").over(before), F.lit(0)).alias(f"_t{i}") for i in range(len(values))])
@@ -30,6 +31,29 @@ def running_sums(df: DataFrame, key: str, *values: str) -> DataFrame:
     return out.drop("_part", *[f"_t{i}" for i in range(len(values))])
 
 
+def quantiles(df: DataFrame, value: str, shares: dict[str, float], discrete: bool = False) -> DataFrame:
+    """One row: exact quantiles by name, between the two nearest values, or the first value that covers the share.
+
+    Equal values are counted before they are sorted, and sorted range by range, so no task holds all of them.
+    """
+    k = df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("_n"))
+    total = k.agg(F.sum("_n").alias("_all"))
+    r = running_sums(k, value, "_n").join(F.broadcast(total))
+
+    def at(place: Column) -> Column:
+        return F.max(F.when((F.col("_n_before") <= place) & (place < F.col("_n_before") + F.col("_n")), F.col(value)))
+
+    out = []
+    for name, p in shares.items():
+        place = F.lit(p) * (F.col("_all") - 1)
+        if discrete:
+            out.append(at(F.greatest(F.ceil(F.lit(p) * F.col("_all")) - 1, F.lit(0))).alias(name))
+        else:
+            low, high = at(F.floor(place)), at(F.ceil(place))
+            out.append((low + (high - low) * F.max(place - F.floor(place))).alias(name))
+    return r.agg(*out)
+
+
 def gini(df: DataFrame, value: str, first: int = 0) -> DataFrame:
     """One row: 2 sum(i x_i) / (n sum x) - (n + 1) / n over ascending x, i counting from ``first`` (0 as in the definition kept here, 1 for the usual index)."""
     k = df.groupBy(F.col(value).alias("x")).agg(F.count("*").alias("c"))

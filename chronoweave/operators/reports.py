@@ -7,6 +7,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
+def required(df: DataFrame, columns: list[str]) -> DataFrame:
+    """``df``; ValueError if it lacks one of ``columns``."""
+    missing = [c for c in columns if c not in df.columns]
+    if missing:
+        raise ValueError(f"missing columns: {missing}")
+    return df
+
+
 def min_max(df: DataFrame, metric: str, by: str = "dataset", reverse: bool = False) -> DataFrame:
     w = Window.partitionBy(by)
     x = F.coalesce(metric, F.lit(0.0))

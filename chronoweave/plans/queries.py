@@ -7,6 +7,7 @@ from pyspark.sql.window import Window
 
 from chronoweave.functions import text as tx
 from chronoweave.functions import vectors as vec
+from chronoweave.operators import distributions as dist
 from chronoweave.operators import graph, reports, retrieval
 from chronoweave.operators.components import connected_components
 from chronoweave.session import table
@@ -227,7 +228,7 @@ def _(spark, d):
 @query("a15_a16_difficulty", f"WITH {_SOCIAL}, k AS (SELECT src, count(DISTINCT dst) AS n FROM social GROUP BY src), q AS (SELECT quantile_cont(n, 0.3) AS lo, quantile_cont(n, 0.7) AS hi FROM k) SELECT src, n, CASE WHEN n <= lo THEN 3 WHEN n <= hi THEN 2 ELSE 1 END AS difficulty FROM k, q")
 def _(spark, d):
     k = social_edges(spark, d).groupBy("src").agg(F.countDistinct("dst").alias("n"))
-    q = k.agg(F.percentile("n", 0.3).alias("lo"), F.percentile("n", 0.7).alias("hi"))
+    q = dist.quantiles(k, "n", {"lo": 0.3, "hi": 0.7})
     return k.join(F.broadcast(q)).select("src", "n", F.when(F.col("n") <= F.col("lo"), 3).when(F.col("n") <= F.col("hi"), 2).otherwise(1).alias("difficulty"))
 
 

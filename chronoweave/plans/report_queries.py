@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from chronoweave.functions import vectors as vec
+from chronoweave.operators import distributions as dist
 from chronoweave.operators import graph, reports, retrieval
 from chronoweave.plans.queries import _REPORT, _SOCIAL, _WIN, query
 from chronoweave.session import table
@@ -167,7 +168,7 @@ def _(spark, d):
 @query("l17_quantile_split", "WITH q AS (SELECT quantile_disc(ts, 0.8) AS q FROM events) SELECT event_id, ts <= q AS train FROM events, q")
 def _(spark, d):
     e = table(spark, d, "events").select("event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("t"))
-    q = e.agg(F.expr("percentile_disc(0.8) within group (order by t)").alias("q"))
+    q = dist.quantiles(e, "t", {"q": 0.8}, discrete=True)
     return e.join(F.broadcast(q)).select("event_id", (F.col("t") <= F.col("q")).alias("train"))
 
 
