@@ -1,0 +1,112 @@
+"""Snapshots compared as distributions, hubs, distances, echo chambers and bundles of graph statistics."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from chronoweave.operators import graph
+from chronoweave.operators.components import connected_components
+from chronoweave.session import stored
+
+
+def shares(values: DataFrame, by: str, value: str, bins: int, width: float) -> DataFrame:
+    """(by, h): for each snapshot the shares of its values in ``bins`` bins of ``width`` from 0; larger values go to the last."""
+    at = F.least(F.floor(F.col(value) / width), F.lit(bins - 1)).cast("int")
+    k = values.groupBy(by, at.alias("_bin")).agg(F.count("*").cast("double").alias("_n"))
+    m = k.groupBy(by).agg(F.map_from_entries(F.collect_list(F.struct("_bin", "_n"))).alias("_m"), F.sum("_n").alias("_t"))
+    return m.select(by, F.transform(F.sequence(F.lit(0), F.lit(bins - 1)), lambda b: F.coalesce(F.try_element_at("_m", b), F.lit(0.0)) / F.col("_t")).alias("h"))
+
+
+def total_variation(a: Column, b: Column) -> Column:
+    return F.aggregate(F.zip_with(a, b, lambda x, y: F.abs(x - y)), F.lit(0.0), lambda s, x: s + x) / 2
+
+
+def wasserstein(a: Column, b: Column) -> Column:
+    """The sum of the gaps between the cumulative shares, in bins."""
+    start = F.struct(F.lit(0.0).alias("gap"), F.lit(0.0).alias("sum"))
+    step = lambda s, x: F.struct((s["gap"] + x).alias("gap"), (s["sum"] + F.abs(s["gap"] + x)).alias("sum"))
+    return F.aggregate(F.zip_with(a, b, lambda x, y: x - y), start, step, lambda s: s["sum"])
+
+
+def euclidean(a: Column, b: Column) -> Column:
+    return F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x))
+
+
+#: Distances by name.
+DISTANCES = {"tv": total_variation, "emd": wasserstein, "l2": euclidean}
+
+
+def mmd(a: DataFrame, b: DataFrame, distance: str = "tv", sigma: float = 1.0, root: bool = False) -> DataFrame:
+    """One row (mmd): mean kernels within a and within b less twice that between them, k = exp(-d^2 / 2 sigma^2).
+
+    ``a`` and ``b`` have one array ``h`` a snapshot; snapshots, not graphs, are paired, and one side is broadcast.
+    """
+    d = DISTANCES[distance]
+
+    def mean(x: DataFrame, y: DataFrame, name: str) -> DataFrame:
+        k = F.exp(-F.pow(d(F.col("x"), F.col("y")), F.lit(2.0)) / (2 * sigma * sigma))
+        return x.select(F.col("h").alias("x")).join(F.broadcast(y.select(F.col("h").alias("y")))).agg(F.avg(k).alias(name))
+
+    one = mean(a, a, "aa").join(F.broadcast(mean(b, b, "bb"))).join(F.broadcast(mean(a, b, "ab")))
+    value = F.col("aa") + F.col("bb") - 2 * F.col("ab")
+    return one.select((F.sqrt(F.greatest(value, F.lit(0.0))) if root else value).alias("mmd"))
+
+
+def rbf_mmd(a: DataFrame, b: DataFrame, value: str, gamma: float = 1.0) -> DataFrame:
+    """One row (mmd) over single numbers with k = exp(-gamma (x - y)^2); equal numbers are counted before they are paired."""
+
+    def mean(x: DataFrame, y: DataFrame, name: str) -> DataFrame:
+        u = x.groupBy(F.col(value).alias("x")).agg(F.count("*").alias("m"))
+        v = y.groupBy(F.col(value).alias("y")).agg(F.count("*").alias("n"))
+        w = F.col("m") * F.col("n")
+        return u.join(F.broadcast(v)).agg((F.sum(w * F.exp(-gamma * F.pow(F.col("x") - F.col("y"), F.lit(2.0)))) / F.sum(w)).alias(name))
+
+    one = mean(a, a, "aa").join(F.broadcast(mean(b, b, "bb"))).join(F.broadcast(mean(a, b, "ab")))
+    return one.select((F.col("aa") + F.col("bb") - 2 * F.col("ab")).alias("mmd"))
+
+
+def hub_scores(truth: DataFrame, guess: DataFrame, k: int) -> DataFrame:
+    """One row (precision, recall, f1): the k nodes of most edges of a guessed graph against those of the true one."""
+    a, b = (graph.top_hubs(x, k).select("src") for x in (truth, guess))
+    hit = a.join(b, "src").agg(F.count("*").alias("hit")).join(a.agg(F.count("*").alias("n"))).join(b.agg(F.count("*").alias("m")))
+    ratio = lambda x, y: F.coalesce(x / F.nullif(y, F.lit(0)), F.lit(0.0))
+    return hit.select(ratio(F.col("hit"), F.col("m")).alias("precision"), ratio(F.col("hit"), F.col("n")).alias("recall"), ratio(2 * F.col("hit"), F.col("n") + F.col("m")).alias("f1"))
+
+
+def distances_from(edges: DataFrame, sources: DataFrame, most: int = 64) -> DataFrame:
+    """(source, node, hops): fewest steps along undirected edges from each of few stated sources, by rounds from the frontier."""
+    pairs = graph.simple_pairs(edges)
+    near = stored(pairs.select("a", "b").union(pairs.select("b", "a")))
+    seen = stored(sources.select(F.col("node").alias("source"), F.col("node"), F.lit(0).alias("hops")))
+    front = seen
+    for hop in range(1, most + 1):
+        reached = front.join(near, front["node"] == near["a"]).select("source", F.col("b").alias("node")).distinct()
+        front = stored(reached.join(seen, ["source", "node"], "left_anti").withColumn("hops", F.lit(hop)))
+        if front.isEmpty():
+            break
+        seen = stored(seen.unionByName(front))
+    return seen
+
+
+def echo_chambers(edges: DataFrame, vectors: DataFrame, cosine, key: str = "vec_id", above: float = 0.5, least: int = 3, linked: float = 0.01) -> DataFrame:
+    """(node, similar, linked, chamber) for nodes of the largest component with at least ``least`` similar ones among them.
+
+    ``chamber``: over ``linked`` of the similar nodes share an edge. Similarities are wanted of a stated set of nodes (the
+    rows of ``vectors`` whose ``asked`` holds) against all, and are counted inside the join.
+    """
+    comp = connected_components(edges)
+    big = comp.groupBy("component").agg(F.count("*").alias("_n")).agg(F.max_by("component", F.struct("_n", -F.col("component"))).alias("component"))
+    mine = comp.join(F.broadcast(big), "component").select(F.col("node").alias(key))
+    v = stored(vectors.join(mine, key, "left_semi"))
+    asked = v.where("asked").select(F.col(key).alias("node"), F.col("embedding").alias("_x"))
+    alike = v.join(F.broadcast(asked), F.col(key) != F.col("node")).where(cosine(F.col("_x"), F.col("embedding")) > above).select("node", F.col(key).alias("other"))
+    pairs = graph.simple_pairs(edges)
+    both = pairs.select(F.col("a").alias("node"), F.col("b").alias("other"), F.lit(1).alias("_e")).union(pairs.select("b", "a", F.lit(1)))
+    k = alike.join(both, ["node", "other"], "left").groupBy("node").agg(F.count("*").alias("similar"), F.count("_e").alias("linked"))
+    return k.where(F.col("similar") >= least).select("node", "similar", "linked", (F.col("linked") / F.col("similar") > linked).alias("chamber"))
+
+
+def split_evenly(total: Column, place: Column, parts: Column) -> Column:
+    """The share of the place-th (from 0) of ``parts``: the quotient, and one more for the first remainder places."""
+    return F.floor(total / parts) + F.when(place < F.pmod(total, parts), 1).otherwise(0)

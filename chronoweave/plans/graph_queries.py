@@ -40,10 +40,10 @@ def _(spark, d):
     return e.groupBy("src", F.floor(F.col("t") / DAY).cast("long").alias("bucket")).agg(F.count("*").alias("degree"))
 
 
-@query("a9_snapshots", f"WITH {_SOCIAL}, s AS (SELECT *, (t - min(t) OVER ()) // 86400 AS w FROM social) SELECT w, count(*) AS edges, count(DISTINCT (least(src, dst), greatest(src, dst))) AS pairs FROM s WHERE w < 10 GROUP BY w")
+@query("a9_snapshots", f"WITH {_SOCIAL}, s AS (SELECT *, (t - min(t) OVER ()) // 86400 AS w FROM social) SELECT w, count(*) AS edges, count(DISTINCT (least(src, dst), greatest(src, dst))) AS pairs FROM s GROUP BY w")
 def _(spark, d):
     e = social_edges(spark, d)
-    s = e.join(F.broadcast(e.agg(F.min("t").alias("t0")))).withColumn("w", F.floor((F.col("t") - F.col("t0")) / DAY).cast("long")).where("w < 10")
+    s = e.join(F.broadcast(e.agg(F.min("t").alias("t0")))).withColumn("w", F.floor((F.col("t") - F.col("t0")) / DAY).cast("long"))
     return s.groupBy("w").agg(F.count("*").alias("edges"), F.countDistinct(F.struct(F.least("src", "dst"), F.greatest("src", "dst"))).alias("pairs"))
 
 
@@ -219,13 +219,13 @@ def _(spark, d):
     return table(spark, d, "events").groupBy(F.col("event_type").alias("tag")).agg(_r(F.avg("value")).alias("mean"), _r(F.avg((F.col("value") > 10).cast("double"))).alias("level"))
 
 
-@query("j14_two_hop", f"WITH {_WIN}, e AS (SELECT DISTINCT src, dst FROM win WHERE w < 3) SELECT DISTINCT x.src, y.dst FROM e x JOIN e y ON x.dst = y.src WHERE y.dst <> x.src")
+@query("j14_two_hop", f"WITH {_SOCIAL}, e AS (SELECT DISTINCT src, dst FROM social) SELECT DISTINCT x.src, y.dst FROM e x JOIN e y ON x.dst = y.src WHERE y.dst <> x.src")
 def _(spark, d):
-    e = _win(spark, d).where("w < 3").select("src", "dst").distinct()
+    e = social_edges(spark, d).select("src", "dst").distinct()
     return e.select("src", F.col("dst").alias("via")).join(e.select(F.col("src").alias("via"), "dst"), "via").where("src <> dst").select("src", "dst").distinct()
 
 
-@query("j14_two_hop_all")
+@query("j14_two_hop_all", f"WITH {_SOCIAL}, n AS (SELECT src AS u, dst AS v FROM social UNION SELECT dst, src FROM social) SELECT DISTINCT u AS src, s.dst FROM n JOIN social s ON s.src = n.v")
 def _(spark, d):
     return graph.two_hop(social_edges(spark, d))
 
@@ -322,15 +322,14 @@ def _(spark, d):
     return k.select("la", "lb", _r(F.col("c") / (F.col("na") * F.col("nb")), 9).alias("density"))
 
 
-_P3 = _WIN + ", p AS (SELECT DISTINCT least(src, dst) AS a, greatest(src, dst) AS b FROM win WHERE w < 3)"
 
 
-@query("gr29_four_cliques", f"WITH {_P3} SELECT count(*) AS cliques FROM p ab JOIN p ac ON ac.a = ab.a AND ac.b > ab.b JOIN p bc ON bc.a = ab.b AND bc.b = ac.b JOIN p ad ON ad.a = ab.a AND ad.b > ac.b JOIN p bd ON bd.a = ab.b AND bd.b = ad.b JOIN p cd ON cd.a = ac.b AND cd.b = ad.b")
+@query("gr29_four_cliques", f"WITH {_PAIRS} SELECT count(*) AS cliques FROM p ab JOIN p ac ON ac.a = ab.a AND ac.b > ab.b JOIN p bc ON bc.a = ab.b AND bc.b = ac.b JOIN p ad ON ad.a = ab.a AND ad.b > ac.b JOIN p bd ON bd.a = ab.b AND bd.b = ad.b JOIN p cd ON cd.a = ac.b AND cd.b = ad.b")
 def _(spark, d):
-    return graph.four_cliques(_win(spark, d).where("w < 3")).agg(F.count("*").alias("cliques"))
+    return graph.four_cliques(social_edges(spark, d)).agg(F.count("*").alias("cliques"))
 
 
-@query("gr29_four_cliques_by_node")
+@query("gr29_four_cliques_by_node", f"WITH {_PAIRS}, q AS (SELECT ab.a AS x, ab.b AS y, ac.b AS z, ad.b AS v FROM p ab JOIN p ac ON ac.a = ab.a AND ac.b > ab.b JOIN p bc ON bc.a = ab.b AND bc.b = ac.b JOIN p ad ON ad.a = ab.a AND ad.b > ac.b JOIN p bd ON bd.a = ab.b AND bd.b = ad.b JOIN p cd ON cd.a = ac.b AND cd.b = ad.b), m AS (SELECT node, count(*) AS n FROM (SELECT unnest([x, y, z, v]) AS node FROM q) GROUP BY node) SELECT node, coalesce(n, 0) AS cliques FROM (SELECT a AS node FROM p UNION SELECT b FROM p) LEFT JOIN m USING (node)")
 def _(spark, d):
     return graph.four_cliques_by_node(social_edges(spark, d))
 

@@ -346,23 +346,22 @@ def _(spark, d):
     return a.join(b, "k", "full_outer")
 
 
-@query("s2_l6_ordered_dedup", f"WITH {_SOCIAL}, h AS (SELECT src, dst, min(edge_id) AS e FROM social GROUP BY ALL) SELECT src, string_agg(CAST(dst AS VARCHAR), ',' ORDER BY e) AS candidates FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY e) AS r FROM h) WHERE r <= 20 GROUP BY src")
+@query("s2_l6_ordered_dedup", f"WITH {_SOCIAL}, h AS (SELECT src, dst, min(edge_id) AS e FROM social GROUP BY ALL) SELECT src, string_agg(CAST(dst AS VARCHAR), ',' ORDER BY e) AS candidates FROM h GROUP BY src")
 def _(spark, d):
-    h = social_edges(spark, d).groupBy("src", "dst").agg(F.min("edge_id").alias("e"))
-    h = h.withColumn("r", F.row_number().over(Window.partitionBy("src").orderBy("e"))).where("r <= 20")
-    return h.groupBy("src").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r", "dst"))), lambda x: x["dst"].cast("string")), ",").alias("candidates"))
+    return retrieval.ordered_dedup(social_edges(spark, d), "edge_id").select("src", _listed())
 
 
 def _listed():
     return F.array_join(F.transform("candidates", lambda x: x.cast("string")), ",").alias("candidates")
 
 
-@query("l6_ordered_dedup_all")
-def _(spark, d):
-    return retrieval.ordered_dedup(social_edges(spark, d), "edge_id").select("src", _listed())
-
-
-@query("s2_candidate_overlap")
+@query(
+    "s2_candidate_overlap",
+    f"""WITH {_WIN}, g AS (SELECT DISTINCT src, dst FROM win WHERE w >= 22), n AS (SELECT src, count(*) AS n FROM g GROUP BY src),
+    h AS (SELECT src, dst, row_number() OVER (PARTITION BY src ORDER BY min(edge_id)) AS r, min(edge_id) AS e FROM win WHERE w < 22 GROUP BY src, dst), c AS (SELECT h.* FROM h JOIN n ON n.src = h.src AND r <= n),
+    k AS (SELECT c.src, string_agg(CAST(c.dst AS VARCHAR), ',' ORDER BY e) AS candidates, count(g.dst) AS overlap FROM c LEFT JOIN g ON g.src = c.src AND g.dst = c.dst GROUP BY c.src)
+    SELECT src, coalesce(candidates, '') AS candidates, coalesce(n, 0) AS n_truth, coalesce(overlap, 0) AS overlap FROM (SELECT DISTINCT src FROM win) LEFT JOIN n USING (src) LEFT JOIN k USING (src)""",
+)
 def _(spark, d):
     e = graph.windowed(social_edges(spark, d), DAY)
     return retrieval.candidate_overlap(e.where("w < 22"), e.where("w >= 22"), "edge_id").select("src", _listed(), "n_truth", "overlap")

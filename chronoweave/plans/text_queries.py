@@ -48,10 +48,10 @@ _rule("if25_no_commas", lambda t: ~F.contains(t, F.lit(",")), "NOT contains(text
 
 _rule("tx5_template", lambda t: F.format_string("<user id=\"%s\">%s</user>", F.col("c_custkey").cast("string"), F.col("c_name")), "'<user id=\"' || c_custkey || '\">' || c_name || '</user>'", "customer", "c_custkey", "shown")
 _rule("tx10_strip_prefix", lambda t: rules.without_prefix(F.col("c_name"), "Customer#"), "regexp_replace(c_name, '^Customer#', '')", "customer", "c_custkey", "rest")
-_rule("tx15_after_think", lambda t: tx.after_last_think(F.concat(F.lit("a</think>b</think>\n\n"), F.col("c_name"))), "c_name", "customer", "c_custkey", "answer")
-_rule("tx18_format_reward", lambda t: tx.think_answer_format(F.concat(F.lit("<think>x</think><answer>"), t, F.lit("</answer>"))), "CASE WHEN text IS NULL THEN -1.0 ELSE 0.0 END", "conversations", "conv_id, turn", "reward")
+_rule("tx15_after_think", lambda t: tx.after_last_think(F.when(F.col("c_custkey") % 3 == 0, F.concat(F.lit("a</think>b</think>\n\n"), "c_name")).when(F.col("c_custkey") % 3 == 1, F.concat("c_name", F.lit("</think>"))).otherwise(F.col("c_name"))), "CASE WHEN c_custkey % 3 = 1 THEN '' ELSE c_name END", "customer", "c_custkey", "answer")
+_rule("tx18_format_reward", lambda t: tx.think_answer_format(F.concat(F.when(F.col("turn") % 2 == 0, "<think>x</think><answer>").otherwise("x</think><answer>"), t, F.lit("</answer>"))), "CASE WHEN text IS NULL OR turn % 2 = 1 THEN -1.0 ELSE 0.0 END", "conversations", "conv_id, turn", "reward")
 _rule("tx20_special_tokens", lambda t: rules.without(t, ["<|im_end|>", "<pad>", "the"]), "replace(replace(replace(text, '<|im_end|>', ''), '<pad>', ''), 'the', '')", "conversations", "conv_id, turn", "clean")
-_rule("tx14_choice_reward", lambda t: rules.choice_reward(F.concat(F.lit("so \\boxed{"), F.substring("role", 1, 1), F.lit("}")), F.lit("U")), "CASE WHEN upper(left(role, 1)) = 'U' THEN 1.0 ELSE 0.0 END", "conversations", "conv_id, turn", "reward")
+_rule("tx14_choice_reward", lambda t: rules.choice_reward(F.concat(F.when(F.col("turn") % 3 == 0, "so ").otherwise("so \\boxed{"), F.substring("role", 1, 1), F.lit("}")), F.lit("U")), "CASE WHEN turn % 3 <> 0 AND upper(left(role, 1)) = 'U' THEN 1.0 ELSE 0.0 END", "conversations", "conv_id, turn", "reward")
 _rule("tx12_yes_no", lambda t: F.when(F.contains(F.lower(t), F.lit("yes")), 1.0).otherwise(0.0), "CASE WHEN contains(lower(text), 'yes') THEN 1.0 ELSE 0.0 END", "conversations", "conv_id, turn", "score")
 _rule("tx19_length_reward", lambda t: rules.length_reward(F.length(t), 200, 1000), "round(CASE WHEN length(text) <= 200 THEN 0.0 WHEN length(text) >= 1000 THEN -1.0 ELSE -(length(text) - 200) / 800 END, 6)", "conversations", "conv_id, turn", "reward")
 _rule("io12_parsed_value", lambda t: rules.number_in(F.concat(F.lit("tensor("), F.col("value").cast("string"), F.lit(", device='x')"))), "value", "events", "event_id", "value")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import chronoweave.plans.graph_queries  # noqa: F401
 import chronoweave.plans.report_queries  # noqa: F401
 import chronoweave.plans.sample_queries  # noqa: F401
+import chronoweave.plans.structure_queries  # noqa: F401
 import chronoweave.plans.text_queries  # noqa: F401
 import chronoweave.plans.vector_queries  # noqa: F401
 from chronoweave.plans.queries import ORACLE_SQL, QUERIES

@@ -60,7 +60,7 @@ def test_ordered_dedup_and_overlap(spark, monkeypatch):
     monkeypatch.setattr(queries, "social_edges", lambda spark, d: edges(spark, rows))
     first = lambda src, some: list(dict.fromkeys(r[1] for r in some if r[0] == src))
     listed = lambda x: ",".join(map(str, x))
-    got = {r.src: r.candidates for r in registry.QUERIES["l6_ordered_dedup_all"](spark, "").collect()}
+    got = {r.src: r.candidates for r in registry.QUERIES["s2_l6_ordered_dedup"](spark, "").collect()}
     assert got == {s: listed(first(s, rows)) for s in {r[0] for r in rows}} and len(got[30].split(",")) == 30
     days = sorted({r[2] // 86400 for r in rows})
     past, later = ([r for r in rows if (days.index(r[2] // 86400) >= 22) == late] for late in (False, True))
