@@ -247,12 +247,32 @@ def _keyed(pages: DataFrame) -> DataFrame:
 
 def _ranges(keys: DataFrame) -> tuple[list[tuple], dict[tuple, list[int]]]:
     """The highest key of each range, in order, and the further ranges that each range's first and last key visit."""
-    n = max(1, min(-(-keys.count() // RANGE_PAGES), RANGES))
-    if n == 1:
+    total = keys.count()
+    size = max(RANGE_PAGES, -(-total // RANGES))
+    if total <= size:
         return [], {}
-    key = F.struct(*KEY)
-    spread = keys.repartitionByRange(n, *KEY).groupBy(F.spark_partition_id().alias("r"))
-    ends = sorted((tuple(r.lo), tuple(r.hi)) for r in spread.agg(F.min(key).alias("lo"), F.max(key).alias("hi")).collect())
+
+    def cut(batches):
+        """First and last key of each ``size`` sorted rows; equal keys stay together."""
+        low = last = None
+        n = 0
+        for batch in batches:
+            found = []
+            for k in zip(*(batch[c] for c in KEY)):
+                if n >= size and k != last:
+                    found.append((*low, *last))
+                    n = 0
+                low = k if n == 0 else low
+                last = k
+                n += 1
+            yield pd.DataFrame(found, columns=[*KEY, *(f"last_{c}" for c in KEY)])
+        if n:
+            yield pd.DataFrame([(*low, *last)], columns=[*KEY, *(f"last_{c}" for c in KEY)])
+
+    # few partitions with many ranges each: Spark samples keys in the driver for every partition
+    parts = keys.repartitionByRange(-(-total // (64 * size)), *KEY).sortWithinPartitions(*KEY)
+    ends = parts.mapInPandas(cut, "host string, path string, id long, last_host string, last_path string, last_id long").collect()
+    ends = sorted(((r.host, r.path, r.id), (r.last_host, r.last_path, r.last_id)) for r in ends)
     visits: dict[tuple, list[int]] = {}
     for r, (a, b) in enumerate(zip(ends, ends[1:])):
         visits.setdefault(a[1], []).append(r + 1)

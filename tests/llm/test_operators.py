@@ -439,6 +439,8 @@ def test_extract(spark, monkeypatch):
     assert got[100].text == got[101].text == "" and got[102].text == "only" and got[103].text == "Top of site\nmine"
     assert got[200].text == got[201].text == "same\npage" and got[301].text == "w 1" and got[402].text == "Same words.\nown 2"
     assert {k: r.text for k, r in got.items()} == brute_extract(rows)
+    bounds, visits = html_extract._ranges(html_extract._keyed(pages.union(pages)).select(*html_extract.KEY))
+    assert len(bounds) > len(rows) // 3 and bounds == sorted(set(bounds)) and sum(map(len, visits.values())) == 2 * (len(bounds) - 1)
     assert html_extract.extract(pages.limit(0)).count() == 0
     assert html_extract.extract(pages.union(pages).unionByName(pages.limit(1).withColumn("page_id", F.lit(None).cast("long")))).count() == 2 * len(rows) + 1
 
