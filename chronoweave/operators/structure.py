@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -110,3 +112,28 @@ def echo_chambers(edges: DataFrame, vectors: DataFrame, cosine, key: str = "vec_
 def split_evenly(total: Column, place: Column, parts: Column) -> Column:
     """The share of the place-th (from 0) of ``parts``: the quotient, and one more for the first remainder places."""
     return F.floor(total / parts) + F.when(place < F.pmod(total, parts), 1).otherwise(0)
+
+
+def spectra(edges: DataFrame, by: str, bins: int, most: int = 4000) -> DataFrame:
+    """(by, nodes, h): shares of the normalised Laplacian's eigenvalues in ``bins`` bins of [0, 2], for each snapshot.
+
+    A dense matrix of a snapshot's nodes is one task's work; a snapshot of over ``most`` nodes gives a null ``h``
+    and its count, as its matrix would not fit a task. Isolated nodes have no eigenvalue of their own here.
+    """
+    pairs = edges.where("src <> dst").select(by, F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).distinct()
+    nodes = pairs.select(by, "a").union(pairs.select(by, "b")).distinct().groupBy(by).agg(F.count("*").alias("nodes"))
+    few = pairs.join(nodes.where(F.col("nodes") <= most).select(by), by, "left_semi")
+    kind = dict(edges.dtypes)[by]
+
+    def solve(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
+        ids, at = np.unique(np.concatenate((group["a"], group["b"])), return_inverse=True)
+        i, j = at[: len(group)], at[len(group) :]
+        m = np.zeros((len(ids), len(ids)))
+        m[i, j] = m[j, i] = 1
+        scale = 1 / np.sqrt(m.sum(axis=0))
+        values = np.round(np.linalg.eigvalsh(np.eye(len(ids)) - m * scale * scale[:, None]), 9)
+        h = np.bincount(np.clip((values / 2 * bins).astype(int), 0, bins - 1), minlength=bins) / len(ids)
+        return pd.DataFrame({by: [key[0]], "h": [h.tolist()]})
+
+    found = few.groupBy(by).applyInPandas(solve, f"{by} {kind}, h array<double>")
+    return nodes.join(found, by, "left")

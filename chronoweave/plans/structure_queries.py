@@ -7,7 +7,7 @@ from pyspark.sql.window import Window
 
 from chronoweave.functions import vectors as vec
 from chronoweave.operators import distributions as dist
-from chronoweave.operators import graph, reports, sampling, structure
+from chronoweave.operators import graph, reports, retrieval, sampling, structure
 from chronoweave.operators.components import connected_components
 from chronoweave.plans.queries import _BOTH, _PAIRS, _REPORT, _SOCIAL, _TRADE, _WIN, query
 from chronoweave.plans.sample_queries import _LEVELS, _levels, _u
@@ -525,3 +525,61 @@ def _(spark, d):
 def _(spark, d):
     size = lambda name, t: table(spark, d, t).agg(F.lit(name).alias("dataset"), F.format_number(F.count("*"), 0).alias("rows"))
     return size("social", "events").union(size("trade", "lineitem"))
+
+
+@query("l5_pagerank_top")
+def _(spark, d):
+    """The 100 nodes of most rank."""
+    return graph.pagerank(social_edges(spark, d)).select("node", F.round("rank", 9).alias("rank")).orderBy(F.desc("rank"), "node").limit(100)
+
+
+@query("gr17_spectra")
+def _(spark, d):
+    """Shares of each window's normalised-Laplacian eigenvalues in 20 bins of [0, 2]; one matrix of the window's nodes a task."""
+    return structure.spectra(_win(spark, d), "w", 20)
+
+
+@query("gr32_macro_bundle")
+def _(spark, d):
+    """Hub agreement, exponent, distance, chambers and mean rank of the top nodes in one row."""
+    e = _win(spark, d)
+    hubs = structure.hub_scores(e.where("w < 15"), e.where("w >= 15"), 100)
+    fit = _fits(spark, d).agg(_r(F.avg("alpha")).alias("alpha"), _r(F.avg("D")).alias("D"))
+    chambers = _chambers(spark, d, social_edges(spark, d)).agg(F.count_if("chamber").alias("chambers"))
+    top = graph.pagerank(social_edges(spark, d)).orderBy(F.desc("rank"), "node").limit(100).agg(_r(F.avg("rank"), 9).alias("top_rank"))
+    return hubs.join(F.broadcast(fit)).join(F.broadcast(chambers)).join(F.broadcast(top))
+
+
+@query(
+    "v9_edge_search",
+    f"WITH {_WIN}, n AS (SELECT a.vec_id AS q, b.vec_id AS id, row_number() OVER (PARTITION BY a.vec_id ORDER BY round({_COS}, 6) DESC, b.vec_id) AS r FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id AND a.vec_id % 20 = 0), c AS (SELECT n.q, label, count(*) AS k FROM n JOIN social ON src = n.id WHERE r <= 10 GROUP BY n.q, label) SELECT q, label FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY k DESC, label) AS r FROM c) WHERE r = 1",
+)
+def _(spark, d):
+    """The most frequent label among the edges of a query's ten nearest nodes, for queries divisible by 20."""
+    v = table(spark, d, "embeddings").select("vec_id", "embedding")
+    sims = retrieval.similarities(v.where("vec_id % 20 = 0"), v, lambda x, y: _r(vec.cosine(x, y)))
+    near = sims.withColumn("r", F.row_number().over(Window.partitionBy("src").orderBy(F.desc("sim"), "dst"))).where("r <= 10").select(F.col("src").alias("q"), F.col("dst").alias("id"))
+    c = near.join(social_edges(spark, d).select(F.col("src").alias("id"), "label"), "id").groupBy("q", "label").agg(F.count("*").alias("k"))
+    return c.groupBy("q").agg(F.min_by("label", F.struct(-F.col("k"), "label")).alias("label"))
+
+
+@query("a26_running_neighbours", f"WITH {_SOCIAL}, h AS (SELECT edge_id, src, dst, count(*) OVER (PARTITION BY src, dst ORDER BY t, edge_id) - 1 AS before, min(t) OVER (PARTITION BY src, dst) = t AND row_number() OVER (PARTITION BY src, dst ORDER BY t, edge_id) = 1 AS fresh, t FROM social) SELECT edge_id, before, CAST(coalesce(sum(CAST(fresh AS INT)) OVER (PARTITION BY src ORDER BY t, edge_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS partners FROM h")
+def _(spark, d):
+    """Before each edge: how often its pair had met, and how many partners its source had."""
+    pair = Window.partitionBy("src", "dst").orderBy("t", "edge_id")
+    own = Window.partitionBy("src").orderBy("t", "edge_id").rowsBetween(Window.unboundedPreceding, -1)
+    h = social_edges(spark, d).withColumn("before", F.row_number().over(pair).cast("long") - 1)
+    return h.select("edge_id", "before", F.coalesce(F.sum((F.col("before") == 0).cast("long")).over(own), F.lit(0).cast("long")).alias("partners"))
+
+
+@query("tx17_long_block_penalty", "SELECT doc_id, CASE WHEN text IS NULL THEN NULL WHEN len([x FOR x IN string_split_regex(text, '[ \\t-\\r]+') IF length(x) > 20]) > 0 THEN -1.0::DOUBLE ELSE 0.0::DOUBLE END AS penalty FROM documents")
+def _(spark, d):
+    long = F.exists(F.split("text", r"[ \t-\r]+", -1), lambda x: F.length(x) > 20)
+    return table(spark, d, "documents").select("doc_id", F.when(F.col("text").isNull(), None).when(long, -1.0).otherwise(0.0).alias("penalty"))
+
+
+@query("tx12_score_out_of_ten", "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN (n_chars % 11) / 10.0 ELSE 0.5 END AS score FROM documents")
+def _(spark, d):
+    """``Score: x`` as tenths, 0.5 where there is none."""
+    said = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("so, Score: "), (F.col("n_chars") % 11).cast("string"), F.lit(" of ten"))).when(F.col("doc_id") % 3 == 1, "no Score: none").otherwise(F.lit("nothing"))
+    return table(spark, d, "documents").select("doc_id", F.coalesce(F.regexp_extract(said, r"Score:\s*([0-9]+)", 1).try_cast("double") / 10, F.lit(0.5)).alias("score"))

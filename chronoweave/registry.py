@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import chronoweave.plans.file_queries  # noqa: F401
 import chronoweave.plans.graph_queries  # noqa: F401
 import chronoweave.plans.report_queries  # noqa: F401
 import chronoweave.plans.sample_queries  # noqa: F401

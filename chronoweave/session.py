@@ -18,6 +18,8 @@ def shared_dir(spark: SparkSession) -> str:
     if current.isDefined():
         return current.get()
     configured = spark.conf.get("spark.checkpoint.dir", None)
+    if not configured and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     spark.sparkContext.setCheckpointDir(configured or tempfile.mkdtemp(prefix="chronoweave-"))
     return spark.sparkContext._jsc.sc().getCheckpointDir().get()
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -51,7 +53,8 @@ def csv_to_jsonl(df: DataFrame, path: str, lists: list[str], order: list[str]) -
 def read_reports(spark: SparkSession, root: str, file_name: str) -> DataFrame:
     """Report CSVs under root/model/dataset/split/task/.../file_name, with those four as columns; shallower files are left out."""
     df = spark.read.option("header", True).option("inferSchema", True).option("recursiveFileLookup", True).option("pathGlobFilter", file_name).csv(root)
-    inner = F.split(F.substring_index(F.input_file_name(), root.rstrip("/") + "/", -1), "/")
+    scheme = r"^[a-zA-Z][a-zA-Z0-9+.-]*:/+"
+    inner = F.split(F.substring_index(F.regexp_replace(F.input_file_name(), scheme, "/"), re.sub(scheme, "/", root).rstrip("/") + "/", -1), "/")
     df = df.withColumn("_p", inner).where(F.size("_p") >= 5)
     for i, c in enumerate(("model", "dataset", "split", "task")):
         df = df.withColumn(c, F.col("_p")[i])
@@ -77,6 +80,16 @@ def read_baseline_edges(spark: SparkSession, path: str, initial: int, window: in
     return e.where(F.col("t") <= cut_time) if cut_time is not None else e.orderBy("t", "src", "dst").limit(cut_edges)
 
 
+def read_graphs(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
+    """(model, src, dst, t) of several edge CSVs by name; rows that are no numbers go."""
+    out = None
+    for name, path in paths.items():
+        e = spark.read.option("header", True).csv(path)
+        e = e.select(F.lit(name).alias("model"), *[F.col(c).try_cast("double").cast("long").alias(c) for c in ("src", "dst", "t")]).na.drop()
+        out = e if out is None else out.unionByName(e)
+    return out
+
+
 def read_metric_json(spark: SparkSession, path: str, section: str = "test metrics") -> DataFrame:
     """Metric files, one JSON object each, as wide rows of the section's values."""
     return spark.read.option("multiLine", True).json(path).select(F.col(f"`{section}`.*"))

@@ -1,4 +1,9 @@
-"""The corpus pipeline: five stages over ``documents``, each written as Parquet and read again by the next."""
+"""The corpus pipeline: five stages over ``documents``, each written as Parquet and read again by the next.
+
+Defined cases: a null, empty or white-space text passes every stage as it is and is packed with length 0; a null
+doc_id is never a copy of another row; rows that share a doc_id stand or fall together as near-duplicates, and are
+else separate rows; empty tables give no rows; other columns stay, but for those that packing names itself.
+"""
 
 from __future__ import annotations
 
