@@ -37,8 +37,8 @@ MAX_BROADCAST_IDS = 200_000
 PART = 1000
 #: Words of 64 bits in the sketch of a difference.
 WIDE = 8
-#: Further stars inside a centre's members before pairs.
-STARS = 3
+#: Pairs to compare for each member of a centre, on average, above which further stars come first, and how often.
+MANY, STARS = 1000, 20
 _U = np.uint64
 
 
@@ -238,20 +238,26 @@ def _open(members: DataFrame) -> DataFrame:
 def _inner_links(compared: DataFrame, percent: int) -> DataFrame:
     """Links whose components are those of all links between a centre and its members, and between its members.
 
-    Documents that a centre leaves outside its members' largest group are the rest. Further stars, ``STARS`` times, join
-    most of it: round the member nearest to the centre that no star has reached. Then the rest is compared with all
-    members of other groups, inside the join, so that only links come out of it. All comparisons are exact.
+    Documents that a centre leaves outside its members' largest group are the rest. It is compared with all members of
+    other groups, inside the join, so that only links come out of it. While that would be over ``MANY`` pairs for each
+    member, further stars first join most of the rest: round the member nearest to the centre that no star has reached.
+    All comparisons are exact.
     """
     links = compared.where("linked").select("a", "b")
     groups = _groups(links)
     members = compared.select("c", "a", F.size("d").alias("far"))
     left = _open(members.join(groups, members["a"] == groups["_node"], "left").select("c", "a", "far", F.coalesce("_g", "a").alias("g")))
-    if left.isEmpty():
-        return links
-    places = sum((F.bit_count(F.col("bits")[i]) for i in range(1, WIDE)), F.bit_count(F.col("bits")[0]))
-    apart = compared.select("c", F.struct("a", "n", "d", "bits", places.alias("places")).alias("x"))
-    apart = stored(apart.join(left.select("c").distinct(), "c", "left_semi"))
+    apart = None
     for _ in range(STARS):
+        size = left.groupBy("c").agg(F.count("*").alias("k"), F.count_if(F.col("g") != F.col("main")).alias("r")).agg(F.sum(F.col("k") * F.col("r")).alias("pairs"), F.sum("k").alias("k")).first()
+        if size.k is None:
+            return links
+        if apart is None:
+            places = sum((F.bit_count(F.col("bits")[i]) for i in range(1, WIDE)), F.bit_count(F.col("bits")[0]))
+            apart = compared.select("c", F.struct("a", "n", "d", "bits", places.alias("places")).alias("x"))
+            apart = apart.join(left.select("c").distinct(), "c", "left_semi")
+        if size.pairs <= MANY * size.k:
+            break
         rest = left.where("g <> main and far is not null")
         star = rest.groupBy("c").agg(F.min_by("a", F.struct("far", "a")).alias("star"))
         named = apart.join(star, "c")
@@ -266,8 +272,6 @@ def _inner_links(compared: DataFrame, percent: int) -> DataFrame:
         gone = more.select("c", "a").unionByName(star.select("c", F.col("star").alias("a"))).distinct().withColumn("_gone", F.lit(True))
         left = left.drop("main").join(groups, F.col("g") == F.col("_node"), "left").join(gone, ["c", "a"], "left")
         left = _open(left.select("c", "a", F.expr("if(_gone, null, far)").alias("far"), F.coalesce("_g", "g").alias("g")))
-        if left.isEmpty():
-            return links
     x, y = F.col("x"), F.col("y")
     placed = left.select("c", F.col("a").alias("_a"), "g", "main").distinct()
     placed = stored(apart.join(placed, (apart["c"] == placed["c"]) & (F.col("x")["a"] == F.col("_a"))).select(apart["c"], "g", "main", "x"))

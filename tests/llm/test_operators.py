@@ -487,9 +487,12 @@ def test_near_duplicates(spark):
     assert sorted((r.doc_id if r.doc_id is not None else -1, r.component_id) for r in minhash.near_duplicates(odd).collect()) == [(-1, None), (0, 0), (1, 0), (1, 0)]
 
 
-def test_near_duplicates_in_large_buckets(spark, monkeypatch):
-    """Buckets past the pair-by-pair size: families of edited copies, with links that only surplus shingles find."""
+@pytest.mark.parametrize("many", [0, 1000])
+def test_near_duplicates_in_large_buckets(spark, monkeypatch, many):
+    """Families of edited copies, with links that only surplus shingles find, with further stars and without."""
     monkeypatch.setattr(minhash, "PART", 7)
+    monkeypatch.setattr(minhash, "MANY", many)
+    monkeypatch.setattr(minhash, "STARS", 3)
     rnd = random.Random(11)
     texts = []
     base = prose(rnd, 150).split()
