@@ -16,9 +16,18 @@ def epoch(ts):
 
 
 def social_edges(spark, d) -> DataFrame:
-    """(edge_id, src, dst, t, label): an event and the next event's user of its type; no self loops."""
-    w = Window.partitionBy("event_type").orderBy("ts", "event_id")
-    e = table(spark, d, "events").select("event_id", "ts", "user_id", "event_type").withColumn("dst", F.lead("user_id").over(w))
+    """(edge_id, src, dst, t, label): an event and the next event's user of its type; no self loops.
+
+    Event types are few, so events are put in order day by day: the last event of a day takes the first one of
+    the type's next day, which are one row a type and day and go by broadcast.
+    """
+    e = table(spark, d, "events").select("event_id", "ts", "user_id", "event_type", F.to_date("ts").alias("_day"))
+    inside = Window.partitionBy("event_type", "_day").orderBy("ts", "event_id")
+    first = e.groupBy(F.col("event_type").alias("_type"), F.col("_day").alias("_of")).agg(F.min_by(F.struct("user_id"), F.struct("ts", "event_id")).alias("_first"))
+    first = first.withColumn("_next", F.lead("_first").over(Window.partitionBy("_type").orderBy("_of"))).drop("_first")
+    e = e.withColumn("_in", F.lead(F.struct("user_id")).over(inside))
+    e = e.join(F.broadcast(first), e["event_type"].eqNullSafe(first["_type"]) & e["_day"].eqNullSafe(first["_of"]))
+    e = e.withColumn("dst", F.coalesce("_in", "_next")["user_id"])
     return e.where("dst is not null and dst <> user_id").select(F.col("event_id").alias("edge_id"), F.col("user_id").alias("src"), "dst", epoch(F.col("ts")).alias("t"), F.col("event_type").alias("label"))
 
 
