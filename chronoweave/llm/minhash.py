@@ -37,8 +37,8 @@ MAX_BROADCAST_IDS = 200_000
 PART = 1000
 #: Words of 64 bits in the sketch of a difference.
 WIDE = 8
-#: Pairs to compare for each member of a centre, on average, above which further stars come first, and how often.
-MANY, STARS = 1000, 20
+#: Pairs to compare for each member of a centre, on average, above which further stars come first, and how often at most.
+MANY, STARS = 10, 3
 _U = np.uint64
 
 

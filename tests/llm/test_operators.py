@@ -492,7 +492,7 @@ def test_near_duplicates_in_large_buckets(spark, monkeypatch, many):
     """Families of edited copies, with links that only surplus shingles find, with further stars and without."""
     monkeypatch.setattr(minhash, "PART", 7)
     monkeypatch.setattr(minhash, "MANY", many)
-    monkeypatch.setattr(minhash, "STARS", 3)
+    monkeypatch.setattr(minhash, "STARS", 4)
     rnd = random.Random(11)
     texts = []
     base = prose(rnd, 150).split()
