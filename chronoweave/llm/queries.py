@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from chronoweave.llm import chat, decontam, html_extract, langid, line_dedup, media, minhash, packing, suffix_dedup, toxicity
+from chronoweave.llm import block_naming, chat, decontam, filter_audit, html_extract, langid, line_dedup, media, minhash, packing, periodic, suffix_dedup, toxicity
 from chronoweave.session import table
 
 
@@ -49,7 +49,19 @@ def op10_media_columns(spark, d):
     return media.media_report(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_packing, op3_suffix_dedup, op4_language_id, op5_toxicity, op6_html_extraction, op7_minhash, op8_chat_formatting, op9_line_dedup, op10_media_columns)}
+def op11_exact_dedup(spark, d):
+    return block_naming.exact_groups(table(spark, d, "documents"))
+
+
+def op12_filter_audit(spark, d):
+    return filter_audit.audit(spark, f"{d}/documents.parquet", table(spark, d, "labels"))
+
+
+def op13_periodic_runs(spark, d):
+    return periodic.run_report(table(spark, d, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_packing, op3_suffix_dedup, op4_language_id, op5_toxicity, op6_html_extraction, op7_minhash, op8_chat_formatting, op9_line_dedup, op10_media_columns, op11_exact_dedup, op12_filter_audit, op13_periodic_runs)}
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = f"regexp_extract_all({_LOWER.format('coalesce(text, chr(32))')}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
@@ -97,4 +109,28 @@ ORACLE_SQL = {
         SELECT doc_id, CAST(coalesce(len(l), 0) AS BIGINT) AS n_lines, CAST(coalesce(len(l) - len(kept), 0) AS BIGINT) AS n_removed,
                sha256(coalesce(array_to_string(kept, chr(10)), '')) AS kept_sha256
         FROM k""",
+    "op11_exact_dedup": r"""
+        WITH d AS (SELECT doc_id, length(coalesce(text, '')) AS n, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS plain FROM documents),
+        k AS (SELECT doc_id, plain, count(*) OVER (PARTITION BY plain) AS group_size, first_value(doc_id) OVER (PARTITION BY plain ORDER BY n DESC, doc_id NULLS LAST) AS keep_id FROM d)
+        SELECT doc_id, keep_id, group_size, doc_id IS NOT DISTINCT FROM keep_id AS kept, sha256(plain) AS text_sha256 FROM k""",
+    "op12_filter_audit": r"""
+        WITH d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, [x FOR x IN string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+') IF x <> ''] AS w FROM documents),
+        l AS (SELECT doc_id, coalesce(bool_or(quality = 1), false) AS good, coalesce(bool_or(toxic = 1), false) AS toxic FROM labels GROUP BY doc_id),
+        m AS (SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+                     CAST(len(w) < 100 AS INT) + 2 * CAST(100 * len(list_distinct(w)) < 80 * len(w) AS INT) + 4 * CAST(100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 10 * length(t) AS INT)
+                     + 8 * CAST(regexp_matches(t, '[#$%&*|]') AS INT) + 16 * CAST(coalesce(d.doc_id > min(d.doc_id) OVER (PARTITION BY t), false) AS INT) AS mask
+              FROM d LEFT JOIN l ON d.doc_id = l.doc_id),
+        c AS (SELECT part, mask, count(*) AS n, count(*) FILTER (WHERE good) AS g, count(*) FILTER (WHERE toxic) AS x FROM m GROUP BY part, mask),
+        f AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS f, unnest([1, 2, 4, 8, 16]) AS bit),
+        o AS (SELECT [p.f, q.f, r.f, s.f, u.f] AS letters, [p.bit, q.bit, r.bit, s.bit, u.bit] AS bits FROM f p, f q, f r, f s, f u WHERE p.bit + q.bit + r.bit + s.bit + u.bit = 31 AND len(list_distinct([p.f, q.f, r.f, s.f, u.f])) = 5),
+        e AS (SELECT array_to_string(letters, '') AS filter_order, step, bits[step] AS bit, CAST(coalesce(list_sum(bits[1 : step - 1]), 0) AS INT) AS before FROM o, (SELECT unnest(range(1, 6)) AS step)),
+        r AS (SELECT part, filter_order, CAST(step AS INT) AS step, bit,
+                     CAST(sum(CASE WHEN mask & (before | bit) = 0 THEN n ELSE 0 END) AS BIGINT) AS kept,
+                     CAST(sum(CASE WHEN mask & before = 0 AND mask & bit <> 0 THEN n ELSE 0 END) AS BIGINT) AS removed,
+                     CAST(sum(CASE WHEN mask & before <> 0 AND mask & bit <> 0 THEN n ELSE 0 END) AS BIGINT) AS redundant,
+                     CAST(sum(CASE WHEN mask = bit THEN n ELSE 0 END) AS BIGINT) AS unique_fails,
+                     CAST(sum(CASE WHEN mask & before = 0 AND mask & bit <> 0 THEN g ELSE 0 END) AS BIGINT) AS good_lost,
+                     CAST(sum(CASE WHEN mask & before = 0 AND mask & bit <> 0 THEN x ELSE 0 END) AS BIGINT) AS toxic_lost
+              FROM c, e GROUP BY part, filter_order, step, bit)
+        SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, bit) AS BIGINT) AS shapley FROM r""",
 }
