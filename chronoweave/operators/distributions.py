@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from chronoweave.session import stored
+
 #: Ranges into which a global running sum is cut; only their totals meet in one task.
 RANGES = 64
 
@@ -31,6 +33,19 @@ def running_sums(df: DataFrame, key: str, *values: str) -> DataFrame:
     return out.drop("_part", *[f"_t{i}" for i in range(len(values))])
 
 
+def row_numbers(df: DataFrame, *order: str, name: str = "number") -> DataFrame:
+    """``df``, stored, with the place from 0 of each row in the order of some columns that tell all rows apart.
+
+    Ranges of the order are sorted each by itself; their sizes, one row a partition, are summed up in one task.
+    """
+    low = (1 << 33) - 1  # of an increasing id, the row's place in its partition
+    rows = stored(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id()))
+    rows = rows.withColumn("_part", F.shiftright("_id", 33))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = rows.groupBy("_part").agg(F.count("*").alias("_n")).select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    return rows.join(F.broadcast(sizes), "_part").withColumn(name, F.col("_before") + F.col("_id").bitwiseAND(F.lit(low))).drop("_id", "_part", "_before")
+
+
 def quantiles(df: DataFrame, value: str, shares: dict[str, float], discrete: bool = False) -> DataFrame:
     """One row: exact quantiles by name, between the two nearest values, or the first value that covers the share.
 

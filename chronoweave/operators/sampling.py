@@ -15,6 +15,19 @@ def uniform(seed: int, *keys: str | Column) -> Column:
     return F.conv(F.left(F.md5(text), F.lit(8)), 16, 10).cast("double") / float(1 << 32)
 
 
+def gaussians(n: int, seed: int, *keys: str | Column) -> Column:
+    """``n`` standard normal numbers from the keys' text: four from the four 32-bit quarters of an md5, by Box and Muller."""
+    text = F.concat_ws(":", F.lit(str(seed)), *[F.col(k).cast("string") if isinstance(k, str) else k.cast("string") for k in keys])
+
+    def four(block: Column) -> Column:
+        digest = F.md5(F.concat_ws(":", text, block.cast("string")))
+        part = lambda i: (F.conv(F.substring(digest, 8 * i + 1, 8), 16, 10).cast("double") + 0.5) / float(1 << 32)
+        both = [f(2 * math.pi * part(i + 1)) * F.sqrt(-2 * F.log(part(i))) for i in (0, 2) for f in (F.cos, F.sin)]
+        return F.array(*both)
+
+    return F.slice(F.flatten(F.transform(F.sequence(F.lit(0), F.lit((n - 1) // 4)), four)), 1, n)
+
+
 def fraction(df: DataFrame, key: str, share: float, seed: int = 0) -> DataFrame:
     """The rows whose hash is under ``share``: a fraction sample, a Bernoulli sub-sample or a split flag alike."""
     return df.where(uniform(seed, key) < share)

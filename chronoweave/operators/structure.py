@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,6 +18,13 @@ def shares(values: DataFrame, by: str, value: str, bins: int, width: float) -> D
     return m.select(by, F.transform(F.sequence(F.lit(0), F.lit(bins - 1)), lambda b: F.coalesce(F.try_element_at("_m", b), F.lit(0.0)) / F.col("_t")).alias("h"))
 
 
+def by_snapshot(measure, edges: DataFrame, by: str) -> DataFrame:
+    """(by, node, ...): a measure of the nodes of one graph, of all snapshots at once: nodes of different snapshots are different nodes."""
+    apart = edges.select(F.struct(F.col(by), F.col("src").alias("node")).alias("src"), F.struct(F.col(by), F.col("dst").alias("node")).alias("dst"))
+    found = measure(apart)
+    return found.select(F.col(f"node.{by}").alias(by), F.col("node.node").alias("_node"), *[c for c in found.columns if c != "node"]).withColumnRenamed("_node", "node")
+
+
 def total_variation(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: F.abs(x - y)), F.lit(0.0), lambda s, x: s + x) / 2
 
@@ -55,6 +60,25 @@ def mmd(a: DataFrame, b: DataFrame, distance: str = "tv", sigma: float = 1.0, ro
     return one.select((F.sqrt(F.greatest(value, F.lit(0.0))) if root else value).alias("mmd"))
 
 
+def largest_mmd(a: DataFrame, b: DataFrame, distance: str, sigmas: list[float], scaled: bool = False) -> DataFrame:
+    """One row (mmd): the largest over several widths, 0 at least; ``scaled``: each times the root of the mean squared distance between a and b.
+
+    Distances of snapshots, not of graphs' nodes, are paired, once for all widths.
+    """
+    d = DISTANCES[distance]
+
+    def squared(x: DataFrame, y: DataFrame) -> DataFrame:
+        return x.select(F.col("h").alias("x")).join(F.broadcast(y.select(F.col("h").alias("y")))).select(F.pow(d(F.col("x"), F.col("y")), F.lit(2.0)).alias("d"))
+
+    kinds = squared(a, a).withColumn("kind", F.lit("aa")).union(squared(b, b).withColumn("kind", F.lit("bb"))).union(squared(a, b).withColumn("kind", F.lit("ab")))
+    factor = kinds.where("kind = 'ab'").agg((F.sqrt(F.avg("d")) if scaled else F.lit(1.0)).alias("factor"))
+    widths = F.explode(F.array(*[F.lit(float(s)) for s in sorted(set(sigmas))]))
+    k = kinds.join(F.broadcast(factor)).select("kind", "d", "factor", widths.alias("sigma"))
+    k = k.groupBy("sigma", "kind").agg(F.avg(F.exp(-F.col("d") / (2 * F.pow(F.col("sigma") * F.col("factor"), F.lit(2.0))))).alias("k"))
+    each = k.groupBy("sigma").agg(F.sum(F.when(F.col("kind") == "ab", -2 * F.col("k")).otherwise(F.col("k"))).alias("mmd"))
+    return each.agg(F.greatest(F.max("mmd"), F.lit(0.0)).alias("mmd"))
+
+
 def rbf_mmd(a: DataFrame, b: DataFrame, value: str, gamma: float = 1.0) -> DataFrame:
     """One row (mmd) over single numbers with k = exp(-gamma (x - y)^2); equal numbers are counted before they are paired."""
 
@@ -76,21 +100,6 @@ def hub_scores(truth: DataFrame, guess: DataFrame, k: int) -> DataFrame:
     return hit.select(ratio(F.col("hit"), F.col("m")).alias("precision"), ratio(F.col("hit"), F.col("n")).alias("recall"), ratio(2 * F.col("hit"), F.col("n") + F.col("m")).alias("f1"))
 
 
-def distances_from(edges: DataFrame, sources: DataFrame, most: int = 64) -> DataFrame:
-    """(source, node, hops): fewest steps along undirected edges from each of few stated sources, by rounds from the frontier."""
-    pairs = graph.simple_pairs(edges)
-    near = stored(pairs.select("a", "b").union(pairs.select("b", "a")))
-    seen = stored(sources.select(F.col("node").alias("source"), F.col("node"), F.lit(0).alias("hops")))
-    front = seen
-    for hop in range(1, most + 1):
-        reached = front.join(near, front["node"] == near["a"]).select("source", F.col("b").alias("node")).distinct()
-        front = stored(reached.join(seen, ["source", "node"], "left_anti").withColumn("hops", F.lit(hop)))
-        if front.isEmpty():
-            break
-        seen = stored(seen.unionByName(front))
-    return seen
-
-
 def echo_chambers(edges: DataFrame, vectors: DataFrame, cosine, key: str = "vec_id", above: float = 0.5, least: int = 3, linked: float = 0.01) -> DataFrame:
     """(node, similar, linked, chamber) for nodes of the largest component with at least ``least`` similar ones among them.
 
@@ -112,28 +121,3 @@ def echo_chambers(edges: DataFrame, vectors: DataFrame, cosine, key: str = "vec_
 def split_evenly(total: Column, place: Column, parts: Column) -> Column:
     """The share of the place-th (from 0) of ``parts``: the quotient, and one more for the first remainder places."""
     return F.floor(total / parts) + F.when(place < F.pmod(total, parts), 1).otherwise(0)
-
-
-def spectra(edges: DataFrame, by: str, bins: int, most: int = 4000) -> DataFrame:
-    """(by, nodes, h): shares of the normalised Laplacian's eigenvalues in ``bins`` bins of [0, 2], for each snapshot.
-
-    A dense matrix of a snapshot's nodes is one task's work; a snapshot of over ``most`` nodes gives a null ``h``
-    and its count, as its matrix would not fit a task. Isolated nodes have no eigenvalue of their own here.
-    """
-    pairs = edges.where("src <> dst").select(by, F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).distinct()
-    nodes = pairs.select(by, "a").union(pairs.select(by, "b")).distinct().groupBy(by).agg(F.count("*").alias("nodes"))
-    few = pairs.join(nodes.where(F.col("nodes") <= most).select(by), by, "left_semi")
-    kind = dict(edges.dtypes)[by]
-
-    def solve(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        ids, at = np.unique(np.concatenate((group["a"], group["b"])), return_inverse=True)
-        i, j = at[: len(group)], at[len(group) :]
-        m = np.zeros((len(ids), len(ids)))
-        m[i, j] = m[j, i] = 1
-        scale = 1 / np.sqrt(m.sum(axis=0))
-        values = np.round(np.linalg.eigvalsh(np.eye(len(ids)) - m * scale * scale[:, None]), 9)
-        h = np.bincount(np.clip((values / 2 * bins).astype(int), 0, bins - 1), minlength=bins) / len(ids)
-        return pd.DataFrame({by: [key[0]], "h": [h.tolist()]})
-
-    found = few.groupBy(by).applyInPandas(solve, f"{by} {kind}, h array<double>")
-    return nodes.join(found, by, "left")

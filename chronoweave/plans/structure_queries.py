@@ -7,7 +7,7 @@ from pyspark.sql.window import Window
 
 from chronoweave.functions import vectors as vec
 from chronoweave.operators import distributions as dist
-from chronoweave.operators import graph, reports, retrieval, sampling, structure
+from chronoweave.operators import graph, paths, reports, retrieval, sampling, structure
 from chronoweave.operators.components import connected_components
 from chronoweave.plans.queries import _BOTH, _PAIRS, _REPORT, _SOCIAL, _TRADE, _WIN, query
 from chronoweave.plans.sample_queries import _LEVELS, _levels, _u
@@ -141,7 +141,7 @@ def _(spark, d):
     """Path lengths and closeness of a stated set of sources, ids divisible by 20."""
     e = social_edges(spark, d)
     nodes = e.select(F.col("src").alias("node")).union(e.select("dst")).distinct().where("node % 20 = 0")
-    m = structure.distances_from(e, nodes)
+    m = paths.distances_from(e, nodes)
     return m.groupBy("source").agg(F.count("*").alias("reached"), _r(F.avg(F.when(F.col("hops") > 0, F.col("hops")))).alias("mean_hops"), _r((F.count("*") - 1) / F.sum("hops")).alias("closeness"))
 
 
@@ -533,12 +533,6 @@ def _(spark, d):
     return graph.pagerank(social_edges(spark, d)).select("node", F.round("rank", 9).alias("rank")).orderBy(F.desc("rank"), "node").limit(100)
 
 
-@query("gr17_spectra")
-def _(spark, d):
-    """Shares of each window's normalised-Laplacian eigenvalues in 20 bins of [0, 2]; one matrix of the window's nodes a task."""
-    return structure.spectra(_win(spark, d), "w", 20)
-
-
 @query("gr32_macro_bundle")
 def _(spark, d):
     """Hub agreement, exponent, distance, chambers and mean rank of the top nodes in one row."""

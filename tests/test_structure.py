@@ -11,7 +11,7 @@ from chronoweave.functions import calendar as cal
 from chronoweave.functions import text as tx
 from chronoweave.functions import vectors as vec
 from chronoweave.operators import distributions as dist
-from chronoweave.operators import graph, ranks, reports, sampling, structure
+from chronoweave.operators import graph, paths, ranks, reports, sampling, structure
 from chronoweave.operators.components import connected_components
 
 
@@ -136,7 +136,7 @@ def test_distances(spark):
                     queue.append(m)
         want |= {(s, n): h for n, h in seen.items()}
     sources = spark.createDataFrame([(n,) for n in near if n % 5 == 0], "node long")
-    assert {(r.source, r.node): r.hops for r in structure.distances_from(edges(spark, pairs), sources).collect()} == want
+    assert {(r.source, r.node): r.hops for r in paths.distances_from(edges(spark, pairs), sources).collect()} == want
 
 
 def test_pagerank_equals_dense_iteration(spark):
@@ -187,10 +187,3 @@ def test_echo_chambers_and_hubs(spark):
     a, b = [(1, 2), (1, 3), (2, 3), (4, 1), (4, 2)], [(1, 2), (2, 3), (2, 1), (5, 1)]
     s = structure.hub_scores(edges(spark, a), edges(spark, b), 2).first()
     assert (s.precision, s.recall, s.f1) == (0.5, 0.5, 0.5)
-
-
-def test_spectra(spark):
-    star, pair = [(1, 2), (1, 3), (1, 4), (2, 1), (3, 3)], [(7, 8)]
-    e = spark.createDataFrame([(w, a, b) for w, part in enumerate((star, pair, [(i, i + 1) for i in range(9)])) for a, b in part], "w long, src long, dst long")
-    got = {r.w: r for r in structure.spectra(e, "w", 4, most=5).collect()}
-    assert got[0].h == [0.25, 0.0, 0.5, 0.25] and got[1].h == [0.5, 0.0, 0.0, 0.5] and got[2].h is None and [got[w].nodes for w in range(3)] == [4, 2, 10]
