@@ -54,15 +54,16 @@ class SuffixAutomaton:
         self.next: list[dict[int, int]] = [{}]
         self.link = [-1]
         self.length = [0]
-        self.owners: list[set] = [set()]
-        self.whole: dict[int, list] = {}
+        self.items: list[tuple] = []
+        #: Items by the state of their windows, and short items by the state that they end in.
+        self.owners: dict[int, set] = {}
+        self.whole: dict[int, set] = {}
         self.shortest = window
 
     def _new(self, length: int, edges: dict, link: int) -> int:
         self.next.append(edges)
         self.link.append(link)
         self.length.append(length)
-        self.owners.append(set())
         return len(self.next) - 1
 
     def _split(self, p: int, c: int) -> int:
@@ -94,38 +95,41 @@ class SuffixAutomaton:
             return
         self.shortest = min(self.shortest, len(words))
         state = 0
-        self.__dict__.setdefault("items", []).append((item, [self.ids.setdefault(w, len(self.ids) + 1) for w in words]))
+        self.items.append((item, [self.ids.setdefault(w, len(self.ids) + 1) for w in words]))
         for c in self.items[-1][1]:
             state = self._extend(state, c)
 
     def finish(self) -> "SuffixAutomaton":
-        """Walks the items once more, now that states no longer split, and notes who owns which window."""
-        for item, ids in self.__dict__.get("items", []):
+        """Walks the items once more, now that states no longer split, and notes who owns which window.
+
+        A short item is the longest string of its state, for it stands at its own start, where no longer one ends.
+        """
+        order = sorted(range(1, len(self.next)), key=self.length.__getitem__)
+        #: The state of the last ``window`` words of a state's strings, and the next state up the suffix links that is a short item.
+        self.window_state, self.short_above = [0] * len(self.next), [0] * len(self.next)
+        for s in order:
+            self.window_state[s] = self.window_state[self.link[s]] if self.length[self.link[s]] >= self.window else s
+        for item, ids in self.items:
             state = 0
             for n, c in enumerate(ids, 1):
                 state = self.next[state][c]
                 if n >= self.window:
-                    self.owners[self._at(state)].add(item)
+                    self.owners.setdefault(self.window_state[state], set()).add(item)
             if len(ids) < self.window:
-                self.whole.setdefault(state, []).append((len(ids), item))
+                self.whole.setdefault(state, set()).add(item)
+        for s in order:
+            up = self.link[s]
+            self.short_above[s] = up if up in self.whole else self.short_above[up]
         self.items = []
-        # outputs[s]: whole short items that end where a string of state s ends, through its suffix links
-        self.outputs: list = [None] * len(self.next)
-        for s in sorted(range(len(self.next)), key=self.length.__getitem__):
-            up = self.outputs[self.link[s]] if s else None
-            own = self.whole.get(s)
-            self.outputs[s] = (own or []) + (up or []) if own or up else None
         return self
 
-    def _at(self, state: int) -> int:
-        """The state of the last ``window`` words of ``state``'s strings."""
-        while self.length[self.link[state]] >= self.window:
-            state = self.link[state]
-        return state
+    def scan(self, ids: list[int], offset: int, spans: list, windows: set, shorts: set, longest: int = 0) -> int:
+        """Streams words through the automaton; adds merged hit spans [from, to) and the states of windows and short items found; the longest match.
 
-    def scan(self, ids: list[int], offset: int, spans: list, items: set, longest: int = 0) -> int:
-        """Streams words through the automaton; adds hit spans [from, to) and owners; the longest match."""
-        nxt, link, length, outputs, window = self.next, self.link, self.length, self.outputs, self.window
+        Of what ends at a word only the longest makes a span; short items inside another are noted on the way up the
+        suffix links, which stops at one that is noted already. So time and memory are in proportion to words and states.
+        """
+        nxt, link, length, window = self.next, self.link, self.length, self.window
         state = match = 0
         for i, c in enumerate(ids, offset + 1):
             while state and c not in nxt[state]:
@@ -134,14 +138,19 @@ class SuffixAutomaton:
             if c in nxt[state]:
                 state = nxt[state][c]
                 match += 1
+            short = state if match == length[state] and state in self.whole else self.short_above[state]
+            reach = length[short]
             if match >= window:
-                spans.append((i - window, i))
-                items |= self.owners[self._at(state)]
-            if outputs[state]:
-                for n, item in outputs[state]:
-                    if n <= match:
-                        spans.append((i - n, i))
-                        items.add(item)
+                reach = window
+                windows.add(self.window_state[state])
+            while short and short not in shorts:
+                shorts.add(short)
+                short = self.short_above[short]
+            if reach:
+                start = i - reach
+                while spans and spans[-1][1] >= start:
+                    start = min(start, spans.pop()[0])
+                spans.append((start, i))
             if match > longest:
                 longest = match
         return longest
@@ -149,7 +158,8 @@ class SuffixAutomaton:
     def hits(self, words: list[bytes]) -> tuple[list, set, int]:
         """Merged hit spans, owning items and longest match of a document's words."""
         spans: list = []
-        items: set = set()
+        windows: set = set()
+        shorts: set = set()
         longest = 0
         get = self.ids.get
         ids = np.fromiter((get(w, 0) for w in words), dtype=np.int64, count=len(words))
@@ -157,7 +167,8 @@ class SuffixAutomaton:
         starts, ends = edge[::2], edge[1::2]
         keep = ends - starts >= self.shortest  # a word of no item ends every match
         for a, b in zip(starts[keep].tolist(), ends[keep].tolist()):
-            longest = self.scan(ids[a:b].tolist(), a, spans, items, longest)
+            longest = self.scan(ids[a:b].tolist(), a, spans, windows, shorts, longest)
+        items = set().union(*(self.owners[s] for s in windows if s in self.owners), *(self.whole[s] for s in shorts))
         return merge(spans), items, longest
 
 

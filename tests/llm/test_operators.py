@@ -3,6 +3,8 @@
 import hashlib
 import random
 import re
+import time
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -53,6 +55,22 @@ def brute_contamination(texts, items, window=10):
     return out
 
 
+def test_many_short_items_cost_their_words(tmp_path):
+    """Thousands of answers of one word and nested ones of a few, against a text that repeats that word."""
+    automaton = decontam.SuffixAutomaton(10)
+    items = [(f"i{k}", [b"yes"] * (1 + k % 9)) for k in range(3000)] + [("other", [b"no"])]
+    for item, words in items:
+        automaton.add(item, words)
+    automaton.finish()
+    tracemalloc.start()
+    began = time.process_time()
+    spans, own, longest = automaton.hits([b"yes"] * 20_000 + [b"no", b"x", b"yes"])
+    took, (_, most) = time.process_time() - began, tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert spans == [(0, 20_001), (20_002, 20_003)] and own == {i for i, _ in items} and longest == 9
+    assert took < 5 and most < 20_000_000
+
+
 @pytest.mark.parametrize("shard", [400_000, 60])
 def test_decontamination(spark, monkeypatch, shard):
     monkeypatch.setattr(decontam, "MAX_SHARD_WORDS", shard)
