@@ -1,4 +1,4 @@
-"""Random projections of temporal graphs to small matrices, with Gaussian entries made from hashes and never stored."""
+"""Random projections of temporal graphs to small matrices, with Gaussian entries made from hashes and stored nowhere."""
 
 from __future__ import annotations
 
@@ -26,8 +26,9 @@ def node_projections(edges: DataFrame, message: list[str], dims: int, seed: int,
 
     An event counts for both its ends: the other end's features (with ``features``: node, x), the scaled message
     columns, the scaled time and the role (0 source, 1 destination); with ``features`` the node's own come last.
-    Vectors differ in length; entry i meets row i of the one matrix (``longest`` rows, variance 1 / ``longest``), made from a
-    hash of (i, column) where it is needed; entries from ``longest`` on are cut off, so no node sorts more events than that.
+    Vectors differ in length; entry i meets row i of the one matrix (``longest`` rows, variance 1 / ``longest``), made anew
+    from a hash of (i, column) and broadcast: ``longest`` x ``dims`` numbers, whatever the data. Entries from ``longest`` on are
+    cut off, so no node sorts more events than that.
     A node or other end without features counts as all 0. Sums are added up before the shuffle by node.
     """
     e = scaled(edges.select("edge_id", "src", "dst", "t", *message), "t", *message)
@@ -51,7 +52,8 @@ def node_projections(edges: DataFrame, message: list[str], dims: int, seed: int,
         own = count.join(known, "node", "left").select("node", (F.col("_n") * width).alias("at"), F.coalesce("f", nothing).alias("x"))
         rows = rows.unionByName(own.where(F.col("at") < longest))
     entries = rows.select("node", F.posexplode("x").alias("_i", "v"), "at").withColumn("at", F.col("at") + F.col("_i")).where((F.col("at") < longest) & (F.col("v") != 0))
-    entries = entries.withColumn("g", gaussians(dims, seed, "at"))
+    matrix = edges.sparkSession.range(longest).select(F.col("id").alias("at"), gaussians(dims, seed, "id").alias("g"))
+    entries = entries.join(F.broadcast(matrix), "at")
     sums = entries.groupBy("node").agg(*[F.sum(F.col("v") * F.col("g")[c]).alias(f"_{c}") for c in range(dims)])
     z = F.array(*[F.coalesce(F.col(f"_{c}"), F.lit(0.0)) / math.sqrt(longest) for c in range(dims)])
     nodes = edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct()
