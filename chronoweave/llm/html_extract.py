@@ -4,13 +4,15 @@ Pages become lines, one for each block. Pages of a host are ordered by URL path;
 common subsequence of lines, with the neighbour whose path shares the longer prefix (the earlier one on
 ties), and shared lines go. Inside <article> or <main> a shared line goes only if all of its text is links:
 prose there is the page's own by its mark-up, even if a neighbour quotes it; with such an element, lines
-outside it go as well. Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and comments
-go by element, role, class or id; the header of an article, with its headline, stays.
+outside it go as well, but for the h1 before an article that has none. Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and comments
+go by element, role, class or id, and hidden elements go; the header of an article, with its headline, stays.
 
 End tags may be left out where HTML allows it (p, li, td and so on end where the next one begins or their
 parent ends). An unwanted element that is never closed ends where an article, main, section or h1 begins, a
-menu also at a paragraph or heading. A class or id counts only as a whole: every part of it between hyphens
-must belong to the name of such a block, so ``site-footer`` goes and ``no-sidebar`` and ``article-header`` do not.
+menu also at a paragraph or heading. A class or id counts only as a whole: every part of it between hyphens or
+capitals must belong to the name of such a block, so ``site-footer`` and ``adContainer`` go and ``no-sidebar`` and
+``article-header`` do not. A single paragraph or heading is not taken for a menu, header or share bar by its class,
+and of several articles the first one never goes by its class. A tag that is never closed ends where the next begins.
 
 Scale: URLs alone are sorted into ranges of the order (host, path, page_id) of about ``RANGE_PAGES`` pages, so a
 host with a third of all pages is many ranges. Texts are shuffled once, by range; the first and last page of
@@ -60,30 +62,55 @@ BESIDE = set(
     "top bottom left right main site page global primary secondary sub mobile box bar block inner outer container wrapper wrap list section area item items slot unit widget link links button buttons form signup text "
     "reader user post posts icons media thread message panel overlay layer the by and of to".split()
 )
-_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<[!?][^>]*>""", re.S)
-_ATTR = re.compile(r"""(?<![^\s"'])(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+#: The first article of a page is its own; a later one goes by these names.
+OTHERS = {"comment", "comments", "related", "recommended", "promo", "promos", "sponsored", "ad", "ads", "advert", "teaser", "teasers"}
+#: Blocks that hold prose of their own, and names that are as likely to say what it is about.
+SINGLE = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "pre"}
+TOPICS = {"social", "related", "recommended", "header", "banner", "banners", "sponsor", "sponsors", "promotion", "respond", "share", "sharing", "nav", "navigation", "menu", "menus"}
+KNOWN = BLOCKS | VOID | RAW | DROPPED | set("a abbr b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var".split())
+# A quoted value may hold anything up to 4,096 characters, and beyond that all but "<"; a lone quote is an ordinary character. A tag that is never closed ends
+# where the next one starts. So no attempt reads far, however a page is broken.
+_QUOTED = """"(?:[^"<]*+"|[^"]{0,4096}+")|'(?:[^'<]*+'|[^']{0,4096}+')"""
+_TOKEN = re.compile(rf"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/><]*)((?:[^<>"']++|{_QUOTED}|["'])*+(?=>)|[^<>]*+)(>?)|<[!?][^<>]*+>""", re.S)
+_NAME = re.compile(r"<(/?)([a-zA-Z][^\s/><]*)")
+_ATTR = re.compile(r"""(?<![^\s"'])(class|id|role|style)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+_VALUE = re.compile(r""""[^"]*"|'[^']*'""")
+_HIDDEN = re.compile(r"(?:^|\s)hidden(?=[\s=/]|$)", re.I)
+_UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 _PART = re.compile(r"[^_-]+")
+_HUMP = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[^A-Z_-]+")
 
 
-def _names(value: str, inside: bool) -> bool:
-    """Whether some name of a class or id attribute is one of an unwanted block; inside an article, a header is none."""
-    unwanted = NAMES - {"header"} if inside else NAMES
+def _names(value: str, unwanted: set) -> bool:
+    """Whether some name of a class or id attribute is one of an unwanted block, cut at hyphens or at capitals."""
     for name in value.split():
-        parts = [p.rstrip("0123456789") for p in _PART.findall(name)]
-        parts = [p for p in parts if p]
-        if any(p in unwanted for p in parts) and all(p in NAMES or p in BESIDE for p in parts):
-            return True
+        for cut in (_PART.findall(name), _HUMP.findall(name)):
+            parts = [p for p in (x.lower().rstrip("0123456789") for x in cut) if p]
+            if any(p in unwanted for p in parts) and all(p in NAMES or p in OTHERS or p in BESIDE for p in parts):
+                return True
     return False
 
 
-def _unwanted(name: str, attrs: str, inside: bool) -> bool:
+def _unwanted(name: str, attrs: str, inside: bool, later: bool) -> bool:
+    """Whether an element is none of the main text; ``inside`` an article or main, ``later``: an article after the first."""
     if name in DROPPED:
         return not (inside and name == "header")
-    if "=" not in attrs or name in ("html", "body", "article", "main"):
+    if name in ("html", "body", "main"):
+        return False
+    if "hidden" in attrs.lower() and _HIDDEN.search(_VALUE.sub('""', attrs)):
+        return True
+    if "=" not in attrs:
         return False
+    unwanted = (OTHERS if later else set()) if name == "article" else NAMES - TOPICS if name in SINGLE else NAMES - {"header"} if inside else NAMES
     for m in _ATTR.finditer(attrs):
-        value = html.unescape(m[2] or m[3] or m[4] or "").lower()
-        if value.strip() in ROLES if m[1].lower() == "role" else _names(value, inside):
+        value, kind = html.unescape(m[2] or m[3] or m[4] or ""), m[1].lower()
+        if kind == "style":
+            found = _UNSEEN.search(value)
+        elif kind == "role":
+            found = value.strip().lower() in ROLES and name != "article"
+        else:
+            found = _names(value, unwanted)
+        if found:
             return True
     return False
 
@@ -92,32 +119,42 @@ class _Balance:
     """Whether an element that starts at some place is closed later on the page."""
 
     def __init__(self, page: str):
-        self.page, self.at = page, {}
+        self.page, self.at = page, None
 
     def closed(self, name: str, at: int) -> bool:
-        if name not in self.at:
-            found = [(m.start(), m[1]) for m in re.finditer(rf"<(/?){re.escape(name)}(?![^\s/>])", self.page, re.I)]
-            self.at[name] = [p for p, end in found if not end], [p for p, end in found if end]
-        starts, ends = self.at[name]
+        if self.at is None:
+            self.at = {}
+            for m in _NAME.finditer(self.page):
+                self.at.setdefault(m[2].lower(), ([], []))[bool(m[1])].append(m.start())
+        starts, ends = self.at.get(name, ([], []))
         return len(ends) - bisect_left(ends, at) > len(starts) - bisect_left(starts, at)
 
 
 def page_lines(page) -> list[tuple[str, bool, bool]]:
-    """(line, inside article or main, only links) of each block, without unwanted subtrees."""
+    """(line, inside article or main, only links) of each block, without unwanted subtrees; time is in proportion to the page.
+
+    Where the article has no h1 of its own, the last one before it counts as inside.
+    """
     out: list[tuple[str, bool, bool]] = []
     if not isinstance(page, str) or not page:
         return out
     parts: list[str] = []
     stack: list[tuple[str, bool, bool]] = []  # open elements; whether one is the root of an unwanted subtree, and whether it is in ``depth``
-    depth = skipping = links = 0  # open: article and main, unwanted roots, a
+    places: dict[str, list[int]] = {}  # of the open elements of a name
+    solid: list[int] = []  # places of open blocks and roots
+    depth = skipping = links = articles = 0  # open: article and main, unwanted roots, a; articles so far
     plain = False  # text outside links in this line
+    headline, headed = None, False
     balance = _Balance(page)
 
     def flush():
-        nonlocal plain
+        nonlocal plain, headline, headed
         if parts:
             line = " ".join(html.unescape("".join(parts)).split())
             if line:
+                if places.get("h1"):
+                    headed = headed or depth > 0
+                    headline = headline if depth or any(inside for _, inside, _ in out[-1:]) else len(out)
                 out.append((line, depth > 0, not plain))
             parts.clear()
         plain = False
@@ -125,22 +162,21 @@ def page_lines(page) -> list[tuple[str, bool, bool]]:
     def pop(k):
         """Closes the open elements from the k-th on."""
         nonlocal depth, skipping, links
-        if not skipping and any(n in BLOCKS for n, _, _ in stack[k:]):
+        if not skipping and solid and solid[-1] >= k:
             flush()
-        for n, root, counted in stack[k:]:
+        while len(stack) > k:
+            n, root, counted = stack.pop()
+            places[n].pop()
+            if solid and solid[-1] == len(stack):
+                solid.pop()
             skipping -= root
             depth -= counted
             links -= n == "a"
-        del stack[k:]
 
     def last(names, stops):
         """Place of the innermost open element of ``names``, unless one of ``stops`` is inside of it."""
-        for k in range(len(stack) - 1, -1, -1):
-            if stack[k][0] in names:
-                return k
-            if stack[k][0] in stops:
-                break
-        return None
+        k = max((places[n][-1] for n in names if places.get(n)), default=None)
+        return k if k is not None and all(places[n][-1] <= k for n in stops if places.get(n)) else None
 
     def text(t):
         nonlocal plain
@@ -157,17 +193,20 @@ def page_lines(page) -> list[tuple[str, bool, bool]]:
         if not name:
             continue
         name = name.lower()
+        if not m[4] and not (m[3] and name in KNOWN and ("=" in m[3] or not m[3].strip(" \t\n\r\f/"))):
+            text(m[0])  # "<" before a word is no tag unless a known name and attributes, or nothing, follow
+            continue
         if m[1]:
             if name in VOID or name == "p" and last({"p"}, CELL) is None:
                 if not skipping and name in BLOCKS:
                     flush()
                 continue
             k = last({name}, CELL if name not in CELL and name not in ENDS else {"table"} if name != "table" else set())
-            if k is not None and (name in BLOCKS or not any(n in BLOCKS or root for n, root, _ in stack[k + 1 :])):
+            if k is not None and (name in BLOCKS or not solid or solid[-1] <= k):
                 pop(k)
             continue
         if name in RAW:
-            close = re.compile(rf"</{name}[^>]*>", re.I).search(page, at)
+            close = re.compile(rf"</{name}(?![^\s/><])[^<>]*+>?", re.I).search(page, at)
             at = close.end() if close else len(page)
             continue
         if name in ENDS_P and (k := last({"p"}, CELL)) is not None:
@@ -175,7 +214,7 @@ def page_lines(page) -> list[tuple[str, bool, bool]]:
         if name in ENDS and (k := last(*ENDS[name])) is not None:
             pop(k)
         if skipping and (name in ("article", "main", "section", "h1", "h2", "h3", "p")):
-            k = next(i for i, (_, root, _) in enumerate(stack) if root)
+            k = root_at
             root = stack[k][0]
             if (name in ("article", "main", "section", "h1") or root in ("nav", "menu")) and root not in OPTIONAL and not balance.closed(root, m.start()):
                 pop(k)
@@ -183,14 +222,22 @@ def page_lines(page) -> list[tuple[str, bool, bool]]:
             flush()
         if name in VOID or m[3].endswith("/"):
             continue
-        root = not skipping and _unwanted(name, m[3], depth > 0)
+        root = not skipping and _unwanted(name, m[3], depth > 0, articles > 0)
         counted = not root and not skipping and name in ("article", "main")
+        if root:
+            root_at = len(stack)
+        if name in BLOCKS or root:
+            solid.append(len(stack))
+        places.setdefault(name, []).append(len(stack))
         stack.append((name, root, counted))
         skipping += root
         depth += counted
+        articles += counted and name == "article"
         links += name == "a"
     text(page[at:])
     flush()
+    if headline is not None and not headed and any(inside for _, inside, _ in out):
+        out[headline] = (out[headline][0], True, out[headline][2])
     return out
 
 

@@ -407,6 +407,24 @@ def test_names_count_as_a_whole():
     assert lines_of(page) == [("Title", True), ("By", True), ("x", True)]
 
 
+def test_headlines_hidden_blocks_and_broken_tags():
+    plain = lambda page: [x for x, _ in lines_of(page)]
+    assert lines_of("<h1>Title</h1><p>out</p><article><p>body</article>tail") == [("Title", True), ("out", False), ("body", True), ("tail", False)]
+    assert lines_of("<h1>Site</h1><article><h1>Title</h1><p>body</article><h1>After</h1>") == [("Site", False), ("Title", True), ("body", True), ("After", False)]
+    assert plain('<p class="social">We study social mobility.<p class="related">Related work.<h2 class="header">Mine</h2><p class="ad">x') == ["We study social mobility.", "Related work.", "Mine"]
+    assert plain('<div class="adContainer">x</div><div class="SideBar-left">x</div><div hidden>y</div><p style="color:red; display : none">z<p class="hidden md">k<p data-x="a hidden b">l') == ["k", "l"]
+    assert plain('<article class="related-posts"><p>one</article><article class="teaser"><p>two</article><article class="comment">c</article><article><p>three</article>') == ["one", "three"]
+    assert plain('<p><a href="x>two</a> three') == ["two three"] and plain("<p title=it's>don't</p>") == ["don't"] and plain('<p title="a < b > c">x</p>') == ["x"]
+    assert plain("<p <b>x</b> a<b and b<c") == ["x a<b and b<c"] and plain("<p>one<br") == ["one<br"] and plain('<img alt="a" <p>two') == ["two"]
+
+
+@pytest.mark.parametrize("page", ["<nav><div>" * 40_000 + "<section>" * 40_000, "<div>" * 90_000, '<a "' * 120_000, "<b><div>" + "<i>" * 80_000 + "</b>" * 80_000, "".join(f"<x{k} class=ad><section>" for k in range(30_000)), "<!" * 100_000, "<script>" + "</script" * 60_000, "<p>" * 70_000 + "</td>" * 70_000, "<p title='" * 60_000, '<a href="' + "x" * 200_000 + '<a href="' * 40_000])
+def test_broken_pages_take_time_in_proportion(page):
+    began = time.process_time()
+    html_extract.page_lines(page)
+    assert time.process_time() - began < 10  # 0.3 to 1.5 seconds; what walks or rescans takes minutes
+
+
 def brute_extract(rows):
     """The text of each page: neighbour by all pages of the host, shared lines by the table of the longest common subsequence."""
 
