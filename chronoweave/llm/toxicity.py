@@ -17,8 +17,8 @@ rows lack, by smoothed log-odds of document frequency; the weights of threat ver
 factors, by likelihood against a prior that holds where labels say nothing; the logistic weights, each class
 weighted by its count in all labelled rows. Threat verbs, targets, negations and report words are fixed, closed lists.
 
-Scale: all is fitted on a bounded sample of labelled rows (about ``SAMPLE`` of each class, by a bound on the hash of
-the id; no ranking). Scoring is a narrow map over whole texts: one pass of a compiled alternation finds lexical
+Scale: all is fitted in one task on a bounded sample of labelled rows (about ``SAMPLE`` of each class, by a bound on the
+hash of the id; no ranking). Scoring is a narrow map over whole texts: one pass of a compiled alternation finds lexical
 matches, and only the clauses round them are read word by word.
 
 Defined cases: null and empty texts score as texts without a match; a null label teaches nothing; repeated
@@ -29,6 +29,7 @@ never read for scores.
 
 import itertools
 import math
+import pickle
 import re
 from collections import Counter, defaultdict
 
@@ -284,9 +285,16 @@ def fit(docs: DataFrame, labels: DataFrame) -> "Grammar":
     chosen = rows.where(sample_bound("toxic", {y: n / max(1, count.get(y, 0)) for y, n in SAMPLE.items()}))
     chosen = chosen.select(F.col("doc_id").alias("_id"), "toxic")
     found = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).groupBy("doc_id").agg(F.min("text").alias("text"), F.first("toxic").alias("toxic"))
-    sample = sorted(found.collect(), key=lambda r: r.doc_id)
-    drawn = Counter(r.toxic for r in sample)
-    return Grammar.fit([r.text for r in sample], [r.toxic for r in sample], {y: count[y] / drawn[y] for y in drawn})
+
+    def learn(batches):
+        """The sample, bounded by ``SAMPLE``, in one task: its texts and counts stay out of the driver."""
+        sample = sorted((r for b in batches for r in zip(b["doc_id"].tolist(), b["text"], b["toxic"].tolist())), key=lambda r: r[0])
+        drawn = Counter(y for _, _, y in sample)
+        grammar = Grammar.fit([t for _, t, _ in sample], [y for _, _, y in sample], {y: count[y] / drawn[y] for y in drawn})
+        yield pd.DataFrame({"grammar": [pickle.dumps(grammar.__reduce__()[1])]})
+
+    learned = found.repartition(1).mapInPandas(learn, "grammar binary").first()
+    return Grammar(*pickle.loads(learned.grammar)) if learned else Grammar.fit([], [])
 
 
 def score(docs: DataFrame, grammar: Grammar) -> DataFrame:
