@@ -19,9 +19,19 @@ def summed(a: Column) -> Column:
 
 
 def softmax(a: Column) -> Column:
-    """exp(x - max) over their sum, element by element."""
-    e = F.transform(a, lambda x: F.exp(x.cast("double") - F.array_max(a).cast("double")))
-    return F.transform(F.array(e), lambda v: F.transform(v, lambda x: x / summed(v)))[0]
+    """exp(x - max) over their sum, element by element; the maximum and the sum are bound once."""
+    e = F.transform(F.array(F.struct(a.alias("v"), F.array_max(a).cast("double").alias("most"))), lambda s: F.transform(s.v, lambda x: F.exp(x.cast("double") - s.most)))
+    bound = F.transform(e, lambda v: F.struct(v.alias("v"), summed(v).alias("total")))
+    return F.transform(bound, lambda s: F.transform(s.v, lambda x: x / s.total))[0]
+
+
+def with_norm(a: Column) -> Column:
+    """A vector beside its length, for ``unit_cosine``: computed once a vector and not once a pair."""
+    return F.struct(a.alias("v"), F.sqrt(dot(a, a)).alias("norm"))
+
+
+def unit_cosine(a: Column, b: Column) -> Column:
+    return dot(a["v"], b["v"]) / F.greatest(a["norm"] * b["norm"], F.lit(1e-8))
 
 
 def padded(a: Column, n: int, pad: Column) -> Column:

@@ -59,3 +59,19 @@ def common_neighbours(edges: DataFrame) -> DataFrame:
     both = closed.unionByName(e.select("a", "b", "at", "edge_id", F.lit(0).alias("n")))
     w = Window.partitionBy("a", "b").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
     return both.withColumn("common", F.sum("n").over(w)).where("edge_id is not null").select("edge_id", "common")
+
+
+def future_references(queries: DataFrame, future: DataFrame, k: int = 3) -> DataFrame:
+    """(qid, labels): for each (qid, src, dst) the first ``k`` labels to come: those of src's edges in order, then those of edges to dst.
+
+    No query takes more than ``k`` from either side, so each node keeps its first ``k`` edges before any are joined.
+    """
+    sides = []
+    for side, end in enumerate(("src", "dst")):
+        order = Window.partitionBy(end).orderBy("t", "edge_id")
+        few = future.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= k)
+        few = few.groupBy(end).agg(F.transform(F.array_sort(F.collect_list(F.struct("_r", "label"))), lambda x: x["label"]).alias(f"_l{side}"))
+        sides.append(few)
+    found = queries.join(sides[0], "src", "left").join(sides[1], "dst", "left")
+    none = F.array().cast("array<string>")
+    return found.select("qid", F.slice(F.concat(F.coalesce("_l0", none), F.coalesce("_l1", none)), 1, k).alias("labels"))

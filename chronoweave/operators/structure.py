@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chronoweave.operators import graph
+from chronoweave.operators import graph, retrieval
 from chronoweave.operators.components import connected_components
+from chronoweave.operators.distributions import row_numbers
 from chronoweave.session import stored
 
 
@@ -100,6 +101,59 @@ def hub_scores(truth: DataFrame, guess: DataFrame, k: int) -> DataFrame:
     return hit.select(ratio(F.col("hit"), F.col("m")).alias("precision"), ratio(F.col("hit"), F.col("n")).alias("recall"), ratio(2 * F.col("hit"), F.col("n") + F.col("m")).alias("f1"))
 
 
+def hub_metrics(truth: DataFrame, guess: DataFrame, k: int | None = None, share: float | None = None) -> DataFrame:
+    """One row (precision, recall, f1, auc): the nodes of most edges of a guessed graph against those of the true one.
+
+    Either ``k`` nodes or a ``share`` of all nodes of both graphs; these may grow with the data, so they are numbered by
+    ranges. The area under the curve is that of two vectors of zeros and ones over all nodes.
+    """
+    if (k is None) == (share is None):
+        raise ValueError("give either k or share")
+    ends = [x.select(F.col(c).alias("node")) for x in (truth, guess) for c in ("src", "dst")]
+    n = ends[0].union(ends[1]).union(ends[2]).union(ends[3]).distinct().agg(F.count("*").alias("n"))
+    n = stored(n.withColumn("k", F.lit(k).cast("long") if share is None else F.floor(share * F.col("n"))))
+    tops = []
+    for x in (truth, guess):
+        ranked = row_numbers(x.groupBy("src").agg((-F.count("*")).alias("d")), "d", "src")
+        tops.append(ranked.join(F.broadcast(n.select("k"))).where("number < k").select("src"))
+    both = tops[0].withColumn("t", F.lit(1)).join(tops[1].withColumn("g", F.lit(1)), "src", "full_outer")
+    c = both.agg(F.count("t").alias("t"), F.count("g").alias("g"), F.count_if(F.col("t").isNotNull() & F.col("g").isNotNull()).alias("hit")).join(F.broadcast(n.select("n")))
+    ratio = lambda x, y: F.coalesce(x / F.nullif(y, F.lit(0)), F.lit(0.0))
+    hit, t, g = F.col("hit"), F.col("t"), F.col("g")
+    auc = (ratio(hit, t) + 1 - ratio(g - hit, F.col("n") - t)) / 2
+    return c.select(ratio(hit, g).alias("precision"), ratio(hit, t).alias("recall"), ratio(2 * hit, t + g).alias("f1"), auc.alias("auc"))
+
+
+def list_scores(guess: Column, truth: Column) -> list[Column]:
+    """label_acc (the first guess is among the true ones), label_precision, label_recall and label_f1 of two lists; 0 for empty ones."""
+    hit = F.size(F.array_intersect(guess, truth))
+    ratio = lambda x, y: F.coalesce(x / F.nullif(y, F.lit(0)), F.lit(0.0))
+    p, r = ratio(hit, F.size(guess)), ratio(hit, F.size(truth))
+    acc = F.coalesce(F.array_contains(truth, F.get(guess, F.lit(0))), F.lit(False)).cast("int")
+    return [acc.alias("label_acc"), p.alias("label_precision"), r.alias("label_recall"), F.when(hit == 0, 0.0).otherwise(2.0 * p * r / (p + r)).alias("label_f1")]
+
+
+def structure_gaps(a: DataFrame, b: DataFrame) -> DataFrame:
+    """One row of absolute gaps of two graphs: mean degree over their nodes, wedges and claws by in-edges, triangles, and three triangles over claws."""
+    sides = []
+    for name, e in (("a", a), ("b", b)):
+        n = e.select("src").union(e.select("dst")).distinct().agg(F.count("*").alias("n"))
+        m = graph.degree_motifs(e).join(F.broadcast(e.agg(F.count("*").alias("e")))).join(F.broadcast(n)).join(F.broadcast(graph.triangles(e).agg(F.count("*").alias("t"))))
+        cc = F.coalesce(3 * F.col("t") / F.nullif("claws", F.lit(0)), F.lit(0.0))
+        sides.append(m.select((F.col("e") / F.col("n")).alias(f"{name}_mean"), F.col("wedges").alias(f"{name}_wedges"), F.col("claws").alias(f"{name}_claws"), F.col("t").alias(f"{name}_triangles"), cc.alias(f"{name}_clustering")))
+    names = ("mean", "wedges", "claws", "triangles", "clustering")
+    return sides[0].join(F.broadcast(sides[1])).select(*[F.abs(F.col(f"a_{x}") - F.col(f"b_{x}")).alias(f"{x}_gap") for x in names])
+
+
+def chamber_gaps(a: DataFrame, b: DataFrame) -> DataFrame:
+    """One row of absolute gaps of two graphs' echo chambers: their number, their share of the nodes looked at, and their mean size."""
+    sides = []
+    for name, c in (("a", a), ("b", b)):
+        size = F.coalesce(F.avg(F.when(F.col("chamber"), F.col("similar"))), F.lit(0.0))
+        sides.append(c.agg(F.count_if("chamber").alias(f"{name}_chambers"), F.coalesce(F.avg(F.col("chamber").cast("int")), F.lit(0.0)).alias(f"{name}_ratio"), size.alias(f"{name}_size")))
+    return sides[0].join(F.broadcast(sides[1])).select(*[F.abs(F.col(f"a_{x}") - F.col(f"b_{x}")).alias(f"{x}_gap") for x in ("chambers", "ratio", "size")])
+
+
 def echo_chambers(edges: DataFrame, vectors: DataFrame, cosine, key: str = "vec_id", above: float = 0.5, least: int = 3, linked: float = 0.01) -> DataFrame:
     """(node, similar, linked, chamber) for nodes of the largest component with at least ``least`` similar ones among them.
 
@@ -110,8 +164,7 @@ def echo_chambers(edges: DataFrame, vectors: DataFrame, cosine, key: str = "vec_
     big = comp.groupBy("component").agg(F.count("*").alias("_n")).agg(F.max_by("component", F.struct("_n", -F.col("component"))).alias("component"))
     mine = comp.join(F.broadcast(big), "component").select(F.col("node").alias(key))
     v = stored(vectors.join(mine, key, "left_semi"))
-    asked = v.where("asked").select(F.col(key).alias("node"), F.col("embedding").alias("_x"))
-    alike = v.join(F.broadcast(asked), F.col(key) != F.col("node")).where(cosine(F.col("_x"), F.col("embedding")) > above).select("node", F.col(key).alias("other"))
+    alike = retrieval.similarities(v.where("asked"), v, cosine, key).where(F.col("sim") > above).select(F.col("src").alias("node"), F.col("dst").alias("other"))
     pairs = graph.simple_pairs(edges)
     both = pairs.select(F.col("a").alias("node"), F.col("b").alias("other"), F.lit(1).alias("_e")).union(pairs.select("b", "a", F.lit(1)))
     k = alike.join(both, ["node", "other"], "left").groupBy("node").agg(F.count("*").alias("similar"), F.count("_e").alias("linked"))

@@ -184,9 +184,12 @@ def _(spark, d):
     f"WITH {_WIN}, h AS (SELECT src, list(dst ORDER BY t, edge_id) AS h FROM win WHERE w < 22 GROUP BY src) SELECT src, draw, h[CAST(floor({_u(9, 'src', 'draw')} * len(h)) AS BIGINT) + 1] AS picked FROM h, (SELECT unnest(range(1, 4)) AS draw)",
 )
 def _(spark, d):
-    h = _win(spark, d).where("w < 22").groupBy("src").agg(F.array_sort(F.collect_list(F.struct("t", "edge_id", "dst"))).alias("h"))
-    h = h.select("src", F.transform("h", lambda x: x["dst"]).alias("h"))
-    return sampling.with_replacement(h, "h", 3, 9, "src").select("src", F.col("draw").cast("long").alias("draw"), "picked")
+    """Three draws a source from its past: places in the numbered history are drawn, no history is one row."""
+    e = _win(spark, d).where("w < 22").select("src", "t", "edge_id", "dst")
+    rows = dist.row_numbers(e, "src", "t", "edge_id", name="at")
+    span = rows.groupBy("src").agg(F.min("at").alias("first"), F.count("*").alias("n"))
+    drawn = span.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(3)))).withColumn("at", F.col("first") + F.floor(sampling.uniform(9, "src", "draw") * F.col("n")))
+    return drawn.select("src", "draw", "at").join(rows.select("at", "dst"), "at").select("src", F.col("draw").cast("long").alias("draw"), F.col("dst").alias("picked"))
 
 
 @query("l1_sorted", f"WITH {_SOCIAL} SELECT edge_id, src, dst, t FROM social ORDER BY t, src, dst, edge_id")

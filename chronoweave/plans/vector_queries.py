@@ -128,16 +128,24 @@ def _(spark, d):
 _LISTS = f"{_SOCIAL}, h AS (SELECT src, list(dst ORDER BY t, edge_id) AS h FROM social GROUP BY src)"
 
 
-def _histories(spark, d):
-    h = social_edges(spark, d).groupBy("src").agg(F.array_sort(F.collect_list(F.struct("t", "edge_id", "dst"))).alias("h"))
+def _bounded(spark, d, k, newest=False):
+    """(src, h): the first ``k`` destinations of each source, or its last ones, in order; others go before they are shuffled."""
+    e = social_edges(spark, d)
+    order = [F.desc("t"), F.desc("edge_id")] if newest else ["t", "edge_id"]
+    few = e.withColumn("r", F.row_number().over(Window.partitionBy("src").orderBy(*order))).where(F.col("r") <= k)
+    h = few.groupBy("src").agg(F.array_sort(F.collect_list(F.struct("t", "edge_id", "dst"))).alias("h"))
     return h.select("src", F.transform("h", lambda x: x["dst"]).alias("h"))
 
 
+def _counted(spark, d):
+    return social_edges(spark, d).groupBy("src").agg(F.count("*").alias("n"), F.max_by("dst", F.struct("t", "edge_id")).alias("next"))
+
+
 @query("v11_padded_lists", f"WITH {_LISTS} SELECT src, array_to_string((h[:-2] || list_resize([]::BIGINT[], 40, -1))[:40], ',') AS past, h[-1] AS next FROM h")
 def _(spark, d):
     """All but the last item, padded to 40 with -1, and the last as what is to be predicted."""
-    past = F.slice("h", F.lit(1), F.size("h") - 1)
-    return _histories(spark, d).select("src", _text(vec.padded(past, 40, F.lit(-1).cast("long"))).alias("past"), F.element_at("h", -1).alias("next"))
+    past = F.slice("h", F.lit(1), F.least(F.size("h"), F.col("n") - 1).cast("int"))
+    return _bounded(spark, d, 40).join(_counted(spark, d), "src").select("src", _text(vec.padded(past, 40, F.lit(-1).cast("long"))).alias("past"), "next")
 
 
 @query("v12_multi_hot", "SELECT vec_id, array_to_string(([i FOR i IN range(1, 65) IF embedding[i] > 0.2] || list_resize([]::BIGINT[], 6, 0))[:6], ',') AS places FROM embeddings")
@@ -148,13 +156,13 @@ def _(spark, d):
 
 @query("v13_clipped_edges", f"WITH {_LISTS} SELECT src, array_to_string((h || list_resize([]::BIGINT[], 16, 0))[:16], ',') AS edges, least(len(h), 16) AS n FROM h")
 def _(spark, d):
-    return _histories(spark, d).select("src", _text(vec.padded(F.col("h"), 16, F.lit(0).cast("long"))).alias("edges"), F.least(F.size("h"), F.lit(16)).cast("long").alias("n"))
+    return _bounded(spark, d, 16).select("src", _text(vec.padded(F.col("h"), 16, F.lit(0).cast("long"))).alias("edges"), F.size("h").cast("long").alias("n"))
 
 
 @query("v14_patched", f"WITH {_LISTS}, s AS (SELECT src, [src] || h[greatest(len(h) - 30, 1) :] AS s FROM h) SELECT src, len(s) AS n, array_to_string(s || list_resize([]::BIGINT[], (8 - len(s) % 8) % 8, 0), ',') AS patches FROM s")
 def _(spark, d):
     """The node itself, then its last 31 partners, padded to a multiple of eight."""
-    s = _histories(spark, d).select("src", F.concat(F.array("src"), F.slice("h", F.greatest(F.size("h") - 30, F.lit(1)), F.lit(31))).alias("s"))
+    s = _bounded(spark, d, 31, newest=True).select("src", F.concat(F.array("src"), "h").alias("s"))
     pad = F.array_repeat(F.lit(0).cast("long"), F.pmod(8 - F.size("s") % 8, F.lit(8)))
     return s.select("src", F.size("s").cast("long").alias("n"), _text(F.concat("s", pad)).alias("patches"))
 

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import chronoweave.plans.algorithm_queries  # noqa: F401
+import chronoweave.plans.comparison_queries  # noqa: F401
 import chronoweave.plans.file_queries  # noqa: F401
 import chronoweave.plans.graph_queries  # noqa: F401
 import chronoweave.plans.history_queries  # noqa: F401
+import chronoweave.plans.reply_queries  # noqa: F401
 import chronoweave.plans.report_queries  # noqa: F401
 import chronoweave.plans.sample_queries  # noqa: F401
 import chronoweave.plans.structure_queries  # noqa: F401

@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 import re
+import uuid
 
+import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.window import Window
 
 from chronoweave.functions.rules import number_in
@@ -23,8 +27,10 @@ def read_csv(spark: SparkSession, path: str, schema: str | None = None, index: b
 
 
 def read_any(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
-    """A dataset by its ending: csv, json, jsonl, parquet, orc or txt, gzipped or not."""
+    """A dataset by its ending: csv, json, jsonl, parquet, orc or txt, gzipped or not, or arrow with a ``schema``."""
     kind = path.rstrip("/").removesuffix(".gz").rsplit(".", 1)[-1]
+    if kind == "arrow" and schema:
+        return read_arrow(spark, path, schema)
     if kind not in FORMATS:
         raise ValueError(f"no format known for {path}")
     if kind == "csv":
@@ -33,6 +39,23 @@ def read_any(spark: SparkSession, path: str, schema: str | None = None) -> DataF
     return (reader.schema(schema) if schema else reader).load(path)
 
 
+def read_arrow(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Arrow files or streams as a table of ``schema``, columns by name; a file (2 GB at most) is one task's work and passes through it batch by batch."""
+    empty = spark.createDataFrame([], schema)
+    kinds = to_arrow_schema(empty.schema)
+
+    def rows(batches):
+        for batch in batches:
+            for content in batch.column(0):
+                buffer = content.as_buffer()
+                reader = pa.ipc.open_file(buffer) if buffer[:6].to_pybytes() == b"ARROW1" else pa.ipc.open_stream(buffer)
+                parts = (reader.get_batch(i) for i in range(reader.num_record_batches)) if hasattr(reader, "get_batch") else iter(reader)
+                for part in parts:
+                    yield pa.RecordBatch.from_arrays([part.column(f.name).cast(f.type) for f in kinds], schema=kinds)
+
+    return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("content").mapInArrow(rows, empty.schema)
+
+
 def read_prompts(spark: SparkSession, paths: list[str], columns: list[str]) -> DataFrame:
     """JSON lines of several globs as one table of ``columns``; a column that the files lack is null."""
     df = spark.read.json(paths)
@@ -131,3 +154,43 @@ def latex_table(df: DataFrame, rows: int = 200) -> str:
         raise ValueError(f"a table for reading has {rows} rows at most")
     line = lambda x: " & ".join("" if v is None else str(v).replace("_", r"\_").replace("&", r"\&") for v in x) + r" \\"
     return "\n".join([rf"\begin{{tabular}}{{{'l' * len(df.columns)}}}", line(df.columns), r"\hline", *map(line, got), r"\end{tabular}"])
+
+
+def publish(df: DataFrame, root: str) -> int:
+    """Write ``df`` as the next version under ``root`` and make it the one that ``current`` opens; its number.
+
+    The data are written beside earlier versions first. A line in ``_versions`` then names them; it is one file that
+    appears whole, so readers open either the version before or this one, and ``df`` may read an earlier version.
+    """
+    spark = df.sparkSession
+    known = versions(spark, root)
+    number = max(known, default=0) + 1
+    path = f"{root}/v{number}-{uuid.uuid4().hex[:8]}"
+    df.write.parquet(path)
+    spark.createDataFrame([(number, path)], "number long, path string").coalesce(1).write.mode("append").json(f"{root}/_versions")
+    return number
+
+
+def versions(spark: SparkSession, root: str) -> dict[int, str]:
+    """Paths of the published versions by number; none where nothing has been published. Of two writers of one number the last path in order counts."""
+    try:
+        rows = spark.read.schema("number long, path string").json(f"{root}/_versions").orderBy("path").collect()  # one a publication
+    except AnalysisException:  # no such folder yet
+        return {}
+    return {r.number: r.path for r in rows if r.number is not None}
+
+
+def current(spark: SparkSession, root: str) -> DataFrame:
+    """The table that was published last."""
+    known = versions(spark, root)
+    if not known:
+        raise FileNotFoundError(f"nothing is published in {root}")
+    return spark.read.parquet(known[max(known)])
+
+
+def read_metric_tree(spark: SparkSession, root: str, section: str = "test metrics") -> DataFrame:
+    """Metric files ``root``/model/dataset/*.json as rows: model and dataset from the path, then the section's values."""
+    rows = spark.read.option("multiLine", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").json(root)
+    part = F.split(F.input_file_name(), "/")
+    name = lambda k: F.url_decode(F.regexp_replace(F.element_at(part, k), "^[a-z]+=", ""))
+    return rows.select(name(-3).alias("model"), name(-2).alias("dataset"), F.col(f"`{section}`.*"))
