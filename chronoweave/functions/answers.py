@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 def choice_answer(text: Column) -> Column:
     """Struct (answer, boxed): what the last ``\\boxed{...}`` holds, else what follows the last "answer is" in any case, else the text."""
     boxed = F.try_element_at(F.regexp_extract_all(text, F.lit(r"\\boxed\{([^}]+)\}"), F.lit(1)), F.lit(-1))
-    after = F.regexp_extract(text, r"(?is)^.*answer is(.*)$", 1)
+    after = F.regexp_extract(text, r"(?is)\A.*answer is(.*)\z", 1)
     said = F.lower(text).contains("answer is")
     return F.when(text.isNotNull(), F.struct(F.coalesce(boxed, F.when(said, after), text).alias("answer"), boxed.isNotNull().alias("boxed")))
 

@@ -62,7 +62,8 @@ def think_answer_format(text: Column) -> Column:
 
 def score(text: Column, key: str) -> Column:
     """The number after the last ``key``, in any case and with or without brackets; 0 without one."""
-    return F.coalesce(F.regexp_extract(text, rf"(?is).*\b{key}\b\W*([0-9]+)", 1).try_cast("double"), F.lit(0.0))
+    found = F.regexp_extract_all(text, F.lit(rf"(?i)\b{key}\b\W*([0-9]+)"), F.lit(1))  # all in one pass: a greedy start would be tried anew at every place
+    return F.coalesce(F.try_element_at(found, F.lit(-1)).try_cast("double"), F.lit(0.0))
 
 
 # Instruction-following predicates

@@ -47,11 +47,11 @@ _TWO = f"{_WIN}, v AS (SELECT vec_id, embedding FROM embeddings)" + "".join(
     {n}s AS (SELECT a.vec_id AS node, b.vec_id AS other FROM v a JOIN v b ON a.vec_id <> b.vec_id AND a.vec_id % 20 = 0 WHERE a.vec_id IN (SELECT x FROM {n}n) AND b.vec_id IN (SELECT x FROM {n}n) AND {_COS} > 0.25),
     {n}c AS (SELECT node, count(*) AS "similar", count({n}p.a) AS linked FROM {n}s LEFT JOIN {n}p ON {n}p.a = least(node, other) AND {n}p.b = greatest(node, other) GROUP BY node HAVING count(*) >= 3),
     {n}m AS (SELECT count(*) FILTER (linked / "similar" > 0.01) AS chambers, coalesce(avg(CAST(linked / "similar" > 0.01 AS INT)), 0) AS ratio, coalesce(avg("similar") FILTER (linked / "similar" > 0.01), 0) AS size FROM {n}c)"""
-    for n, rule in (("a", "< 15"), ("b", ">= 15"))
+    for n, rule in (("g", "< 15"), ("h", ">= 15"))
 )
 
 
-@query("gr31_chambers_of_two_graphs", f"WITH {_TWO} SELECT abs(am.chambers - bm.chambers) AS chambers_gap, round(abs(am.ratio - bm.ratio), 6) AS ratio_gap, round(abs(am.size - bm.size), 6) AS size_gap FROM am, bm")
+@query("gr31_chambers_of_two_graphs", f"WITH {_TWO} SELECT abs(gm.chambers - hm.chambers) AS chambers_gap, round(abs(gm.ratio - hm.ratio), 6) AS ratio_gap, round(abs(gm.size - hm.size), 6) AS size_gap FROM gm, hm")
 def _(spark, d):
     """Echo chambers of the two halves of the windows: number, share and mean size apart; vectors are random, so the bound is 0.25."""
     v = table(spark, d, "embeddings").select("vec_id", "embedding", (F.col("vec_id") % 20 == 0).alias("asked"))
@@ -63,14 +63,14 @@ _BUNDLE = "".join(
     f""", {n}e AS (SELECT src, dst FROM win WHERE w {rule}), {n}p AS (SELECT DISTINCT least(src, dst) AS a, greatest(src, dst) AS b FROM {n}e), {n}k AS (SELECT dst, count(*) AS k FROM {n}e GROUP BY dst),
     {n}t AS (SELECT count(*) AS t FROM {n}p x JOIN {n}p y ON x.b = y.a JOIN {n}p z ON z.a = x.a AND z.b = y.b),
     {n}m AS (SELECT sum(k) / (SELECT count(*) FROM (SELECT src FROM {n}e UNION SELECT dst FROM {n}e)) AS mean, sum(k * (k - 1) / 2) AS wedges, sum(k * (k - 1) * (k - 2) / 6) AS claws, (SELECT t FROM {n}t) AS triangles FROM {n}k)"""
-    for n, rule in (("a", "< 15"), ("b", ">= 15"))
+    for n, rule in (("g", "< 15"), ("h", ">= 15"))
 )
 
 
 @query(
     "gr33_structure_bundle",
     f"""WITH {_WIN}{_BUNDLE} SELECT round(abs(a.mean - b.mean), 6) AS mean_gap, abs(a.wedges - b.wedges) AS wedges_gap, abs(a.claws - b.claws) AS claws_gap, abs(a.triangles - b.triangles) AS triangles_gap,
-    round(abs(coalesce(3 * a.triangles / nullif(a.claws, 0), 0) - coalesce(3 * b.triangles / nullif(b.claws, 0), 0)), 9) AS clustering_gap FROM am a, bm b""",
+    round(abs(coalesce(3 * a.triangles / nullif(a.claws, 0), 0) - coalesce(3 * b.triangles / nullif(b.claws, 0), 0)), 9) AS clustering_gap FROM gm a, hm b""",
 )
 def _(spark, d):
     """Mean degree, wedges, claws, triangles and the clustering coefficient of two graphs: how far each is apart."""
@@ -119,11 +119,11 @@ def _folder(spark):
     return f"{shared_dir(spark)}/files-{uuid.uuid4().hex}"
 
 
-@query("io9_metric_tree", f"WITH {_REPORT} SELECT model, dataset, CAST(round(m1, 2) AS VARCHAR) AS m1, CAST(CAST(m2 AS BIGINT) AS VARCHAR) AS m2 FROM report")
+@query("io9_metric_tree", f"WITH {_REPORT} SELECT model, dataset, CAST(CAST(floor(m1) AS BIGINT) AS VARCHAR) AS m1, CAST(CAST(m2 AS BIGINT) AS VARCHAR) AS m2 FROM report")
 def _(spark, d):
     """A metric file for each model and data set; both names come back from the path."""
     root = _folder(spark)
-    values = F.struct(F.format_number(F.round("m1", 2), "0.0#").alias("m1"), F.col("m2").cast("long").cast("string").alias("m2"))
+    values = F.struct(F.floor("m1").cast("string").alias("m1"), F.col("m2").cast("long").cast("string").alias("m2"))
     report_rows(spark, d).select("model", "dataset", values.alias("test metrics")).write.partitionBy("model", "dataset").json(root)
     return files.read_metric_tree(spark, root).select("model", "dataset", "m1", "m2")
 

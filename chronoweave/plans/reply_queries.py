@@ -33,7 +33,7 @@ def _(spark, d):
 _FORMAT = ["text", "concat('<think>', left(text, 60), '</think>', chr(10), '<answer>', text, '</answer>')", "concat('<think>', text, '<answer>', lang, '</answer>')", "concat(lang, chr(10), '<think>', lang, '</think><answer>', left(text, 30), '</answer>', chr(10), lang)", "concat('x<think>', lang, '</think><answer>', lang, '</answer>')"]
 
 
-@query("tx18_format_of_texts", _sql("CASE WHEN regexp_matches(r, '(?sm)^<think>.*?</think>.*?<answer>.*?</answer>$') THEN 0.0 ELSE -1.0 END AS reward", *_FORMAT))
+@query("tx18_format_of_texts", _sql("CASE WHEN regexp_matches(r, '(?sm)^<think>.*?</think>.*?<answer>.*?</answer>$') THEN 0.0::DOUBLE ELSE -1.0::DOUBLE END AS reward", *_FORMAT))
 def _(spark, d):
     return _replies(spark, d, *_FORMAT).select("doc_id", tx.think_answer_format(F.col("r")).alias("reward"))
 
@@ -74,7 +74,7 @@ _RIGHT = "coalesce(nullif(regexp_extract(a, '(\\p{Lu})', 1), '') = upper(left(la
     "tx14_choices_of_texts",
     f"""WITH r AS ({_sql('lang, r', *_CHOICE_SQL)}), b AS (SELECT *, list_last(regexp_extract_all(r, '\\\\boxed\\{{([^}}]+)\\}}', 1)) AS boxed FROM r),
     x AS (SELECT doc_id, lang, boxed IS NOT NULL AS boxed, coalesce(boxed, CASE WHEN contains(lower(r), 'answer is') THEN regexp_extract(r, '(?is)^.*answer is(.*)$', 1) END, r) AS a FROM b), y AS (SELECT *, {_RIGHT} AS ok FROM x)
-    SELECT doc_id, sha256(a) AS answer, boxed, ok AS "right", CASE WHEN ok THEN 1.0 ELSE -1.0 END AS loose, CASE WHEN ok THEN CASE WHEN boxed THEN 1.0 ELSE 0.5 END WHEN boxed THEN -0.5 ELSE -1.0 END AS soft, CASE WHEN ok AND boxed THEN 1.0 ELSE -1.0 END AS strict FROM y""",
+    SELECT doc_id, sha256(a) AS answer, boxed, ok AS "right", CASE WHEN ok THEN 1.0 ELSE -1.0 END::DOUBLE AS loose, CASE WHEN ok THEN CASE WHEN boxed THEN 1.0 ELSE 0.5 END WHEN boxed THEN -0.5 ELSE -1.0 END::DOUBLE AS soft, CASE WHEN ok AND boxed THEN 1.0 ELSE -1.0 END::DOUBLE AS strict FROM y""",
 )
 def _(spark, d):
     """A choice read from a box, after "answer is", or from the whole text, and its three rewards."""
