@@ -46,6 +46,19 @@ def row_numbers(df: DataFrame, *order: str, name: str = "number") -> DataFrame:
     return rows.join(F.broadcast(sizes), "_part").withColumn(name, F.col("_before") + F.col("_id").bitwiseAND(F.lit(low))).drop("_id", "_part", "_before")
 
 
+def running_counts(df: DataFrame, flag: str, *order: str, name: str = "count") -> DataFrame:
+    """``df``, stored, with how many rows up to and with each one, in the order of some columns, have ``flag`` 1 and not 0.
+
+    As ``row_numbers``, by ranges of the order: no task holds more than a range, whatever the keys.
+    """
+    rows = stored(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id()))
+    rows = rows.withColumn("_part", F.shiftright("_id", 33))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = rows.groupBy("_part").agg(F.sum(flag).alias("_n")).select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    inside = Window.partitionBy("_part").orderBy("_id").rowsBetween(Window.unboundedPreceding, 0)
+    return rows.withColumn("_in", F.sum(flag).over(inside)).join(F.broadcast(sizes), "_part").withColumn(name, F.col("_before") + F.col("_in")).drop("_id", "_part", "_before", "_in")
+
+
 def quantiles(df: DataFrame, value: str, shares: dict[str, float], discrete: bool = False) -> DataFrame:
     """One row: exact quantiles by name, between the two nearest values, or the first value that covers the share.
 

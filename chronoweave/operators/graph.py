@@ -6,6 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from chronoweave.operators.distributions import running_counts
+from chronoweave.session import stored
+
 
 def windowed(edges: DataFrame, width: int) -> DataFrame:
     """Edges with w, the rank of their time bucket among the buckets that have edges, from 0."""
@@ -115,18 +118,18 @@ def degree_motifs(edges: DataFrame) -> DataFrame:
 def as_of_neighbors(edges: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """(qid, node, t, nbr, nbr_t, rank): the k most recent neighbours strictly before each query's time.
 
-    One union of history and queries, sorted by (node, time), in place of a range join: a query takes the
-    last k of a bounded frame, so a busy node costs its events once and not once for each query.
+    One union of history and queries in the order of (node, time), in place of a range join: the running count of
+    history up to a query is the place of its latest neighbour, and it takes the k places up to that and from its node's
+    first on. Counts go by ranges of the order and places by number, so a busy node is neither one task nor one key.
     """
-    h = both_ways(edges).select("node", "t", F.lit(1).alias("o"), "edge_id", F.struct("nbr", F.col("t").alias("nbr_t"), "edge_id").alias("e"), F.lit(None).cast("long").alias("qid"))
-    q = queries.select("node", "t", F.lit(0).alias("o"), F.lit(None).cast("long").alias("edge_id"), F.lit(None).alias("e"), "qid")
-    stream = h.unionByName(q)
-    # only history counts towards the frame: rank it, then look back from each query's count of earlier events
-    w = Window.partitionBy("node").orderBy("t", "o", "edge_id", F.col("e")["nbr"], "qid")
-    ranked = stream.withColumn("n", F.count("e").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    asked = ranked.where("o = 0").select("qid", "node", F.col("t").alias("qt"), F.col("n").alias("upto")).withColumn("n", F.explode(F.expr(f"case when upto > 0 then sequence(greatest(1, upto - {k - 1}), upto) end")))
-    past = ranked.where("o = 1").select("node", "n", F.col("e")["nbr"].alias("nbr"), F.col("e")["nbr_t"].alias("nbr_t"))
-    return asked.join(past, ["node", "n"]).select("qid", "node", F.col("qt").alias("t"), "nbr", "nbr_t", (F.col("upto") - F.col("n") + 1).alias("rank"))
+    h = both_ways(edges).select("node", "t", F.lit(1).alias("o"), "edge_id", "nbr", F.lit(None).cast("long").alias("qid"))
+    q = queries.select("node", "t", F.lit(0).alias("o"), F.lit(None).cast("long").alias("edge_id"), F.lit(None).cast("long").alias("nbr"), "qid")
+    ranked = stored(running_counts(h.unionByName(q), "o", "node", "t", "o", "edge_id", "nbr", "qid", name="n"))  # at equal times a query comes before history
+    first = ranked.groupBy("node").agg((F.min(F.col("n") - F.col("o")) + 1).alias("lowest"))
+    asked = ranked.where("o = 0").select("qid", "node", F.col("t").alias("qt"), F.col("n").alias("upto")).join(first, "node").where("upto >= lowest")
+    asked = asked.withColumn("n", F.explode(F.sequence(F.greatest(F.col("lowest"), F.col("upto") - (k - 1)), F.col("upto"))))
+    past = ranked.where("o = 1").select("n", "nbr", F.col("t").alias("nbr_t"))
+    return asked.join(past, "n").select("qid", "node", F.col("qt").alias("t"), "nbr", "nbr_t", (F.col("upto") - F.col("n") + 1).alias("rank"))
 
 
 def edgebank(train: DataFrame, test: DataFrame, since=None, repeat: bool = False) -> DataFrame:
@@ -138,28 +141,26 @@ def edgebank(train: DataFrame, test: DataFrame, since=None, repeat: bool = False
     return test.join(mem.select("src", "dst", F.lit(1.0).alias("_hit")), ["src", "dst"], "left").withColumn("score", F.coalesce("_hit", F.lit(0.0))).drop("_hit")
 
 
-def pagerank(edges: DataFrame, tol: float = 1e-6, alpha: float = 0.85) -> DataFrame:
-    """(node, rank), iterated until a round changes the ranks by less than ``tol`` in sum.
+def pagerank(edges: DataFrame, tol: float = 1e-6, alpha: float = 0.85, rounds: int | None = None) -> DataFrame:
+    """(node, rank), iterated until a round changes the ranks by less than ``tol`` in sum, or for a stated number of rounds.
 
     Multi-edges collapse and dangling mass is spread evenly. The reference stops at ``tol`` times the nodes, a
     bound that large graphs meet after one round; this one implies it. The change shrinks by ``alpha`` a round
     at least, so there are at most log(tol / 2) / log(alpha) rounds, 90 as it stands. Each is stored with its change.
     """
-    from chronoweave.session import stored
-
     e = stored(edges.select("src", "dst").distinct())
     nodes = stored(e.select(F.col("src").alias("node")).union(e.select("dst")).distinct().join(e.groupBy(F.col("src").alias("node")).agg(F.count("*").alias("out")), "node", "left"))
     n = nodes.count()
     if not n:
         return nodes.select("node", F.lit(0.0).alias("rank"))
     ranks = nodes.select("node", "out", F.lit(1.0 / n).alias("rank"))
-    change = 1.0
-    while change >= tol:
+    change, done = 1.0, 0
+    while change >= tol if rounds is None else done < rounds:
         lost = F.broadcast(ranks.where("out is null").agg(F.coalesce(F.sum("rank"), F.lit(0.0)).alias("lost")))
         got = e.join(ranks.where("out is not null").select(F.col("node").alias("src"), (F.col("rank") / F.col("out")).alias("c")), "src").groupBy(F.col("dst").alias("node")).agg(F.sum("c").alias("got"))
         new = (F.lit((1 - alpha) / n) + alpha * (F.coalesce("got", F.lit(0.0)) + F.col("lost") / n)).alias("rank")
         ranks = stored(ranks.select("node", "out", F.col("rank").alias("was")).join(got, "node", "left").join(lost).select("node", "out", "was", new))
-        change = ranks.agg(F.sum(F.abs(F.col("rank") - F.col("was")))).first()[0]
+        change, done = ranks.agg(F.sum(F.abs(F.col("rank") - F.col("was")))).first()[0] if rounds is None else change, done + 1
     return ranks.select("node", "rank")
 
 

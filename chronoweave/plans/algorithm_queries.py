@@ -8,7 +8,7 @@ from chronoweave.operators import distributions as dist
 from chronoweave.operators import graph, kernels, orbits, ordering, paths, projection, spectrum, structure
 from chronoweave.plans.queries import _PAIRS, _SOCIAL, _WIN, query
 from chronoweave.plans.sample_queries import _u
-from chronoweave.plans.structure_queries import _DEG, _EMD, _r, _win
+from chronoweave.plans.structure_queries import _CHAMBERS, _DEG, _EMD, _FIT, _chambers, _fits, _r, _win
 from chronoweave.session import stored, table
 from chronoweave.sources.tables import social_edges
 
@@ -49,6 +49,45 @@ def _(spark, d):
     return row("after", stored(after)).union(row("before", before))
 
 
+# Ranks
+
+_ROUNDS = 10
+_RANKS = f"WITH {_SOCIAL}, e AS (SELECT DISTINCT src, dst FROM social), o AS (SELECT src, count(*) AS n FROM e GROUP BY src), v AS (SELECT src AS node FROM e UNION SELECT dst FROM e), n AS (SELECT count(*) AS n FROM v), r0 AS (SELECT node, 1.0::DOUBLE / n AS rank FROM v, n)" + "".join(
+    f""", r{k + 1} AS MATERIALIZED (SELECT v.node, 0.15 / n.n + 0.85 * (coalesce(g.got, 0) + coalesce((SELECT sum(rank) FROM r{k} WHERE node NOT IN (SELECT src FROM o)), 0) / n.n) AS rank
+    FROM v LEFT JOIN (SELECT e.dst AS node, sum(r.rank / o.n) AS got FROM e JOIN r{k} r ON r.node = e.src JOIN o ON o.src = e.src GROUP BY e.dst) g ON g.node = v.node, n)"""
+    for k in range(_ROUNDS)
+)
+
+
+@query("gr9_pagerank_ten_rounds", f"{_RANKS} SELECT node, round(rank, 9) AS rank FROM r{_ROUNDS}")
+def _(spark, d):
+    """Ranks after ten rounds, which the SQL unrolls."""
+    return graph.pagerank(social_edges(spark, d), rounds=_ROUNDS).select("node", _r(F.col("rank"), 9).alias("rank"))
+
+
+@query("l5_pagerank_top_ten_rounds", f"{_RANKS} SELECT node, round(rank, 9) AS rank FROM r{_ROUNDS} ORDER BY round(rank, 9) DESC, node LIMIT 100")
+def _(spark, d):
+    return graph.pagerank(social_edges(spark, d), rounds=_ROUNDS).select("node", _r(F.col("rank"), 9).alias("rank")).orderBy(F.desc("rank"), "node").limit(100)
+
+
+_TOPS = f"WITH {_WIN}, a AS (SELECT src FROM win WHERE w < 15 GROUP BY src ORDER BY count(*) DESC, src LIMIT 100), b AS (SELECT src FROM win WHERE w >= 15 GROUP BY src ORDER BY count(*) DESC, src LIMIT 100), h AS (SELECT count(*) AS h FROM a JOIN b USING (src)) SELECT h / (SELECT count(*) FROM b) AS precision, h / (SELECT count(*) FROM a) AS recall, 2 * h / ((SELECT count(*) FROM a) + (SELECT count(*) FROM b)) AS f1 FROM h"
+
+
+@query(
+    "gr32_macro_bundle_ten_rounds",
+    f"""SELECT h.*, f.*, c.*, r.* FROM ({_TOPS}) h, (WITH {_WIN}, {_FIT} SELECT round(avg(alpha), 6) AS alpha, round(avg(D), 6) AS D FROM s) f,
+    (WITH {_CHAMBERS} SELECT count(*) FILTER (linked / "similar" > 0.01) AS chambers FROM c) c, (SELECT round(avg(rank), 9) AS top_rank FROM ({_RANKS} SELECT rank FROM r{_ROUNDS} ORDER BY rank DESC, node LIMIT 100)) r""",
+)
+def _(spark, d):
+    """Hub agreement, exponent, distance, chambers and mean rank of the top nodes in one row."""
+    e = _win(spark, d)
+    hubs = structure.hub_scores(e.where("w < 15"), e.where("w >= 15"), 100)
+    fit = _fits(spark, d).agg(_r(F.avg("alpha")).alias("alpha"), _r(F.avg("D")).alias("D"))
+    chambers = _chambers(spark, d, social_edges(spark, d)).agg(F.count_if("chamber").alias("chambers"))
+    top = graph.pagerank(social_edges(spark, d), rounds=_ROUNDS).orderBy(F.desc("rank"), "node").limit(100).agg(_r(F.avg("rank"), 9).alias("top_rank"))
+    return hubs.join(F.broadcast(fit)).join(F.broadcast(chambers)).join(F.broadcast(top))
+
+
 # Betweenness
 
 _LEVELS = 4  #: hops that the SQL below unrolls

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from chronoweave.operators import distributions as dist
 from chronoweave.operators import graph, kernels, orbits, ordering, paths, projection, sampling, spectrum, structure
+from chronoweave.session import release, stored
 
 EDGES = "edge_id long, src long, dst long, t long"
 
@@ -53,6 +54,36 @@ def test_row_numbers(spark):
     assert dist.row_numbers(df.limit(0), "a").count() == 0
 
 
+def test_running_counts(spark):
+    rows = [(k % 5, k, k % 3 % 2) for k in random.Random(2).sample(range(500), 200)]
+    got = {(r.a, r.b): r.n for r in dist.running_counts(spark.createDataFrame(rows, "a long, b long, f int").repartition(4), "f", "a", "b", name="n").collect()}
+    total, want = 0, {}
+    for a, b, f in sorted(rows):
+        total += f
+        want[a, b] = total
+    assert got == want
+
+
+@pytest.mark.parametrize("k", [1, 3, 1000])
+def test_as_of_neighbours(spark, k):
+    pairs = [p for p in random_pairs(13, 5, 60) if p[0] != p[1]]
+    rows = [(i, a, b, i // 3) for i, (a, b) in enumerate(pairs)]
+    queries = [(q, q % 6, q // 2) for q in range(40)]  # node 5 has no events
+    got = {}
+    for r in graph.as_of_neighbors(spark.createDataFrame(rows, EDGES), spark.createDataFrame(queries, "qid long, node long, t long"), k).collect():
+        got.setdefault(r.qid, {})[r.rank] = (r.nbr, r.nbr_t)
+    for q, x, t in queries:
+        past = sorted((u, i, y) for i, a, b, u in rows for n, y in ((a, b), (b, a)) if n == x and u < t)[-k:]
+        assert got.get(q, {}) == {k_ + 1: (y, u) for k_, (u, i, y) in enumerate(reversed(past))}
+
+
+def test_release_deletes_what_was_stored(spark):
+    one = stored(spark.range(5))
+    assert one.count() == 5 and release(spark) > 0 and release(spark) == 0
+    with pytest.raises(Exception):
+        one.collect()
+
+
 # --- orders ------------------------------------------------------------------------------------------------------
 
 
