@@ -8,15 +8,17 @@
 2. Anchors with their context's 64-bit fingerprint meet by anchor hash. All but the first occurrence of a
    context are repeated as a whole, so that no text is sorted twice.
 3. First occurrences of different contexts round one anchor, as far as the bytes before or after it are shared
-   with another of them, go to the shard of that anchor. Each shard sorts
-   the suffixes of its contexts by induction (``induced_sort``); neighbours with a common prefix of ``length``
+   with another of them, go to the shard of that anchor; those of an anchor with over ``COMMON`` of them go to the
+   shards of what they share, the anchor with the bytes before it and the anchor with the bytes after it. A shard
+   reads them in the order of these keys and sorts the suffixes of about ``PART`` bytes of contexts, but always of whole
+   keys, by induction (``induced_sort``); neighbours with a common prefix of ``length``
    bytes are equal windows, and all but the earliest of them go.
 4. The spans found go back to the documents by doc_id.
 
 Scale: about 1 anchor in 35 bytes is shuffled, packed with others of its partition; of several occurrences
 of a context in one batch only the first, so a passage that a third of all documents share does not heat one
-task. A shard streams its contexts to a scratch file of the task; the queues of the sort spill beyond a bound.
-Nothing reaches the driver.
+task. A shard may be far larger than memory: Spark sorts its contexts by key, with spills, and only one part of
+them is held at a time; the queues of the sort spill beyond a bound. Nothing reaches the driver.
 
 Defined cases: null and empty texts have 0 bytes; rows that share a doc_id must have equal texts (they then
 get equal results; other ones are cut at the union of their spans); null doc_ids are left alone;
@@ -25,7 +27,6 @@ empty tables give no rows; other columns are ignored.
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -42,6 +43,10 @@ GRAM = 32
 _DONE = 255
 #: Anchors that a task reads before it hands them on: repeats among them are settled at once.
 TOGETHER = 200_000
+#: Contexts of one anchor that are sorted together; beyond it, by the bytes beside the anchor.
+COMMON = 1000
+#: Bytes of contexts that a task sorts at a time, unless one key has more.
+PART = 8 << 20
 SPANS = ("whole_lo", "whole_hi", "edge_lo", "edge_hi")
 _U = np.uint64
 #: ``h``, ``left`` and ``right`` only bring together what is then compared by ``c`` or by its bytes, so few bits do.
@@ -119,14 +124,28 @@ def _shared(e: np.ndarray, side: str) -> np.ndarray:
     return out
 
 
-def _comparable(head: np.ndarray, length: int) -> np.ndarray:
-    """Contexts that can share a window with another one, cut to the windows that can be shared.
+def _comparable(head: np.ndarray, length: int, common: int) -> np.ndarray:
+    """Contexts that can share a window with another one, cut to the windows that can be shared; ``h`` brings those together.
 
-    Equal windows have the same bytes in the half before or the half after the anchor, whichever is whole in them.
+    Equal windows have the same bytes in the half before or the half after the anchor, whichever is whole in them. Where
+    more than ``common`` contexts have one anchor, the windows with a whole half before it and those with a whole half
+    after it are two entries, each with a key of its own, made from the anchor and that half.
     """
     left, right = _shared(head, "left"), _shared(head, "right")
-    e = head[left | right].copy()
-    left, right = left[left | right], right[left | right]
+    e, left, right = head[left | right], left[left | right], right[left | right]
+    _, of, count = np.unique(e["h"], return_inverse=True, return_counts=True)
+    many = count[of] > common if len(e) else np.zeros(0, dtype=bool)
+    out = [_cut(e[~many], left[~many], right[~many], length)]
+    for side, there in (("left", left & many), ("right", right & many)):
+        part = _cut(e[there], np.full(there.sum(), side == "left"), np.full(there.sum(), side == "right"), length)
+        part["h"] = mix(part["h"].astype(_U) << _U(17) | part[side].astype(_U) << _U(1) | _U(side == "left")) >> _U(32)
+        out.append(part)
+    return np.concatenate(out)
+
+
+def _cut(e: np.ndarray, left: np.ndarray, right: np.ndarray, length: int) -> np.ndarray:
+    """Contexts cut to the windows that have the whole half before the anchor (``left``), after it (``right``) or either."""
+    e = e.copy()
     at, n = e["at"].astype(np.int64), e["n"].astype(np.int64)
     n = np.where(right, n, np.minimum(n, at + length - half(length)))
     cut = np.where(left, 0, np.maximum(at - (length - GRAM - half(length)), 0))
@@ -209,7 +228,7 @@ def repeated_spans(docs: DataFrame, length: int = 100, buckets: int | None = Non
         lead = np.flatnonzero(new)[np.cumsum(new) - 1]
         again = ~new & ((e["doc"] != e["doc"][lead]) | (e["lo"] != e["lo"][lead]))
         head, gone = e[new], np.concatenate((e[again], done))
-        ask = _comparable(head, length)
+        ask = _comparable(head, length, COMMON)
         return pd.DataFrame(
             {
                 "doc": np.concatenate((gone["doc"], ask["doc"])),
@@ -237,6 +256,33 @@ def _columns(array: str, *fields: str) -> list:
     return [F.col(f"{array}.{f}").alias(f) for f in fields]
 
 
+def _parts(batches, bound: int) -> Iterator[list[np.ndarray]]:
+    """[text, sizes, doc, lo] of contexts sorted by ``h``: whole keys, up to about ``bound`` bytes or one key."""
+    held: list = []
+    size, last = 0, None
+
+    def add(batch):
+        sizes = batch["context"].map(len).to_numpy(dtype=np.int64)
+        held.append((_characters(batch["context"], sizes), sizes, batch["doc"].to_numpy(), batch["lo"].to_numpy()))
+        return int(sizes.sum())
+
+    for batch in batches:
+        if not len(batch):
+            continue
+        if size >= bound:
+            other = np.flatnonzero(batch["h"].to_numpy() != last)
+            if len(other):
+                if other[0]:
+                    add(batch[: other[0]])
+                yield [np.concatenate(x) for x in zip(*held)]
+                held.clear()
+                size, batch = 0, batch[other[0] :]
+        size += add(batch)
+        last = batch["h"].iloc[-1]
+    if held:
+        yield [np.concatenate(x) for x in zip(*held)]
+
+
 def repeated_windows(text: np.ndarray, sizes: np.ndarray, doc: np.ndarray, lo: np.ndarray, length: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(doc, start) of windows of which an equal one starts earlier, by one induced sort of the contexts.
 
@@ -301,24 +347,13 @@ def removed_spans(docs: DataFrame, length: int = 100) -> DataFrame:
     context = asked.mapInPandas(contexts, "doc long, lo long, h int, context binary")
 
     def compare(batches):
-        """Repeated windows among the contexts of a shard, joined to spans."""
-        doc, lo, sizes = [], [], []
-        with tempfile.TemporaryFile() as file:
-            for batch in batches:
-                if len(batch):
-                    doc.append(batch["doc"].to_numpy())
-                    lo.append(batch["lo"].to_numpy())
-                    sizes.append(batch["context"].map(len).to_numpy())
-                    file.write(_characters(batch["context"], sizes[-1]).tobytes())
-            if not doc:
-                return
-            file.seek(0)
-            text = np.fromfile(file, dtype=np.uint16)
-        found = list(repeated_windows(text, *map(np.concatenate, (sizes, doc, lo)), length))
-        if found:  # neighbouring windows start with different bytes, so runs show only over all of them
-            yield joined_runs(*map(np.concatenate, zip(*found)), length)
-
-    edges = context.repartition(n, "h").mapInPandas(compare, "doc long, lo long, hi long")
+        """Repeated windows among the contexts of each part of a shard, joined to spans."""
+        for part in _parts(batches, PART):
+            found = list(repeated_windows(*part, length))
+            if found:  # neighbouring windows start with different bytes, so runs show only over all of them
+                yield joined_runs(*map(np.concatenate, zip(*found)), length)
+
+    edges = context.repartition(n, "h").sortWithinPartitions("h").mapInPandas(compare, "doc long, lo long, hi long")
     edges = edges.groupBy("doc").agg(F.collect_list(F.struct("lo", "hi")).alias("e")).select("doc", F.col("e.lo").alias("edge_lo"), F.col("e.hi").alias("edge_hi"))
     whole = met.select("doc", F.filter("r", lambda x: x["at"] < 0).alias("w"))
     whole = whole.select("doc", F.col("w.lo").alias("whole_lo"), F.transform("w", lambda x: x["lo"] + x["n"]).alias("whole_hi"))

@@ -9,6 +9,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pandas as pd
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -198,6 +199,32 @@ def test_substring_dedup(spark):
     assert len(got) == len(texts) + 2 and {tuple(r) for r in got if r.doc_id == 3} == {(3, *want[3])}
 
 
+def test_substring_dedup_of_common_anchors_and_shards_beyond_memory(spark, monkeypatch):
+    """A phrase that most texts have, beside shared and own words, and shards of many times the bytes sorted at once."""
+    rnd = random.Random(14)
+    phrase, before, after = "in accordance with the provisions of this agreement", [prose(rnd, 8) for _ in range(6)], [prose(rnd, 8) for _ in range(6)]
+    texts = [f"{prose(rnd, 6)} {rnd.choice(before)} {phrase} {rnd.choice(after)} {prose(rnd, 6)}" for _ in range(150)]
+    texts += [f"{prose(rnd, 9)} {phrase} {prose(rnd, 9)}" for _ in range(30)] + [texts[7], texts[8][:90], "ab" * 200]
+    want = brute_repeats([(i, t.encode()) for i, t in enumerate(texts)], 100)
+    sizes, sort = [], suffix_dedup.repeated_windows
+    for common, part in ((0, 1), (3, 2000), (10**9, 300), (5, 1 << 30)):
+        monkeypatch.setattr(suffix_dedup, "COMMON", common)
+        monkeypatch.setattr(suffix_dedup, "PART", part)
+        got = {r.doc_id: tuple(r)[1:] for r in suffix_dedup.repeat_report(frame(spark, texts).repartition(4)).collect()}
+        assert got == want, (common, part)
+    # parts keep keys whole and are far smaller than what is read
+    keys = np.repeat(np.arange(400), rnd.choices(range(1, 9), k=400))
+    rows = pd.DataFrame({"h": keys, "doc": np.arange(len(keys)), "lo": 0, "context": [bytes([k % 250]) * 120 for k in keys]})
+    batches = [rows[i : i + 7] for i in range(0, len(rows), 7)]
+    seen = set()
+    for text, size, doc, lo in suffix_dedup._parts(batches, 5000):
+        mine = set(keys[doc])
+        assert not mine & seen and size.sum() < 5000 + 120 * (8 + 7) and len(text) == size.sum() + len(size)
+        seen |= mine
+        sizes.append(sum(len(d) for d, _ in sort(text, size, doc, lo, 100)))
+    assert len(sizes) >= 10 and sum(sizes) == sum((np.bincount(keys) - 1) * 21 + 20 * (np.bincount(keys) > 0))
+
+
 @pytest.mark.parametrize("dense", [0, 400, 10**9])
 def test_induced_sort(monkeypatch, dense):
     """Groups of suffixes with a common prefix equal brute force, for queues in memory and on disk, at each way of inducing."""
