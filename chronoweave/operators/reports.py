@@ -80,3 +80,19 @@ def strided(df: DataFrame, by: list[str], order: list[str], item: str, size: int
     e = e.select(*by, "_i", F.col(item).cast("string").alias("_x"), F.explode(F.sequence(first, F.floor(i / stride))).alias("_s"))
     items = F.transform(F.array_sort(F.collect_list(F.struct("_i", "_x"))), lambda x: x["_x"])
     return e.groupBy(*by, (F.col("_s") * stride).alias("start")).agg(F.array_join(items, ",").alias("items"))
+
+
+def batch_weights(rows: DataFrame, batch: str, length: str, difficulty: str | None = None) -> DataFrame:
+    """``rows`` with ``weight``: harder samples weigh more, longer ones less, and the weights of a batch sum to its number of rows.
+
+    The difficulty, cut to [0, 1], gives 0.5 to 2; the length, scaled to [0, 1] within the batch, gives 1.5 to 0.5. A null
+    difficulty gives 1, a null length counts as 0, a null batch is a batch of its own. The sum over a batch follows from the
+    extremes and two sums, so one aggregate, one row a batch, is all that is shuffled before the join.
+    """
+    d = F.lit(1.0) if difficulty is None else F.when(F.col(difficulty).isNull(), 1.0).otherwise(0.5 + 1.5 * F.least(F.greatest(F.col(difficulty), F.lit(0.0)), F.lit(1.0)))
+    x = rows.withColumn("_d", d).withColumn("_n", F.coalesce(F.col(length).cast("double"), F.lit(0.0)))
+    s = x.groupBy(F.col(batch).alias("_batch")).agg(F.count("*").alias("_rows"), F.min("_n").alias("_lo"), (F.max("_n") - F.min("_n") + 1e-8).alias("_range"), F.sum("_d").alias("_sum"), F.sum(F.col("_d") * F.col("_n")).alias("_dot"))
+    s = s.select("_batch", "_rows", "_lo", "_range", (1.5 * F.col("_sum") - (F.col("_dot") - F.col("_lo") * F.col("_sum")) / F.col("_range")).alias("_total"))
+    own = F.col("_d") * (1.5 - (F.col("_n") - F.col("_lo")) / F.col("_range"))
+    x = x.join(s, F.col(batch).eqNullSafe(F.col("_batch")))
+    return x.withColumn("weight", own * F.col("_rows") / (F.col("_total") + 1e-8)).select(*rows.columns, "weight")

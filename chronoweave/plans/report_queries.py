@@ -189,6 +189,20 @@ def _(spark, d):
     return e.join(F.broadcast(m)).select("doc_id", _r(1.5 - (F.col("n_chars") - F.col("lo")) / (F.col("hi") - F.col("lo")), 9).alias("weight"))
 
 
+@query(
+    "w21_batch_weights",
+    """WITH l AS (SELECT doc_id, max(1 - quality + toxic) AS difficulty FROM labels GROUP BY doc_id),
+    x AS (SELECT doc_id, floor(doc_id / 512.0) AS b, coalesce(n_chars, 0) AS n, CASE WHEN difficulty IS NULL THEN 1.0 ELSE 0.5 + 1.5 * least(greatest(difficulty, 0), 1) END AS dw FROM documents LEFT JOIN l USING (doc_id)),
+    y AS (SELECT *, dw * (1.5 - (n - min(n) OVER (PARTITION BY b)) / (max(n) OVER (PARTITION BY b) - min(n) OVER (PARTITION BY b) + 1e-8)) AS w FROM x)
+    SELECT doc_id, round(w * count(*) OVER (PARTITION BY b) / (sum(w) OVER (PARTITION BY b) + 1e-8), 6) AS weight FROM y""",
+)
+def _(spark, d):
+    """Batches of 512 neighbouring ids; poor and toxic documents are the hard ones, both at once no harder than one."""
+    hard = table(spark, d, "labels").groupBy("doc_id").agg(F.max(1 - F.col("quality") + F.col("toxic")).cast("double").alias("difficulty"))
+    rows = table(spark, d, "documents").select("doc_id", "n_chars").join(hard, "doc_id", "left").withColumn("batch", F.floor(F.col("doc_id") / 512))
+    return reports.batch_weights(rows, "batch", "n_chars", "difficulty").select("doc_id", F.round("weight", 6).alias("weight"))
+
+
 @query("w22_position_weights", f"WITH {_SOCIAL} SELECT edge_id, CASE WHEN row_number() OVER (PARTITION BY src ORDER BY t, edge_id) <= 3 THEN 1.0 ELSE 0.2 END AS weight FROM social")
 def _(spark, d):
     rn = F.row_number().over(Window.partitionBy("src").orderBy("t", "edge_id"))

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from chronoweave.functions import fits, stems
 from chronoweave.functions import vectors as vec
-from chronoweave.operators import history, scoring, structure
+from chronoweave.operators import history, reports, scoring, structure
 from chronoweave.sources import files, market
 
 EDGES = "edge_id long, src long, dst long, t long, label string"
@@ -286,3 +286,24 @@ def test_market(spark, tmp_path):
     day = 1704067200  # 2024-01-01
     assert sorted(map(tuple, e.collect())) == [(0, 1, day + 86400, 1, 7, [4, 5]), (1, 0, day, 0, 8, []), (1, 2, day + 2 * 86400 + 21600, 2, 9, [])]
     assert {r.node: r.features for r in f.collect()} == {0: [1.5, 2.0], 1: [3.0, None]}
+
+
+def test_batch_weights(spark):
+    """Against the formula on whole batches; nulls, one length, one row, difficulties out of bounds, a clashing column."""
+    rnd = random.Random(21)
+    rows = [(i, rnd.choice([0, 1, 2, None]), rnd.choice([None, 5, 40, 400]), rnd.choice([None, -1.0, 0.0, 0.3, 1.0, 7.0])) for i in range(60)]
+    rows += [(100, 8, 12, 0.5), (101, 9, 7, None), (102, 9, 7, 1.0), (102, 9, 7, 1.0)]
+    df = spark.createDataFrame(rows, "id long, b int, n int, d double").withColumn("s", F.lit("x"))
+    for difficulty in ("d", None):
+        got = reports.batch_weights(df, "b", "n", difficulty)
+        assert got.columns == [*df.columns, "weight"]
+        got = got.collect()
+        assert len(got) == len(rows)
+        for b in {r[1] for r in rows}:
+            mine = [r for r in rows if r[1] == b]
+            low, high = min(r[2] or 0 for r in mine), max(r[2] or 0 for r in mine)
+            hard = [0.5 + 1.5 * min(max(r[3], 0), 1) if difficulty and r[3] is not None else 1 for r in mine]
+            w = [h * (1.5 - ((r[2] or 0) - low) / (high - low + 1e-8)) for h, r in zip(hard, mine)]
+            want = sorted((r[0], x * len(mine) / (sum(w) + 1e-8)) for r, x in zip(mine, w))
+            assert sorted((r.id, r.weight) for r in got if r.b == b) == [(i, pytest.approx(x, abs=1e-9)) for i, x in want]
+    assert reports.batch_weights(df.limit(0), "b", "n").count() == 0
