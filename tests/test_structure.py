@@ -1,5 +1,6 @@
 """Samplers, quantiles, ranks, snapshots and distances against brute force on small fixtures."""
 
+import math
 import random
 from collections import Counter, deque
 
@@ -11,7 +12,7 @@ from chronoweave.functions import calendar as cal
 from chronoweave.functions import text as tx
 from chronoweave.functions import vectors as vec
 from chronoweave.operators import distributions as dist
-from chronoweave.operators import graph, paths, ranks, reports, sampling, structure
+from chronoweave.operators import graph, paths, ranks, reports, retrieval, sampling, structure
 from chronoweave.operators.components import connected_components
 
 
@@ -187,3 +188,65 @@ def test_echo_chambers_and_hubs(spark):
     a, b = [(1, 2), (1, 3), (2, 3), (4, 1), (4, 2)], [(1, 2), (2, 3), (2, 1), (5, 1)]
     s = structure.hub_scores(edges(spark, a), edges(spark, b), 2).first()
     assert (s.precision, s.recall, s.f1) == (0.5, 0.5, 0.5)
+
+
+def _vectors(spark, n, width=6, seed=3):
+    """Random vectors of few different numbers, so that scores tie, with copies, a null, a null inside, another length and nothing."""
+    rnd = random.Random(seed)
+    rows = [(i, [float(rnd.randint(-2, 2)) for _ in range(width)]) for i in range(n)]
+    rows += [(n + i, rows[i % 3][1]) for i in range(40)]
+    return rows, spark.createDataFrame(rows + [(n + 40, None), (n + 41, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (n + 42, [1.0]), (n + 43, [])], "vec_id long, embedding array<float>").repartition(3)
+
+
+def _score(x, y, unit):
+    dot = lambda a, b: sum(p * q for p, q in zip(a, b))
+    return dot(x, y) / max(math.sqrt(dot(x, x)) * math.sqrt(dot(y, y)), 1e-8) if unit else dot(x, y)
+
+
+@pytest.mark.parametrize("score", [vec.cosine, vec.dot])
+def test_nearest_by_blocks_keeps_ties_copies_and_odd_vectors_in_order(spark, monkeypatch, score):
+    monkeypatch.setattr(retrieval, "QUERIES", 7)
+    monkeypatch.setattr(retrieval, "ROWS", 16)
+    monkeypatch.setattr(retrieval, "BLOCK", 10)
+    rows, df = _vectors(spark, 150)
+    found = retrieval.nearest(df.where("vec_id % 10 = 0 and vec_id < 190"), df, 12, score)
+    got = {}
+    for r in found.collect():
+        got.setdefault(r.src, []).append((r["rank"], r.dst, r.sim))
+    sound = dict(rows)
+    for q in range(0, 190, 10):
+        sims = sorted((-round(_score(sound[q], y, score is vec.cosine), 6), i) for i, y in rows if i != q)
+        assert [(k, i) for k, i, _ in sorted(got[q])] == [(k + 1, i) for k, (_, i) in enumerate(sims[:12])]
+        assert [s for _, _, s in sorted(got[q])] == pytest.approx([-s for s, _ in sims[:12]], abs=1e-12)
+
+
+def test_count_above_by_blocks_decides_a_bound_as_the_sum_does(spark, monkeypatch):
+    monkeypatch.setattr(retrieval, "QUERIES", 7)
+    monkeypatch.setattr(retrieval, "ROWS", 16)
+    rows, df = _vectors(spark, 150)
+    for score, above in ((vec.dot, 2.0), (vec.cosine, 0.5)):  # many pairs lie at the bound itself
+        got = {r.src: r.n for r in retrieval.count_above(df.where("vec_id % 10 = 0"), df, above, score).collect()}
+        sure = dict(rows)
+        want = {q: sum(_score(sure[q], y, score is vec.cosine) > above for i, y in rows if i != q) for q in sure if q % 10 == 0}
+        assert got == {q: n for q, n in want.items() if n}
+
+
+def test_ruled_nearest_falls_back_to_all_rows(spark):
+    df = spark.createDataFrame([(i, [float(i), 1.0], i < 3) for i in range(20)], "vec_id long, embedding array<float>, pass boolean")
+    got = {}
+    for r in retrieval.ruled_nearest(df.where("vec_id in (0, 10)"), df, 4, 3, score=vec.dot).collect():
+        got.setdefault(r.src, []).append((r["rank"], r.dst))
+    # 10 has three passing others, 0 is itself one of the three
+    assert sorted(got[10]) == [(1, 2), (2, 1), (3, 0)] and sorted(got[0]) == [(1, 1), (2, 2), (3, 3), (4, 4)]
+
+
+def test_echo_chambers_make_no_row_of_a_pair_of_similar_nodes(spark, monkeypatch):
+    """Before, every pair of a query and a row was scored and joined as a row."""
+    seen = []
+    joined = retrieval._block_pairs
+    monkeypatch.setattr(retrieval, "_block_pairs", lambda *a: seen.extend(joined(*a)) or seen[-1:])
+    pairs = [(i, (i + 1) % 300) for i in range(300)]
+    v = spark.createDataFrame([(i, [1.0, float(i % 2)], i % 20 == 0) for i in range(300)], "vec_id long, embedding array<float>, asked boolean").repartition(1)
+    got = {r.node: (r.similar, r.linked, r.chamber) for r in structure.echo_chambers(edges(spark, pairs), v, vec.cosine, above=0.9).collect()}
+    assert got == {i: (149, 0, False) for i in range(0, 300, 20)}
+    assert sum(x.count() for x in seen) <= 4 * 4  # pairs of blocks, not 15 x 300 pairs
