@@ -9,7 +9,7 @@ from chronoweave.functions import vectors as vec
 from chronoweave.operators import distributions as dist
 from chronoweave.operators import graph, reports, retrieval
 from chronoweave.plans.queries import _REPORT, _SOCIAL, _WIN, query
-from chronoweave.session import table
+from chronoweave.session import stored, table
 from chronoweave.sources.tables import DAY, report_rows, social_edges
 
 
@@ -225,8 +225,10 @@ def _(spark, d):
     """For sources divisible by 20: past partners first, then candidates over the frequency rule, by similarity."""
     past = graph.windowed(social_edges(spark, d), DAY).where("w < 22")
     v = table(spark, d, "embeddings").select("vec_id", "embedding")
-    sims = retrieval.similarities(v.where("vec_id % 20 = 0"), v, lambda x, y: F.round(vec.dot(x, y), 6))
-    freq = past.select(F.col("src").alias("dst")).union(past.select("dst")).groupBy("dst").agg(F.count("*").alias("sf"))
-    ruled = retrieval.enough_or_all(sims.join(freq, "dst", "left").withColumn("pass", F.coalesce("sf", F.lit(0)) > 100), 10)
-    near = sims.join(past.select("src", "dst").distinct(), ["src", "dst"])
+    freq = past.select(F.col("src").alias("dst")).union(past.select("dst")).groupBy(F.col("dst").alias("vec_id")).agg(F.count("*").alias("sf"))
+    rows = stored(v.join(freq, "vec_id", "left").select("vec_id", "embedding", (F.coalesce("sf", F.lit(0)) > 100).alias("pass")))
+    ruled = retrieval.ruled_nearest(v.where("vec_id % 20 = 0"), rows, 50, 10, score=vec.dot)
+    met = past.where("src % 20 = 0 and src <> dst").select("src", "dst").distinct()
+    met = met.join(v.select(F.col("vec_id").alias("src"), F.col("embedding").alias("x")), "src").join(v.select(F.col("vec_id").alias("dst"), F.col("embedding").alias("y")), "dst")
+    near = met.select("src", "dst", F.round(vec.dot(F.col("x"), F.col("y")), 6).alias("sim"))
     return retrieval.merged([near, ruled], 50)
