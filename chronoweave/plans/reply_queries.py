@@ -67,6 +67,11 @@ def _(spark, d):
 
 _CHOICE = ["text", "concat(left(text, 40), ' The Answer IS ', lang, ' ', substr(text, 41, 60))", "concat('\\\\boxed{', lang, '} then \\\\boxed{', upper(left(text, 12)), '}')", "concat('answer is B, \\\\boxed{c}')", "lower(left(text, 50))"]
 _CHOICE_SQL = [x.replace("\\\\", "\\") for x in _CHOICE]
+#: The SQL changes case letter by letter, where Spark makes SS of ß and looks at a letter's neighbours: so here, too.
+_LETTERS = "array_join(transform(regexp_extract_all({0}, '(?s).', 0), c -> {1}), '')"
+_UPPER = _LETTERS.format("{0}", "CASE WHEN c = 'ß' THEN 'ẞ' WHEN length(upper(c)) = 1 THEN upper(c) WHEN c BETWEEN 'ᾀ' AND 'ῼ' AND length(initcap(c)) = 1 THEN initcap(c) ELSE c END")
+_LOWER = _LETTERS.format("{0}", "substring(lower(c), 1, 1)")
+_CHOICE_SPARK = [x.replace("upper(left(text, 12))", _UPPER.format("left(text, 12)")).replace("lower(left(text, 50))", _LOWER.format("left(text, 50)")) for x in _CHOICE]
 _RIGHT = "coalesce(nullif(regexp_extract(a, '(\\p{Lu})', 1), '') = upper(left(lang, 1)), false)"
 
 
@@ -78,7 +83,7 @@ _RIGHT = "coalesce(nullif(regexp_extract(a, '(\\p{Lu})', 1), '') = upper(left(la
 )
 def _(spark, d):
     """A choice read from a box, after "answer is", or from the whole text, and its three rewards."""
-    rows = _replies(spark, d, *_CHOICE).select("doc_id", answers.choice_rewards(F.col("r"), F.upper(F.left("lang", F.lit(1)))).alias("c"))
+    rows = _replies(spark, d, *_CHOICE_SPARK).select("doc_id", answers.choice_rewards(F.col("r"), F.expr(_UPPER.format("left(lang, 1)"))).alias("c"))
     return rows.select("doc_id", F.sha2("c.answer", 256).alias("answer"), "c.boxed", "c.right", "c.loose", "c.soft", "c.strict")
 
 

@@ -8,9 +8,11 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from chronoweave import registry
 from chronoweave.functions import fits, stems
 from chronoweave.functions import vectors as vec
 from chronoweave.operators import history, reports, scoring, structure
@@ -307,3 +309,14 @@ def test_batch_weights(spark):
             want = sorted((r[0], x * len(mine) / (sum(w) + 1e-8)) for r, x in zip(mine, w))
             assert sorted((r.id, r.weight) for r in got if r.b == b) == [(i, pytest.approx(x, abs=1e-9)) for i, x in want]
     assert reports.batch_weights(df.limit(0), "b", "n").count() == 0
+
+
+def test_choices_of_texts_change_case_by_letter_as_the_sql_does(spark, tmp_path):
+    """Before, Spark's upper case of ß was SS."""
+    texts = ["Stra\u00dfe \u00fcber", "\u0149x \u1f80 \ufb01n", "\U00010428 ab", "\u0130I \u0391\u03a3 \u0391\u03a3.", "", "\u01c6a \u00ff"]
+    rows = [(i, texts[i // 5], lang, 9) for i in range(5 * len(texts)) for lang in [["de", "\u00dfx", "ru"][i % 3]]]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    got = sorted(tuple(r) for r in registry.QUERIES["tx14_choices_of_texts"](spark, str(tmp_path)).collect())
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    assert got == sorted(con.execute(registry.ORACLE_SQL["tx14_choices_of_texts"]).fetchall())
