@@ -250,3 +250,33 @@ def test_echo_chambers_make_no_row_of_a_pair_of_similar_nodes(spark, monkeypatch
     got = {r.node: (r.similar, r.linked, r.chamber) for r in structure.echo_chambers(edges(spark, pairs), v, vec.cosine, above=0.9).collect()}
     assert got == {i: (149, 0, False) for i in range(0, 300, 20)}
     assert sum(x.count() for x in seen) <= 4 * 4  # pairs of blocks, not 15 x 300 pairs
+
+
+def test_reach_counts_the_nodes_of_every_hop_by_bits(spark, monkeypatch):
+    """A source is a bit: no level holds a row for each source and node, as levels did before."""
+    monkeypatch.setattr(paths, "WORDS", 2)
+    pairs = random_edges(5, nodes=180, n=260) + [(1000 + i, 1001 + i) for i in range(70)]
+    near = {}
+    for a, b in pairs:
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+    sources = sorted(near)[:150] + [5000]  # more than one bundle of 128, the far path and a node without edges among them
+    want = {}
+    for s in sources:
+        hops, todo = {s: 0}, deque([s])
+        while todo:
+            x = todo.popleft()
+            for y in near.get(x, ()):
+                if y not in hops:
+                    hops[y] = hops[x] + 1
+                    todo.append(y)
+        for h, n in Counter(hops.values()).items():
+            want[s, h] = n
+    kept = []
+    keep = paths.stored
+    monkeypatch.setattr(paths, "stored", lambda df: kept.append(keep(df)) or kept[-1])
+    got = {(r.source, r.hops): r.nodes for r in paths.reach(edges(spark, pairs), spark.createDataFrame([(s,) for s in sources], "node long")).collect()}
+    assert got == want
+    most = max(x.count() for x in kept if "_0" in x.columns)
+    assert most <= 2 * len(near)
+    assert paths.reach(edges(spark, pairs), spark.createDataFrame([], "node long")).count() == 0
