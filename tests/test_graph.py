@@ -137,3 +137,15 @@ def test_query_equals_sql(spark, name):
     columns = [c[0] for c in want.description]
     plain = lambda rows: sorted(repr([round(float(x), 9) if isinstance(x, (int, float)) else x for x in r]) for r in rows)
     assert plain(registry.QUERIES[name](spark, SF).select(*columns).collect()) == plain(want.fetchall())
+
+
+def test_common_neighbours_open_wedges_at_the_lesser_corner(spark):
+    """Before, a hub's neighbours were looked up for each of its edges: the square of its degree."""
+    hub = [(0, i) for i in range(1, 200)] + [(i, i + 1) for i in range(1, 199, 3)]
+    e = spark.createDataFrame([(i, a, b, i) for i, (a, b) in enumerate(hub)], "edge_id long, src long, dst long, t long")
+    got = {(r.a, r.b): r.common for r in graph.triangles_by_pair(e).collect()}
+    near = {}
+    for a, b in hub:
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+    assert got == {(a, b): n for a, b in hub if (n := len(near[a] & near[b]))}
