@@ -252,7 +252,8 @@ def _(spark, d):
 @query("s4_end_points", f"WITH {_TRADE} SELECT 'c' || src AS node FROM trade UNION SELECT 's' || dst FROM trade")
 def _(spark, d):
     e = trade_edges(spark, d)
-    return e.select(F.concat(F.lit("c"), "src").alias("node")).union(e.select(F.concat(F.lit("s"), "dst"))).distinct()
+    ends = [e.select(c).distinct().select(F.concat(F.lit(kind), c).alias("node")) for kind, c in (("c", "src"), ("s", "dst"))]  # numbers first: they are shorter than names
+    return ends[0].union(ends[1]).distinct()
 
 
 @query("s6_gr10_hub_precision", f"WITH {_WIN}, a AS (SELECT src FROM win WHERE w < 15 GROUP BY src ORDER BY count(*) DESC, src LIMIT 20), b AS (SELECT src FROM win WHERE w >= 15 GROUP BY src ORDER BY count(*) DESC, src LIMIT 20) SELECT (SELECT count(*) FROM a JOIN b USING (src)) / 20 AS precision_20")
