@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from chronoweave.session import stored
+
 
 def read_market(spark: SparkSession, interactions: str, items: str, mapping: str, members: str, window: int = 86400) -> tuple[DataFrame, DataFrame]:
     """(edges, features) from the files of a market data set.
@@ -23,6 +25,7 @@ def read_market(spark: SparkSession, interactions: str, items: str, mapping: str
     e = spark.read.option("header", True).csv(interactions).withColumn("t", F.unix_timestamp(F.try_to_timestamp("ds")))
     e = e.join(nodes.toDF("src_member_id", "src"), "src_member_id").join(nodes.toDF("dst_member_id", "dst"), "dst_member_id").where("t is not null")
     e = e.join(codes, "id", "left").select("src", "dst", "t", F.col("id").try_cast("long").alias("id"), F.coalesce("codes", F.array().cast("array<long>")).alias("codes"))
+    e = stored(e)  # the first second is looked for in all rows: files are read and joined once
     first = e.agg(F.min("t").alias("_t0"))
     e = e.join(F.broadcast(first)).withColumn("w", F.floor((F.col("t") - F.col("_t0")) / window).cast("long")).select("src", "dst", "t", "w", "id", "codes")
     numbers = F.transform(F.split(F.btrim("feature_list", F.lit(":")), ":"), lambda x: x.try_cast("double"))

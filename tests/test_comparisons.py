@@ -320,3 +320,19 @@ def test_choices_of_texts_change_case_by_letter_as_the_sql_does(spark, tmp_path)
     con = duckdb.connect()
     con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
     assert got == sorted(con.execute(registry.ORACLE_SQL["tx14_choices_of_texts"]).fetchall())
+
+
+def test_market_files_are_read_and_joined_once(spark, tmp_path):
+    """Before, the first second was looked for in a second reading and joining of all files."""
+    for name, lines in {"i.csv": ["src_member_id,dst_member_id,id,ds", "a,b,1,2024-01-02", "b,a,2,2024-01-05"], "items.json": ['{"id": "1", "codes": [4, 5]}'], "map.csv": ["member_id,node", "a,1", "b,2"], "members.csv": ["member_id,feature_list", "a,:1:2"]}.items():
+        (tmp_path / name).write_text("\n".join(lines) + "\n")
+    e, _ = market.read_market(spark, *(str(tmp_path / x) for x in ("i.csv", "items.json", "map.csv", "members.csv")))
+    assert sorted((r.src, r.dst, r.w, r.id, r.codes) for r in e.collect()) == [(1, 2, 0, 1, [4, 5]), (2, 1, 3, 2, [])]
+    plan = e._jdf.queryExecution().optimizedPlan().toString()
+    assert "csv" not in plan and plan.count("Join ") <= 1
+
+
+def test_end_points_are_told_apart_as_numbers(spark):
+    """Before, every trade's two names were grouped as strings."""
+    plan = registry.QUERIES["s4_end_points"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert any("Aggregate [src" in line for line in plan.split("\n")) and any("Aggregate [dst" in line for line in plan.split("\n"))
