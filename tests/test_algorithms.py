@@ -170,6 +170,26 @@ def test_betweenness(spark):
     assert paths.betweenness(edges(spark, []), spark.range(3).toDF("node")).count() == 0
 
 
+def test_betweenness_by_blocks(spark, monkeypatch):
+    """Blocks of several nodes and sources, some full and some nearly empty, chunks of few edges: rows are blocks, not (source, node)."""
+    for name, size in (("NODES", 7), ("SOURCES", 4), ("CHUNK", 16)):
+        monkeypatch.setattr(paths, name, size)
+    made, along = [], paths._along
+    monkeypatch.setattr(paths, "_along", lambda *a: made.append(along(*a)) or made[-1])
+    pairs = [(a, b) for a, b in random_pairs(6, 30, 60) if a != b] + [(50, 51)] + [(60 + k, 61 + k) for k in range(9)]
+    near = adjacency(pairs)
+    sources = [x for x in near if x % 2 == 0]
+    got = paths.betweenness(edges(spark, pairs), spark.createDataFrame([(x,) for x in sources], "node long"))
+    assert {r.node: r.dependency for r in got.collect()} == pytest.approx(plain_betweenness(near, sources))
+    assert max(x.count() for x in made) <= -(-len(near) // 7) * -(-len(sources) // 4)
+
+
+@pytest.mark.parametrize("values", [[0.0] * 40, [0.0] * 39 + [2.0], [1.0, 65535.0] * 20, [1.0, 65536.0] * 20, [0.0] * 39 + [0.5], [1e300, -1.0] * 20])
+def test_blocks_are_packed_without_loss(values):
+    x = np.array(values).reshape(8, 5)
+    assert (paths._unpacked(paths._packed(x), (8, 5)) == x).all()
+
+
 # --- spectra -----------------------------------------------------------------------------------------------------
 
 
