@@ -176,7 +176,7 @@ def test_betweenness_by_blocks(spark, monkeypatch):
         monkeypatch.setattr(paths, name, size)
     made, along = [], paths._along
     monkeypatch.setattr(paths, "_along", lambda *a: made.append(along(*a)) or made[-1])
-    pairs = [(a, b) for a, b in random_pairs(6, 30, 60) if a != b] + [(50, 51)] + [(60 + k, 61 + k) for k in range(9)]
+    pairs = [(a, b) for a, b in random_pairs(6, 30, 60) if a != b] + [(50, 51)] + [(60, 61), (61, 62), (62, 63)]
     near = adjacency(pairs)
     sources = [x for x in near if x % 2 == 0]
     got = paths.betweenness(edges(spark, pairs), spark.createDataFrame([(x,) for x in sources], "node long"))
@@ -230,6 +230,23 @@ def test_moments_equal_traces(spark):
     assert spectrum.spectra(one.where("w = 2"), "w", 5).count() == 0
 
 
+def test_moments_of_small_and_large_snapshots(spark, monkeypatch):
+    """Snapshots that a task takes by itself and those that go by joins have the same moments; the first store one table of edges and no vectors."""
+    rows = [(0, a, b) for a, b in random_pairs(4, 20, 40)] + [(1, a, b) for a, b in random_pairs(5, 30, 80)]
+    e = spark.createDataFrame(rows, "w long, src long, dst long")
+    found, tables = {}, {}
+    for most in (2_000_000, 45, 0):
+        monkeypatch.setattr(spectrum, "WHOLE", most)
+        made = []
+        monkeypatch.setattr(spectrum, "stored", lambda df: made.append(df) or stored(df))
+        found[most] = {r.w: (r.nodes, r.moments) for r in spectrum.moments(e, "w", 6, probes=3).collect()}
+        tables[most] = len(made)
+    for w, (nodes, moments) in found[0].items():
+        for most in (2_000_000, 45):
+            assert found[most][w][0] == nodes and found[most][w][1] == pytest.approx(moments)
+    assert tables[2_000_000] == 2 < tables[0]
+
+
 # --- orbits ------------------------------------------------------------------------------------------------------
 
 
