@@ -55,6 +55,26 @@ def test_two_hop_and_four_cliques_of_all_edges(spark, monkeypatch):
     assert len(got) == len(want) and {r.node: r.cliques for r in got} == want and sum(want.values()) > 0
 
 
+def test_steps_of_two_by_lists_and_by_rows(spark, monkeypatch):
+    """Ends far apart, below 0 and null; a source of many pairs goes by rows and has the same ends."""
+    rnd = random.Random(8)
+    first = list({(rnd.randrange(6), rnd.randrange(9)) for _ in range(30)} | {(None, 1), (7, 1)})
+    second = list({(rnd.randrange(9), rnd.choice([-5, 3, 1 << 20, 1 << 40, rnd.randrange(300)])) for _ in range(60)} | {(2, None), (1, 4)})
+    want = {}
+    for a, v in first:
+        for w, b in second:
+            if v == w:
+                want[a, b] = want.get((a, b), 0.0) + v / 4
+    x = spark.createDataFrame([(a, v, v / 4) for a, v in first], "src long, via long, p double")
+    y = spark.createDataFrame(second, "via long, dst long")
+    for most in (2_000_000, 20, 0):
+        monkeypatch.setattr(graph, "LISTED", most)
+        got = graph.steps_of_two(x, y).collect()
+        assert len(got) == len(want) and {(r.src, r.dst): r.p for r in got} == pytest.approx(want)
+        got = [tuple(r) for r in graph.steps_of_two(x.drop("p"), y).collect()]
+        assert len(got) == len(want) and set(got) == set(want)
+
+
 def test_ordered_dedup_and_overlap(spark, monkeypatch):
     rows = some_edges(spark, monkeypatch) + [(30, x, x * 1000) for x in range(40, 70)]
     monkeypatch.setattr(queries, "social_edges", lambda spark, d: edges(spark, rows))
