@@ -222,7 +222,7 @@ def _(spark, d):
 @query("j14_two_hop", f"WITH {_SOCIAL}, e AS (SELECT DISTINCT src, dst FROM social) SELECT DISTINCT x.src, y.dst FROM e x JOIN e y ON x.dst = y.src WHERE y.dst <> x.src")
 def _(spark, d):
     e = social_edges(spark, d).select("src", "dst").distinct()
-    return e.select("src", F.col("dst").alias("via")).join(e.select(F.col("src").alias("via"), "dst"), "via").where("src <> dst").select("src", "dst").distinct()
+    return graph.steps_of_two(e.select("src", F.col("dst").alias("via")), e.select(F.col("src").alias("via"), "dst")).where("src <> dst")
 
 
 @query("j14_two_hop_all", f"WITH {_SOCIAL}, n AS (SELECT src AS u, dst AS v FROM social UNION SELECT dst, src FROM social) SELECT DISTINCT u AS src, s.dst FROM n JOIN social s ON s.src = n.v")
