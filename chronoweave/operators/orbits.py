@@ -1,7 +1,8 @@
 """Orbit counts of the induced subgraphs of up to four nodes, from counting equations.
 
-Only triangles, four-cycles (as wedges under their highest corner) and cliques of four are found by joins, all opened
-at the end of smaller (degree, id), so a hub costs no more than the root of the edges for each of its neighbours.
+Only triangles, four-cycles (under their highest corner) and cliques of four are found one by one, all by the order of
+(degree, id), so a hub costs no more than the root of the edges for each of its neighbours. Triangles and cycles come
+from one pass of packed lists of neighbours along the edges (``graph.corners_met``); pairs of neighbours are no rows.
 Paths, stars and tailed triangles are never listed: how often a node is part of one, induced or not, follows from its
 own and its neighbours' degrees and triangles, and the induced counts from subtracting those inside denser subgraphs.
 """
@@ -15,59 +16,37 @@ from chronoweave.operators import graph
 from chronoweave.session import stored
 
 
-def four_cycles_by_node(edges: DataFrame) -> DataFrame:
-    """(node, cycles): the cycles of four nodes, chords or not, that a node is part of; nodes of none are left out.
-
-    A cycle is counted at its corner u of highest (degree, id): two of the z wedges u - v - w close one, so v is in
-    z - 1 of them, and u and w, half of it from each wedge.
-    """
-    e = stored(graph.oriented(edges).select("u", "v"))
-    both = e.select(F.col("u").alias("m"), F.col("v").alias("x")).union(e.select(F.col("v").alias("m"), F.col("u").alias("x")))
-    degree = both.groupBy(F.col("m").alias("x")).agg(F.count("*").alias("k"))
-    ranked = stored(both.join(degree, "x"))
-    up = e.select(F.col("u").alias("m"), F.col("v").alias("top")).join(degree.select(F.col("x").alias("top"), F.col("k").alias("ktop")), "top")
-    wedges = up.join(ranked, "m").where(F.struct("k", "x") < F.struct("ktop", "top")).select("top", "m", F.col("x").alias("w"))
-    wedges = stored(wedges)
-    closed = wedges.groupBy("top", "w").agg((F.count("*") - 1).alias("z")).where("z > 0")
-    ends = closed.select(F.explode(F.array("top", "w")).alias("node"), (F.col("z") * (F.col("z") + 1)).alias("twice"))
-    middle = wedges.join(closed, ["top", "w"]).select(F.col("m").alias("node"), (2 * F.col("z")).alias("twice"))
-    return ends.union(middle).groupBy("node").agg((F.sum("twice") / 2).cast("long").alias("cycles"))
-
-
 def orbit_counts(edges: DataFrame) -> DataFrame:
     """(node, orbits): for each node of an edge that is no self loop, its 15 orbit counts in the usual numbering.
 
     0 edge; 1, 2 end and middle of a path of three; 3 triangle; 4, 5 end and inside of a path of four; 6, 7 leaf and
     centre of a star; 8 four-cycle; 9, 10, 11 tail, plain corner and tailed corner of a tailed triangle; 12, 13 corners
-    of degree two and three of a four-cycle with a chord; 14 clique of four.
+    of degree two and three of a four-cycle with a chord; 14 clique of four. On the way nodes go by their ranks.
     """
-    pairs = stored(graph.simple_pairs(edges))
-    near = stored(pairs.select(F.col("a").alias("x"), F.col("b").alias("y")).union(pairs.select(F.col("b").alias("x"), F.col("a").alias("y"))))
-    corners = stored(graph.triangles(edges))
+    nodes, pairs = graph.ranked(edges)
+    met = graph.corners_met(pairs, cycles=True)
+    cycles = met.where("n is not null").groupBy("x").agg(F.sum("n").alias("cycles"))
+    corners = met.where("n is null").select("x", "y", "z")
     sides = corners.select(F.explode(F.array(*[F.struct(F.col(p).alias("a"), F.col(q).alias("b"), F.col(r).alias("c")) for p, q, r in (("x", "y", "z"), ("x", "z", "y"), ("y", "z", "x"))])).alias("s")).select("s.*")
-    sides = stored(sides.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "c"))
     shared = stored(sides.groupBy("a", "b").agg(F.count("*").alias("common")))
     # diamonds in which a node is opposite to a chord: for each triangle, the other triangles on the far side
     far = sides.join(shared, ["a", "b"]).groupBy(F.col("c").alias("x")).agg(F.sum(F.col("common") - 1).alias("far"))
-    links = near.join(shared, (F.least("x", "y") == F.col("a")) & (F.greatest("x", "y") == F.col("b")), "left").select("x", "y", F.coalesce("common", F.lit(0)).alias("common"))
-    links = stored(links)
-    own = stored(links.groupBy("x").agg(F.count("*").alias("d"), (F.sum("common") / 2).cast("long").alias("t")))
-    other = own.select(F.col("x").alias("y"), F.col("d").alias("dy"), F.col("t").alias("ty"))
-    seen = links.join(other, "y")
+    t = corners.select(F.explode(F.array("x", "y", "z")).alias("x")).groupBy("x").agg(F.count("*").alias("t"))
+    near = pairs.select(F.col("lo").alias("x"), F.col("hi").alias("y"), F.col("khi").alias("dy")).union(pairs.select("hi", "lo", "klo"))
     dy, common = F.col("dy"), F.col("common")
-    sums = stored(
-        seen.groupBy("x").agg(
-            F.sum(dy - 1).alias("ends"),
-            F.sum((dy - 1) * (dy - 2) / 2).cast("long").alias("leaf"),
-            (F.sum(F.col("ty")) - F.sum(common)).alias("tail"),
-            F.sum(common * (dy - 2)).alias("plain"),
-            F.sum(common * (common - 1) / 2).cast("long").alias("chord"),
-        )
-    )
-    two = near.join(sums.select(F.col("x").alias("y"), F.col("ends").alias("e")), "y").groupBy("x").agg(F.sum("e").alias("second"))
-    cliques = graph.four_cliques(edges).select(F.explode(F.array("x", "y", "z", "v")).alias("x")).groupBy("x").agg(F.count("*").alias("k4"))
-    cycles = four_cycles_by_node(edges).withColumnRenamed("node", "x")
-    row = own.join(sums, "x").join(two, "x").join(far, "x", "left").join(cliques, "x", "left").join(cycles, "x", "left").na.fill(0, ["far", "k4", "cycles"])
+    own = near.groupBy("x").agg(F.count("*").alias("d"), F.sum(dy - 1).alias("ends"), F.sum((dy - 1) * (dy - 2) / 2).cast("long").alias("leaf"))
+    own = stored(own.join(t, "x", "left").na.fill(0, ["t"]))
+    # of neighbours: their triangles, less those with the node itself, and their own neighbours' ends
+    seen = near.join(own.select(F.col("x").alias("y"), F.col("ends").alias("e"), F.col("t").alias("ty")), "y")
+    sums = seen.groupBy("x").agg(F.sum("ty").alias("ty"), F.sum("e").alias("second"))
+    linked = shared.select(F.col("a").alias("x"), F.col("b").alias("y"), "common").union(shared.select("b", "a", "common"))
+    linked = linked.join(own.select(F.col("x").alias("y"), F.col("d").alias("dy")), "y")
+    chords = linked.groupBy("x").agg(F.sum(common * (dy - 2)).alias("plain"), F.sum(common * (common - 1) / 2).cast("long").alias("chord"))
+    cliques = graph.four_cliques_of(corners, pairs).select(F.explode(F.array("x", "y", "z", "v")).alias("x")).groupBy("x").agg(F.count("*").alias("k4"))
+    row = own.join(sums, "x").join(nodes.select(F.col("rank").alias("x"), "node"), "x")
+    for some in (chords, far, cliques, cycles):
+        row = row.join(some, "x", "left")
+    row = row.na.fill(0, ["plain", "chord", "far", "k4", "cycles"]).withColumn("tail", F.col("ty") - 2 * F.col("t"))
     d, t, ends, second, k4 = (F.col(c) for c in ("d", "t", "ends", "second", "k4"))
     o = {14: k4, 13: F.col("chord") - 3 * k4, 12: F.col("far") - 3 * k4}
     row = row.withColumns({"o12": o[12], "o13": o[13]})
@@ -91,4 +70,4 @@ def orbit_counts(edges: DataFrame) -> DataFrame:
         }
     )
     all_ = [d, ends - 2 * t, (d * (d - 1) / 2).cast("long") - t, t, *[F.col(f"o{k}") for k in range(4, 14)], k4]
-    return row.select(F.col("x").alias("node"), F.array(*[c.cast("long") for c in all_]).alias("orbits"))
+    return row.select("node", F.array(*[c.cast("long") for c in all_]).alias("orbits"))

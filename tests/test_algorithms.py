@@ -284,6 +284,31 @@ def test_orbits(spark, seed, nodes, n):
     assert {r.node: r.orbits for r in orbits.orbit_counts(edges(spark, pairs)).collect()} == want
 
 
+def test_orbits_take_no_row_for_a_pair_of_neighbours(spark, monkeypatch):
+    made = []
+    for module in (graph, orbits):
+        monkeypatch.setattr(module, "stored", lambda df: made.append(stored(df)) or made[-1])
+    sides = [(a, b) for a in range(20) for b in range(20, 40)]
+    got = orbits.orbit_counts(edges(spark, sides)).collect()
+    assert {r.orbits[8] for r in got} == {19 * 190} and len(got) == 40
+    assert max(df.count() for df in made) == len(sides)  # of 7,600 pairs of neighbours
+
+
+@pytest.mark.parametrize("listed,flushed,far", [(30, 40, 1), (30, 1_000_000, 1 << 17), (2_000_000, 40, 1)])
+def test_orbits_by_slices_and_flushes(spark, monkeypatch, listed, flushed, far):
+    monkeypatch.setattr(graph, "LISTED", listed)
+    monkeypatch.setattr(graph, "FLUSHED", flushed)
+    if far > 1:  # gaps of four bytes
+        ranked = graph.ranked
+        spread = lambda n, p: (n.withColumn("rank", F.col("rank") * far), p.withColumn("lo", F.col("lo") * far).withColumn("hi", F.col("hi") * far))
+        monkeypatch.setattr(graph, "ranked", lambda e: spread(*ranked(e)))
+    pairs = [p for p in random_pairs(5, 20, 110) if p[0] != p[1]] + [(0, k) for k in range(30, 50)]
+    want = plain_orbits(adjacency(pairs))
+    assert {r.node: r.orbits for r in orbits.orbit_counts(edges(spark, pairs)).collect()} == want
+    assert graph.triangles(edges(spark, pairs)).count() * 3 == sum(o[3] for o in want.values())
+    assert graph.four_cliques(edges(spark, pairs)).count() * 4 == sum(o[14] for o in want.values())
+
+
 def test_measures_by_snapshot(spark):
     parts = {3: random_pairs(11, 12, 40), 4: random_pairs(12, 12, 20)}
     df = spark.createDataFrame([(w, a, b) for w, part in parts.items() for a, b in part if a != b], "w long, src long, dst long")
