@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from chronoweave import registry
 from chronoweave.operators import distributions as dist
 from chronoweave.operators import graph, kernels, orbits, ordering, paths, projection, sampling, spectrum, structure
 from chronoweave.session import release, stored
@@ -318,6 +319,17 @@ def test_measures_by_snapshot(spark):
     assert clustering == {k: o[3] for k, o in got.items()}
 
 
+def test_snapshot_bundle_makes_its_windows_and_counts_once(spark, monkeypatch):
+    plans = []
+    counts = orbits.orbit_counts
+    monkeypatch.setattr(orbits, "orbit_counts", lambda e: plans.append(e._jdf.queryExecution().optimizedPlan().toString()) or counts(e))
+    monkeypatch.setattr(graph, "local_clustering", None)
+    got = {r.kind: r.mmd for r in registry.QUERIES["gr22_snapshot_bundle"](spark, "/root/testdata/sf0.001").collect()}
+    assert len(plans) == 1 and "Window" not in plans[0]
+    monkeypatch.undo()
+    assert got["cluster"] == registry.QUERIES["gr22_cluster_mmd"](spark, "/root/testdata/sf0.001").first().mmd
+
+
 # --- kernels -----------------------------------------------------------------------------------------------------
 
 
