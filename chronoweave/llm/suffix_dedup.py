@@ -11,7 +11,7 @@
    with another of them, go to the shard of that anchor; those of an anchor with over ``COMMON`` of them go to the
    shards of what they share, the anchor with the bytes before it and the anchor with the bytes after it. A shard
    reads them in the order of these keys and sorts the suffixes of about ``PART`` bytes of contexts, but always of whole
-   keys, by induction (``induced_sort``); neighbours with a common prefix of ``length``
+   keys, cut to the windows that may be shared (``narrowed``), by induction (``induced_sort``); neighbours with a common prefix of ``length``
    bytes are equal windows, and all but the earliest of them go.
 4. The spans found go back to the documents by doc_id.
 
@@ -47,6 +47,8 @@ TOGETHER = 200_000
 COMMON = 1000
 #: Bytes of contexts that a task sorts at a time, unless one key has more.
 PART = 8 << 20
+#: Places of a window round its anchor that ``narrowed`` tells at once.
+STEP = 4
 SPANS = ("whole_lo", "whole_hi", "edge_lo", "edge_hi")
 _U = np.uint64
 #: ``h``, ``left`` and ``right`` only bring together what is then compared by ``c`` or by its bytes, so few bits do.
@@ -256,14 +258,14 @@ def _columns(array: str, *fields: str) -> list:
     return [F.col(f"{array}.{f}").alias(f) for f in fields]
 
 
-def _parts(batches, bound: int) -> Iterator[list[np.ndarray]]:
-    """[text, sizes, doc, lo] of contexts sorted by ``h``: whole keys, up to about ``bound`` bytes or one key."""
+def _parts(batches, bound: int, also: tuple = ()) -> Iterator[list[np.ndarray]]:
+    """[text, sizes, doc, lo] and other columns of contexts sorted by ``h``: whole keys, up to about ``bound`` bytes or one key."""
     held: list = []
     size, last = 0, None
 
     def add(batch):
         sizes = batch["context"].map(len).to_numpy(dtype=np.int64)
-        held.append((_characters(batch["context"], sizes), sizes, batch["doc"].to_numpy(), batch["lo"].to_numpy()))
+        held.append((_characters(batch["context"], sizes), sizes, *(batch[c].to_numpy() for c in ("doc", "lo", *also))))
         return int(sizes.sum())
 
     for batch in batches:
@@ -283,6 +285,38 @@ def _parts(batches, bound: int) -> Iterator[list[np.ndarray]]:
         yield [np.concatenate(x) for x in zip(*held)]
 
 
+def narrowed(text, sizes, doc, lo, at, h, length: int) -> list[np.ndarray]:
+    """[text, sizes, doc, lo] of the contexts that may share a window with another one of their ``h``, cut to such windows.
+
+    Equal windows of contexts of one anchor have it at one place. Those with from l to l + ``STEP`` - 1 bytes before it
+    share the l bytes before the anchor and what all of them have after it. Where no other context has these bytes, none
+    of its windows there is repeated. This only leaves out; what is equal is told by the sort.
+    """
+    wide = length - GRAM
+    buf = (text - 1).astype(np.uint8)  # the 0 after a context is in no slice
+    sums = prefix_sums(buf, byte_values(37))
+    anchor = np.cumsum(sizes + 1) - sizes - 1 + at
+    after = sizes - at - GRAM
+    most, least = np.full(len(at), -1), np.full(len(at), wide + 1)
+    key = mix(h.astype(np.int64).view(_U))
+    for a in range(0, wide + 1, STEP):
+        b = min(a + STEP - 1, wide)
+        low, high = np.maximum(a, wide - after), np.minimum(b, at)
+        k = np.flatnonzero(low <= high)
+        code = slice_hashes(sums, anchor[k] - a, anchor[k] + GRAM + wide - b) ^ key[k]
+        order = np.argsort(code)
+        equal = code[order[1:]] == code[order[:-1]]
+        k = np.union1d(k[order[1:][equal]], k[order[:-1][equal]])
+        least[k], most[k] = np.minimum(least[k], low[k]), np.maximum(most[k], high[k])
+    k = np.flatnonzero(most >= 0)
+    start, n = at[k] - most[k], most[k] - least[k] + length
+    first = anchor[k] - most[k]
+    out = np.zeros(int(n.sum()) + len(n), dtype=text.dtype)
+    place = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+    out[np.repeat(np.cumsum(n + 1) - n - 1, n) + place] = text[np.repeat(first, n) + place]
+    return [out, n, doc[k], lo[k] + start]
+
+
 def repeated_windows(text: np.ndarray, sizes: np.ndarray, doc: np.ndarray, lo: np.ndarray, length: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(doc, start) of windows of which an equal one starts earlier, by one induced sort of the contexts.
 
@@ -327,29 +361,30 @@ def removed_spans(docs: DataFrame, length: int = 100) -> DataFrame:
     """(doc_id, text, ``SPANS``): each row with the byte spans [lo, hi) to remove, in two unordered lists."""
     source, met = repeated_spans(docs, length)
     ask = met.select("doc", F.filter("r", lambda x: x["at"] >= 0).alias("r")).where(F.size("r") > 0)
-    ask = ask.select("doc", *_columns("r", "lo", "n", "h"))
-    asked = source.join(ask, source["doc_id"] == ask["doc"]).select("doc_id", "text", "lo", "n", "h")
+    ask = ask.select("doc", *_columns("r", "lo", "n", "at", "h"))
+    asked = source.join(ask, source["doc_id"] == ask["doc"]).select("doc_id", "text", "lo", "n", "at", "h")
 
     def contexts(batches):
         for batch in batches:
-            out = {k: [] for k in ("doc", "lo", "h", "context")}
-            for d, t, *r in zip(*(batch[c] for c in ("doc_id", "text", "lo", "n", "h"))):
+            out = {k: [] for k in ("doc", "lo", "at", "h", "context")}
+            for d, t, *r in zip(*(batch[c] for c in ("doc_id", "text", "lo", "n", "at", "h"))):
                 raw = text_bytes(t)
-                for lo, n, h in zip(*(x.tolist() for x in r)):
+                for lo, n, at, h in zip(*(x.tolist() for x in r)):
                     if len(raw) >= lo + n:
                         out["doc"].append(d)
                         out["lo"].append(lo)
+                        out["at"].append(at)
                         out["h"].append(h)
                         out["context"].append(raw[lo : lo + n])
             yield pd.DataFrame(out)
 
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) * 4
-    context = asked.mapInPandas(contexts, "doc long, lo long, h int, context binary")
+    context = asked.mapInPandas(contexts, "doc long, lo long, at int, h int, context binary")
 
     def compare(batches):
         """Repeated windows among the contexts of each part of a shard, joined to spans."""
-        for part in _parts(batches, PART):
-            found = list(repeated_windows(*part, length))
+        for part in _parts(batches, PART, ("at", "h")):
+            found = list(repeated_windows(*narrowed(*part, length), length))
             if found:  # neighbouring windows start with different bytes, so runs show only over all of them
                 yield joined_runs(*map(np.concatenate, zip(*found)), length)
 

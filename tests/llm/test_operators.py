@@ -225,6 +225,26 @@ def test_substring_dedup_of_common_anchors_and_shards_beyond_memory(spark, monke
     assert len(sizes) >= 10 and sum(sizes) == sum((np.bincount(keys) - 1) * 21 + 20 * (np.bincount(keys) > 0))
 
 
+def test_substring_dedup_sorts_only_windows_that_may_be_shared():
+    rnd = np.random.default_rng(6)
+    own = lambda n: rnd.integers(0, 256, n, dtype=np.uint8).tobytes()
+    left, anchor, right = own(68), own(32), own(68)
+    contexts = [left + anchor + right, own(48) + left[48:] + anchor + right[:60] + own(8), own(58) + left[58:] + anchor + right[:40] + own(28), left[30:] + anchor + right[:50], own(68) + anchor + own(68)]
+    at, sizes = np.array([68, 68, 68, 38, 68]), np.array([len(c) for c in contexts])
+    part = suffix_dedup._characters(contexts, sizes), sizes, np.arange(5), np.array([0, 7, 0, 5, 0])
+    for h in (np.zeros(5, dtype=np.int32), np.array([3, 3, 3, -9, 3], dtype=np.int32)):
+        text, n, doc, lo = suffix_dedup.narrowed(*part, at, h, 100)
+        assert doc.tolist() == ([0, 1, 3] if not h.any() else [0, 1]) and (n >= 100).all() and len(text) == n.sum() + len(n)
+        assert n[1] <= 100 + 12 + 2 * (suffix_dedup.STEP - 1)  # 8 to 20 bytes before the anchor
+        told = lambda *x: sorted((d, a) for ds, ats in suffix_dedup.repeated_windows(*x, 100) for d, a in zip(ds.tolist(), ats.tolist()))
+        keep = np.isin(np.arange(5), doc)
+        whole = suffix_dedup._characters([c for c, k in zip(contexts, keep) if k], sizes[keep]), sizes[keep], doc, part[3][keep]
+        assert told(text, n, doc, lo) == told(*whole) and len(told(*whole)) > 0
+        assert told(*part) == told(text, n, doc, lo) or h.any()
+    none = [np.zeros(0, dtype=np.int64)] * 5
+    assert [len(x) for x in suffix_dedup.narrowed(np.zeros(0, dtype=np.uint16), *none, 100)] == [0] * 4
+
+
 @pytest.mark.parametrize("dense", [0, 400, 10**9])
 def test_induced_sort(monkeypatch, dense):
     """Groups of suffixes with a common prefix equal brute force, for queues in memory and on disk, at each way of inducing."""
