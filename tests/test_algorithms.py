@@ -185,6 +185,20 @@ def test_betweenness_by_blocks(spark, monkeypatch):
     assert max(x.count() for x in made) <= -(-len(near) // 7) * -(-len(sources) // 4)
 
 
+@pytest.mark.parametrize("chunk", [1, 5, paths.CHUNK])
+def test_betweenness_keeps_what_is_of_a_source_in_its_task(spark, monkeypatch, chunk):
+    """Before, blocks of nodes beside sources were stored and shuffled at each level, every block to all blocks of its batch."""
+    made, keep = [], paths.stored
+    monkeypatch.setattr(paths, "CHUNK", chunk)
+    monkeypatch.setattr(paths, "stored", lambda df: made.append(keep(df)) or made[-1])
+    pairs = [(a, b) for a, b in random_pairs(8, 40, 90) if a != b] + [(k, k + 1) for k in range(100, 150)] + [(200, k) for k in range(201, 240)]
+    near = adjacency(pairs)
+    sources = [x for x in near if x % 7 == 0]
+    got = paths.betweenness(edges(spark, pairs), spark.createDataFrame([(x,) for x in sources], "node long"))
+    assert {r.node: r.dependency for r in got.collect()} == pytest.approx(plain_betweenness(near, sources))
+    assert len(made) == 4 and not any("batch" in x.columns for x in made)  # edges, two numberings and lists of neighbours, whatever the levels
+
+
 @pytest.mark.parametrize("values", [[0.0] * 40, [0.0] * 39 + [2.0], [1.0, 65535.0] * 20, [1.0, 65536.0] * 20, [0.0] * 39 + [0.5], [1e300, -1.0] * 20])
 def test_blocks_are_packed_without_loss(values):
     x = np.array(values).reshape(8, 5)
