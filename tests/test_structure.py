@@ -3,11 +3,13 @@
 import math
 import random
 from collections import Counter, deque
+from datetime import datetime
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from chronoweave import registry
 from chronoweave.functions import calendar as cal
 from chronoweave.functions import text as tx
 from chronoweave.functions import vectors as vec
@@ -252,6 +254,15 @@ def test_echo_chambers_make_no_row_of_a_pair_of_similar_nodes(spark, monkeypatch
     assert sum(x.count() for x in seen) <= 4 * 4  # pairs of blocks, not 15 x 300 pairs
 
 
+def test_chambers_of_all_nodes_are_told_apart_from_the_stated_reading(spark, tmp_path):
+    """Before, only nodes divisible by 20 were asked, of which there are none here."""
+    events = [(i, datetime(2024, 1, 1, 0, 0, i), i, "a") for i in range(1, 7)]
+    spark.createDataFrame(events, "event_id long, ts timestamp, user_id long, event_type string").write.parquet(f"{tmp_path}/events.parquet")
+    spark.createDataFrame([(i, [1.0, 0.0]) for i in range(1, 9)], "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = registry.QUERIES["gr31_echo_chamber_difference"](spark, str(tmp_path)).first()
+    assert tuple(got) == (6 - 2, round(0.5 - 10 / 5 / 6, 6))  # a path of six: ten ends of edges, five similar to each
+
+
 def test_reach_counts_the_nodes_of_every_hop_by_bits(spark, monkeypatch):
     """A source is a bit: no level holds a row for each source and node, as levels did before."""
     monkeypatch.setattr(paths, "WORDS", 2)
