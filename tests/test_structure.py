@@ -233,6 +233,22 @@ def test_count_above_by_blocks_decides_a_bound_as_the_sum_does(spark, monkeypatc
         assert got == {q: n for q, n in want.items() if n}
 
 
+def test_count_above_in_single_precision_decides_a_bound_as_the_sum_does(spark):
+    """Blocks of plain vectors are compared as float32, and what is near the bound is summed: many pairs lie on it, one just beside it."""
+    rnd = random.Random(5)
+    rows = [(i, [float(rnd.choice((-2, -1, 1, 2))) for _ in range(4)]) for i in range(120)] + [(120, [1.0, 1.0, 1.0, 1.0]), (121, [1e9, 1e9, 1e9, 1.0]), (122, [1e-3, 1e-3, 1e-3, 1e-3 + 1e-12])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(2)
+    for above in (0.5, 0.6, 0.25, _score(rows[120][1], rows[121][1], True), 1.0 - 1e-15):
+        got = {r.src: r.n for r in retrieval.count_above(df, df, above).collect()}
+        want = {q: sum(_score(x, y, True) > above for i, y in rows if i != q) for q, x in rows}
+        assert got == {q: n for q, n in want.items() if n}
+    ids, x = [i for i, _ in rows], np.array([x for _, x in rows])
+    pair = retrieval._Pair({"ids": ids, "r_ids": ids, "block": 0, "sound": b"\1" * len(ids), "r_sound": b"\1" * len(ids), "width": 4, "r_width": 4, "values": x.tobytes(), "r_values": x.tobytes()}, True)
+    s, off = pair.near_units()
+    i, j = np.nonzero(~np.eye(len(ids), dtype=bool))
+    assert pair.plain() and s.dtype == np.float32 and np.abs(s[i, j] - pair.exact(i, j)).max() < off / 2 and np.isneginf(np.diag(s)).all()
+
+
 def test_ruled_nearest_falls_back_to_all_rows(spark):
     df = spark.createDataFrame([(i, [float(i), 1.0], i < 3) for i in range(20)], "vec_id long, embedding array<float>, pass boolean")
     got = {}
